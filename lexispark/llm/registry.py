@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, mixing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLES = {
