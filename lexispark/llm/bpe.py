@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 #: Words, pairs and chunks that a Python worker remembers before it starts afresh.
 CACHE = 250_000
@@ -150,14 +150,8 @@ class TrieEncoder:
             text = self.special_at.sub(r" \1 ", text)
         return text.split() if not _SEPARATORS.search(text) else [c for c in _SPACES.split(text) if c]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Makes ids and shown hold all these chunks."""
-        new = [c for c in chunks if c not in self.ids]
-        if len(self.ids) + len(new) > CACHE:
-            self.ids.clear()
-            self.shown.clear()
-            self.words.clear()
-            new = list(chunks)
+    def learn(self, new: set[str]) -> None:
+        """Makes ids and shown hold these chunks."""
         pieces: dict[str, list[str]] = {}
         for chunk in new:
             if chunk in self.special:
@@ -175,12 +169,29 @@ class TrieEncoder:
         """This file names no decoder: tokens are joined by blanks."""
         return " ".join([self.token[i] for i in ids])
 
-    def texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
+    def texts(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, str]]:
+        """(ids as little-endian unsigned 32-bit integers, decoded text) of each text.
+
+        The new chunks of many texts share one trie; the texts follow as soon as it is full.
+        """
+        held: list[list[str]] = []
+        new: set[str] = set()
         for text in texts:
-            chunks = self.chunks(text or "")
-            if not all(map(self.ids.__contains__, chunks)):
-                self.learn(set(chunks))
+            held.append(self.chunks(text or ""))
+            new.update([c for c in held[-1] if c not in self.ids])
+            if len(new) > CACHE // 4:
+                yield from self._flush(held, new)
+                held, new = [], set()
+        yield from self._flush(held, new)
+
+    def _flush(self, held: list[list[str]], new: set[str]) -> Iterator[tuple[bytes, str]]:
+        if len(self.ids) + len(new) > CACHE:
+            self.ids.clear()
+            self.shown.clear()
+            self.words.clear()
+            new = {c for chunks in held for c in chunks}
+        self.learn(new)
+        for chunks in held:
             yield b"".join(map(self.ids.__getitem__, chunks)), " ".join(map(self.shown.__getitem__, chunks))
 
 
@@ -195,19 +206,9 @@ def _encoder(spec: str) -> TrieEncoder:
     return _loaded[key]
 
 
-def _learn_batch(encoder: TrieEncoder, texts: list[str | None]) -> None:
-    """One trie for the new chunks of a whole batch, in parts that the cache can hold."""
-    new: set[str] = set()
-    for text in texts:
-        new.update(encoder.chunks(text or ""))
-        if len(new) > CACHE // 4:
-            encoder.learn(new)
-            new.clear()
-    encoder.learn(new)
-
-
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (packed little-endian unsigned 32-bit) and decoded text of every document."""
+    ship(docs.sparkSession)
     with open(path, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
 
@@ -215,7 +216,6 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
         encoder = _encoder(spec.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            _learn_batch(encoder, texts)
             begin, ids, shown, held = 0, [], [], 0
             for i, (packed, decoded) in enumerate(encoder.texts(texts), 1):
                 ids.append(packed)
