@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, language_id, mixing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op8_language_id": language_id.op8_language_id,
     "op9_bpe": bpe.op9_bpe,
 }
 
