@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, mixing
+from . import bpe, exact_dedup, language_id, mixing, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op8_language_id": language_id.op8_language_id,
