@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, mixing, simhash
+from . import bpe, exact_dedup, language_id, mixing, simhash, url_filter, warc
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op6_mixing": mixing.op6_mixing,
+    "op7_warc_revisits": warc.op7_warc_revisits,
     "op8_language_id": language_id.op8_language_id,
     "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op5_url_filter": url_filter.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op7_warc_revisits": warc.ORACLE,
 }
