@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, mixing, simhash, url_filter, warc
+from . import bpe, exact_dedup, language_id, mixing, secrets, simhash, url_filter, warc
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
+    "op3_secrets": secrets.op3_secrets,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_mixing": mixing.op6_mixing,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_secrets": secrets.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op6_mixing": mixing.ORACLE,
