@@ -30,9 +30,8 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from os.path import commonprefix
-from struct import pack
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -41,7 +40,9 @@ from pyspark.sql import functions as F
 from .common import ship, table
 
 #: Words, pairs and chunks that a Python worker remembers before it starts afresh.
-CACHE = 250_000
+CACHE = 300_000
+#: New chunks that go into one trie.
+TOGETHER = 50_000
 #: Bytes of results sent to the JVM at once.
 OUT_BYTES = 16 << 20
 SCHEMA = "doc_id long, ids binary, decoded string"
@@ -68,79 +69,98 @@ class TrieEncoder:
     def __init__(self, spec: dict):
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"])
-        self.rank = {pair: i for i, pair in enumerate(pairs)}
-        self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.token = {i: t for t, i in (self.vocab | self.special).items()}
+        every = self.vocab | self.special
+        self.token = [""] * (max(every.values()) + 1)
+        for token, i in every.items():
+            self.token[i] = token
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.token))]
         self.byte = byte_symbols()
-        self.plain = {t: t for t in self.vocab if self.whole(t)}  # tokens that their own symbols merge to
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        # The merge that makes a token: its rank (a symbol has none), and the two ids that it joins.
+        self.rank = [-1] * len(self.token)
+        self.halves = [(i, i) for i in range(len(self.token))]
+        self.joins: dict[int, int] = {}  # left << 20 | right -> rank
+        for rank, merge in enumerate(model["merges"]):
+            left, right = (self.vocab[t] for t in (merge if isinstance(merge, list) else merge.split(" ", 1)))
+            made = self.vocab[self.token[left] + self.token[right]]
+            self.joins[left << 20 | right] = rank
+            self.rank[made], self.halves[made] = rank, (left, right)
+        self.fits: dict[int, bool] = {}
+        single = {i for t, i in self.vocab.items() if t and t != END and len(t.removesuffix(END)) == 1}
+        # Tokens that their own symbols merge to: the halves can stand side by side until this very merge.
+        self.plain = {t: i for t, i in self.vocab.items() if i in single or self.rank[i] >= 0 and self._apart(*self.halves[i], self.rank[i])}
+        self.reach = self._reach("")
+        self.reach_end = self._reach(END)
+        self.words: dict[str, bytes] = {}
         self.ids: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
 
-    def symbols(self, token: str) -> list[str]:
-        body = token.removesuffix(END)
-        out = list(body)
-        if len(body) < len(token):
-            out[-1] += END
-        return out
+    def _apart(self, left: int, right: int, limit: int = 1 << 30) -> bool:
+        """Whether no merge with a rank below limit crosses the border between two tokens.
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """The merges applied by rank; used for single tokens and pairs of them only."""
-        while len(symbols) > 1:
-            best = min(zip(symbols, symbols[1:], strict=False), key=lambda p: self.rank.get(p, 1 << 60))
-            if best not in self.rank:
-                break
-            out, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        return symbols
-
-    def whole(self, token: str) -> bool:
-        return token not in ("", END) and self.merged(self.symbols(token)) == [token]
-
-    def beside(self, left: str, right: str) -> bool:
-        known = self.fits.get((left, right))
+        Their merges are undone from the last one back. What then touches the border is
+        what stood there before that merge; had the two a merge of a lower rank, it would
+        have come first. Of equal ranks the leftmost comes first.
+        """
+        rank, halves, joins = self.rank, self.halves, self.joins
+        while True:
+            crossing = joins.get(left << 20 | right)
+            if crossing is not None and crossing < limit:
+                return False
+            if rank[left] < 0 and rank[right] < 0:
+                return True
+            if rank[left] > rank[right]:
+                limit, left = rank[left], halves[left][1]
+            else:
+                limit, right = rank[right] + 1, halves[right][0]
+
+    def beside(self, left: int, right: int) -> bool:
+        key = left << 20 | right
+        known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > CACHE:
+            if len(self.fits) > 2 * CACHE:
                 self.fits.clear()
-            known = self.fits[left, right] = self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
+            known = self.fits[key] = self._apart(left, right)
         return known
 
-    def _last(self, word: str, upto: int, path: list[str], mark: str) -> str:
-        """The last token of word[:upto] (+ mark); path[i] is that of word[:i]."""
-        for start in range(max(0, upto - self.longest), upto):
-            token = self.plain.get(word[start:upto] + mark)
-            if token is not None and (start == 0 or self.beside(path[start], token)):
-                return token
-        raise ValueError("the vocabulary lacks a symbol of this word")
-
-    def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
-        """Tokens of each word (words in byte symbols)."""
-        out: dict[str, list[str]] = {}
-        path, before = [""], ""
+    def _reach(self, mark: str) -> dict[str, int]:
+        """By its last three symbols, the length of the longest token that ends so."""
+        out: dict[str, int] = {}
+        for token in self.plain:
+            if token.endswith(END) == bool(mark):
+                body = token.removesuffix(END)
+                out[body[-3:]] = max(out.get(body[-3:], 0), len(body))
+        return out
+
+    def encode(self, words: Iterable[str]) -> dict[str, list[int]]:
+        """Ids of each word (words in byte symbols)."""
+        plain, fits, out = self.plain, self.fits, {}
+        last, begin = [-1], [0]  # of each prefix of the current path: its last token and where that begins
+        before = ""
+
+        def step(word: str, upto: int, reach: dict[str, int], mark: str) -> None:
+            """Extends the path by the last token of word[:upto], the final symbol marked or not."""
+            for start in range(max(0, upto - max(2, reach.get(word[upto - 3 if upto > 3 else 0 : upto], 0))), upto):
+                token = plain.get(word[start:upto] + mark)
+                if token is not None and (start == 0 or ((fit := fits.get(last[start] << 20 | token)) is None and self.beside(last[start], token)) or fit):
+                    last.append(token)
+                    begin.append(start)
+                    return
+            raise ValueError("the vocabulary lacks a symbol of this word")
+
         for word in sorted(words):
-            shared = min(len(commonprefix((before, word))), len(word) - 1, len(path) - 1)
-            del path[shared + 1 :]
+            shared, most = 0, min(len(before), len(word)) - 1
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            del last[shared + 1 :], begin[shared + 1 :]
             for upto in range(shared + 1, len(word)):
-                path.append(self._last(word, upto, path, ""))
-            token, at, tokens = self._last(word, len(word), path, END), len(word), []
-            while True:
-                tokens.append(token)
-                at -= len(token.removesuffix(END))
-                if not at:
-                    break
-                token = path[at]
-            out[word] = tokens[::-1]
+                step(word, upto, self.reach, "")
+            step(word, len(word), self.reach_end, END)
+            at, ids = len(word), []
+            while at:
+                ids.append(last[at])
+                at = begin[at]
+            out[word] = ids[::-1]
             before = word
         return out
 
@@ -150,24 +170,32 @@ class TrieEncoder:
             text = self.special_at.sub(r" \1 ", text)
         return text.split() if not _SEPARATORS.search(text) else [c for c in _SPACES.split(text) if c]
 
+    def pieces(self, chunk: str) -> list[str]:
+        """The words of a chunk in byte symbols."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk.isprintable():  # such bytes stand for themselves
+                return [chunk[:-1].lower(), chunk[-1]] if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha() else PIECES.findall(chunk.lower())
+        clean = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # no final sigma
+        if clean.isalpha():
+            return ["".join([self.byte[b] for b in clean.encode()])]
+        return ["".join([self.byte[b] for b in p.encode()]) for p in PIECES.findall(clean)]
+
     def learn(self, new: set[str]) -> None:
-        """Makes ids and shown hold these chunks."""
-        pieces: dict[str, list[str]] = {}
-        for chunk in new:
-            if chunk in self.special:
-                continue
-            clean = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-            pieces[chunk] = ["".join([self.byte[b] for b in p.encode()]) for p in PIECES.findall(clean.lower())]
-        for word, tokens in self.encode({p for ps in pieces.values() for p in ps if p not in self.words}).items():
-            self.words[word] = [self.vocab[t] for t in tokens]
-        for chunk in new:
-            ids = [self.special[chunk]] if chunk in self.special else [i for p in pieces[chunk] for i in self.words[p]]
-            self.ids[chunk] = pack(f"<{len(ids)}I", *ids)
-            self.shown[chunk] = self.decode(ids)
-
-    def decode(self, ids: Iterable[int]) -> str:
+        """Makes ids hold these chunks."""
+        ids, words, packed = self.ids, self.words, self.packed
+        pieces = {chunk: self.pieces(chunk) for chunk in new if chunk not in self.special}
+        for word, found in self.encode({p for ps in pieces.values() for p in ps if p not in words}).items():
+            words[word] = b"".join([packed[i] for i in found])
+        for chunk, ps in pieces.items():
+            ids[chunk] = words[ps[0]] if len(ps) == 1 else b"".join([words[p] for p in ps])
+        for chunk in new & self.special.keys():
+            ids[chunk] = packed[self.special[chunk]]
+
+    def decode(self, ids: bytes) -> str:
         """This file names no decoder: tokens are joined by blanks."""
-        return " ".join([self.token[i] for i in ids])
+        return " ".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def texts(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text.
@@ -179,7 +207,7 @@ class TrieEncoder:
         for text in texts:
             held.append(self.chunks(text or ""))
             new.update([c for c in held[-1] if c not in self.ids])
-            if len(new) > CACHE // 4:
+            if len(new) > TOGETHER:
                 yield from self._flush(held, new)
                 held, new = [], set()
         yield from self._flush(held, new)
@@ -187,12 +215,12 @@ class TrieEncoder:
     def _flush(self, held: list[list[str]], new: set[str]) -> Iterator[tuple[bytes, str]]:
         if len(self.ids) + len(new) > CACHE:
             self.ids.clear()
-            self.shown.clear()
             self.words.clear()
             new = {c for chunks in held for c in chunks}
         self.learn(new)
         for chunks in held:
-            yield b"".join(map(self.ids.__getitem__, chunks)), " ".join(map(self.shown.__getitem__, chunks))
+            ids = b"".join(map(self.ids.__getitem__, chunks))
+            yield ids, self.decode(ids)
 
 
 _loaded: dict[int, TrieEncoder] = {}
@@ -215,9 +243,9 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(spec.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             begin, ids, shown, held = 0, [], [], 0
-            for i, (packed, decoded) in enumerate(encoder.texts(texts), 1):
+            for i, (packed, decoded) in enumerate(encoder.texts(text.as_py() for text in texts), 1):
                 ids.append(packed)
                 shown.append(decoded)
                 held += len(packed) + len(decoded)
