@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, mixing, secrets, simhash, url_filter, warc
+from . import bpe, exact_dedup, language_id, media, mixing, secrets, simhash, url_filter, warc
 
 QUERIES = {
+    "op1_media_chunks": media.op1_media_chunks,
     "op2_simhash": simhash.op2_simhash,
     "op3_secrets": secrets.op3_secrets,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
