@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, media, mixing, secrets, simhash, url_filter, warc
+from . import bpe, exact_dedup, language_id, media, mixing, repeats, secrets, simhash, url_filter, warc
 
 QUERIES = {
     "op1_media_chunks": media.op1_media_chunks,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_warc_revisits": warc.op7_warc_revisits,
     "op8_language_id": language_id.op8_language_id,
     "op9_bpe": bpe.op9_bpe,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLES = {

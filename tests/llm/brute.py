@@ -32,3 +32,21 @@ def components(prints: dict[int, int], radius=3):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: find(i) for i in ids}
+
+
+def repeats(texts: dict[int, str | None], length=50):
+    """doc_id -> (bytes removed, maximal runs, remaining bytes)."""
+    data = {i: (t or "").encode() for i, t in texts.items()}
+    first: dict[bytes, int] = {}
+    for i in sorted(data):
+        for at in range(len(data[i]) - length + 1):
+            first.setdefault(data[i][at : at + length], i)
+    out = {}
+    for i, d in data.items():
+        gone = bytearray(len(d))
+        for at in range(len(d) - length + 1):
+            if first[d[at : at + length]] < i:
+                gone[at : at + length] = b"\1" * length
+        runs = len(re.findall(b"\1+", bytes(gone)))
+        out[i] = sum(gone), runs, bytes(b for b, g in zip(d, gone, strict=True) if not g)
+    return out
