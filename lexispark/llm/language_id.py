@@ -198,6 +198,27 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs whose language is known and not ambiguous, with all their columns; nothing is shuffled."""
+    ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        model = held.value
+        found = [t if model is not None and has_letter(t) else None for t in texts.to_pylist()]
+        keep = [t is not None for t in found]
+        at = [i for i, k in enumerate(keep) if k]
+        done = 0
+        for matrix in counted([found[i] for i in at]):
+            for i, unsure in zip(at[done:], model.decode(matrix)[2], strict=False):
+                keep[i] = not unsure
+            done += len(matrix)
+        return pa.array(keep, pa.bool_())
+
+    return docs.where(known("text"))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
