@@ -1,0 +1 @@
+"""Search, curation and preparation of text corpora on Spark DataFrames."""
