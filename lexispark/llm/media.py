@@ -45,8 +45,8 @@ SPAN = 32
 BLOCK = 4 << 20
 HEAVY = 64
 #: Texts and bytes of each from which the dictionary is trained.
-SAMPLE, SAMPLE_BYTES, DICTIONARY = 1500, 8192, 96 << 10
-LEVEL = 5
+SAMPLE, SAMPLE_BYTES, DICTIONARY = 1500, 8192, 256 << 10
+LEVEL = 12
 MAGIC = b"CDC1"
 #: The gear table: a word for each byte value, from SHA-256 of the value.
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "little") for b in range(256)], np.uint32)
