@@ -202,7 +202,9 @@ def read_media(spark: SparkSession, store: Store) -> DataFrame:
     total = refs.agg(F.count("*").alias("total"))
     heavy = stored(counts.join(F.broadcast(total), F.col("n") * HEAVY > F.col("total")).select("digest"), "heavy")
     often = chunks.join(F.broadcast(heavy), "digest", "left_semi")
-    parts = refs.join(F.broadcast(heavy), "digest", "left_anti").join(chunks, "digest").unionByName(refs.join(F.broadcast(often), "digest"))
+    # Outer joins: a chunk that is missing must be noticed.
+    light = refs.join(F.broadcast(heavy), "digest", "left_anti").join(chunks, "digest", "left")
+    parts = light.unionByName(refs.join(F.broadcast(heavy), "digest", "left_semi").join(F.broadcast(often), "digest", "left"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
@@ -213,7 +215,7 @@ def read_media(spark: SparkSession, store: Store) -> DataFrame:
                 for row_id, doc_id, n_bytes, n_chunks, seq, digest, size, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if not held:
                         of = row_id
-                    chunk = unpacker.decompress(body)
+                    chunk = unpacker.decompress(body) if body is not None else b""
                     if row_id != of or seq != len(held) or len(chunk) != size or hashlib.sha256(chunk).digest() != digest:
                         raise ValueError(f"chunk {seq} of row {row_id} (after {len(held)} of row {of}) isn't what the recipe names")
                     held.append((digest, chunk))

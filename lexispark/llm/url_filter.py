@@ -21,6 +21,8 @@ entries everything is allowed.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,8 +34,8 @@ BITS = 16
 BLOCK_BITS = 512
 MAX_BYTES = 32 << 20
 BROADCAST_ROWS = 100_000
-#: Odd multipliers that choose a bit in each word of a block.
-SALTS = tuple((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) for i in range(8))
+#: Odd multipliers that choose a bit in each word of a block, unrelated to one another.
+SALTS = tuple(int.from_bytes(hashlib.sha256(b"word %d" % i).digest()[:8], "little") | 1 for i in range(8))
 
 RULES = (
     ("com", "/", "allow"),

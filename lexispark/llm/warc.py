@@ -12,7 +12,7 @@ more than 1/HEAVY of all captures (HEAVY such URLs at most, hence a broadcast of
 proven size) is cut into QUANTILES spans of time; the last response of each span
 is carried into the spans after it, so no task holds a hot URL alone.
 
-Rows are told apart by record_id; of captures with one time, responses count as
+Captures of other kinds are left out. Rows are told apart by record_id; of captures with one time, responses count as
 later than revisits. A null URL or time gives `no_response`. A null record_id or
 header map is kept as it is (a null map counts as empty). Payloads are never
 moved. Extra columns are ignored; an empty table gives an empty result.
@@ -74,7 +74,7 @@ def resolve(captures: DataFrame, heavy: int = HEAVY) -> DataFrame:
     captures: record_id, url, ts double, kind ('response' or 'revisit'), etag,
     last_modified, digest, headers map<string,string>.
     """
-    rows = captures.select("record_id", canonical_url(F.col("url")).alias("key"), "ts", (F.col("kind") == "response").alias("full"), "etag", "last_modified", "digest", "headers")
+    rows = captures.where(F.col("kind").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("key"), "ts", (F.col("kind") == "response").alias("full"), "etag", "last_modified", "digest", "headers")
     placed = rows.where("key is not null and ts is not null")
     answer = F.when(F.col("full"), F.struct("record_id", "etag", "last_modified", "digest", "headers"))
     spans = _spans(placed, heavy).withColumn("answer", answer)
