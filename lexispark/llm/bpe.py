@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from .common import ship, table
 
 #: Words, pairs and chunks that a Python worker remembers before it starts afresh.
-CACHE = 300_000
+CACHE = 200_000
 #: New chunks that go into one trie.
-TOGETHER = 50_000
+TOGETHER = 40_000
 #: Bytes of results sent to the JVM at once.
-OUT_BYTES = 16 << 20
+OUT_BYTES = 8 << 20
 SCHEMA = "doc_id long, ids binary, decoded string"
 END = "</w>"
 
@@ -76,7 +76,7 @@ class TrieEncoder:
         for token, i in every.items():
             self.token[i] = token
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.token))]
-        self.byte = byte_symbols()
+        self.byte = dict(enumerate(byte_symbols()))
         # The merge that makes a token: its rank (a symbol has none), and the two ids that it joins.
         self.rank = [-1] * len(self.token)
         self.halves = [(i, i) for i in range(len(self.token))]
@@ -129,38 +129,44 @@ class TrieEncoder:
         for token in self.plain:
             if token.endswith(END) == bool(mark):
                 body = token.removesuffix(END)
-                out[body[-3:]] = max(out.get(body[-3:], 0), len(body))
+                out[body[-3:]] = max(out.get(body[-3:], 2), len(body))
         return out
 
     def encode(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each word (words in byte symbols)."""
-        plain, fits, out = self.plain, self.fits, {}
+        plain, fits, beside, reach, out = self.plain, self.fits, self.beside, self.reach, {}
         last, begin = [-1], [0]  # of each prefix of the current path: its last token and where that begins
         before = ""
-
-        def step(word: str, upto: int, reach: dict[str, int], mark: str) -> None:
-            """Extends the path by the last token of word[:upto], the final symbol marked or not."""
-            for start in range(max(0, upto - max(2, reach.get(word[upto - 3 if upto > 3 else 0 : upto], 0))), upto):
-                token = plain.get(word[start:upto] + mark)
-                if token is not None and (start == 0 or ((fit := fits.get(last[start] << 20 | token)) is None and self.beside(last[start], token)) or fit):
-                    last.append(token)
-                    begin.append(start)
-                    return
-            raise ValueError("the vocabulary lacks a symbol of this word")
-
         for word in sorted(words):
-            shared, most = 0, min(len(before), len(word)) - 1
+            size, shared = len(word), 0
+            most = min(len(before), size) - 1
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :], begin[shared + 1 :]
-            for upto in range(shared + 1, len(word)):
-                step(word, upto, self.reach, "")
-            step(word, len(word), self.reach_end, END)
-            at, ids = len(word), []
-            while at:
-                ids.append(last[at])
-                at = begin[at]
-            out[word] = ids[::-1]
+            for upto in range(shared + 1, size):
+                longest = reach.get(word[upto - 3 if upto > 3 else 0 : upto], 2)
+                for start in range(upto - longest if upto > longest else 0, upto):
+                    token = plain.get(word[start:upto])
+                    if token is not None:
+                        if not start:
+                            break
+                        fit = fits.get(last[start] << 20 | token)
+                        if fit or fit is None and beside(last[start], token):
+                            break
+                last.append(token)
+                begin.append(start)
+            # The final symbol is a leaf: its token isn't part of the path of the next word.
+            longest = self.reach_end.get(word[-3:], 2)
+            for start in range(size - longest if size > longest else 0, size):
+                token = plain.get(word[start:] + END)
+                if token is not None and (not start or beside(last[start], token)):
+                    break
+            ids = [token]
+            while start:
+                ids.append(last[start])
+                start = begin[start]
+            ids.reverse()
+            out[word] = ids
             before = word
         return out
 
@@ -170,17 +176,23 @@ class TrieEncoder:
             text = self.special_at.sub(r" \1 ", text)
         return text.split() if not _SEPARATORS.search(text) else [c for c in _SPACES.split(text) if c]
 
+    def _symbols(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.byte)
+
     def pieces(self, chunk: str) -> list[str]:
         """The words of a chunk in byte symbols."""
         if chunk.isascii():
             if chunk.isalpha():
                 return [chunk.lower()]
-            if chunk.isprintable():  # such bytes stand for themselves
-                return [chunk[:-1].lower(), chunk[-1]] if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha() else PIECES.findall(chunk.lower())
+            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+                return [chunk[:-1].lower(), chunk[-1]]
+            return [self._symbols(p) for p in PIECES.findall(chunk.lower())]
         clean = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # no final sigma
         if clean.isalpha():
-            return ["".join([self.byte[b] for b in clean.encode()])]
-        return ["".join([self.byte[b] for b in p.encode()]) for p in PIECES.findall(clean)]
+            return [self._symbols(clean)]
+        if clean[-1] in ".,;:!?" and clean[:-1].isalpha():
+            return [self._symbols(clean[:-1]), clean[-1]]
+        return [self._symbols(p) for p in PIECES.findall(clean)]
 
     def learn(self, new: set[str]) -> None:
         """Makes ids hold these chunks."""

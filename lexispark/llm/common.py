@@ -60,6 +60,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of ids with at most so many rows may be broadcast: some 10 MB.
+MODEST = 1_000_000
+
+
+def modest(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, to be broadcast if it is counted and found small, else joined as Spark sees fit."""
+    return F.broadcast(ids) if ids.limit(MODEST + 1).count() <= MODEST else ids
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -83,11 +92,17 @@ def _clean() -> None:
             return
 
 
+#: Bytes of an Arrow batch that a Python worker gets at once, unless the session sets its own bound.
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = 16 << 20
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application, so that their Python workers can import it."""
+    """Sends this package to the executors, once per application, so that their Python workers can import it, and bounds their batches."""
+    if spark.conf.get(_ARROW) in ("67108864b", "64m"):
+        spark.conf.set(_ARROW, f"{ARROW_BYTES}b")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -233,13 +233,6 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, hot: int = HOT) -> Da
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, hot: int = HOT) -> DataFrame:
-    """The rows of docs whose doc_id names their component, with all their columns; rows without a doc_id stay."""
-    kept = stored(near_duplicates(docs, words, hot).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"))
-    return rows.where("_id is not null").join(kept, F.col("_id") == F.col("_kept"), "left_semi").unionByName(rows.where("_id is null")).select("_row.*")
-
-
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
