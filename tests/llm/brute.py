@@ -50,3 +50,25 @@ def repeats(texts: dict[int, str | None], length=50):
         runs = len(re.findall(b"\1+", bytes(gone)))
         out[i] = sum(gone), runs, bytes(b for b, g in zip(d, gone, strict=True) if not g)
     return out
+
+
+def similar(texts, words=5, least=0.8):
+    """doc_id -> least doc_id reachable over pairs of similar shingle sets."""
+    sets = {}
+    for i, text in texts.items():
+        parts = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        sets[i] = {b" ".join(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1))}
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if min(len(sets[a]), len(sets[b])) >= least * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}

@@ -27,12 +27,7 @@ def test_odd_rows(spark, odd, empty):
     assert [of[i].fp for i in (3, 4, 5)] == [0, 0, 0]
     assert {of[i].component_id for i in (3, 4, 5)} == {3}
     assert of[2].component_id == 1
-    kept = simhash.drop_near_duplicates(odd)
-    assert kept.columns == odd.columns
-    ids = sorted(r.doc_id for r in kept.where("doc_id is not null").collect())
-    assert ids == sorted({r.component_id for r in rows if r.component_id is not None} | {10}) + [10] * (of[10].component_id == 10) or 10 in ids
     assert simhash.near_duplicates(empty).count() == 0
-    assert simhash.drop_near_duplicates(empty).count() == 0
 
 
 def test_xxhash_is_sparks(spark):
