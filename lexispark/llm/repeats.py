@@ -33,7 +33,8 @@ The routes by hash rest on 128 bits; the merge compares bytes.
 Null text counts as empty. A row with null doc_id loses nothing and removes
 nothing. Rows with one doc_id don't remove from each other; each row gives a row.
 Long texts are read in pieces of BATCH bytes. Other columns are ignored; an empty
-table gives an empty result.
+table gives an empty result. The input must list its rows in the same order each
+time it is read, as a table of files does.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ GRAM = 24
 #: Bytes that are hashed at once.
 BATCH = 1 << 20
 #: Contexts merged at once (a larger group goes alone), and the shards they are cut into.
-TOGETHER, SHARDS = 4096, 4
+TOGETHER, SHARDS = 1024, 4
 #: Share of the documents that makes an anchor hot, the sample in which it is looked for, and the least count there.
 HOT, SAMPLE, LEAST = 0.01, 0.02, 50
 
@@ -163,6 +164,16 @@ def _hot_anchors(rows: DataFrame) -> np.ndarray:
     return np.sort(got["anchor"].to_numpy())
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """First all first bytes, then all second ones: equal high bytes stand together, which compression needs."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def _classes(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Records by bucket of the anchor: packed columns, one row a piece and bucket; marks that a piece settles alone have no anchor."""
     held = rows.sparkSession.sparkContext.broadcast(hot)
@@ -196,8 +207,8 @@ def _classes(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 out.append((int(row[marked[0]] % buckets), None, None, marked))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int32())]
-                + [pa.array([None if o[1] is None else o[j][o[3]].tobytes() for o in out], pa.binary()) for j in (1, 2)]
-                + [pa.array([x[o[3]].astype(t).tobytes() for o in out], pa.binary()) for x, t in ((row, np.int64), (doc, np.int64), (place, np.int32), (n, np.uint8))],
+                + [pa.array([None if o[1] is None else _planes(o[j][o[3]]) for o in out], pa.binary()) for j in (1, 2)]
+                + [pa.array([_planes(x[o[3]].astype(t)) for o in out], pa.binary()) for x, t in ((row, np.int64), (doc, np.int64), (place, np.int32), (n, np.uint8))],
                 ["bucket", "anchor", "context", "row_id", "doc_id", "place", "n"],
             )
 
@@ -221,7 +232,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle(held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        key, context, row, doc, place, n = (np.frombuffer(b"".join(x), k) for x, k in zip(zip(*held, strict=True), kinds, strict=True))
+        key, context, row, doc, place, n = (np.concatenate([_numbers(b, k) for b in x]) for x, k in zip(zip(*held, strict=True), kinds, strict=True))
         order = np.argsort(key, kind="stable")
         new = np.r_[True, key[order][1:] != key[order][:-1]]
         at = np.flatnonzero(new)
@@ -254,7 +265,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bucket, held = b, []
             if columns[0] is None:
                 _, _, row, _, place, n = columns
-                yield _rows(np.frombuffer(row, np.int64), np.frombuffer(place, np.int32), np.frombuffer(n, np.uint8))
+                yield _rows(_numbers(row, np.int64), _numbers(place, np.int32), _numbers(n, np.uint8))
             else:
                 held.append(columns)
     yield from settle(held)
