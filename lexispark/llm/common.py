@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -83,6 +84,13 @@ def release(df: DataFrame) -> None:
             remove(*known)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that operators have stored for this session: results that are still lazy can't be read after it."""
+    for known in [w for w in _written if w[0] is spark and not w[1].endswith(".zip")]:
+        _written.remove(known)
+        remove(*known)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
@@ -101,17 +109,23 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, so that their Python workers can import it, and bounds their batches."""
-    if spark.conf.get(_ARROW) in ("67108864b", "64m"):
+    if spark.conf.get(_ARROW, None) in ("67108864b", "64m"):
         spark.conf.set(_ARROW, f"{ARROW_BYTES}b")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     top = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="lexispark-code-")) / "lexispark.zip"
+    archive = io.BytesIO()
     with zipfile.ZipFile(archive, "w") as z:
         for file in sorted(top.rglob("*.py")):
             z.write(file, file.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(archive))
+    path = f"{shared_dir(spark)}/lexispark-{uuid.uuid4().hex}.zip"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(archive.getvalue())
+    out.close()
+    _written.append((spark, path))
+    spark.sparkContext.addPyFile(path)
     _shipped.add(app)
 
 
