@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from .common import ship, table
 
 #: Words, pairs and chunks that a Python worker remembers before it starts afresh.
-CACHE = 200_000
-#: New chunks that go into one trie.
-TOGETHER = 40_000
+CACHE = 500_000
+#: New chunks that go into one trie, and chunks that wait for it at most.
+TOGETHER, WAITING = 40_000, 400_000
 #: Bytes of results sent to the JVM at once.
 OUT_BYTES = 8 << 20
 SCHEMA = "doc_id long, ids binary, decoded string"
@@ -89,9 +89,10 @@ class TrieEncoder:
         self.fits: dict[int, bool] = {}
         single = {i for t, i in self.vocab.items() if t and t != END and len(t.removesuffix(END)) == 1}
         # Tokens that their own symbols merge to: the halves can stand side by side until this very merge.
-        self.plain = {t: i for t, i in self.vocab.items() if i in single or self.rank[i] >= 0 and self._apart(*self.halves[i], self.rank[i])}
-        self.reach = self._reach("")
-        self.reach_end = self._reach(END)
+        whole = {t: i for t, i in self.vocab.items() if i in single or self.rank[i] >= 0 and self._apart(*self.halves[i], self.rank[i])}
+        self.plain = {t: i for t, i in whole.items() if not t.endswith(END)}
+        self.final = {t.removesuffix(END): i for t, i in whole.items() if t.endswith(END)}
+        self.reach, self.reach_final = self._reach(self.plain), self._reach(self.final)
         self.words: dict[str, bytes] = {}
         self.ids: dict[str, bytes] = {}
 
@@ -123,18 +124,18 @@ class TrieEncoder:
             known = self.fits[key] = self._apart(left, right)
         return known
 
-    def _reach(self, mark: str) -> dict[str, int]:
+    @staticmethod
+    def _reach(tokens: Iterable[str]) -> dict[str, int]:
         """By its last three symbols, the length of the longest token that ends so."""
         out: dict[str, int] = {}
-        for token in self.plain:
-            if token.endswith(END) == bool(mark):
-                body = token.removesuffix(END)
-                out[body[-3:]] = max(out.get(body[-3:], 2), len(body))
+        for token in tokens:
+            out[token[-3:]] = max(out.get(token[-3:], 2), len(token))
         return out
 
     def encode(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each word (words in byte symbols)."""
-        plain, fits, beside, reach, out = self.plain, self.fits, self.beside, self.reach, {}
+        plain, final, fits, beside = self.plain, self.final, self.fits, self.beside
+        reach, reach_final, out = self.reach, self.reach_final, {}
         last, begin = [-1], [0]  # of each prefix of the current path: its last token and where that begins
         before = ""
         for word in sorted(words):
@@ -156,11 +157,15 @@ class TrieEncoder:
                 last.append(token)
                 begin.append(start)
             # The final symbol is a leaf: its token isn't part of the path of the next word.
-            longest = self.reach_end.get(word[-3:], 2)
+            longest = reach_final.get(word[-3:], 2)
             for start in range(size - longest if size > longest else 0, size):
-                token = plain.get(word[start:] + END)
-                if token is not None and (not start or beside(last[start], token)):
-                    break
+                token = final.get(word[start:])
+                if token is not None:
+                    if not start:
+                        break
+                    fit = fits.get(last[start] << 20 | token)
+                    if fit or fit is None and beside(last[start], token):
+                        break
             ids = [token]
             while start:
                 ids.append(last[start])
@@ -183,7 +188,7 @@ class TrieEncoder:
         """The words of a chunk in byte symbols."""
         if chunk.isascii():
             if chunk.isalpha():
-                return [chunk.lower()]
+                return [chunk if chunk.islower() else chunk.lower()]
             if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
                 return [chunk[:-1].lower(), chunk[-1]]
             return [self._symbols(p) for p in PIECES.findall(chunk.lower())]
@@ -196,12 +201,16 @@ class TrieEncoder:
 
     def learn(self, new: set[str]) -> None:
         """Makes ids hold these chunks."""
-        ids, words, packed = self.ids, self.words, self.packed
+        ids, packed = self.ids, self.packed
+        held = lambda word: ids if word.isascii() else self.words  # noqa: E731  an ASCII word is a chunk, too
         pieces = {chunk: self.pieces(chunk) for chunk in new if chunk not in self.special}
-        for word, found in self.encode({p for ps in pieces.values() for p in ps if p not in words}).items():
-            words[word] = b"".join([packed[i] for i in found])
+        for word, found in self.encode({p for ps in pieces.values() for p in ps if p not in held(p)}).items():
+            held(word)[word] = b"".join([packed[i] for i in found])
         for chunk, ps in pieces.items():
-            ids[chunk] = words[ps[0]] if len(ps) == 1 else b"".join([words[p] for p in ps])
+            if len(ps) == 1:
+                ids[chunk] = held(ps[0])[ps[0]]
+            else:
+                ids[chunk] = b"".join([held(p)[p] for p in ps])
         for chunk in new & self.special.keys():
             ids[chunk] = packed[self.special[chunk]]
 
@@ -216,12 +225,14 @@ class TrieEncoder:
         """
         held: list[list[str]] = []
         new: set[str] = set()
+        size = 0
         for text in texts:
             held.append(self.chunks(text or ""))
-            new.update([c for c in held[-1] if c not in self.ids])
-            if len(new) > TOGETHER:
+            new.update(set(held[-1]).difference(self.ids))
+            size += len(held[-1])
+            if len(new) > TOGETHER or size > WAITING:
                 yield from self._flush(held, new)
-                held, new = [], set()
+                held, new, size = [], set(), 0
         yield from self._flush(held, new)
 
     def _flush(self, held: list[list[str]], new: set[str]) -> Iterator[tuple[bytes, str]]:
