@@ -37,14 +37,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, table, tidily
 
 #: Words, pairs and chunks that a Python worker remembers before it starts afresh.
-CACHE = 500_000
+CACHE = 350_000
 #: New chunks that go into one trie, and chunks that wait for it at most.
-TOGETHER, WAITING = 40_000, 400_000
+TOGETHER, WAITING = 40_000, 200_000
 #: Bytes of results sent to the JVM at once.
-OUT_BYTES = 8 << 20
+OUT_BYTES = 4 << 20
 SCHEMA = "doc_id long, ids binary, decoded string"
 END = "</w>"
 
@@ -276,7 +276,7 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i - begin), pa.array(ids, pa.binary()), pa.array(shown, pa.string())], ["doc_id", "ids", "decoded"])
                     begin, ids, shown, held = i, [], [], 0
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidily(run), SCHEMA)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,7 +103,7 @@ def _clean() -> None:
 
 #: Bytes of an Arrow batch that a Python worker gets at once, unless the session sets its own bound.
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 _shipped: set[str] = set()
 
@@ -129,6 +130,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def tidily(run: Callable) -> Callable:
+    """run, giving free memory back at the end of each task: workers stay, and others need it."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() does just that where a text is all ASCII, and faster than translate()."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

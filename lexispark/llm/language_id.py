@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, table, tidily
 
 #: Trigram buckets.
 BUCKETS = 8192
@@ -162,7 +162,7 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
                 total.clear()
         yield from rows()
 
-    return labelled.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return labelled.select("lang", "text").mapInArrow(tidily(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit(labelled: DataFrame) -> Model | None:
@@ -195,7 +195,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 done += len(matrix)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidily(run), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _CLEANUP, _written, setting, shared_dir, ship, stored, table
+from .common import _CLEANUP, _written, setting, shared_dir, ship, stored, table, tidily
 
 UNIT = 64
 SMALLEST, CUT_BITS, LARGEST = 1024, 11, 16384
@@ -164,12 +164,12 @@ def write_store(docs: DataFrame) -> Store:
 
     listed = stored(
         docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), "text").mapInArrow(
-            recipes, "row_id long, doc_id long, n_bytes long, n_chunks int, seq int, digest binary, size int"
+            tidily(recipes), "row_id long, doc_id long, n_bytes long, n_chunks int, seq int, digest binary, size int"
         ),
         "recipes",
     )
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = docs.select("text").mapInArrow(bodies, "digest binary, size int, body binary").dropDuplicates(["digest"]).repartition(buckets, "digest")
+    distinct = docs.select("text").mapInArrow(tidily(bodies), "digest binary, size int, body binary").dropDuplicates(["digest"]).repartition(buckets, "digest")
     name = f"lexispark_chunks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     with setting(spark, _CLEANUP, "true"):
@@ -230,7 +230,7 @@ def read_media(spark: SparkSession, store: Store) -> DataFrame:
         return _batches(rows(), MEDIA)
 
     ordered = parts.select("row_id", "doc_id", "n_bytes", "n_chunks", "seq", "digest", "size", "body").repartition("row_id").sortWithinPartitions("row_id", "seq")
-    return ordered.mapInArrow(assemble, "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, n_chunks int, feature string")
+    return ordered.mapInArrow(tidily(assemble), "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, n_chunks int, feature string")
 
 
 def op1_media_chunks(spark, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, table
+from .common import ship, stored, table, tidily
 from .components import connected
 
 SHINGLE = 3
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
             found = [fingerprint(text.as_py(), words) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidily(run), "doc_id long, fp long")
 
 
 def _remainders(words: np.ndarray) -> np.ndarray:
@@ -216,8 +216,8 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
             for at in range(0, len(values), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in keys(values[at : at + 4096])], ["key", "side", "fp"])
 
-    keyed = fps.select("fp").mapInArrow(emit, "key int, side byte, fp long").repartition("key").sortWithinPartitions("key", "side")
-    found = stored(keyed.mapInArrow(_joined(hot, RADIUS), "u long, v long").distinct(), "pairs")
+    keyed = fps.select("fp").mapInArrow(tidily(emit), "key int, side byte, fp long").repartition("key").sortWithinPartitions("key", "side")
+    found = stored(keyed.mapInArrow(tidily(_joined(hot, RADIUS)), "u long, v long").distinct(), "pairs")
     crowded = found.where("v is null").select(F.col("u").alias("fp"))
     return found.where("v is not null").unionByName(_ball_links(crowded)).distinct()
 
