@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, table
+from .common import ship, stored, table, tidily
 
 LENGTH = 50
 GRAM = 24
@@ -158,7 +158,7 @@ def _hot_anchors(rows: DataFrame) -> np.ndarray:
             often = n > 1  # what is hot is so in many pieces
             yield pa.RecordBatch.from_arrays([pa.array(anchors[often].view(np.int64)), pa.array(n[often])], ["anchor", "n"])
 
-    counts = few.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counts = few.mapInArrow(tidily(count), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     total = few.agg(F.count("*").alias("total"))
     got = counts.join(F.broadcast(total), (F.col("n") >= LEAST) & (F.col("n") > F.col("total") * HOT)).select("anchor").toArrow()
     return np.sort(got["anchor"].to_numpy())
@@ -212,7 +212,7 @@ def _classes(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 ["bucket", "anchor", "context", "row_id", "doc_id", "place", "n"],
             )
 
-    return rows.mapInArrow(run, "bucket int, anchor binary, context binary, row_id binary, doc_id binary, place binary, n binary")
+    return rows.mapInArrow(tidily(run), "bucket int, anchor binary, context binary, row_id binary, doc_id binary, place binary, n binary")
 
 
 _OUT = "row_id long, place int, n int, anchor long"
@@ -356,16 +356,19 @@ def _fetch(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], [], [], [], []]
-            for row_id, doc_id, text, asked in zip(*(batch.column(i) for i in range(4)), strict=True):
+            columns: list[list] = [[], [], [], []]
+            anchors = []
+            for row_id, doc_id, text, (place, n, anchor) in zip(*batch.columns[:3], _listed(batch.column(3), "place", "n", "anchor"), strict=True):
                 data = text.as_py().encode("utf-8", "replace")
-                row, doc = row_id.as_py(), doc_id.as_py()
-                for ask in asked.as_py():
-                    place, anchor = ask["place"], ask["anchor"]
-                    for column, value in zip(columns, ((anchor >> 40) % buckets, anchor, row, doc, place, data[place : place + ask["n"] + LENGTH - 1]), strict=True):
-                        column.append(value)
+                anchors.append(anchor)
+                columns[0] += [row_id.as_py()] * len(place)
+                columns[1] += [doc_id.as_py()] * len(place)
+                columns[2] += place.tolist()
+                columns[3] += [data[at : at + size + LENGTH - 1] for at, size in zip(place.tolist(), n.tolist(), strict=True)]
+            anchor = np.concatenate([*anchors, np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
+                [pa.array((anchor >> 40) % buckets, pa.int32()), pa.array(anchor, pa.int64())]
+                + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
                 ["bucket", "anchor", "row_id", "doc_id", "place", "bytes"],
             )
 
@@ -398,27 +401,33 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CUT = "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
 
 
+def _listed(column: pa.ListArray, *fields: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The fields of each row's list of structs; nothing for a null list."""
+    offsets = column.offsets.to_numpy()
+    values = [column.values.field(f).to_numpy() for f in fields]
+    for i in range(len(column)):
+        yield tuple(v[offsets[i] : offsets[i + 1]] for v in values)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (row_id, doc_id, text, marks) to what is left of each text, in batches of some MB."""
     for batch in batches:
         out: list[tuple] = []
         size = 0
-        for row_id, doc_id, text, marks in zip(*batch.columns, strict=True):
+        for row_id, doc_id, text, (place, n) in zip(*batch.columns[:3], _listed(batch.column(3), "place", "n"), strict=True):
             data = (text.as_py() or "").encode("utf-8", "replace")
-            spans, kept = [], []
-            at = 0
-            found = sorted((m["place"], m["place"] + m["n"] + LENGTH - 1) for m in marks.as_py() or ())
-            for begin, end in found:
-                if spans and begin <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], end)
-                else:
-                    spans.append([begin, end])
-            for begin, end in spans:
-                kept.append(data[at:begin])
-                at = end
+            order = np.argsort(place, kind="stable")
+            begin = place[order].astype(np.int64)
+            end = np.maximum.accumulate(begin + n[order] + LENGTH - 1) if len(begin) else begin
+            new = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]]) if len(begin) else begin
+            spans = list(zip(begin[new].tolist(), end[np.r_[new[1:] - 1, len(end) - 1]].tolist() if len(new) else [], strict=True))
+            kept, at = [], 0
+            for first, last in spans:
+                kept.append(data[at:first])
+                at = last
             kept.append(data[at:])
             left = b"".join(kept)
-            out.append((row_id.as_py(), doc_id.as_py(), len(data), len(data) - len(left), len(spans), [{"start": b, "end": e} for b, e in spans], left))
+            out.append((row_id.as_py(), doc_id.as_py(), len(data), len(data) - len(left), len(spans), [{"start": x, "end": y} for x, y in spans], left))
             size += len(left)
             if size > 16 << 20:
                 yield _cut_batch(out)
@@ -441,10 +450,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = numbered(docs)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     classes = _classes(rows, buckets, _hot_anchors(rows)).repartition("bucket").sortWithinPartitions("bucket")
-    sifted = stored(classes.mapInArrow(_sift, _OUT), "sifted")
+    sifted = stored(classes.mapInArrow(tidily(_sift), _OUT), "sifted")
     asked = sifted.where("anchor is not null").groupBy("row_id").agg(F.collect_list(F.struct("place", "n", "anchor")).alias("asked"))
-    contexts = rows.join(asked, "row_id").select("row_id", "doc_id", "text", "asked").mapInArrow(_fetch(buckets), "bucket int, anchor long, row_id long, doc_id long, place int, bytes binary")
-    merged = stored(contexts.repartition("bucket").sortWithinPartitions("anchor").mapInArrow(_merge, _OUT), "merged")
+    contexts = rows.join(asked, "row_id").select("row_id", "doc_id", "text", "asked").mapInArrow(tidily(_fetch(buckets)), "bucket int, anchor long, row_id long, doc_id long, place int, bytes binary")
+    merged = stored(contexts.repartition("bucket").sortWithinPartitions("anchor").mapInArrow(tidily(_merge), _OUT), "merged")
     return sifted.where("anchor is null").unionByName(merged).select("row_id", "place", "n")
 
 
@@ -455,7 +464,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: row_id, doc_id, n_bytes, n_removed, n_spans, spans (removed bytes, end exclusive) and kept (the remaining bytes)."""
     marks = repeated_passages(docs).groupBy("row_id").agg(F.collect_list(F.struct("place", "n")).alias("marks"))
-    return numbered(docs).join(marks, "row_id", "left").select("row_id", "doc_id", "text", "marks").mapInArrow(_cut, CUT)
+    return numbered(docs).join(marks, "row_id", "left").select("row_id", "doc_id", "text", "marks").mapInArrow(tidily(_cut), CUT)
 
 
 def op10_repeats(spark, sf_dir: str) -> DataFrame:
