@@ -8,15 +8,24 @@ fuzzy by itself: two words a few bits apart often have the same nearest codeword
 Two signatures meet under a key for each pair of segments in which they decode
 alike. With p of the bits different, a segment agrees with some probability q(p),
 and two of 22 must: q is about 0.15 at a Jaccard similarity of 0.8, 0.25 at 0.85
-and 0.4 at 0.9, so that about 86, 98 and 100 of 100 such pairs meet.
+and 0.4 at 0.9, so that roughly
+86, 98 and 100 of 100 such pairs meet by this count, and fewer of short texts.
 
 Under each key, the first 128 bits of the signatures that meet are compared, and
-only a minimum spanning forest of those within CLOSE bits is emitted: it connects
-whatever all pairs within any smaller distance would connect, with fewer rows
-than members. A key with more than CROWD members is spanned in blocks that share
-a member. Every emitted pair is then verified by the exact Jaccard similarity of
+only a minimum spanning forest of those within CLOSE bits is emitted, in blocks of
+CROWD members. Every emitted pair is verified by the exact Jaccard similarity of
 the two shingle sets, and verified pairs are joined to components.
 
+That search is fast, not whole: signatures can fail to meet, a forest can run over
+a member that is not similar, and blocks are not compared with each other. So a
+second search, exact for every length and similarity, adds what is missing
+(prefix filtering). With the hashes of all sets in one order, two sets of
+similarity s share one of their first n - ceil(s n) + 1 hashes, with enough hashes
+before and behind it in both, and so many of them that the rest can make up the
+overlap that s asks for. All pairs that these bounds allow are verified, unless
+the first search has already joined their components. The order puts hashes that many sets have last; any
+order gives the same result.
+
 Equal signatures are one node, each of its documents linked with the first and
 verified like any pair. Null and blank texts have the empty shingle alone and are
 alike. Rows with null doc_id belong to a component but never name it. Only doc_id
@@ -26,6 +35,7 @@ is read, as a table of files does. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import modest, ship, stored, tidily
+from .common import modest, release, ship, stored, tidily
 from .components import connected
 from .simhash import BLOCK, SEED, codeword_index
 
@@ -45,6 +55,10 @@ SEGMENT, SEGMENTS = 23, 22
 #: Different bits of 128: pairs of similarity 0.8 differ in 20 on average, unrelated ones in 64.
 CLOSE = 40
 CROWD = 20_000
+#: Hashes that are counted at once, and how often one must be among them to count as frequent; the most that are kept.
+COUNTED, OFTEN, FREQUENT = 1 << 21, 16, 200_000
+#: Members of a key that are set against all others at once.
+ROWS = 256
 #: Bytes of shingle sets that are compared at once.
 SETS = 4 << 20
 
@@ -189,6 +203,150 @@ def _sets(words: int):
     return run
 
 
+def _frequent(words: int, often: int):
+    """(key, n): hashes that at least `often` of COUNTED hashes are."""
+
+    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key[n >= often].view(np.int64)), pa.array(n[n >= often])], ["key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(shingles(text.as_py(), words))
+                many += len(held[-1])
+                if many >= COUNTED:
+                    yield counts(held)
+                    held, many = [], 0
+        if held:
+            yield counts(held)
+
+    return run
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of a sorted set, rare ones first: sets of that similarity share one of them."""
+    often = np.zeros(len(hashes), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        often = np.where(frequent[at] == hashes, n[at], 0)
+    length = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    return hashes[np.lexsort((hashes, often))][:length]
+
+
+_PREFIX = "key long, part int, block int, node long, root long, size int, at int"
+
+
+def _prefixes(words: int, similarity: float, frequent: np.ndarray, n: np.ndarray):
+    """Rows (row_id, root, text) to a row for each hash of the prefix."""
+    names = [c.split()[0] for c in _PREFIX.split(", ")]
+    def rows(node: int, root: int, hashes: np.ndarray) -> np.ndarray:
+        first = prefix(hashes, frequent, n, similarity)
+        out = np.zeros((len(first), 7), np.int64)
+        out[:, 0], out[:, 3], out[:, 4], out[:, 5], out[:, 6] = first.view(np.int64), node, root, len(hashes), np.arange(len(first))
+        return out
+
+    def batch_of(held: list[np.ndarray]) -> pa.RecordBatch:
+        columns = np.concatenate(held).T
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if k in (0, 3, 4) else np.int32)) for k, c in enumerate(columns)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, many = [], 0
+            for node, root, text in zip(*batch.columns, strict=True):
+                held.append(rows(node.as_py(), root.as_py(), shingles(text.as_py(), words)))
+                many += len(held[-1])
+                if many >= 1 << 15:
+                    yield batch_of(held)
+                    held, many = [], 0
+            if held:
+                yield batch_of(held)
+
+    return run
+
+
+def _across(similarity: float):
+    """Pairs of nodes of different roots that size and place allow, and how many hashes of their prefixes they must share, from rows sorted by key and part."""
+
+    def fit(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+        root, size, at = x[4:]
+        root2, size2, at2 = y[4:]
+        most = np.minimum(at, at2) + np.minimum(size - at, size2 - at2)  # shared hashes before this one, and from it on
+        return (root != root2) & (most >= similarity / (1 + similarity) * (size + size2) - 1e-6)
+
+    def found(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        u, v, m, n = rows[3][i], rows[3][j], rows[5][i], rows[5][j]
+        overlap = np.ceil(similarity / (1 + similarity) * (m.astype(np.int64) + n) - 1e-6)
+        rest = np.ceil(similarity * np.maximum(m, n) - 1e-9) - 1  # hashes behind the longer prefix
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array((overlap - rest).astype(np.int32))], ["u", "v", "need"])
+
+    def groups(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, part = rows[:2]
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+        sizes = np.diff(np.r_[starts, len(key)])
+        mixed = np.minimum.reduceat(rows[4], starts) != np.maximum.reduceat(rows[4], starts)
+        two = starts[mixed & (sizes == 2)]
+        two = two[fit([r[two] for r in rows], [r[two + 1] for r in rows])]
+        yield found(rows, two, two + 1)
+        for begin, size in zip(starts[mixed & (sizes > 2)], sizes[mixed & (sizes > 2)], strict=True):
+            some = [r[begin : begin + size] for r in rows]
+            apart = some[2].min() != some[2].max()
+            for at in range(0, size - 1, ROWS):
+                x, y = [r[at : at + ROWS, None] for r in some], [r[None, at:] for r in some]
+                fits = fit(x, y)
+                if apart:
+                    fits &= x[2] != y[2]
+                i, j = np.nonzero(np.triu(fits, 1))
+                if len(i):
+                    yield found(some, at + i, at + j)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            rows = [c.to_numpy() for c in batch.columns]
+            if not len(rows[0]):
+                continue
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            final = int(np.searchsorted(rows[0], rows[0][-1]))
+            if final:
+                yield from groups([r[:final] for r in rows])
+            held = [r[final:] for r in rows]
+        if held is not None and len(held[0]):
+            yield from groups(held)
+
+    return run
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the stored pairs (u, v) that are similar, with their similarity."""
+    ends = stored(pairs.select(F.col("u").alias("row_id")).unionByName(pairs.select(F.col("v").alias("row_id"))).distinct(), "ends")
+    texts = numbered(docs).select("row_id", "text").join(modest(ends), "row_id", "left_semi")
+    sets = stored(texts.mapInArrow(tidily(_sets(words)), "row_id long, hashes binary"), "sets")
+    left, right = (sets.select(F.col("row_id").alias(k), F.col("hashes").alias(f"{k}_hashes")) for k in "uv")
+    compared = pairs.join(left, "u").join(right, "v").select("u", "v", "u_hashes", "v_hashes").mapInArrow(tidily(_compare), "u long, v long, similarity double")
+    linked = stored(compared.where(F.col("similarity") >= similarity), "linked")
+    release(sets)
+    return linked
+
+
+def missed(docs: DataFrame, linked: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
+    """All similar pairs (u, v) that lie in different components, up to copies: of equal sets one stands for all that are linked with it."""
+    texts = numbered(docs).select("row_id", "text")
+    counts = texts.select("text").mapInArrow(tidily(_frequent(words, OFTEN)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
+    frequent, n = np.array([r.key for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    order = np.argsort(frequent)
+    copies = linked.where("similarity = 1").select(F.col("v").alias("u")).distinct().withColumn("copy", F.lit(True))
+    known = stored(roots.join(copies, "u", "left").select(F.col("u").alias("row_id"), "root", "copy"), "known")
+    rest = texts.join(modest(known), "row_id", "left").where("copy is null").select("row_id", F.coalesce("root", "row_id").alias("root"), "text")
+    keyed = rest.mapInArrow(tidily(_prefixes(words, similarity, frequent[order], n[order])), _PREFIX)
+    met = keyed.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(tidily(_across(similarity)), "u long, v long, need int")
+    met = met.groupBy("u", "v").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("u", "v")
+    return _verified(docs, stored(met, "across"), words, similarity)
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: row_id, doc_id, component_id (the least doc_id reachable over verified pairs)."""
     prints = stored(signatures(docs, words), "signatures")
@@ -197,13 +355,10 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = S
     keyed = nodes.select("node", *names).mapInArrow(tidily(_emit), "key int, node long, a long, b long").repartition("key").sortWithinPartitions("key", "node")
     met = keyed.mapInArrow(tidily(_span), "u long, v long").distinct()
     twins = prints.join(nodes, names).where("row_id <> node").select(F.col("node").alias("u"), F.col("row_id").alias("v"))
-    pairs = stored(met.unionByName(twins), "met")
-    ends = stored(pairs.select(F.col("u").alias("row_id")).unionByName(pairs.select(F.col("v").alias("row_id"))).distinct(), "ends")
-    texts = numbered(docs).select("row_id", "text").join(modest(ends), "row_id", "left_semi")
-    sets = stored(texts.mapInArrow(tidily(_sets(words)), "row_id long, hashes binary"), "sets")
-    left, right = (sets.select(F.col("row_id").alias(k), F.col("hashes").alias(f"{k}_hashes")) for k in "uv")
-    compared = pairs.join(left, "u").join(right, "v").select("u", "v", "u_hashes", "v_hashes").mapInArrow(tidily(_compare), "u long, v long, similarity double")
-    roots = connected(compared.where(F.col("similarity") >= similarity)).withColumnRenamed("u", "row_id")
+    linked = _verified(docs, stored(met.unionByName(twins), "met"), words, similarity)
+    first = connected(linked)
+    more = missed(docs, linked, first, words, similarity)
+    roots = connected(first.select("u", F.col("root").alias("v")).unionByName(more.select("u", "v"))).withColumnRenamed("u", "row_id")
     rooted = prints.select("row_id", "doc_id").join(roots, "row_id", "left").select("row_id", "doc_id", F.coalesce("root", "row_id").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(ids, "root").select("row_id", "doc_id", "component_id")

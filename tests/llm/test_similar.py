@@ -81,3 +81,22 @@ def test_spanning_connects_what_pairs_connect():
     assert len(edges) < 120
     for limit in (20, 30, similar.CLOSE):
         assert parts([(i, j) for i, j in edges if apart[i, j] <= limit]) == parts([(i, j) for i in range(120) for j in range(i) if apart[i, j] <= limit])
+
+
+def family(rng, n, low, high):
+    """Texts on one template, most of them below the similarity of their neighbours."""
+    base = [f"w{i}" for i in range(200)]
+    return [changed(rng, base, rng.uniform(low, high)) for _ in range(n)]
+
+
+def exact(spark, texts):
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = brute.similar(texts)
+    assert got == want
+    return sum(want[i] != i for i in want)
+
+
+def test_all_pairs_of_a_template_family(spark):
+    """pipeline: a forest over members that are not similar hides similar ones."""
+    rng = random.Random(13)
+    assert exact(spark, dict(enumerate(family(rng, 300, 0.012, 0.035)))) > 50
