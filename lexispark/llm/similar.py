@@ -24,7 +24,8 @@ similarity s share one of their first n - ceil(s n) + 1 hashes, with enough hash
 before and behind it in both, and so many of them that the rest can make up the
 overlap that s asks for. All pairs that these bounds allow are verified, unless
 the first search has already joined their components. The order puts hashes that many sets have last; any
-order gives the same result.
+order gives the same result. A hash of more than CROWD sets is dealt to many
+tasks, each of which compares one block with another, so that all blocks meet.
 
 Equal signatures are one node, each of its documents linked with the first and
 verified like any pair. Null and blank texts have the empty shingle alone and are
@@ -238,14 +239,26 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, n: np.ndarray, similarity:
 _PREFIX = "key long, part int, block int, node long, root long, size int, at int"
 
 
-def _prefixes(words: int, similarity: float, frequent: np.ndarray, n: np.ndarray):
-    """Rows (row_id, root, text) to a row for each hash of the prefix."""
+def _prefixes(words: int, similarity: float, frequent: np.ndarray, n: np.ndarray, crowd: int):
+    """Rows (row_id, root, text) to a row for each hash of the prefix; those of crowded hashes go to each part their block meets another in."""
     names = [c.split()[0] for c in _PREFIX.split(", ")]
+    blocks = dict(zip(frequent[n > crowd].tolist(), (-(-n[n > crowd] // crowd)).tolist(), strict=True))
+
     def rows(node: int, root: int, hashes: np.ndarray) -> np.ndarray:
         first = prefix(hashes, frequent, n, similarity)
         out = np.zeros((len(first), 7), np.int64)
         out[:, 0], out[:, 3], out[:, 4], out[:, 5], out[:, 6] = first.view(np.int64), node, root, len(hashes), np.arange(len(first))
-        return out
+        crowded = [(i, blocks[h]) for i, h in enumerate(first.tolist()) if h in blocks] if blocks else []
+        if not crowded:
+            return out
+        more = [np.delete(out, [i for i, _ in crowded], axis=0)]
+        for i, b in crowded:
+            own = xxhash.xxh64_intdigest(node.to_bytes(8, "little"), SEED) % b
+            copy = np.repeat(out[i : i + 1], b, axis=0)
+            copy[:, 1] = [min(own, other) * b + max(own, other) for other in range(b)]
+            copy[:, 2] = own
+            more.append(copy)
+        return np.concatenate(more)
 
     def batch_of(held: list[np.ndarray]) -> pa.RecordBatch:
         columns = np.concatenate(held).T
@@ -341,7 +354,7 @@ def missed(docs: DataFrame, linked: DataFrame, roots: DataFrame, words: int, sim
     copies = linked.where("similarity = 1").select(F.col("v").alias("u")).distinct().withColumn("copy", F.lit(True))
     known = stored(roots.join(copies, "u", "left").select(F.col("u").alias("row_id"), "root", "copy"), "known")
     rest = texts.join(modest(known), "row_id", "left").where("copy is null").select("row_id", F.coalesce("root", "row_id").alias("root"), "text")
-    keyed = rest.mapInArrow(tidily(_prefixes(words, similarity, frequent[order], n[order])), _PREFIX)
+    keyed = rest.mapInArrow(tidily(_prefixes(words, similarity, frequent[order], n[order], CROWD)), _PREFIX)
     met = keyed.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(tidily(_across(similarity)), "u long, v long, need int")
     met = met.groupBy("u", "v").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("u", "v")
     return _verified(docs, stored(met, "across"), words, similarity)

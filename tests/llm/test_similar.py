@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from lexispark.llm import similar
 from tests.llm import brute
@@ -100,3 +101,32 @@ def test_all_pairs_of_a_template_family(spark):
     """pipeline: a forest over members that are not similar hides similar ones."""
     rng = random.Random(13)
     assert exact(spark, dict(enumerate(family(rng, 300, 0.012, 0.035)))) > 50
+
+
+def test_blocks_of_a_crowded_key_meet(spark, monkeypatch):
+    """pipeline: partners in different blocks of a key that holds many unrelated families."""
+    rng = random.Random(15)
+    line = [f"c{i}" for i in range(8)]
+    texts = {}
+    for i in range(60):
+        own = [f"x{rng.randrange(10**6)}" for _ in range(6)]
+        texts[i], texts[100 + i] = " ".join([*line, *own]), " ".join([*line, *own, "end"])
+    monkeypatch.setattr(similar, "CROWD", 7)
+    monkeypatch.setattr(similar, "OFTEN", 2)
+    assert exact(spark, texts) == 60
+
+    ids = sorted(texts)
+    sets = [similar.shingles(texts[i]) for i in ids]
+    hot, n = np.unique(np.concatenate(sets), return_counts=True)
+
+    def pairs(crowd):
+        docs = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array([texts[i] for i in ids])], ["row_id", "root", "text"])
+        # At similarity 0.01 the prefix is the whole set, so the hashes of the common line are keys too.
+        rows = pa.Table.from_batches(similar._prefixes(5, 0.01, hot, n, crowd)(iter([docs]))).sort_by([("key", "ascending"), ("part", "ascending")])
+        out = pa.Table.from_batches(similar._across(0.01)(iter(rows.combine_chunks().to_batches(50))))
+        return set(zip(out["u"].to_pylist(), out["v"].to_pylist(), strict=True)), rows
+
+    whole, _ = pairs(10**9)
+    blocked, rows = pairs(7)
+    assert blocked == whole == {(i, j) for i in ids for j in ids if i < j}
+    assert max(Counter(zip(rows["key"].to_pylist(), rows["part"].to_pylist(), strict=True)).values()) < 30  # of 120
