@@ -103,6 +103,18 @@ def test_all_pairs_of_a_template_family(spark):
     assert exact(spark, dict(enumerate(family(rng, 300, 0.012, 0.035)))) > 50
 
 
+def test_all_pairs_at_the_threshold_and_of_short_texts(spark):
+    """pipeline: every pair of similarity 0.8 or a little more is found, at any length."""
+    rng = random.Random(14)
+    texts = {}
+    for i in range(0, 1200, 2):
+        n = (5, 6, 9, 13, 24, 60, 150, 500)[i // 2 % 8]  # shingles
+        words = [f"v{rng.randrange(10**6)}" for _ in range(n + 4)]
+        cut = max(1, n // 5) if n < 24 else int(n * rng.uniform(0.15, 0.2))
+        texts[i], texts[i + 1] = " ".join(words), " ".join(words[:-cut])
+    assert exact(spark, texts) == 600
+
+
 def test_blocks_of_a_crowded_key_meet(spark, monkeypatch):
     """pipeline: partners in different blocks of a key that holds many unrelated families."""
     rng = random.Random(15)
