@@ -22,6 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Removes shuffle files as soon as the statement that wrote them has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SPLITS = "spark.sql.files.minPartitionNum"
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -30,13 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where it is unset) a local one."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder if the session is local, else an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="lexispark-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir.rstrip("/")
+    if set_dir:
+        return set_dir.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lexispark-")
+    return _local[context.applicationId]
 
 
 @contextmanager
@@ -62,6 +70,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row_id, doc_id, text). The number is the row's place, the same whenever the input lists its rows in the same order.
+
+    Files are cut into splits by the cores at hand. Executors come and go, so the
+    cores of the first time count for the whole session.
+    """
+    spark = docs.sparkSession
+    if spark.conf.get(_SPLITS, None) is None:
+        spark.conf.set(_SPLITS, str(spark.sparkContext.defaultParallelism))
+    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), "text")
+
+
 #: A table of ids with at most so many rows may be broadcast: some 10 MB.
 MODEST = 1_000_000
 
@@ -85,13 +105,31 @@ def release(df: DataFrame) -> None:
             remove(*known)
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes all tables that operators have stored for this session: results that are still lazy can't be read after it."""
-    for known in [w for w in _written if w[0] is spark and not w[1].endswith(".zip")]:
+def clear(spark: SparkSession, since: int = 0, but: str | None = None) -> None:
+    """Deletes the tables that operators have stored for this session since then: results that are still lazy can't be read after it."""
+    for known in [w for w in _written[since:] if w[0] is spark and not w[1].endswith(".zip") and w[1] != but]:
         _written.remove(known)
         remove(*known)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Whatever operators store inside is deleted at the end: write or collect their results before."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        clear(spark, since)
+
+
+def settled(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """Stores what make() gives, and deletes all that was stored on the way there."""
+    since = len(_written)
+    out = stored(make(), name)
+    clear(spark, since, but=_written[-1][1])
+    return out
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

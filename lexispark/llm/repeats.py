@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, table, tidily
+from .common import numbered, ship, stored, table, tidily
 
 LENGTH = 50
 GRAM = 24
@@ -457,10 +457,6 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return sifted.where("anchor is null").unionByName(merged).select("row_id", "place", "n")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), "text")
-
-
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: row_id, doc_id, n_bytes, n_removed, n_spans, spans (removed bytes, end exclusive) and kept (the remaining bytes)."""
     marks = repeated_passages(docs).groupBy("row_id").agg(F.collect_list(F.struct("place", "n")).alias("marks"))

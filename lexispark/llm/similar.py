@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import modest, release, ship, stored, tidily
+from .common import modest, numbered, release, ship, stored, tidily
 from .components import connected
 from .simhash import BLOCK, SEED, codeword_index
 
@@ -100,10 +100,6 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return numbered(docs).mapInArrow(tidily(run), "row_id long, doc_id long, " + ", ".join(f"f{t} long" for t in range(TABLES)))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), "text")
-
-
 def segment_keys(prints: np.ndarray) -> np.ndarray:
     """A key for each pair of segments of each row of fingerprints: the pair and both indices."""
     bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")[:, : SEGMENT * SEGMENTS]
