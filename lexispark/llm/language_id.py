@@ -34,9 +34,10 @@ from .common import ship, table, tidily
 
 #: Trigram buckets.
 BUCKETS = 8192
-#: Up to this many languages all distinct dichotomies are used, beyond it CODE_BITS of them per doubling.
-EXHAUSTIVE = 5
+#: Bits of a codeword for each doubling of the languages, if there are so many dichotomies.
 CODE_BITS = 12
+#: Up to this many languages their dichotomies are listed, beyond it drawn.
+FEW = 12
 AMBIGUOUS = 0.5
 UNKNOWN = "und"
 #: Losses are scaled by this before the shares are taken.
@@ -93,15 +94,28 @@ def _matrix(group: list[bytes]) -> np.ndarray:
 
 
 def code(languages: int) -> np.ndarray:
-    """A codeword of +1/-1 for each language; every column splits the languages another way."""
+    """A codeword of +1/-1 for each language; every column splits the languages another way.
+
+    n languages have 2^(n-1) - 1 dichotomies. Where those are no more than the bits
+    wanted all of them are used, else a seeded choice of distinct ones, of which
+    there are then always enough. Two languages have one dichotomy only and three
+    have three, so their codewords differ in one and two bits; from four languages
+    on they differ in three at least.
+    """
     if languages < 2:
         return np.ones((languages, 1))
-    if languages <= EXHAUSTIVE:
-        columns = [[1 if 0 == i or i in rest else -1 for i in range(languages)] for n in range(languages - 1) for rest in combinations(range(1, languages), n)]
-        return np.array(columns, float).T
+    wanted = CODE_BITS * int(np.ceil(np.log2(languages)))
     rng = np.random.Generator(np.random.PCG64(languages))
+    if languages <= FEW:
+        # Bit i - 1 of a number tells whether language i is on the other side than language 0.
+        numbers = np.arange(1, 1 << languages - 1)
+        if len(numbers) > wanted:
+            uneven = np.abs(2 * np.bitwise_count(numbers).astype(int) - languages)
+            numbers = numbers[np.lexsort((rng.permutation(len(numbers)), uneven))][:wanted]
+        sides = (numbers[None] >> np.arange(languages - 1)[:, None]) & 1
+        return np.concatenate((np.ones((1, len(numbers))), 1.0 - 2 * sides))
     found: dict[bytes, np.ndarray] = {}
-    while len(found) < CODE_BITS * int(np.ceil(np.log2(languages))):
+    while len(found) < wanted:  # more than half a thousand halvings to choose from
         column = np.ones(languages)
         column[rng.permutation(languages)[: languages // 2]] = -1
         column *= column[0]

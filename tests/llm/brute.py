@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from collections import Counter
 
 import xxhash
 
@@ -72,3 +75,43 @@ def similar(texts, words=5, least=0.8):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: find(i) for i in ids}
+
+
+def languages(rows, code, buckets=8192, sharpness=6.0):
+    """doc_id -> (held out, language, score); rows (doc_id, text, lang). code gives the codewords."""
+
+    def grams(text):
+        data = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in f" {text.lower()} ".encode())
+        mixed = ((a << 16 | b << 8 | c) * 2654435761 % 2**32 for a, b, c in zip(data, data[1:], data[2:], strict=False))
+        return Counter(m >> 19 for m in mixed)
+
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in rows}
+    lettered = {i: any(c.isalpha() for c in text or "") for i, text, _ in rows}
+    total: dict[str, Counter] = {}
+    for i, text, lang in rows:
+        if lang is not None and not held[i] and lettered[i]:
+            total.setdefault(lang, Counter()).update(grams(text))
+    names = sorted(total)
+    words = code(len(names)).tolist()
+    share = [[(total[n][b] + 1) / (sum(total[n].values()) + buckets) for b in range(buckets)] for n in names]
+    bits = range(len(words[0]))
+    odds, scale, weight = [], [], [[0.0] * len(words[0]) for _ in names]
+    for bit in bits:
+        one, zero = ([k for k in range(len(names)) if words[k][bit] == side] for side in (1, -1))
+        mean = lambda ks, b: sum(share[k][b] for k in ks) / max(len(ks), 1) + 1e-12
+        odds.append([math.log(mean(one, b)) - math.log(mean(zero, b)) for b in range(buckets)])
+        apart = [words[k][bit] * sum(s * o for s, o in zip(share[k], odds[bit], strict=True)) for k in range(len(names))]
+        scale.append(1 / max(sum(map(abs, apart)) / len(apart), 1e-9))
+        for k, x in enumerate(apart):
+            weight[k][bit] = max(x * scale[bit], 1e-3)
+    out = {}
+    for i, text, _ in rows:
+        if not lettered[i]:
+            out[i] = held[i], "und", 0.0
+            continue
+        seen = grams(text)
+        margin = [scale[b] * sum(n * odds[b][g] for g, n in seen.items()) / max(sum(seen.values()), 1) for b in bits]
+        loss = [sum(w * math.log1p(math.exp(-2 * m * c)) for w, m, c in zip(weight[k], margin, words[k], strict=True)) / sum(weight[k]) for k in range(len(names))]
+        best = min(range(len(names)), key=loss.__getitem__)
+        out[i] = held[i], names[best], 1 / sum(math.exp(-sharpness * (x - loss[best])) for x in loss)
+    return out

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.llm import bpe, language_id
+from tests.llm import brute
 
 
 def test_held_out_accuracy(spark, sf01):
@@ -43,12 +44,35 @@ def test_pieces_count_like_the_whole(monkeypatch):
     assert whole.sum(axis=1).tolist() == [len(t.encode()) for t in texts]
 
 
-@pytest.mark.parametrize("n", [1, 2, 4, 5, 12, 60])
+@pytest.mark.parametrize("n", [*range(1, 51), 200])
 def test_codewords_differ(n):
     code = language_id.code(n)
     assert len({tuple(row) for row in code}) == n
-    if n > 2:
-        assert min(int((a != b).sum()) for i, a in enumerate(code) for b in code[i + 1 :]) >= 3
+    columns = {tuple(c * c[0]) for c in code.T}
+    assert len(columns) == code.shape[1]  # no dichotomy twice
+    assert n == 1 or (1.0,) * n not in columns
+    if n > 1:
+        assert min(int((a != b).sum()) for i, a in enumerate(code) for b in code[i + 1 :]) >= min(3, n - 1)
+
+
+def test_seven_languages(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(420):
+        letters = "abcdefghijklmnopqrstuvwxyz"[3 * (i % 7) : 3 * (i % 7) + 6]
+        rows.append((i, " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40)), f"l{i % 7}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.fit_on_training_rows(docs)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_predictions_against_loops(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    want = brute.languages([(r.doc_id, r.text, r.lang) for r in rows], language_id.code)
+    for r in language_id.op8_language_id(spark, sf_dir).collect():
+        held_out, lang, score = want[r.doc_id]
+        assert (r.held_out, r.lang_pred) == (held_out, lang)
+        assert abs(r.score - score) < 1e-9
 
 
 def test_a_wrong_bit_is_corrected():
@@ -109,6 +133,12 @@ def test_bpe_of_odd_rows(odd, empty, library):
     assert bpe.bpe_encode(empty, bpe.vocabulary()).count() == 0
 
 
+@pytest.mark.parametrize("part, value", [("normalizer", None), ("decoder", {"type": "ByteLevel"}), ("pre_tokenizer", {"type": "Whitespace"}), ("added_tokens", [{"id": 1, "content": "<s>"}])])
+def test_other_tokenizer_files_are_refused(spec, part, value):
+    with pytest.raises(ValueError, match=part):
+        bpe.TrieEncoder(spec | {part: value})
+
+
 def test_prefixes_are_shared(spec):
     encoder = bpe.TrieEncoder(spec)
     words = ["running", "runner", "runners", "run", "rung"]
