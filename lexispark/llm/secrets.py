@@ -7,8 +7,9 @@ WINDOW of them that has a letter and a digit, and overlapping windows at or abov
 the class's threshold make one span. Counts of the window's characters are
 updated by the one that leaves and the one that enters; with n characters counted
 c times each, entropy is log2 n - (sum of c log2 c) / n, so one running sum (an
-exact integer, in units of 2^-20) decides. Runs that an allow-list pattern fits
-are suppressed; patterns' spans never are.
+exact integer, in units of 2^-20) decides. The allow-list suppresses a run that is
+a UUID, and of other runs only the windows that overlap a listed word: such words
+are blanked before the runs are looked for. Patterns' spans are never suppressed.
 
 Texts are read once; what is stored are the lengths of gaps and hits. Positions
 are running sums over the hits of a text. A cheap test of the whole text comes
@@ -31,12 +32,9 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 WINDOW = 20
 #: kind -> (class of its runs, threshold in bits).
 ENTROPY = {"hex_entropy": ("0-9a-fA-F", 3.0), "text_entropy": ("A-Za-z0-9+/_=-", 3.85)}
-#: Runs that are no secrets: UUIDs, the alphabet and digits in order, documentation samples.
-ALLOWED = (
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)abcdefgh|01234567|12345678|deadbeef",
-    r"(?i)example|sample|placeholder",
-)
+#: No secrets: runs that are UUIDs, and stretches of the alphabet, of digits in order and of documentation samples.
+UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+ALLOWED = ("placeholder", "abcdefgh", "01234567", "12345678", "deadbeef", "example", "sample")
 KINDS = ("assign", "access", "hex", *ENTROPY)
 BASE = 3
 
@@ -88,10 +86,10 @@ def _windows(run: Column, most: int) -> Column:
     return F.aggregate(events, start, step, lambda s: s["spans"])
 
 
-def _parts(text: Column, test: str, pattern: str, spans) -> Column:
+def _parts(text: Column, test: str, pattern: str, spans, mask=lambda text: text) -> Column:
     """(gap, hit, spans within the hit) for each match of pattern, in order; group 2 is the match."""
     split = f"(?s)(.*?)(?:({pattern})|\\z)"
-    gaps, hits = (F.regexp_extract_all(text, F.lit(split), F.lit(i)) for i in (1, 2))
+    gaps, hits = (F.regexp_extract_all(mask(text), F.lit(split), F.lit(i)) for i in (1, 2))
     parts = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"), spans(h).alias("spans")))
     return F.when(text.rlike(test), parts).otherwise(F.array().cast("array<struct<gap:int,hit:int,spans:array<struct<b:int,e:int>>>>"))
 
@@ -103,10 +101,19 @@ def _whole(hit: Column, ok: Column) -> Column:
     return F.when(ok, F.array(F.struct(F.lit(0).alias("b"), F.length(hit).alias("e")))).otherwise(F.array().cast(_NONE))
 
 
+def _any_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def _masked(text: Column) -> Column:
+    """The text with listed words blanked; all else keeps its place."""
+    for word in ALLOWED:
+        text = F.regexp_replace(text, _any_case(word), " " * len(word))
+    return text
+
+
 def _high_entropy(run: Column, threshold: float) -> Column:
-    open_ = run.rlike("[0-9]") & run.rlike("[A-Za-z]")
-    for pattern in ALLOWED:
-        open_ = open_ & ~run.rlike(pattern)
+    open_ = run.rlike("[0-9]") & run.rlike("[A-Za-z]") & ~run.rlike(UUID)
     return F.when(open_, _windows(run, largest_sum(threshold))).otherwise(F.array().cast(_NONE))
 
 
@@ -118,7 +125,7 @@ def _hits(text: Column) -> Column:
         _parts(text, "[0-9a-f]{24}", "[0-9a-f]{24,}", lambda h: _whole(h, F.length(h) >= 24)),
     ]
     for runs, threshold in ENTROPY.values():
-        found.append(_parts(text, f"[{runs}]{{{WINDOW}}}", f"[{runs}]{{{WINDOW},}}", lambda h, t=threshold: _high_entropy(h, t)))
+        found.append(_parts(text, f"[{runs}]{{{WINDOW}}}", f"[{runs}]{{{WINDOW},}}", lambda h, t=threshold: _high_entropy(h, t), _masked))
     return F.array(*found)
 
 
@@ -158,26 +165,29 @@ def _sql() -> str:
     assign = ASSIGN.replace("'", "''")
     patterns = [(assign, "true"), ("AKIA[A-Z0-9]+", "length(hit) >= 20"), ("[0-9a-f]{24,}", "length(hit) >= 24")]
     patterns[0] = (assign, f"length(regexp_extract(hit, '^(?:{assign})$', 1)) >= 6")
-    allowed = " OR ".join(f"regexp_matches(hit, '{p}')" for p in ALLOWED)
+    masked = "t"
+    for word in ALLOWED:
+        masked = f"regexp_replace({masked}, '{_any_case(word)}', '{' ' * len(word)}', 'g')"
     runs = [(f"[{cls}]{{{WINDOW},}}", largest_sum(t)) for cls, t in ENTROPY.values()]
     parts = [
-        f"""SELECT n, {k} AS kind, unnest(regexp_extract_all(t, '(?s)(.*?)(?:({p})|\\z)', 1)) AS gap, unnest(regexp_extract_all(t, '(?s)(.*?)(?:({p})|\\z)', 2)) AS hit,
-                 generate_subscripts(regexp_extract_all(t, '(?s)(.*?)(?:({p})|\\z)', 1), 1) AS place FROM d"""
-        for k, p in enumerate([p for p, _ in patterns] + [r for r, _ in runs])
+        f"""SELECT n, {k} AS kind, unnest(regexp_extract_all({x}, '(?s)(.*?)(?:({p})|\\z)', 1)) AS gap, unnest(regexp_extract_all({x}, '(?s)(.*?)(?:({p})|\\z)', 2)) AS hit,
+                 generate_subscripts(regexp_extract_all({x}, '(?s)(.*?)(?:({p})|\\z)', 1), 1) AS place FROM d"""
+        for k, (x, p) in enumerate([("t", p) for p, _ in patterns] + [("m", r) for r, _ in runs])
     ]
     ok = " ".join(f"WHEN {k} THEN hit <> '' AND {cond}" for k, (_, cond) in enumerate(patterns))
     limits = " ".join(f"WHEN {k + BASE} THEN {most}" for k, (_, most) in enumerate(runs))
     names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
     shown = f"string_agg({names}[kind + 1] || ':' || b || ':' || e, ',' ORDER BY b, kind, e)"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS n FROM documents),
+WITH e AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS n FROM documents),
+d AS (SELECT *, {masked} AS m FROM e),
 parts AS ({" UNION ALL ".join(parts)}),
 hits AS (
   SELECT n, kind, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY n, kind ORDER BY place) - length(hit) AS start FROM parts),
 base AS (SELECT n, kind, start::BIGINT AS b, (start + length(hit))::BIGINT AS e FROM hits WHERE kind < {BASE} AND CASE kind {ok} END),
 runs AS (
   SELECT n, kind, hit, start, unnest(range(0, length(hit) - {WINDOW - 1})) AS i FROM hits
-  WHERE kind >= {BASE} AND hit <> '' AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT ({allowed})),
+  WHERE kind >= {BASE} AND hit <> '' AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_matches(hit, '{UUID}')),
 high AS (
   SELECT n, kind, start, i FROM runs
   WHERE list_sum(list_transform(map_values(list_histogram(string_split(substr(hit, i + 1, {WINDOW}), ''))),

@@ -22,9 +22,12 @@ def plain(text):
     base = [(m.start(), k, m.end(), kind) for k, (kind, (p, ok)) in enumerate(PATTERNS.items()) for m in re.finditer(p, text) if ok(m)]
     more = []
     for k, (kind, (cls, threshold)) in enumerate(secrets.ENTROPY.items(), 3):
-        for m in re.finditer(f"[{cls}]{{{secrets.WINDOW},}}", text):
+        masked = text
+        for word in secrets.ALLOWED:
+            masked = re.sub(word, " " * len(word), masked, flags=re.I | re.A)
+        for m in re.finditer(f"[{cls}]{{{secrets.WINDOW},}}", masked):
             run = m[0]
-            if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or any(re.search(p, run) for p in secrets.ALLOWED):
+            if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or re.search(secrets.UUID, run):
                 continue
             spans = []
             for i in range(len(run) - secrets.WINDOW + 1):
@@ -74,6 +77,13 @@ def test_allow_list(spark):
     assert got[3] == "access:0:21"
 
 
+def test_allowed_words_hide_only_what_overlaps_them(spark):
+    key = "q7Zk2Lw9Xv4Tb8Nc3Hs6"
+    rows = [(1, f"/sample/{key}/x"), (2, f"{key}eXample{key}"), (3, f"{key[:15]}deadbeef{key[15:]}")]
+    got = {r.doc_id: r.spans for r in shown(secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: "text_entropy:7:30", 2: "text_entropy:0:20,text_entropy:27:47", 3: ""}
+
+
 def test_odd_rows(spark, odd, empty):
     assert secrets.secret_spans(odd).count() == odd.count()
     assert secrets.secret_spans(empty).count() == 0
