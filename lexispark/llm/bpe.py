@@ -63,10 +63,28 @@ def byte_symbols() -> list[str]:
     return [symbols[b] for b in range(256)]
 
 
+def check(spec: dict) -> None:
+    """Raises ValueError for a tokenizer file of another kind than the one encoded here."""
+    model, normalizer, before = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = [s["type"] for s in normalizer.get("normalizers", [])]
+    parts = [(s["type"], s.get("behavior"), s.get("invert")) for s in before.get("pretokenizers", [])]
+    wanted = {
+        "model": model.get("type", "BPE") == "BPE" and model.get("end_of_word_suffix") == END and not model.get("continuing_subword_prefix") and not model.get("dropout") and not model.get("ignore_merges"),
+        "normalizer": steps == ["NFC", "Replace", "Lowercase"],
+        "pre_tokenizer": [p[0] for p in parts] == ["Split", "ByteLevel"] and bool(parts[0][2]),
+        "decoder": not spec.get("decoder"),
+        "added_tokens": all("<|" in t["content"] for t in spec["added_tokens"]),
+    }
+    wrong = [name for name, fits in wanted.items() if not fits]
+    if wrong:
+        raise ValueError(f"this tokenizer file has another {', '.join(wrong)}")
+
+
 class TrieEncoder:
     """Encodes sets of distinct words that share prefixes."""
 
     def __init__(self, spec: dict):
+        check(spec)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
