@@ -1,17 +1,21 @@
 """URL filters: a blocked Bloom filter before an exact hash join.
 
-Entries are rules (host, path, verdict) and listed URLs in canonical form. Each
-becomes a key; the filter holds their XXH64 in blocks of 512 bits, 8 bits a key,
-one in each 64-bit word of one block, so a probe touches one cache line. Its
-blocks are aggregated by Spark and number entries * BITS / 512, MAX_BYTES at
-most: a longer list makes the filter pass more, never lose a hit.
-
-A URL gives one key for its canonical form and one for each shape (labels of the
-host, characters of the path) that some rule has, if it is as long. Keys that the
-filter passes go to a hash join with the entries, which removes false positives;
-the entries are broadcast only up to BROADCAST_ROWS of them. Of the rules that
-fit, the longest wins (host and path together; then the longer host; then
-block). Without a rule the list decides: block if the URL is listed.
+Entries are rules (host, path, verdict) and listed URLs in canonical form. The
+hosts of rules and the listed URLs become keys; the filter holds their XXH64 in
+blocks of 512 bits, 8 bits a key, one in each 64-bit word of one block, so a probe
+touches one cache line. Its blocks are aggregated by Spark and number
+entries * BITS / 512, MAX_BYTES at most: a longer list makes the filter pass more,
+never lose a hit.
+
+A URL gives one key for its canonical form and one for each suffix of its host, as
+many as its labels. Keys that the filter passes go to a hash join with the entries,
+which removes false positives. A host that has rules brings the lengths of their
+paths; the URL's path, cut to each length that it has, is joined with the rules
+themselves. So a URL costs as many rows as rules' hosts and lengths can fit it,
+however many rules there are. Entries are broadcast only up to BROADCAST_ROWS of
+them. Of the rules that fit, the longest wins (host and path together; then the
+longer host; then block). Without a rule the list decides: block if the URL is
+listed.
 
 A null URL, or one without `://`, has an empty host and path, fits no rule and
 is never listed, so it is allowed. Repeated rows each get their result; only
@@ -44,8 +48,13 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Labels of hosts whose pages make up the query's list.
-LISTED_LABELS = ("spam-farm", "cheap-pills")
+#: The query's list: of these hosts, in these languages, every STEP-th page number from FIRST on; and pages below them, which none of the URLs is.
+LISTED_HOSTS = (
+    "tionsh.example.net", "blog.tionsh.example.net", "thther.example.org", "m.thther.example.org", "ththre.example.com", "blog.ththre.example.org",
+    "spam-farm.example.org", "www.spam-farm.example.net", "ththed.example.org.org", "xblog.ththly.example.org",
+)
+LISTED_LANGS = ("en", "de")
+FIRST, STEP, LAST = 3, 7, 60_000
 
 
 def host_of(url: Column) -> Column:
@@ -61,21 +70,32 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(host, r":(80|443)?$", ""), r"\.$", ""), F.lit("/"), F.regexp_replace(path, r"^/+|/+$", ""))
 
 
-def _labels(host: Column) -> Column:
-    return F.when(host == "", 0).otherwise(F.length(host) - F.length(F.replace(host, F.lit("."))) + 1)
+def _suffixes(host: Column) -> Column:
+    """The host, and what is left of it after each label."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+    return F.transform(F.sequence(F.lit(1), labels), lambda n: F.call_function("substring_index", host, F.lit("."), -n))
 
 
-def _entries(rules: DataFrame, listed: DataFrame) -> DataFrame:
-    """(key, rule, rank, verdict) of all entries; distinct keys."""
-    ruled = rules.select(
-        F.concat(F.lit("rule "), "host", "path").alias("key"),
+def _rule_key(host: Column, path: Column) -> Column:
+    """Two rules may spell alike together (a.b + c/ and a.bc + /), so the key holds the host's length."""
+    return F.concat(F.length(host).cast("string"), F.lit(" "), host, path)
+
+
+def _rules(rules: DataFrame) -> DataFrame:
+    """(rule_key, rule, rank) with distinct keys."""
+    ranked = rules.select(
+        _rule_key(F.col("host"), F.col("path")).alias("rule_key"),
         F.concat("host", "path").alias("rule"),
         F.struct((F.length("host") + F.length("path")).alias("all"), F.length("host").alias("host"), F.col("verdict").alias("verdict")).alias("rank"),
     )
-    # Two rules may share a key (a.b + c/ and a.bc + /): shapes tell them apart below, so the key holds the host's length too.
-    ruled = ruled.select(F.concat("key", F.lit(" "), F.col("rank.host").cast("string")).alias("key"), "rule", "rank").groupBy("key").agg(F.max_by("rule", "rank").alias("rule"), F.max("rank").alias("rank"))
-    urls = listed.select(F.concat(F.lit("listed "), "url").alias("key"), F.lit(None).cast("string").alias("rule")).distinct()
-    return ruled.unionByName(urls, allowMissingColumns=True)
+    return ranked.groupBy("rule_key").agg(F.max_by("rule", "rank").alias("rule"), F.max("rank").alias("rank"))
+
+
+def _entries(rules: DataFrame, listed: DataFrame) -> DataFrame:
+    """(key, lengths): hosts of rules with the lengths of their paths, and listed URLs with none; distinct keys."""
+    hosts = rules.groupBy("host").agg(F.array_sort(F.collect_set(F.length("path"))).alias("lengths"))
+    urls = listed.select(F.concat(F.lit("listed "), "url").alias("key")).distinct()
+    return hosts.select(F.concat(F.lit("host "), "host").alias("key"), "lengths").unionByName(urls, allowMissingColumns=True)
 
 
 def _places(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,10 +128,12 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     ship(spark)
     rules = rules.where("host <> ''").select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
-    entries = stored(_entries(rules, listed), "entries")
+    entries, ruled = stored(_entries(rules, listed), "entries"), stored(_rules(rules), "rules")
     n = entries.count()
     held = spark.sparkContext.broadcast(bloom(entries, n))
-    shapes = [tuple(r) for r in rules.select(_labels(F.col("host")), F.length("path")).distinct().collect()]  # as many as rules differ in shape
+
+    def bounded(few: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(few) if rows <= BROADCAST_ROWS else few
 
     @F.pandas_udf("boolean")
     def maybe(hashes: pd.Series) -> pd.Series:
@@ -124,30 +146,33 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
         "urls",
     )
     host, path = F.col("host"), F.col("path")
-    keys = [F.when(host != "", F.concat(F.lit("listed "), canonical(host, path)))]
-    for labels, length in shapes:
-        suffix = F.substring_index(host, ".", -labels)
-        fits = (_labels(host) >= labels) & (F.length(path) >= length)
-        keys.append(F.when(fits, F.concat(F.lit("rule "), suffix, F.substring(path, 1, length), F.lit(" "), F.length(suffix).cast("string"))))
-    asked = base.select("row_id", F.explode(F.array_compact(F.array(*keys))).alias("key"))
-    possible = asked.where(maybe(F.xxhash64("key")))
-    hits = possible.join(F.broadcast(entries) if n <= BROADCAST_ROWS else entries, "key").groupBy("row_id").agg(
-        F.max_by("rule", "rank").alias("rule"), F.max("rank").alias("rank"), F.max(F.col("rank").isNull()).alias("listed")
+    own = F.struct(F.concat(F.lit("listed "), canonical(host, path)).alias("key"), F.lit(None).cast("string").alias("suffix"))
+    keys = F.array_append(F.transform(_suffixes(host), lambda s: F.struct(F.concat(F.lit("host "), s).alias("key"), s.alias("suffix"))), own)
+    asked = base.where("host <> ''").select("row_id", "path", F.explode(keys).alias("k")).select("row_id", "path", "k.*")
+    met = stored(asked.where(maybe(F.xxhash64("key"))).join(bounded(entries, n), "key").select("row_id", "suffix", "lengths", F.when(F.col("suffix").isNotNull(), path).alias("path")), "met")
+    fitting = F.explode(F.filter("lengths", lambda n: n <= F.length("path")))
+    cut = met.where("suffix is not null").select("row_id", "suffix", "path", fitting.alias("n"))
+    cut = cut.select("row_id", _rule_key(F.col("suffix"), F.substring("path", F.lit(1), F.col("n"))).alias("rule_key"))
+    fits = cut.join(bounded(ruled, ruled.count()), "rule_key").select("row_id", "rule", "rank", F.lit(False).alias("listed"))
+    on_list = met.where("suffix is null").select("row_id", F.lit(True).alias("listed"))
+    hits = fits.unionByName(on_list, allowMissingColumns=True).groupBy("row_id").agg(
+        F.max_by("rule", "rank").alias("rule"), F.max("rank").alias("rank"), F.max("listed").alias("listed")
     )
     by_list = F.when(F.coalesce("listed", F.lit(False)), "block").otherwise("allow")
     return base.join(hits, "row_id", "left").select("page_id", "host", "path", "rule", F.coalesce("rank.verdict", by_list).alias("verdict"))
 
 
-def listed_urls(pages: DataFrame) -> DataFrame:
-    """Canonical URLs of all pages of hosts with a listed label."""
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    return pages.where(F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, LISTED_LABELS)))).select(canonical(host, path).alias("url")).distinct()
+def listed_urls(spark) -> DataFrame:
+    """The query's list: canonical URLs, made of the constants above and of no table."""
+    numbers = spark.range(FIRST, LAST, STEP).select(F.col("id").cast("string").alias("n"))
+    sites = numbers.select("n", F.explode(F.array(*[F.lit(f"{host}/{lang}/") for host in LISTED_HOSTS for lang in LISTED_LANGS])).alias("site"))
+    return sites.select(F.explode(F.array(F.concat("site", "n"), F.concat("site", "n", F.lit("/more")))).alias("url"))
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
     """Verdicts on all pages."""
     pages = table(spark, sf_dir, "pages")
-    return judge(pages, spark.createDataFrame(list(RULES), "host string, path string, verdict string"), listed_urls(pages))
+    return judge(pages, spark.createDataFrame(list(RULES), "host string, path string, verdict string"), listed_urls(spark))
 
 
 ORACLE = r"""
@@ -162,8 +187,17 @@ best AS (
   SELECT n, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
          arg_max(rule_verdict, length(rule_host || rule_path)) AS verdict
   FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-  GROUP BY n)
+  GROUP BY n),
+listed AS (
+  SELECT host || '/' || lang || '/' || i || tail AS url
+  FROM (VALUES HOSTS) h(host), (VALUES LANGS) l(lang), range(FIRST, LAST, STEP) r(i), (VALUES (''), ('/more')) t(tail)),
+c AS (
+  SELECT n, regexp_replace(regexp_replace(host, ':(80|443)?$', ''), '\.$', '') || '/' || regexp_replace(path, '^/+|/+$', '', 'g') AS url FROM p WHERE host <> '')
 SELECT page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN list_has_any(string_split(host, '.'), ['spam-farm', 'cheap-pills']) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(verdict, CASE WHEN n IN (SELECT n FROM c JOIN listed USING (url)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN best USING (n)
 """
+for _name, _values in (("HOSTS", LISTED_HOSTS), ("LANGS", LISTED_LANGS)):
+    ORACLE = ORACLE.replace(_name, ", ".join(f"('{v}')" for v in _values))
+for _name, _number in (("FIRST", FIRST), ("LAST", LAST), ("STEP", STEP)):
+    ORACLE = ORACLE.replace(_name, str(_number))

@@ -43,6 +43,22 @@ def test_urls_against_loops(spark):
             assert (r.host, r.path, r.rule, r.verdict) == judged(URLS[r.page_id], used, on_list), URLS[r.page_id]
 
 
+def test_many_rules_of_many_shapes(spark):
+    hosts = ["a.b.org", "b.org", "org", "x.b.org"]
+    rules = [(h, "/" + "p" * n, "block" if n % 2 else "allow") for h in hosts for n in range(0, 120, 3)]
+    urls = [f"http://{h}/{'p' * n}{t}" for h in (*hosts, "y.a.b.org", "zb.org", "b.org.") for n in (0, 1, 5, 50, 200) for t in ("", "/q", "?p")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), spark.createDataFrame([], "url string")).collect():
+        assert (r.host, r.path, r.rule, r.verdict) == judged(urls[r.page_id], rules, set())
+
+
+def test_the_list_meets_near_misses(spark, sf_dir):
+    listed = {r.url for r in url_filter.listed_urls(spark).collect()}
+    assert len(listed) > 100_000
+    assert "tionsh.example.net/en/10" in listed
+    assert not {"tionsh.example.net/en/11", "onsh.example.net/en/10", "tionsh.example.net/fr/10"} & listed
+
+
 def test_urls_without_entries_or_pages(spark):
     rules = spark.createDataFrame([], "host string, path string, verdict string")
     listed = spark.createDataFrame([], "url string")
@@ -103,8 +119,18 @@ def test_revisits_against_loops(spark, heavy):
         pick = lambda *values: rng.choice([None, *values])
         headers = rng.choice([None, {}, {"ETag": str(i), "Content-Length": "1", "X": "y"}, {"date": str(i), "Content-Type": "t"}])
         rows.append((i, url, rng.choice([None, *[float(t) for t in range(60)]]), rng.choice(["response", "revisit", "request"]), pick("a", "W/a", "b"), pick("m", "n"), pick("d", "e"), headers, i))
-    got = {r.record_id: (r.status, r.response_id, r.headers) for r in warc.resolve(spark.createDataFrame(rows, SCHEMA), heavy).collect()}
-    assert got == resolved(rows)
+    rows += rows[:40]  # repeated rows
+    found = warc.resolve(spark.createDataFrame(rows, SCHEMA), heavy).collect()
+    assert len(found) == sum(r[3] == "revisit" for r in rows)
+    assert {r.record_id: (r.status, r.response_id, r.headers) for r in found} == resolved(rows)
+
+
+def test_a_hot_url_of_one_time(spark):
+    rows = [(i, "http://hot.org/" + "x" * (50_000 * (i > 90)), 5.0, "response" if i % 10 == 0 else "revisit", "a", None, None, {}, 0) for i in range(100)]
+    rows.append((100, "http://hot.org/", 6.0, "revisit", "a", None, None, {}, 0))
+    got = {r.record_id: (r.status, r.response_id) for r in warc.resolve(spark.createDataFrame(rows, SCHEMA), 4).collect()}
+    assert got.pop(100) == ("resolved", 90)
+    assert set(got.values()) == {("no_response", None)}
 
 
 def test_canonical_urls(spark):
