@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, modest, numbered, stored
 
 #: A digest with a larger share of the rows counts as heavy; the broadcast has 1/SUPPORT rows at most.
 SUPPORT = 1 / 512
@@ -47,10 +47,7 @@ def heavy_winners(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def _digests(docs: DataFrame) -> DataFrame:
-    return stored(
-        docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), text_digest(F.col("text")).alias("digest")),
-        "digests",
-    )
+    return stored(numbered(docs).select("doc_id", "row_id", text_digest(F.col("text")).alias("digest")), "digests")
 
 
 def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -74,17 +71,19 @@ def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    Rows of heavy digests that lose are removed before the only shuffle of texts.
+    Texts are hashed once and not shuffled for it: digests decide, and the rows that
+    lose are taken out by their number (by a broadcast of those numbers while they
+    are few, counted). The input must list its rows in the same order each time it
+    is read, as a table of files does.
     """
-    heavy = stored(heavy_winners(_digests(docs), support), "heavy").select(
-        F.col("digest").alias("_heavy"), F.col("keep_id").alias("_keep")
-    )
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), text_digest(F.col("text")).alias("_digest"))
-    left = rows.join(F.broadcast(heavy), F.col("_digest") == F.col("_heavy"), "left").where(
-        F.col("_heavy").isNull() | F.col("_id").eqNullSafe(F.col("_keep"))
-    )
-    place = F.row_number().over(Window.partitionBy("_digest").orderBy(F.desc_nulls_last("_id")))
-    return left.withColumn("_place", place).where("_place = 1").select("_row.*")
+    digests = _digests(docs)
+    heavy = stored(heavy_winners(digests, support), "heavy")
+    beaten = digests.join(F.broadcast(heavy), "digest").where("row_id <> keep_row").select("row_id")
+    last = Window.partitionBy("digest").orderBy(F.desc_nulls_last("doc_id"), F.desc("row_id"))
+    rest = digests.join(F.broadcast(heavy), "digest", "left_anti").withColumn("place", F.row_number().over(last))
+    lost = stored(beaten.unionByName(rest.where("place > 1").select("row_id")), "lost").withColumnRenamed("row_id", "_lost")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_id"))
+    return rows.join(modest(lost), F.col("_id") == F.col("_lost"), "left_anti").select("_row.*")
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
