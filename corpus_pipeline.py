@@ -9,11 +9,13 @@ is encoded twice.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import bpe, exact_dedup, language_id, mixing, similar
-from lexispark.llm.common import stored, table
+from lexispark.llm.common import release, settled, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. Each result but the last is written; what its stage stored on the way, and the result before, is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
+    *first, (_, last) = STAGES
+    for k, (_, stage) in enumerate(first):
+        before, docs = docs, settled(partial(stage, spark, docs, sf_dir), spark, f"stage{k}")
         if k:
-            docs = stored(docs, f"stage{k}")
-        docs = stage(spark, docs, sf_dir)
-    return docs
+            release(before)
+    return last(spark, docs, sf_dir)
