@@ -6,29 +6,36 @@ with a smaller doc_id. Texts are UTF-8 bytes; strings never cross documents.
 Where strings can repeat at all. Each LENGTH-byte window has one anchor, the
 leftmost of its GRAM-byte grams with the least hash; equal windows have equal
 anchors at equal places. Consecutive windows with one anchor form a context, some
-50 to 76 bytes. Contexts with equal bytes form a class; of a class only the
-document with the smallest doc_id matters to others, so a task sends one record
-(two hashes, place) for each class that it reads, and all other documents of a
-class are marked at once. Records meet by anchor. Windows of a context can then be
-repeated elsewhere only if its anchor has a second class: only one context of each
-class of such anchors goes on, with its bytes, to the merge.
-
-The merge. The contexts that meet are cut into shards; each shard's suffixes are
-sorted alone and leave its Burrows-Wheeler transform. The transforms are merged by
+50 to 76 bytes. Equal windows thus lie in contexts of one anchor, so an anchor of
+one document only needs no further look. Records (hashes and places, no text) meet
+by anchor to find the others; their contexts go on with their bytes. Up to here
+nothing is decided: anchors and hashes choose what meets, not what is removed.
+
+Distinct texts. The contexts that meet are sorted by anchor and class (equal
+hashes), compared byte by byte with the first of their class, and each distinct
+text is kept once, with the least document that has it. The same is done before
+the records are sent: in a piece of the input, and in a task for classes that its
+pieces repeat, contexts that equal one of a smaller document byte by byte are
+marked and not sent. So a class travels a few times for each task, not for each
+document.
+
+The merge. The distinct texts that meet under an anchor are shards by the input
+partition they come from; each shard's suffixes are sorted alone and leave its
+Burrows-Wheeler transform. The transforms are merged by
 interleave refinement: round k takes the merged order by k-1 symbols, reads the
 symbol before each suffix, and moves it stably to the bucket of that symbol, which
 gives the order by k symbols. No suffixes of different shards are ever compared or
 sorted again. A border between neighbours that first shows in round k means a
 common prefix of k-1; after LENGTH rounds, what still has no border is an interval
-of suffixes with a common prefix of LENGTH at least. In each interval the windows
-of all documents but the smallest are marked.
+of suffixes with a common prefix of LENGTH at least. An interval's least document
+is the least of its texts'; of each text, the windows whose interval has a smaller
+document than the text's own are marked. A text that meets no other needs no merge:
+its windows are its own intervals.
 
-Hot anchors (a common line in very many different surroundings) would bring all
-their classes to one task. A sample of the rows names anchors that more than a
-HOT share of documents have; their windows travel one by one under two hashes of
-all their bytes, and meet by those. The sample changes only the route.
-
-The routes by hash rest on 128 bits; the merge compares bytes.
+An anchor with more than CROWD classes (a common line in very many different
+surroundings) would bring them all to one task. Its contexts are cut into their
+single windows when their bytes are read, and these are routed by all their bytes.
+The number of classes is counted exactly, so nothing depends on a sample.
 
 Null text counts as empty. A row with null doc_id loses nothing and removes
 nothing. Rows with one doc_id don't remove from each other; each row gives a row.
@@ -47,16 +54,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, ship, stored, table, tidily
+from .common import ARROW_BYTES, numbered, release, ship, stored, table, tidily
 
 LENGTH = 50
 GRAM = 24
 #: Bytes that are hashed at once.
 BATCH = 1 << 20
-#: Contexts merged at once (a larger group goes alone), and the shards they are cut into.
+#: Texts merged at once (a larger group goes alone), and the shards they are dealt to.
 TOGETHER, SHARDS = 1024, 4
-#: Share of the documents that makes an anchor hot, the sample in which it is looked for, and the least count there.
-HOT, SAMPLE, LEAST = 0.01, 0.02, 50
+#: An anchor with more classes is split. A text has at most WIDEST bytes.
+CROWD, WIDEST = 4096, 2 * LENGTH - GRAM
+#: Classes that a task remembers, contexts whose bytes are read at once, and rows that are settled at once.
+KNOWN, READ, ROWS = 20_000, 20_000, 20_000
 
 _WORDS = np.array([int.from_bytes(hashlib.sha256(b"repeats %d" % b).digest()[:8], "little") | 1 for b in range(256)], np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -118,13 +127,6 @@ class Contexts:
     def hashes(self, begin: np.ndarray, size: int) -> np.ndarray:
         return _mixed((self.sums[begin + size] - self.sums[begin]) * self.inverse[begin])
 
-    def one_by_one(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(index of the context, window, hash, second hash) of each window of these contexts."""
-        of = np.repeat(which, self.n[which])
-        window = self.begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(self.n[which]) - self.n[which], self.n[which])
-        halves = self.hashes(window, LENGTH // 2), self.hashes(window + LENGTH // 2, LENGTH - LENGTH // 2)
-        return of, window, _mixed(halves[0] * np.uint64(3) ^ halves[1]), _mixed(halves[1] * np.uint64(5) + halves[0])
-
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple]]]:
     """(bytes, sizes, (row_id, doc_id, offset) of each part) of about BATCH bytes; rows (row_id, doc_id, text)."""
@@ -146,22 +148,41 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts]), of
 
 
-def _hot_anchors(rows: DataFrame) -> np.ndarray:
-    """Anchors that many of a sample's documents have: at most (contexts a document)/HOT of them."""
-    few = rows.sample(SAMPLE, 42)
+def _steps(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, sizes, _ in _pieces(batches):
-            found = Contexts(data, sizes)
-            one = np.unique(np.stack((found.anchor, found.text.astype(np.uint64))), axis=1)[0]
-            anchors, n = np.unique(one, return_counts=True)
-            often = n > 1  # what is hot is so in many pieces
-            yield pa.RecordBatch.from_arrays([pa.array(anchors[often].view(np.int64)), pa.array(n[often])], ["anchor", "n"])
 
-    counts = few.mapInArrow(tidily(count), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    total = few.agg(F.count("*").alias("total"))
-    got = counts.join(F.broadcast(total), (F.col("n") >= LEAST) & (F.col("n") > F.col("total") * HOT)).select("anchor").toArrow()
-    return np.sort(got["anchor"].to_numpy())
+def same_bytes(data: np.ndarray, first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from first on equal those from second on, for as many as size says (WIDEST at most)."""
+    out = np.ones(len(first), bool)
+    for at in range(0, len(first), READ):
+        x, y, n = (v[at : at + READ, None] for v in (first, second, size))
+        step = np.minimum(np.arange(WIDEST)[None], n - 1)
+        out[at : at + READ] = (data[x + step] == data[y + step]).all(axis=1)
+    return out
+
+
+class _Known:
+    """Classes that a task has met in several documents of a piece: their least document sent so far, and their bytes."""
+
+    def __init__(self):
+        self.docs: dict[tuple[int, int], tuple[int, bytes]] = {}
+        self.keys = np.zeros(0, np.uint64)
+
+    def look(self, anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Places of the classes that may be known."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        key = anchor ^ context
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.flatnonzero(self.keys[at] == key)
+
+    def add(self, found: list[tuple[int, int, int, bytes]]) -> None:
+        if found and len(self.docs) < KNOWN:
+            for anchor, context, doc, text in found:
+                self.docs[anchor, context] = doc, text
+            self.keys = np.sort(np.array([a ^ c for a, c in self.docs], np.uint64))
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -174,30 +195,41 @@ def _numbers(planes: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _classes(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Records by bucket of the anchor: packed columns, one row a piece and bucket; marks that a piece settles alone have no anchor."""
-    held = rows.sparkSession.sparkContext.broadcast(hot)
+def _classes(buckets: int):
+    """Records by bucket of the anchor: packed columns, one row a piece and bucket; marks that a task settles alone have no anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = held.value.view(np.uint64)
+        known = _Known()
         for data, sizes, of in _pieces(batches):
             found = Contexts(data, sizes)
             row_ids, doc_ids, offsets = (np.array(x, np.int64) for x in zip(*of, strict=True))
-            common = np.isin(found.anchor, hot)
-            rest = np.flatnonzero(~common)
-            split, window, first, second = found.one_by_one(np.flatnonzero(common))
-            text = np.r_[found.text[rest], found.text[split]]
-            key = np.r_[found.anchor[rest], first]
-            context = np.r_[found.hash[rest], second]
-            n = np.r_[found.n[rest], np.ones(len(split), np.int64)]
-            place = np.r_[found.begin[rest] - found.start[rest], window - found.start[split]] + offsets[text]
-            doc, row = doc_ids[text], row_ids[text]
+            key, context, n, begin = found.anchor, found.hash, found.n, found.begin
+            doc, row = doc_ids[found.text], row_ids[found.text]
+            place = begin - found.start + offsets[found.text]
             order = np.lexsort((doc, context, key))
             new = np.r_[True, (key[order][1:] != key[order][:-1]) | (context[order][1:] != context[order][:-1])] if len(order) else np.zeros(0, bool)
-            least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else doc[:0]
-            marked = order[doc[order] > least]
-            # Repeats of a class within its first document follow that document's fate: they stay records.
-            sent = order[doc[order] == least]
+            first = order[np.flatnonzero(new)]
+            cls = np.cumsum(new) - 1
+            head = first[cls]  # of each context in this order: the first of its class, which has the least document
+            again = np.flatnonzero(doc[order] > doc[head])
+            again = again[n[order[again]] == n[head[again]]]
+            again = again[same_bytes(data, begin[order[again]], begin[head[again]], n[order[again]] + LENGTH - 1)]
+            settled = np.zeros(len(order), bool)
+            settled[again] = True
+            bounds = np.r_[np.flatnonzero(new), len(order)]
+            for c in known.look(key[first], context[first]).tolist():
+                at = first[c]
+                before = known.docs.get((int(key[at]), int(context[at])))
+                if before is not None and bytes(data[begin[at] : begin[at] + n[at] + LENGTH - 1]) == before[1]:
+                    rest = np.arange(bounds[c], bounds[c + 1])
+                    if before[0] >= doc[at]:  # this piece has a smaller document: its records go out
+                        known.docs[int(key[at]), int(context[at])] = int(doc[at]), before[1]
+                    else:
+                        same = same_bytes(data, begin[order[rest]], np.full(len(rest), begin[at]), np.full(len(rest), n[at] + LENGTH - 1))
+                        settled[rest[same & (doc[order[rest]] > before[0])]] = True
+            repeated = first[np.unique(cls[again])] if len(known.docs) < KNOWN else first[:0]
+            known.add([(int(key[i]), int(context[i]), int(doc[i]), bytes(data[begin[i] : begin[i] + n[i] + LENGTH - 1])) for i in repeated.tolist() if (int(key[i]), int(context[i])) not in known.docs])
+            marked, sent = order[settled], order[~settled]
             bucket = (key[sent] >> np.uint64(40)).astype(np.int64) % buckets
             sent = sent[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket)
@@ -212,63 +244,64 @@ def _classes(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 ["bucket", "anchor", "context", "row_id", "doc_id", "place", "n"],
             )
 
-    return rows.mapInArrow(tidily(run), "bucket int, anchor binary, context binary, row_id binary, doc_id binary, place binary, n binary")
+    return run
 
 
-_OUT = "row_id long, place int, n int, anchor long"
+_RECORDS = "bucket int, anchor binary, context binary, row_id binary, doc_id binary, place binary, n binary"
+_SIFTED = "row_id long, place int, n int, grp long, cls int"
+_MARKS = "row_id long, place int, n int"
 
 
-def _rows(row: np.ndarray, place: np.ndarray, n: np.ndarray, anchor: np.ndarray | None = None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(row.astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(row), pa.int64()) if anchor is None else pa.array(anchor.view(np.int64))],
-        ["row_id", "place", "n", "anchor"],
-    )
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    """Marks (row_id, place, n), or rows with grp and cls besides."""
+    names = ["row_id", "place", "n", "grp", "cls"][: len(columns)]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if name in ("row_id", "grp") else np.int32)) for c, name in zip(columns, names, strict=True)], names)
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From records, sorted by bucket: marks (without anchor), and contexts that must be merged (with their anchor)."""
+    """From records, sorted by bucket: marks (without grp), and the contexts of anchors of two documents or more.
+
+    grp numbers the anchors, cls the classes of each, or is -1 if there are more than CROWD.
+    """
     kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint8)
 
-    def settle(held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def settle(bucket: int, held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         key, context, row, doc, place, n = (np.concatenate([_numbers(b, k) for b in x]) for x, k in zip(zip(*held, strict=True), kinds, strict=True))
         order = np.argsort(key, kind="stable")
         new = np.r_[True, key[order][1:] != key[order][:-1]]
         at = np.flatnonzero(new)
-        of = np.cumsum(new) - 1
         docs = doc[order]
         shared = np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at)  # only one document has the other anchors
-        order = order[shared[of]]
+        order = order[shared[np.cumsum(new) - 1]]
         if not len(order):
             return
-        key, context, row, doc, place, n = (x[order] for x in (key, context, row, doc, place, n))
-        order = np.lexsort((place, row, doc, context, key))
-        key, context, row, doc, place, n = (x[order] for x in (key, context, row, doc, place, n))
+        order = order[np.lexsort((context[order], key[order]))]
+        key, context = key[order], context[order]
         new_key = np.r_[True, key[1:] != key[:-1]]
-        new = new_key | np.r_[True, context[1:] != context[:-1]]
-        first = np.flatnonzero(new)
-        cls = np.cumsum(new) - 1
-        later = doc > doc[first][cls]
-        yield _rows(row[later], place[later], n[later])
         group = np.cumsum(new_key) - 1
-        many = np.bincount(group[first]) > 1
-        # Of the first document's rows and places all are asked for: what an earlier document repeats must go from each.
-        ask = ~later & many[group]
-        yield _rows(row[ask], place[ask], n[ask], key[ask])
-
-    bucket, held = None, []
+        cls = np.cumsum(new_key | np.r_[True, context[1:] != context[:-1]]) - 1
+        cls -= cls[np.flatnonzero(new_key)][group]
+        crowded = np.maximum.reduceat(cls, np.flatnonzero(new_key)) >= CROWD
+        cls[crowded[group]] = -1
+        for lo in range(0, len(order), 1 << 16):
+            some = order[lo : lo + (1 << 16)]
+            yield _rows(row[some], place[some], n[some], bucket << 32 | group[lo : lo + (1 << 16)], cls[lo : lo + (1 << 16)])
+
+    bucket, held = 0, []
     for batch in batches:
         for b, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != bucket:
-                yield from settle(held)
+                yield from settle(bucket, held)
                 bucket, held = b, []
             if columns[0] is None:
                 _, _, row, _, place, n = columns
-                yield _rows(_numbers(row, np.int64), _numbers(place, np.int32), _numbers(n, np.uint8))
+                marks = _rows(_numbers(row, np.int64), _numbers(place, np.int32), _numbers(n, np.uint8))
+                yield pa.RecordBatch.from_arrays([*marks.columns, pa.nulls(len(marks), pa.int64()), pa.nulls(len(marks), pa.int32())], ["row_id", "place", "n", "grp", "cls"])
             else:
                 held.append(columns)
-    yield from settle(held)
+    yield from settle(bucket, held)
 
 
 def suffix_order(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -330,9 +363,9 @@ def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray]], depth: int = L
     return suffix[interleave], common
 
 
-def repeated_windows(texts: list[bytes], docs: np.ndarray, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
-    """(text, place) of the LENGTH-byte windows that also start in a text of a smaller document."""
-    parts = np.array_split(np.argsort(docs, kind="stable"), min(shards, len(texts)))
+def least_documents(texts: list[bytes], docs: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
+    """For each window of each text, the least document of its interval; docs: the least document that has each text."""
+    parts = [np.flatnonzero(shard == k) for k in np.unique(shard)]
     given, sizes = [], []
     for part in parts:
         codes = np.frombuffer(b"\xff".join([texts[i] for i in part]) + b"\xff", np.uint8) + np.uint8(1)  # 255 is no byte of UTF-8; it becomes the mark 0
@@ -344,58 +377,139 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray, shards: int = SHARDS)
     start = np.cumsum(size + 1) - size - 1
     of = np.repeat(np.arange(len(size)), size + 1)
     new = common < LENGTH
-    first = np.flatnonzero(new)
     doc = docs[text[of[order]]]
-    least = np.minimum.reduceat(doc, first)[np.cumsum(new) - 1]
-    hit = order[doc > least]
-    return text[of[hit]], hit - start[of[hit]]
+    least = np.empty(len(order), np.int64)
+    least[order] = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
+    out: list[np.ndarray] = [least[:0]] * len(texts)
+    for i, begin, n in zip(text.tolist(), start.tolist(), size.tolist(), strict=True):
+        out[i] = least[begin : begin + n - LENGTH + 1]
+    return out
 
 
-def _fetch(buckets: int):
-    """Rows (row_id, doc_id, text, asked: packed places, counts and anchors) to contexts with their bytes, by bucket."""
+_WEIGHTS = np.array([int.from_bytes(hashlib.sha256(b"window %d" % i).digest()[:8], "little") | 1 for i in range(LENGTH)], np.uint64)
+_CONTEXTS = "grp long, cls int, row_id long, doc_id long, place int, bytes binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[], [], [], []]
-            anchors = []
-            for row_id, doc_id, text, (place, n, anchor) in zip(*batch.columns[:3], _listed(batch.column(3), "place", "n", "anchor"), strict=True):
-                data = text.as_py().encode("utf-8", "replace")
-                anchors.append(anchor)
-                columns[0] += [row_id.as_py()] * len(place)
-                columns[1] += [doc_id.as_py()] * len(place)
-                columns[2] += place.tolist()
-                columns[3] += [data[at : at + size + LENGTH - 1] for at, size in zip(place.tolist(), n.tolist(), strict=True)]
-            anchor = np.concatenate([*anchors, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((anchor >> 40) % buckets, pa.int32()), pa.array(anchor, pa.int64())]
-                + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
-                ["bucket", "anchor", "row_id", "doc_id", "place", "bytes"],
-            )
 
-    return run
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row_id, doc_id, text, asked: places, counts, groups and classes) to contexts with their bytes; those of split anchors window by window."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        grp, cls, row, doc, place, sizes = (np.concatenate([h[i] for h in held]) for i in range(6))
+        data = np.concatenate([h[6] for h in held])
+        ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+        texts = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(grp), pa.array(cls.astype(np.int32)), pa.array(row), pa.array(doc), pa.array(place.astype(np.int32)), texts], ["grp", "cls", "row_id", "doc_id", "place", "bytes"])
+
+    def add(row_id: int, doc_id: int, data: np.ndarray, place: np.ndarray, n: np.ndarray, grp: np.ndarray, cls: np.ndarray) -> int:
+        sizes = n + LENGTH - 1
+        found = data[np.repeat(place, sizes) + _steps(sizes)]
+        held.append((grp, cls, np.full(len(place), row_id), np.full(len(place), doc_id), place, sizes, found))
+        return len(found)
+
+    for batch in batches:
+        for row_id, doc_id, text, (place, n, grp, cls) in zip(*batch.columns[:3], _listed(batch.column(3), "place", "n", "grp", "cls"), strict=True):
+            data = np.frombuffer(text.as_py().encode("utf-8", "replace"), np.uint8)
+            row, doc = row_id.as_py(), doc_id.as_py()
+            for at in range(0, len(place), READ):
+                p, c, g, k = (x[at : at + READ].astype(np.int64) for x in (place, n, grp, cls))
+                split = k < 0
+                if not split.all():
+                    size += add(row, doc, data, p[~split], c[~split], g[~split], k[~split])
+                if split.any():
+                    windows = np.repeat(p[split], c[split]) + _steps(c[split])
+                    for lo in range(0, len(windows), READ):
+                        w = windows[lo : lo + READ]
+                        route = _mixed((data[w[:, None] + np.arange(LENGTH)].astype(np.uint64) * _WEIGHTS).sum(axis=1, dtype=np.uint64))
+                        size += add(row, doc, data, w, np.ones(len(w), np.int64), route.view(np.int64), np.zeros(len(w), np.int64))
+                if size > ARROW_BYTES:
+                    yield rows()
+                    held.clear()
+                    size = 0
+    if held:
+        yield rows()
+
+
+def settle(grp: np.ndarray, cls: np.ndarray, row: np.ndarray, doc: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Marks from the contexts of whole groups, sorted by group and class."""
+    n = len(grp)
+    new_group = np.r_[True, grp[1:] != grp[:-1]]
+    new = new_group | np.r_[True, cls[1:] != cls[:-1]]
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    same = size == size[head]
+    same[same] = same_bytes(data, start[same], start[head[same]], size[same])
+    group = np.cumsum(new_group) - 1
+    if same.all():
+        text = np.cumsum(new) - 1
+    else:  # hashes that meet by chance: the bytes of every context of these groups tell the texts apart
+        number: dict[tuple, int] = {}
+        text = np.array([number.setdefault((g, bytes(data[s : s + z])), len(number)) for g, s, z in zip(group.tolist(), start.tolist(), size.tolist(), strict=True)])
+    head = np.full(text[-1] + 1 if same.all() else text.max() + 1, -1, np.int64)
+    head[text[::-1]] = np.arange(n)[::-1]  # the first context of each text
+    least = np.full(len(head), np.iinfo(np.int64).max)
+    np.minimum.at(least, text, doc)
+    alone = np.bincount(group[head], minlength=group[-1] + 1) == 1
+    whole = alone[group] & (doc > least[text])
+    yield _rows(row[whole], place[whole], size[whole] - LENGTH + 1)
+
+    met = np.flatnonzero(~alone[group[head]])  # texts to be merged, by group
+    met = met[np.argsort(group[head[met]], kind="stable")]
+    if not len(met):
+        return
+    spans: list[np.ndarray] = []  # text, first window, windows, least document
+    at = 0
+    of = group[head[met]]
+    while at < len(met):
+        upto = int(np.searchsorted(of, of[min(at + TOGETHER, len(met)) - 1], "right"))
+        some = met[at:upto]
+        texts = [bytes(data[start[h] : start[h] + size[h]]) for h in head[some].tolist()]
+        found = least_documents(texts, least[some], (row[head[some]] >> 33) % SHARDS)
+        flat = np.concatenate(found)
+        counts = np.array([len(f) for f in found])
+        begins = np.cumsum(counts) - counts
+        border = np.r_[True, flat[1:] != flat[:-1]]
+        border[begins] = True
+        first = np.flatnonzero(border)
+        owner = np.searchsorted(begins, first, "right") - 1
+        spans.append(np.stack((some[owner], first - begins[owner], np.diff(np.r_[first, len(flat)]), flat[first]), axis=1))
+        at = upto
+    span = np.concatenate(spans)
+    span = span[np.argsort(span[:, 0], kind="stable")]
+    member = np.flatnonzero(~alone[group])
+    lo, hi = np.searchsorted(span[:, 0], text[member], "left"), np.searchsorted(span[:, 0], text[member], "right")
+    which = np.repeat(lo, hi - lo) + _steps(hi - lo)
+    who = np.repeat(member, hi - lo)
+    hit = doc[who] > span[which, 3]
+    yield _rows(row[who[hit]], place[who[hit]] + span[which[hit], 1], span[which[hit], 2])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks from contexts sorted by anchor: whole groups, TOGETHER contexts or more at a time."""
-
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        _, row, doc, place, texts = zip(*rows, strict=True)
-        text, at = repeated_windows(list(texts), np.array(doc))
-        order = np.lexsort((at, text))
-        text, at = text[order], at[order]
-        new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)]) if len(text) else np.zeros(0, np.int64)
-        n = np.diff(np.r_[new, len(text)])
-        return _rows(np.array(row)[text[new]], np.array(place)[text[new]] + at[new], n)
-
-    held: list[tuple] = []
+    """Marks from contexts sorted by group and class: whole groups, ROWS contexts or more at a time."""
+    held: list[pa.RecordBatch] = []
+    many, limit = 0, ROWS
+
+    def whole(last: bool) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        grp = table["grp"].to_numpy()
+        final = len(grp) if last else int(np.searchsorted(grp, grp[-1]))
+        held[:] = table.slice(final).to_batches() if final < len(grp) else []
+        if final:
+            cls, row, doc, place = (table[c].to_numpy()[:final] for c in ("cls", "row_id", "doc_id", "place"))
+            texts = table["bytes"].chunk(0)
+            ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+            yield from settle(grp[:final], cls, row, doc, place.astype(np.int64), ends[:final], np.diff(ends)[:final], np.frombuffer(texts.buffers()[2], np.uint8))
+
     for batch in batches:
-        for r in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
-            if len(held) >= TOGETHER and r[0] != held[-1][0]:
-                yield settle(held)
-                held = []
-            held.append(r)
+        if len(batch):
+            held.append(batch)
+            many += len(batch)
+        if many >= limit:
+            yield from whole(False)
+            many = sum(map(len, held))
+            limit = max(ROWS, 2 * many)  # a large group is looked at again when it has doubled
     if held:
-        yield settle(held)
+        yield from whole(True)
 
 
 CUT = "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
@@ -449,12 +563,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ship(spark)
     rows = numbered(docs)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = _classes(rows, buckets, _hot_anchors(rows)).repartition("bucket").sortWithinPartitions("bucket")
-    sifted = stored(classes.mapInArrow(tidily(_sift), _OUT), "sifted")
-    asked = sifted.where("anchor is not null").groupBy("row_id").agg(F.collect_list(F.struct("place", "n", "anchor")).alias("asked"))
-    contexts = rows.join(asked, "row_id").select("row_id", "doc_id", "text", "asked").mapInArrow(tidily(_fetch(buckets)), "bucket int, anchor long, row_id long, doc_id long, place int, bytes binary")
-    merged = stored(contexts.repartition("bucket").sortWithinPartitions("anchor").mapInArrow(tidily(_merge), _OUT), "merged")
-    return sifted.where("anchor is null").unionByName(merged).select("row_id", "place", "n")
+    records = rows.mapInArrow(tidily(_classes(buckets)), _RECORDS).repartition("bucket").sortWithinPartitions("bucket")
+    sifted = stored(records.mapInArrow(tidily(_sift), _SIFTED), "sifted")
+    asked = sifted.where("grp is not null").groupBy("row_id").agg(F.collect_list(F.struct("place", "n", "grp", "cls")).alias("asked"))
+    contexts = rows.join(asked, "row_id").select("row_id", "doc_id", "text", "asked").mapInArrow(tidily(_fetch), _CONTEXTS)
+    merged = stored(contexts.repartition("grp").sortWithinPartitions("grp", "cls").mapInArrow(tidily(_merge), _MARKS), "merged")
+    alone = stored(sifted.where("grp is null").select("row_id", "place", "n"), "alone")
+    release(sifted)
+    return alone.unionByName(merged)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:

@@ -28,23 +28,78 @@ def synthetic(n, seed):
     return texts
 
 
-def test_documents_against_a_set_of_strings(spark, sf_dir):
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_documents_against_a_set_of_strings(spark, sf_dir, scale):
+    sf_dir = sf_dir.replace("sf0.001", scale)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     want = brute.repeats(texts)
     for r in repeats.op10_repeats(spark, sf_dir).collect():
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(texts[r.doc_id].encode()), *want[r.doc_id][:2], hashlib.sha256(want[r.doc_id][2]).hexdigest())
 
 
-@pytest.mark.parametrize("case", ["plain", "hot", "small pieces"])
+@pytest.mark.parametrize("case", ["plain", "split", "small pieces", "few rows", "all hashes meet"])
 def test_synthetic(spark, case, monkeypatch):
     texts = synthetic(150, 9)
-    if case == "hot":
-        for name, value in (("SAMPLE", 1.0), ("LEAST", 2), ("HOT", 0.001)):
-            monkeypatch.setattr(repeats, name, value)
+    if case == "split":
+        monkeypatch.setattr(repeats, "CROWD", 1)
+    if case == "small pieces":
+        monkeypatch.setattr(repeats, "BATCH", 2000)
+        monkeypatch.setattr(repeats, "READ", 3)
+    if case == "few rows":
+        monkeypatch.setattr(repeats, "ROWS", 7)
+        monkeypatch.setattr(repeats, "TOGETHER", 3)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    if case == "all hashes meet":  # what hashes say alike is still told apart by its bytes
+        got, data = {i: bytearray(len((t or "").encode())) for i, t in texts.items()}, {i: (t or "").encode() for i, t in texts.items()}
+        order = sorted(i for i in texts if len(data[i]) >= 50)
+        windows = [(i, at) for i in order for at in range(len(data[i]) - 49)]
+        size = np.full(len(windows), 50)
+        flat = np.frombuffer(b"".join(data[i][at : at + 50] for i, at in windows), np.uint8)
+        doc, place = np.array([i for i, _ in windows]), np.array([at for _, at in windows])
+        zero = np.zeros(len(windows), np.int64)
+        for batch in repeats.settle(zero, zero, doc, doc, place, np.cumsum(size) - 50, size, flat):
+            for i, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got[i][at : at + n + 49] = b"\1" * (n + 49)
+        assert {i: sum(g) for i, g in got.items()} == {i: n for i, (n, _, _) in brute.repeats(texts).items()}
+        return
     assert held(df) == brute.repeats(texts)
 
 
+def test_marks_come_from_the_merge_or_from_compared_bytes(spark, monkeypatch):
+    """Without the merge and the comparison of bytes nothing at all is removed."""
+    texts = synthetic(60, 4)
+    rows = [(i, i, t) for i, t in texts.items() if t]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"row_id": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "text": [r[2] for r in rows]})
+    records = pa.Table.from_batches(repeats._classes(1)(iter([batch])))
+    marked = sum(len(n) for a, n in zip(records["anchor"].to_pylist(), records["n"].to_pylist(), strict=True) if a is None)
+    assert marked
+    sifted = pa.Table.from_batches(repeats._sift(iter(records.to_batches())))
+    assert sum(g is None for g in sifted["grp"].to_pylist()) == marked  # hashes that meet only route
+    monkeypatch.setattr(repeats, "same_bytes", lambda data, first, second, size: np.zeros(len(first), bool))
+    none = pa.Table.from_batches(repeats._classes(1)(iter([batch])))
+    assert None not in none["anchor"].to_pylist()
+
+
+def test_a_task_sends_a_repeated_class_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "BATCH", 1000)
+    rng = random.Random(2)
+    line = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    texts = [f"{i:08x} {line}" for i in range(200)]
+
+    def sent(ids):
+        batch = pa.RecordBatch.from_pydict({"row_id": ids, "doc_id": ids, "text": [texts[i] for i in ids]})
+        out = pa.Table.from_batches(repeats._classes(1)(iter([batch])))
+        return sum(len(n) for a, n in zip(out["anchor"].to_pylist(), out["n"].to_pylist(), strict=True) if a is not None)
+
+    contexts = sent([0])
+    assert sent(list(range(200))) < 200 * contexts / 2
+    assert sent(list(range(200))) < sent(list(range(200))[::-1])  # smaller documents that come later go out again
+
+
 def test_pieces_cover_every_window(monkeypatch):
     import pyarrow as pa
 
