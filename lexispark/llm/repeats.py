@@ -22,12 +22,13 @@ document.
 The merge. The distinct texts that meet under an anchor are shards by the input
 partition they come from; each shard's suffixes are sorted alone and leave its
 Burrows-Wheeler transform. The transforms are merged by
-interleave refinement: round k takes the merged order by k-1 symbols, reads the
-symbol before each suffix, and moves it stably to the bucket of that symbol, which
-gives the order by k symbols. No suffixes of different shards are ever compared or
-sorted again. A border between neighbours that first shows in round k means a
-common prefix of k-1; after LENGTH rounds, what still has no border is an interval
-of suffixes with a common prefix of LENGTH at least. An interval's least document
+interleave refinement: a round takes the merged order by k symbols, reads the two
+symbols before each suffix, and moves it stably to the bucket of these, which
+gives the order by k+2 symbols. No suffixes of different shards are ever compared or
+sorted again. A border between neighbours that first shows then means a common
+prefix of k or k+1; a suffix with borders on both sides leaves the merge. After
+LENGTH symbols what is left are intervals of suffixes with a common prefix of LENGTH
+at least. An interval's least document
 is the least of its texts'; of each text, the windows whose interval has a smaller
 document than the text's own are marked. A text that meets no other needs no merge:
 its windows are its own intervals.
@@ -47,7 +48,7 @@ time it is read, as a table of files does.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,26 +164,34 @@ def same_bytes(data: np.ndarray, first: np.ndarray, second: np.ndarray, size: np
     return out
 
 
-class _Known:
-    """Classes that a task has met in several documents of a piece: their least document sent so far, and their bytes."""
+def padded(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes from begin on, WIDEST a row, zero from size on."""
+    step = np.arange(WIDEST)[None]
+    return np.where(step < size[:, None], data[np.minimum(begin[:, None] + step, len(data) - 1)], np.uint8(0))
 
-    def __init__(self):
-        self.docs: dict[tuple[int, int], tuple[int, bytes]] = {}
-        self.keys = np.zeros(0, np.uint64)
 
-    def look(self, anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Places of the classes that may be known."""
-        if not len(self.keys):
-            return np.zeros(0, np.int64)
-        key = anchor ^ context
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.flatnonzero(self.keys[at] == key)
+class _Known:
+    """Classes that a task has met in several documents of a piece: the least document sent so far and the bytes of each, sorted by key."""
 
-    def add(self, found: list[tuple[int, int, int, bytes]]) -> None:
-        if found and len(self.docs) < KNOWN:
-            for anchor, context, doc, text in found:
-                self.docs[anchor, context] = doc, text
-            self.keys = np.sort(np.array([a ^ c for a, c in self.docs], np.uint64))
+    def __init__(self):
+        self.keys, self.docs, self.texts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, WIDEST), np.uint8)
+
+    def least(self, key: np.ndarray, text: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The least document sent of each class, or the largest number where none is known to have these bytes."""
+        out = np.full(len(key), np.iinfo(np.int64).max)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == key)
+            hit = hit[(self.texts[at[hit]] == text(hit)).all(axis=1)]
+            out[hit] = self.docs[at[hit]]
+        return out
+
+    def learn(self, key: np.ndarray, doc: np.ndarray, text: np.ndarray) -> None:
+        """Takes in classes sent now; of a class known already the smaller document counts."""
+        keys, docs, texts = np.r_[key, self.keys], np.r_[doc, self.docs], np.concatenate((text, self.texts))
+        order = np.lexsort((docs, keys))
+        order = order[np.r_[True, keys[order][1:] != keys[order][:-1]]] if len(order) else order
+        self.keys, self.docs, self.texts = keys[order][:KNOWN], docs[order][:KNOWN], texts[order][:KNOWN]
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -211,24 +220,16 @@ def _classes(buckets: int):
             first = order[np.flatnonzero(new)]
             cls = np.cumsum(new) - 1
             head = first[cls]  # of each context in this order: the first of its class, which has the least document
-            again = np.flatnonzero(doc[order] > doc[head])
-            again = again[n[order[again]] == n[head[again]]]
-            again = again[same_bytes(data, begin[order[again]], begin[head[again]], n[order[again]] + LENGTH - 1)]
-            settled = np.zeros(len(order), bool)
-            settled[again] = True
-            bounds = np.r_[np.flatnonzero(new), len(order)]
-            for c in known.look(key[first], context[first]).tolist():
-                at = first[c]
-                before = known.docs.get((int(key[at]), int(context[at])))
-                if before is not None and bytes(data[begin[at] : begin[at] + n[at] + LENGTH - 1]) == before[1]:
-                    rest = np.arange(bounds[c], bounds[c + 1])
-                    if before[0] >= doc[at]:  # this piece has a smaller document: its records go out
-                        known.docs[int(key[at]), int(context[at])] = int(doc[at]), before[1]
-                    else:
-                        same = same_bytes(data, begin[order[rest]], np.full(len(rest), begin[at]), np.full(len(rest), n[at] + LENGTH - 1))
-                        settled[rest[same & (doc[order[rest]] > before[0])]] = True
-            repeated = first[np.unique(cls[again])] if len(known.docs) < KNOWN else first[:0]
-            known.add([(int(key[i]), int(context[i]), int(doc[i]), bytes(data[begin[i] : begin[i] + n[i] + LENGTH - 1])) for i in repeated.tolist() if (int(key[i]), int(context[i])) not in known.docs])
+            equal = new.copy()
+            rest = np.flatnonzero(~new)
+            rest = rest[n[order[rest]] == n[head[rest]]]
+            equal[rest] = same_bytes(data, begin[order[rest]], begin[head[rest]], n[order[rest]] + LENGTH - 1)
+            name = key[first] ^ context[first]
+            text = lambda which: padded(data, begin[first[which]], n[first[which]] + LENGTH - 1)  # noqa: B023, E731
+            before = known.least(name, text)
+            settled = equal & (doc[order] > np.minimum(doc[head], before[cls]))
+            repeated = np.flatnonzero((np.bincount(cls[settled], minlength=len(first)) > 0) & (doc[first] < before))
+            known.learn(name[repeated], doc[first[repeated]], text(repeated))
             marked, sent = order[settled], order[~settled]
             bucket = (key[sent] >> np.uint64(40)).astype(np.int64) % buckets
             sent = sent[np.argsort(bucket, kind="stable")]
@@ -304,85 +305,74 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from settle(bucket, held)
 
 
-def suffix_order(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The sorted suffixes of one shard; each text's end mark (code 0) is a symbol of its own, in order of the texts."""
-    rank = codes.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
+def suffix_order(codes: np.ndarray) -> np.ndarray:
+    """The sorted suffixes of one shard, read on cyclically."""
+    rank = codes.astype(np.int64)
     width, n = 1, len(codes)
     while True:
-        key = rank << 32
-        key[:-width] |= rank[width:]
+        key = rank << 32 | np.roll(rank, -width)
         order = np.argsort(key)
         ordered = key[order]
         new = np.r_[True, ordered[1:] != ordered[:-1]]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
         width *= 2
-        if new.all() or width >= n:
+        if new.all() or width >= min(n, LENGTH):
             return order
 
 
-def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray]], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Merges shards (codes, ends): all suffixes in order of their first `depth` symbols, and the common prefix of each with the one before.
+def merged_intervals(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges shards of codes: the suffixes that share a prefix of `depth` symbols with another, in order, with their interval's number; and
+    for each suffix the longest even prefix, up to `depth`, that another one shares.
 
-    Suffixes are numbered through the shards; prefixes of depth or more show as depth.
+    Suffixes are numbered through the shards and read on cyclically. A round reads two
+    symbols. What differs from all others leaves: so does whatever precedes it, a round
+    later, and the rounds become shorter.
     """
-    symbol, back, suffix, marks = [], [], [], []
+    symbols, back, suffix = [], [], []
     at = 0
-    for codes, ends in shards:
-        order = suffix_order(codes, ends)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        before = order - 1  # of the first suffix: the last, an end mark like that of any text before another
-        symbol.append(codes[before])  # the shard's transform
-        back.append(place[before] + at)
+    for codes in shards:
+        order = suffix_order(codes)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        symbols.append(codes[order - 2].astype(np.uint16) << 8 | codes[order - 1])  # the shard's transform, by two
+        back.append(place[order - 2] + np.int32(at))
         suffix.append(order + at)
-        marks.append(np.arange(len(ends)) + at)  # end marks sort first, in order
         at += len(codes)
-    symbol, suffix, marks = np.concatenate(symbol), np.concatenate(suffix), np.concatenate(marks)
-    back = np.concatenate(back).astype(np.int32)
-    n = at
-    interleave = np.arange(n, dtype=np.int32)  # which shard's next suffix stands at each place: here as its number
-    block = np.zeros(n, np.int32)
-    common = np.full(n, depth, np.int32)
-    common[0] = 0
-    for k in range(1, depth + 1):
-        symbols = symbol[interleave]
-        moved = np.argsort(symbols, kind="stable")
-        symbols, block = symbols[moved], block[moved]
-        border = np.empty(n, bool)
-        border[0] = True
-        border[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
-        border[: len(marks) + 1] = True  # no end mark equals another
-        interleave = back[interleave[moved]]
-        interleave[: len(marks)] = marks
-        common[border & (common == depth)] = k - 1
-        block = np.cumsum(border, dtype=np.int32)
-        if border.all():
+    pair, step, suffix = np.concatenate(symbols), np.concatenate(back), np.concatenate(suffix)
+    common = np.zeros(at, np.int32)
+    interleave = np.arange(at, dtype=np.int32)  # which shard's next suffix stands at each place: here as its number
+    block = np.zeros(at, np.int32)
+    for k in range(2, depth + 1, 2):
+        read = pair[interleave]
+        moved = np.argsort(read, kind="stable")
+        read, block = read[moved], block[moved]
+        border = np.ones(len(moved) + 1, bool)
+        border[1:-1] = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
+        stays = ~(border[1:] & border[:-1])
+        interleave = step[interleave[moved[stays]]]
+        block = np.cumsum(border[:-1], dtype=np.int32)[stays]
+        if not len(interleave):
             break
-    return suffix[interleave], common
+        common[suffix[interleave]] = k
+    return suffix[interleave], block, common
 
 
 def least_documents(texts: list[bytes], docs: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
     """For each window of each text, the least document of its interval; docs: the least document that has each text."""
     parts = [np.flatnonzero(shard == k) for k in np.unique(shard)]
-    given, sizes = [], []
-    for part in parts:
-        codes = np.frombuffer(b"\xff".join([texts[i] for i in part]) + b"\xff", np.uint8) + np.uint8(1)  # 255 is no byte of UTF-8; it becomes the mark 0
-        size = np.array([len(texts[i]) for i in part])
-        given.append((codes, np.cumsum(size + 1) - 1))
-        sizes.append(size)
-    order, common = merged_intervals(given)
-    size, text = np.concatenate(sizes), np.concatenate(parts)
-    start = np.cumsum(size + 1) - size - 1
-    of = np.repeat(np.arange(len(size)), size + 1)
-    new = common < LENGTH
-    doc = docs[text[of[order]]]
-    least = np.empty(len(order), np.int64)
-    least[order] = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
+    # 255 is no byte of UTF-8. No window reaches over it, so no suffix that does is like one that begins a window.
+    found, interval, _ = merged_intervals([np.frombuffer(b"\xff".join([texts[i] for i in part]) + b"\xff", np.uint8) for part in parts])
+    text = np.concatenate(parts)
+    size = np.array([len(texts[i]) for i in text.tolist()]) + 1
+    start = np.cumsum(size) - size
+    least = np.repeat(docs[text], size)
+    if len(found):
+        new = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
+        least[found] = np.repeat(np.minimum.reduceat(least[found], new), np.diff(np.r_[new, len(found)]))
     out: list[np.ndarray] = [least[:0]] * len(texts)
     for i, begin, n in zip(text.tolist(), start.tolist(), size.tolist(), strict=True):
-        out[i] = least[begin : begin + n - LENGTH + 1]
+        out[i] = least[begin : begin + n - LENGTH]
     return out
 
 

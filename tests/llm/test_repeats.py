@@ -132,22 +132,24 @@ def test_odd_rows(spark, odd, empty):
 
 
 @pytest.mark.parametrize("shards", [1, 2, 5])
-def test_merged_order_and_common_prefixes(shards):
+def test_merged_intervals_and_common_prefixes(shards):
     rng = random.Random(shards)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 40))).encode() for _ in range(30)]
     texts += texts[:5]
-    given, where, at = [], [], 0
+    given, where = [], []
     for part in np.array_split(np.arange(len(texts)), shards):
         joined = b"\xff".join([texts[i] for i in part]) + b"\xff"
-        codes = np.frombuffer(joined, np.uint8) + np.uint8(1)
-        given.append((codes, np.cumsum([len(texts[i]) + 1 for i in part]) - 1))
-        for i in part:
-            where += [texts[i][k:] for k in range(len(texts[i]) + 1)]
-        at += len(joined)
-    order, common = repeats.merged_intervals(given, depth=12)
-    assert sorted(order.tolist()) == list(range(at))
-    for a, b, c in zip(order, order[1:], common[1:], strict=False):
-        x, y = where[a], where[b]
-        shared = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
-        assert x[:12] <= y[:12]
-        assert c == min(shared, 12)
+        given.append(np.frombuffer(joined, np.uint8))
+        where += [(joined[k:] + joined * 12)[:12] for k in range(len(joined))]
+    found, interval, common = repeats.merged_intervals(given, depth=12)
+    groups: dict[bytes, list[int]] = {}
+    for i, w in enumerate(where):
+        groups.setdefault(w, []).append(i)
+    got: dict[int, list[int]] = {}
+    for i, k in zip(found.tolist(), interval.tolist(), strict=True):
+        got.setdefault(k, []).append(i)
+    assert sorted(map(sorted, got.values())) == sorted(g for g in groups.values() if len(g) > 1)
+    assert [where[got[k][0]] for k in got] == sorted(where[got[k][0]] for k in got)  # intervals come in order
+    for i, w in enumerate(where):
+        shared = max(next((k for k in range(12) if w[k] != v[k]), 12) for j, v in enumerate(where) if j != i)
+        assert common[i] == shared // 2 * 2
