@@ -52,6 +52,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,8 +205,26 @@ def _numbers(planes: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def _blocks(row_id: np.ndarray, blocks: int) -> np.ndarray:
+    """The block that a row belongs to, in which its text and what concerns it meet: 64 rows on end have one."""
+    return ((row_id >> 6) + (row_id >> 33) * 31) % blocks
+
+
+def _cells(block: np.ndarray, columns: list[np.ndarray | None]) -> list[tuple]:
+    """(block, packed columns) for each block that has rows."""
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist() if len(block) else []
+    return [(int(block[lo]), *[None if c is None else _planes(c[order[lo:hi]]) for c in columns]) for lo, hi in zip(edges, [*edges, len(block)][1:], strict=True)]
+
+
+def _cell_batch(cells: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = zip(*cells, strict=True) if cells else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)], names)
+
+
 def _classes(buckets: int):
-    """Records by bucket of the anchor: packed columns, one row a piece and bucket; marks that a task settles alone have no anchor."""
+    """Records by bucket of the anchor: packed columns, one row a piece and bucket; marks that a task settles alone have no anchor, and the block of their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known()
@@ -231,42 +250,33 @@ def _classes(buckets: int):
             repeated = np.flatnonzero((np.bincount(cls[settled], minlength=len(first)) > 0) & (doc[first] < before))
             known.learn(name[repeated], doc[first[repeated]], text(repeated))
             marked, sent = order[settled], order[~settled]
-            bucket = (key[sent] >> np.uint64(40)).astype(np.int64) % buckets
-            sent = sent[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket)
-            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-            out = [(int(bucket[lo]), key, context, sent[lo:hi]) for lo, hi in zip(edges, [*edges[1:], len(sent)], strict=True)]
-            if len(marked):
-                out.append((int(row[marked[0]] % buckets), None, None, marked))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int32())]
-                + [pa.array([None if o[1] is None else _planes(o[j][o[3]]) for o in out], pa.binary()) for j in (1, 2)]
-                + [pa.array([_planes(x[o[3]].astype(t)) for o in out], pa.binary()) for x, t in ((row, np.int64), (doc, np.int64), (place, np.int32), (n, np.uint8))],
-                ["bucket", "anchor", "context", "row_id", "doc_id", "place", "n"],
-            )
+            types = ((row, np.int64), (doc, np.int64), (place, np.int32), (n, np.uint8))
+            cells = _cells((key[sent] >> np.uint64(40)).astype(np.int64) % buckets, [key[sent], context[sent], *[x[sent].astype(t) for x, t in types]])
+            cells += _cells(_blocks(row[marked], buckets), [None, None, *[x[marked].astype(t) for x, t in types]])
+            yield _cell_batch(cells, ["bucket", "anchor", "context", "row_id", "doc_id", "place", "n"])
 
     return run
 
 
 _RECORDS = "bucket int, anchor binary, context binary, row_id binary, doc_id binary, place binary, n binary"
-_SIFTED = "row_id long, place int, n int, grp long, cls int"
-_MARKS = "row_id long, place int, n int"
+#: Cells of contexts that are asked for, or (without grp and cls) of marks.
+_SIFTED = "block int, rows binary, place binary, n binary, grp binary, cls binary"
+_ASKED = (np.int64, np.int32, np.uint8, np.int64, np.int16)
+_MARKS = "block int, rows binary, place binary, n binary"
 
 
-def _rows(*columns: np.ndarray) -> pa.RecordBatch:
-    """Marks (row_id, place, n), or rows with grp and cls besides."""
-    names = ["row_id", "place", "n", "grp", "cls"][: len(columns)]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if name in ("row_id", "grp") else np.int32)) for c, name in zip(columns, names, strict=True)], names)
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
-def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From records, sorted by bucket: marks (without grp), and the contexts of anchors of two documents or more.
+def _sift(buckets: int):
+    """From records, sorted by bucket: marks, and the contexts of anchors of two documents or more.
 
     grp numbers the anchors, cls the classes of each, or is -1 if there are more than CROWD.
     """
     kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint8)
 
-    def settle(bucket: int, held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def settled(bucket: int, held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         key, context, row, doc, place, n = (np.concatenate([_numbers(b, k) for b in x]) for x, k in zip(zip(*held, strict=True), kinds, strict=True))
@@ -286,23 +296,55 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls -= cls[np.flatnonzero(new_key)][group]
         crowded = np.maximum.reduceat(cls, np.flatnonzero(new_key)) >= CROWD
         cls[crowded[group]] = -1
-        for lo in range(0, len(order), 1 << 16):
-            some = order[lo : lo + (1 << 16)]
-            yield _rows(row[some], place[some], n[some], bucket << 32 | group[lo : lo + (1 << 16)], cls[lo : lo + (1 << 16)])
+        columns = (row[order], place[order], n[order], bucket << 32 | group, cls)
+        yield _cell_batch(_cells(_blocks(row[order], buckets), [c.astype(k) for c, k in zip(columns, _ASKED, strict=True)]), _names(_SIFTED))
 
-    bucket, held = 0, []
-    for batch in batches:
-        for b, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if b != bucket:
-                yield from settle(bucket, held)
-                bucket, held = b, []
-            if columns[0] is None:
-                _, _, row, _, place, n = columns
-                marks = _rows(_numbers(row, np.int64), _numbers(place, np.int32), _numbers(n, np.uint8))
-                yield pa.RecordBatch.from_arrays([*marks.columns, pa.nulls(len(marks), pa.int64()), pa.nulls(len(marks), pa.int32())], ["row_id", "place", "n", "grp", "cls"])
-            else:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = 0, []
+        for batch in batches:
+            marks = []
+            for b, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if columns[0] is None:
+                    _, _, row, _, place, n = columns
+                    marks.append((b, row, place, n, None, None))
+                    continue
+                if b != bucket:
+                    yield from settled(bucket, held)
+                    bucket, held = b, []
                 held.append(columns)
-    yield from settle(bucket, held)
+            if marks:
+                yield _cell_batch(marks, _names(_SIFTED))
+        yield from settled(bucket, held)
+
+    return run
+
+
+def _met(cells: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
+    """The texts of each block after the cells of that block."""
+    at = F.pmod(F.shiftright("row_id", 6) + F.shiftright("row_id", 33) * 31, F.lit(blocks)).cast("int")
+    texts = rows.select(at.alias("block"), F.lit(1).alias("kind"), "row_id", "doc_id", "text")
+    packed = [c for c in cells.columns if c != "block"]
+    both = texts.unionByName(cells.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    return both.select("block", "kind", "row_id", "doc_id", "text", *packed).repartition("block").sortWithinPartitions("block", "kind")
+
+
+def _joined(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[tuple]:
+    """(row_id, doc_id, text, columns of its cells) of each text; the first packed column holds row ids."""
+    block, cells, held = None, [], None
+    for batch in batches:
+        for b, kind, row_id, doc_id, text, *packed in zip(*batch.columns, strict=True):
+            if b.as_py() != block:
+                block, cells, held = b.as_py(), [], None
+            if not kind.as_py():
+                cells.append([p.as_py() for p in packed])
+                continue
+            if held is None:
+                columns = [np.concatenate([np.zeros(0, k), *[_numbers(c[i], k) for c in cells]]) for i, k in enumerate(kinds)]
+                order = np.argsort(columns[0], kind="stable")
+                cells, held = [], [c[order] for c in columns]
+            row = row_id.as_py()
+            lo, hi = np.searchsorted(held[0], (row, row + 1))
+            yield row, doc_id.as_py(), text.as_py(), [c[lo:hi] for c in held[1:]]
 
 
 def suffix_order(codes: np.ndarray) -> np.ndarray:
@@ -377,52 +419,67 @@ def least_documents(texts: list[bytes], docs: np.ndarray, shard: np.ndarray) ->
 
 
 _WEIGHTS = np.array([int.from_bytes(hashlib.sha256(b"window %d" % i).digest()[:8], "little") | 1 for i in range(LENGTH)], np.uint64)
-_CONTEXTS = "grp long, cls int, row_id long, doc_id long, place int, bytes binary"
+#: Cells of contexts: a compressed run of all their bytes, and packed numbers.
+_CONTEXTS = "bucket int, grp binary, cls binary, rows binary, docs binary, place binary, size binary, bytes binary"
+_HELD = (np.int64, np.int16, np.int64, np.int64, np.int32, np.uint8)
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row_id, doc_id, text, asked: places, counts, groups and classes) to contexts with their bytes; those of split anchors window by window."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
+def _fetch(buckets: int):
+    """Texts with what is asked of them (places, counts, groups and classes) to contexts with their bytes; those of split anchors window by window."""
 
-    def rows() -> pa.RecordBatch:
-        grp, cls, row, doc, place, sizes = (np.concatenate([h[i] for h in held]) for i in range(6))
-        data = np.concatenate([h[6] for h in held])
-        ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-        texts = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(grp), pa.array(cls.astype(np.int32)), pa.array(row), pa.array(doc), pa.array(place.astype(np.int32)), texts], ["grp", "cls", "row_id", "doc_id", "place", "bytes"])
-
-    def add(row_id: int, doc_id: int, data: np.ndarray, place: np.ndarray, n: np.ndarray, grp: np.ndarray, cls: np.ndarray) -> int:
-        sizes = n + LENGTH - 1
-        found = data[np.repeat(place, sizes) + _steps(sizes)]
-        held.append((grp, cls, np.full(len(place), row_id), np.full(len(place), doc_id), place, sizes, found))
-        return len(found)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        packer = zstandard.ZstdCompressor(level=1)
+        size = 0
 
-    for batch in batches:
-        for row_id, doc_id, text, (place, n, grp, cls) in zip(*batch.columns[:3], _listed(batch.column(3), "place", "n", "grp", "cls"), strict=True):
-            data = np.frombuffer(text.as_py().encode("utf-8", "replace"), np.uint8)
-            row, doc = row_id.as_py(), doc_id.as_py()
+        def cells() -> pa.RecordBatch:
+            columns = [np.concatenate([h[i] for h in held]) for i in range(6)]
+            data = np.concatenate([h[6] for h in held])
+            begin = np.cumsum(columns[5]) - columns[5]
+            bucket = np.concatenate([h[7] for h in held]) % buckets
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist()
+            out = []
+            for lo, hi in zip(edges, [*edges, len(order)][1:], strict=True):
+                some = order[lo:hi]
+                found = data[np.repeat(begin[some], columns[5][some]) + _steps(columns[5][some])]
+                out.append((int(bucket[lo]), *[_planes(c[some].astype(k)) for c, k in zip(columns, _HELD, strict=True)], packer.compress(found.tobytes())))
+            return _cell_batch(out, _names(_CONTEXTS))
+
+        def add(row: int, doc: int, data: np.ndarray, place: np.ndarray, n: np.ndarray, grp: np.ndarray, cls: np.ndarray, route: np.ndarray) -> int:
+            sizes = n + LENGTH - 1
+            found = data[np.repeat(place, sizes) + _steps(sizes)]
+            held.append((grp, cls, np.full(len(place), row), np.full(len(place), doc), place, sizes, found, route))
+            return len(found)
+
+        for row, doc, text, (place, n, grp, cls) in _joined(batches, _ASKED):
+            if not len(place):
+                continue
+            data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
             for at in range(0, len(place), READ):
                 p, c, g, k = (x[at : at + READ].astype(np.int64) for x in (place, n, grp, cls))
                 split = k < 0
                 if not split.all():
-                    size += add(row, doc, data, p[~split], c[~split], g[~split], k[~split])
+                    size += add(row, doc, data, p[~split], c[~split], g[~split], k[~split], g[~split] >> 32)
                 if split.any():
                     windows = np.repeat(p[split], c[split]) + _steps(c[split])
                     for lo in range(0, len(windows), READ):
                         w = windows[lo : lo + READ]
-                        route = _mixed((data[w[:, None] + np.arange(LENGTH)].astype(np.uint64) * _WEIGHTS).sum(axis=1, dtype=np.uint64))
-                        size += add(row, doc, data, w, np.ones(len(w), np.int64), route.view(np.int64), np.zeros(len(w), np.int64))
-                if size > ARROW_BYTES:
-                    yield rows()
+                        route = _mixed((data[w[:, None] + np.arange(LENGTH)].astype(np.uint64) * _WEIGHTS).sum(axis=1, dtype=np.uint64)).view(np.int64)
+                        size += add(row, doc, data, w, np.ones(len(w), np.int64), route, np.zeros(len(w), np.int64), route)
+                if size > 4 * ARROW_BYTES:
+                    yield cells()
                     held.clear()
                     size = 0
-    if held:
-        yield rows()
+        if held:
+            yield cells()
+
+    return run
 
 
-def settle(grp: np.ndarray, cls: np.ndarray, row: np.ndarray, doc: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Marks from the contexts of whole groups, sorted by group and class."""
+def settle(grp: np.ndarray, cls: np.ndarray, row: np.ndarray, doc: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Marks (row, place, windows) from the contexts of whole groups, sorted by group and class."""
     n = len(grp)
     new_group = np.r_[True, grp[1:] != grp[:-1]]
     new = new_group | np.r_[True, cls[1:] != cls[:-1]]
@@ -441,7 +498,7 @@ def settle(grp: np.ndarray, cls: np.ndarray, row: np.ndarray, doc: np.ndarray, p
     np.minimum.at(least, text, doc)
     alone = np.bincount(group[head], minlength=group[-1] + 1) == 1
     whole = alone[group] & (doc > least[text])
-    yield _rows(row[whole], place[whole], size[whole] - LENGTH + 1)
+    yield row[whole], place[whole], size[whole] - LENGTH + 1
 
     met = np.flatnonzero(~alone[group[head]])  # texts to be merged, by group
     met = met[np.argsort(group[head[met]], kind="stable")]
@@ -471,73 +528,72 @@ def settle(grp: np.ndarray, cls: np.ndarray, row: np.ndarray, doc: np.ndarray, p
     which = np.repeat(lo, hi - lo) + _steps(hi - lo)
     who = np.repeat(member, hi - lo)
     hit = doc[who] > span[which, 3]
-    yield _rows(row[who[hit]], place[who[hit]] + span[which[hit], 1], span[which[hit], 2])
+    yield row[who[hit]], place[who[hit]] + span[which[hit], 1], span[which[hit], 2]
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks from contexts sorted by group and class: whole groups, ROWS contexts or more at a time."""
-    held: list[pa.RecordBatch] = []
-    many, limit = 0, ROWS
+def _merge(blocks: int):
+    """Marks from cells of contexts, sorted by bucket."""
 
-    def whole(last: bool) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        grp = table["grp"].to_numpy()
-        final = len(grp) if last else int(np.searchsorted(grp, grp[-1]))
-        held[:] = table.slice(final).to_batches() if final < len(grp) else []
-        if final:
-            cls, row, doc, place = (table[c].to_numpy()[:final] for c in ("cls", "row_id", "doc_id", "place"))
-            texts = table["bytes"].chunk(0)
-            ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
-            yield from settle(grp[:final], cls, row, doc, place.astype(np.int64), ends[:final], np.diff(ends)[:final], np.frombuffer(texts.buffers()[2], np.uint8))
-
-    for batch in batches:
-        if len(batch):
-            held.append(batch)
-            many += len(batch)
-        if many >= limit:
-            yield from whole(False)
-            many = sum(map(len, held))
-            limit = max(ROWS, 2 * many)  # a large group is looked at again when it has doubled
-    if held:
-        yield from whole(True)
+    def settled(held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        unpacker = zstandard.ZstdDecompressor()
+        grp, cls, row, doc, place, size = (np.concatenate([_numbers(h[i], k) for h in held]) for i, k in enumerate(_HELD))
+        data = np.frombuffer(b"".join([unpacker.decompress(h[6]) for h in held]), np.uint8)
+        held.clear()
+        size = size.astype(np.int64)
+        start = np.cumsum(size) - size
+        order = np.lexsort((cls, grp))
+        edges = np.flatnonzero(np.r_[True, grp[order][1:] != grp[order][:-1], True])
+        marks, at = [], 0
+        while at < len(order):
+            upto = int(edges[min(np.searchsorted(edges, at + ROWS), len(edges) - 1)])  # whole groups
+            some = order[at:upto]
+            marks += settle(grp[some], cls[some], row[some], doc[some], place[some].astype(np.int64), start[some], size[some], data)
+            at = upto
+        columns = [np.concatenate([m[i] for m in marks]) for i in range(3)]
+        yield _cell_batch(_cells(_blocks(columns[0], blocks), [c.astype(k) for c, k in zip(columns, _ASKED, strict=False)]), _names(_MARKS))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = 0, []
+        for batch in batches:
+            for b, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket:
+                    yield from settled(held)
+                    bucket, held = b, []
+                held.append(columns)
+        yield from settled(held)
 
-CUT = "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
+    return run
 
 
-def _listed(column: pa.ListArray, *fields: str) -> Iterator[tuple[np.ndarray, ...]]:
-    """The fields of each row's list of structs; nothing for a null list."""
-    offsets = column.offsets.to_numpy()
-    values = [column.values.field(f).to_numpy() for f in fields]
-    for i in range(len(column)):
-        yield tuple(v[offsets[i] : offsets[i + 1]] for v in values)
+CUT = "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row_id, doc_id, text, marks) to what is left of each text, in batches of some MB."""
-    for batch in batches:
-        out: list[tuple] = []
-        size = 0
-        for row_id, doc_id, text, (place, n) in zip(*batch.columns[:3], _listed(batch.column(3), "place", "n"), strict=True):
-            data = (text.as_py() or "").encode("utf-8", "replace")
-            order = np.argsort(place, kind="stable")
-            begin = place[order].astype(np.int64)
-            end = np.maximum.accumulate(begin + n[order] + LENGTH - 1) if len(begin) else begin
-            new = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]]) if len(begin) else begin
-            spans = list(zip(begin[new].tolist(), end[np.r_[new[1:] - 1, len(end) - 1]].tolist() if len(new) else [], strict=True))
-            kept, at = [], 0
-            for first, last in spans:
-                kept.append(data[at:first])
-                at = last
-            kept.append(data[at:])
-            left = b"".join(kept)
-            out.append((row_id.as_py(), doc_id.as_py(), len(data), len(data) - len(left), len(spans), [{"start": x, "end": y} for x, y in spans], left))
-            size += len(left)
-            if size > 16 << 20:
-                yield _cut_batch(out)
-                out, size = [], 0
-        if out:
+    """Texts with their marks to what is left of them, in batches of some MB."""
+    out: list[tuple] = []
+    held = 0
+    for row_id, doc_id, text, (place, n) in _joined(batches, _ASKED[:3]):
+        data = (text or "").encode("utf-8", "replace")
+        order = np.argsort(place, kind="stable")
+        begin = place[order].astype(np.int64)
+        end = np.maximum.accumulate(begin + n[order] + LENGTH - 1) if len(begin) else begin
+        new = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]]) if len(begin) else begin
+        spans = list(zip(begin[new].tolist(), end[np.r_[new[1:] - 1, len(end) - 1]].tolist() if len(new) else [], strict=True))
+        kept, at = [], 0
+        for first, last in spans:
+            kept.append(data[at:first])
+            at = last
+        kept.append(data[at:])
+        left = b"".join(kept)
+        out.append((row_id, doc_id, len(data), len(data) - len(left), len(spans), [{"start": x, "end": y} for x, y in spans], left))
+        held += 64 + len(left)
+        if held > ARROW_BYTES:
             yield _cut_batch(out)
+            out, held = [], 0
+    if out:
+        yield _cut_batch(out)
 
 
 def _cut_batch(out: list[tuple]) -> pa.RecordBatch:
@@ -548,25 +604,28 @@ def _cut_batch(out: list[tuple]) -> pa.RecordBatch:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Marks (row_id, place, n): n windows from byte `place` on that repeat an earlier document."""
+    """Cells of marks: block, and packed rows, places and counts: so many windows from byte `place` on repeat an earlier document."""
     spark = docs.sparkSession
     ship(spark)
     rows = numbered(docs)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _buckets(spark)
     records = rows.mapInArrow(tidily(_classes(buckets)), _RECORDS).repartition("bucket").sortWithinPartitions("bucket")
-    sifted = stored(records.mapInArrow(tidily(_sift), _SIFTED), "sifted")
-    asked = sifted.where("grp is not null").groupBy("row_id").agg(F.collect_list(F.struct("place", "n", "grp", "cls")).alias("asked"))
-    contexts = rows.join(asked, "row_id").select("row_id", "doc_id", "text", "asked").mapInArrow(tidily(_fetch), _CONTEXTS)
-    merged = stored(contexts.repartition("grp").sortWithinPartitions("grp", "cls").mapInArrow(tidily(_merge), _MARKS), "merged")
-    alone = stored(sifted.where("grp is null").select("row_id", "place", "n"), "alone")
+    sifted = stored(records.mapInArrow(tidily(_sift(buckets)), _SIFTED), "sifted")
+    contexts = _met(sifted.where("grp is not null"), rows, buckets).mapInArrow(tidily(_fetch(buckets)), _CONTEXTS)
+    merged = stored(contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidily(_merge(buckets)), _MARKS), "merged")
+    alone = stored(sifted.where("grp is null").select(_names(_MARKS)), "alone")
     release(sifted)
     return alone.unionByName(merged)
 
 
+def _buckets(spark) -> int:
+    """Buckets of anchors and blocks of rows: one of them is held in a task at a time."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: row_id, doc_id, n_bytes, n_removed, n_spans, spans (removed bytes, end exclusive) and kept (the remaining bytes)."""
-    marks = repeated_passages(docs).groupBy("row_id").agg(F.collect_list(F.struct("place", "n")).alias("marks"))
-    return numbered(docs).join(marks, "row_id", "left").select("row_id", "doc_id", "text", "marks").mapInArrow(tidily(_cut), CUT)
+    return _met(repeated_passages(docs), numbered(docs), _buckets(docs.sparkSession)).mapInArrow(tidily(_cut), CUT)
 
 
 def op10_repeats(spark, sf_dir: str) -> DataFrame:

@@ -57,8 +57,8 @@ def test_synthetic(spark, case, monkeypatch):
         flat = np.frombuffer(b"".join(data[i][at : at + 50] for i, at in windows), np.uint8)
         doc, place = np.array([i for i, _ in windows]), np.array([at for _, at in windows])
         zero = np.zeros(len(windows), np.int64)
-        for batch in repeats.settle(zero, zero, doc, doc, place, np.cumsum(size) - 50, size, flat):
-            for i, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for marks in repeats.settle(zero, zero, doc, doc, place, np.cumsum(size) - 50, size, flat):
+            for i, at, n in zip(*(c.tolist() for c in marks), strict=True):
                 got[i][at : at + n + 49] = b"\1" * (n + 49)
         assert {i: sum(g) for i, g in got.items()} == {i: n for i, (n, _, _) in brute.repeats(texts).items()}
         return
@@ -75,8 +75,8 @@ def test_marks_come_from_the_merge_or_from_compared_bytes(spark, monkeypatch):
     records = pa.Table.from_batches(repeats._classes(1)(iter([batch])))
     marked = sum(len(n) for a, n in zip(records["anchor"].to_pylist(), records["n"].to_pylist(), strict=True) if a is None)
     assert marked
-    sifted = pa.Table.from_batches(repeats._sift(iter(records.to_batches())))
-    assert sum(g is None for g in sifted["grp"].to_pylist()) == marked  # hashes that meet only route
+    sifted = pa.Table.from_batches(repeats._sift(1)(iter(records.to_batches())))
+    assert sum(len(n) for g, n in zip(sifted["grp"].to_pylist(), sifted["n"].to_pylist(), strict=True) if g is None) == marked  # hashes that meet only route
     monkeypatch.setattr(repeats, "same_bytes", lambda data, first, second, size: np.zeros(len(first), bool))
     none = pa.Table.from_batches(repeats._classes(1)(iter([batch])))
     assert None not in none["anchor"].to_pylist()
