@@ -68,6 +68,8 @@ TOGETHER, SHARDS = 1024, 4
 CROWD, WIDEST = 4096, 2 * LENGTH - GRAM
 #: Classes that a task remembers, contexts whose bytes are read at once, and rows that are settled at once.
 KNOWN, READ, ROWS = 20_000, 20_000, 20_000
+#: Rows that a task gathers before it sends them, so that a cell holds many.
+GATHERED = 400_000
 
 _WORDS = np.array([int.from_bytes(hashlib.sha256(b"repeats %d" % b).digest()[:8], "little") | 1 for b in range(256)], np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -223,11 +225,35 @@ def _cell_batch(cells: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)], names)
 
 
-def _classes(buckets: int):
-    """Records by bucket of the anchor: packed columns, one row a piece and bucket; marks that a task settles alone have no anchor, and the block of their rows."""
+class _Packer:
+    """Gathers rows of a task and sends GATHERED of them at a time as cells."""
+
+    def __init__(self, schema: str, kinds: tuple):
+        self.names, self.kinds = _names(schema), kinds
+        self.held: list[tuple] = []
+        self.n = 0
+
+    def add(self, block: np.ndarray, *columns: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if len(block):
+            self.held.append((block, *[None if c is None else c.astype(k) for c, k in zip(columns, self.kinds, strict=True)]))
+            self.n += len(block)
+        if self.n >= GATHERED:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            block, *columns = zip(*self.held, strict=True)
+            cells = _cells(np.concatenate(block), [None if c[0] is None else np.concatenate(c) for c in columns])
+            self.held, self.n = [], 0
+            yield _cell_batch(cells, self.names)
+
+
+def _classes(buckets: int, blocks: int):
+    """Records by bucket of the anchor, in cells; marks that a task settles alone have no anchor, and the block of their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known()
+        records, alone = _Packer(_RECORDS, _RECORD), _Packer(_RECORDS, _RECORD)
         for data, sizes, of in _pieces(batches):
             found = Contexts(data, sizes)
             row_ids, doc_ids, offsets = (np.array(x, np.int64) for x in zip(*of, strict=True))
@@ -250,15 +276,16 @@ def _classes(buckets: int):
             repeated = np.flatnonzero((np.bincount(cls[settled], minlength=len(first)) > 0) & (doc[first] < before))
             known.learn(name[repeated], doc[first[repeated]], text(repeated))
             marked, sent = order[settled], order[~settled]
-            types = ((row, np.int64), (doc, np.int64), (place, np.int32), (n, np.uint8))
-            cells = _cells((key[sent] >> np.uint64(40)).astype(np.int64) % buckets, [key[sent], context[sent], *[x[sent].astype(t) for x, t in types]])
-            cells += _cells(_blocks(row[marked], buckets), [None, None, *[x[marked].astype(t) for x, t in types]])
-            yield _cell_batch(cells, ["bucket", "anchor", "context", "row_id", "doc_id", "place", "n"])
+            yield from records.add((key[sent] >> np.uint64(40)).astype(np.int64) % buckets, key[sent], context[sent], row[sent], doc[sent], place[sent], n[sent])
+            yield from alone.add(_blocks(row[marked], blocks), None, None, row[marked], doc[marked], place[marked], n[marked])
+        yield from records.rest()
+        yield from alone.rest()
 
     return run
 
 
 _RECORDS = "bucket int, anchor binary, context binary, row_id binary, doc_id binary, place binary, n binary"
+_RECORD = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint8)
 #: Cells of contexts that are asked for, or (without grp and cls) of marks.
 _SIFTED = "block int, rows binary, place binary, n binary, grp binary, cls binary"
 _ASKED = (np.int64, np.int32, np.uint8, np.int64, np.int16)
@@ -269,17 +296,16 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _sift(buckets: int):
+def _sift(blocks: int):
     """From records, sorted by bucket: marks, and the contexts of anchors of two documents or more.
 
     grp numbers the anchors, cls the classes of each, or is -1 if there are more than CROWD.
     """
-    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint8)
 
-    def settled(bucket: int, held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def settled(bucket: int, held: list[list[bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
         if not held:
             return
-        key, context, row, doc, place, n = (np.concatenate([_numbers(b, k) for b in x]) for x, k in zip(zip(*held, strict=True), kinds, strict=True))
+        key, context, row, doc, place, n = (np.concatenate([_numbers(b, k) for b in x]) for x, k in zip(zip(*held, strict=True), _RECORD, strict=True))
         order = np.argsort(key, kind="stable")
         new = np.r_[True, key[order][1:] != key[order][:-1]]
         at = np.flatnonzero(new)
@@ -296,11 +322,16 @@ def _sift(buckets: int):
         cls -= cls[np.flatnonzero(new_key)][group]
         crowded = np.maximum.reduceat(cls, np.flatnonzero(new_key)) >= CROWD
         cls[crowded[group]] = -1
-        columns = (row[order], place[order], n[order], bucket << 32 | group, cls)
-        yield _cell_batch(_cells(_blocks(row[order], buckets), [c.astype(k) for c, k in zip(columns, _ASKED, strict=True)]), _names(_SIFTED))
+        yield row[order], place[order], n[order], bucket << 32 | group, cls
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = _Packer(_SIFTED, _ASKED)
         bucket, held = 0, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for columns in settled(bucket, held):
+                yield from asked.add(_blocks(columns[0], blocks), *columns)
+
         for batch in batches:
             marks = []
             for b, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -309,12 +340,13 @@ def _sift(buckets: int):
                     marks.append((b, row, place, n, None, None))
                     continue
                 if b != bucket:
-                    yield from settled(bucket, held)
+                    yield from close()
                     bucket, held = b, []
                 held.append(columns)
             if marks:
                 yield _cell_batch(marks, _names(_SIFTED))
-        yield from settled(bucket, held)
+        yield from close()
+        yield from asked.rest()
 
     return run
 
@@ -534,7 +566,7 @@ def settle(grp: np.ndarray, cls: np.ndarray, row: np.ndarray, doc: np.ndarray, p
 def _merge(blocks: int):
     """Marks from cells of contexts, sorted by bucket."""
 
-    def settled(held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def settled(held: list[list[bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
         if not held:
             return
         unpacker = zstandard.ZstdDecompressor()
@@ -545,24 +577,29 @@ def _merge(blocks: int):
         start = np.cumsum(size) - size
         order = np.lexsort((cls, grp))
         edges = np.flatnonzero(np.r_[True, grp[order][1:] != grp[order][:-1], True])
-        marks, at = [], 0
+        at = 0
         while at < len(order):
             upto = int(edges[min(np.searchsorted(edges, at + ROWS), len(edges) - 1)])  # whole groups
             some = order[at:upto]
-            marks += settle(grp[some], cls[some], row[some], doc[some], place[some].astype(np.int64), start[some], size[some], data)
+            yield from settle(grp[some], cls[some], row[some], doc[some], place[some].astype(np.int64), start[some], size[some], data)
             at = upto
-        columns = [np.concatenate([m[i] for m in marks]) for i in range(3)]
-        yield _cell_batch(_cells(_blocks(columns[0], blocks), [c.astype(k) for c, k in zip(columns, _ASKED, strict=False)]), _names(_MARKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = _Packer(_MARKS, _ASKED[:3])
         bucket, held = 0, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for columns in settled(held):
+                yield from marks.add(_blocks(columns[0], blocks), *columns)
+
         for batch in batches:
             for b, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != bucket:
-                    yield from settled(held)
+                    yield from close()
                     bucket, held = b, []
                 held.append(columns)
-        yield from settled(held)
+        yield from close()
+        yield from marks.rest()
 
     return run
 
@@ -608,24 +645,24 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     rows = numbered(docs)
-    buckets = _buckets(spark)
-    records = rows.mapInArrow(tidily(_classes(buckets)), _RECORDS).repartition("bucket").sortWithinPartitions("bucket")
-    sifted = stored(records.mapInArrow(tidily(_sift(buckets)), _SIFTED), "sifted")
-    contexts = _met(sifted.where("grp is not null"), rows, buckets).mapInArrow(tidily(_fetch(buckets)), _CONTEXTS)
-    merged = stored(contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidily(_merge(buckets)), _MARKS), "merged")
+    blocks = _blocks_of(spark)
+    records = rows.mapInArrow(tidily(_classes(4 * blocks, blocks)), _RECORDS).repartition("bucket").sortWithinPartitions("bucket")
+    sifted = stored(records.mapInArrow(tidily(_sift(blocks)), _SIFTED), "sifted")
+    contexts = _met(sifted.where("grp is not null"), rows, blocks).mapInArrow(tidily(_fetch(blocks)), _CONTEXTS)
+    merged = stored(contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidily(_merge(blocks)), _MARKS), "merged")
     alone = stored(sifted.where("grp is null").select(_names(_MARKS)), "alone")
     release(sifted)
     return alone.unionByName(merged)
 
 
-def _buckets(spark) -> int:
-    """Buckets of anchors and blocks of rows: one of them is held in a task at a time."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _blocks_of(spark) -> int:
+    """Blocks of rows, and buckets of contexts: a task holds the numbers of one at a time, so they are as many as the session's shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: row_id, doc_id, n_bytes, n_removed, n_spans, spans (removed bytes, end exclusive) and kept (the remaining bytes)."""
-    return _met(repeated_passages(docs), numbered(docs), _buckets(docs.sparkSession)).mapInArrow(tidily(_cut), CUT)
+    return _met(repeated_passages(docs), numbered(docs), _blocks_of(docs.sparkSession)).mapInArrow(tidily(_cut), CUT)
 
 
 def op10_repeats(spark, sf_dir: str) -> DataFrame:

@@ -45,6 +45,7 @@ def test_synthetic(spark, case, monkeypatch):
     if case == "small pieces":
         monkeypatch.setattr(repeats, "BATCH", 2000)
         monkeypatch.setattr(repeats, "READ", 3)
+        monkeypatch.setattr(repeats, "GATHERED", 50)
     if case == "few rows":
         monkeypatch.setattr(repeats, "ROWS", 7)
         monkeypatch.setattr(repeats, "TOGETHER", 3)
@@ -72,13 +73,13 @@ def test_marks_come_from_the_merge_or_from_compared_bytes(spark, monkeypatch):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_pydict({"row_id": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "text": [r[2] for r in rows]})
-    records = pa.Table.from_batches(repeats._classes(1)(iter([batch])))
+    records = pa.Table.from_batches(repeats._classes(1, 1)(iter([batch])))
     marked = sum(len(n) for a, n in zip(records["anchor"].to_pylist(), records["n"].to_pylist(), strict=True) if a is None)
     assert marked
     sifted = pa.Table.from_batches(repeats._sift(1)(iter(records.to_batches())))
     assert sum(len(n) for g, n in zip(sifted["grp"].to_pylist(), sifted["n"].to_pylist(), strict=True) if g is None) == marked  # hashes that meet only route
     monkeypatch.setattr(repeats, "same_bytes", lambda data, first, second, size: np.zeros(len(first), bool))
-    none = pa.Table.from_batches(repeats._classes(1)(iter([batch])))
+    none = pa.Table.from_batches(repeats._classes(1, 1)(iter([batch])))
     assert None not in none["anchor"].to_pylist()
 
 
@@ -92,7 +93,7 @@ def test_a_task_sends_a_repeated_class_once(monkeypatch):
 
     def sent(ids):
         batch = pa.RecordBatch.from_pydict({"row_id": ids, "doc_id": ids, "text": [texts[i] for i in ids]})
-        out = pa.Table.from_batches(repeats._classes(1)(iter([batch])))
+        out = pa.Table.from_batches(repeats._classes(1, 1)(iter([batch])))
         return sum(len(n) for a, n in zip(out["anchor"].to_pylist(), out["n"].to_pylist(), strict=True) if a is not None)
 
     contexts = sent([0])
