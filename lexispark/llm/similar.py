@@ -3,18 +3,23 @@
 Near copies with some per cent of their words changed differ in more bits of a
 64-bit fingerprint than its keys cover. Here a document's signature has TABLES
 fingerprints, made from one hash of each shingle by TABLES mixings: 512 bits, cut
-into 22 segments of 23 bits. The Golay code's decoding makes each segment's index
-fuzzy by itself: two words a few bits apart often have the same nearest codeword.
-Two signatures meet under a key for each pair of segments in which they decode
-alike. With p of the bits different, a segment agrees with some probability q(p),
-and two of 22 must: q is about 0.15 at a Jaccard similarity of 0.8, 0.25 at 0.85
-and 0.4 at 0.9, so that roughly
-86, 98 and 100 of 100 such pairs meet by this count, and fewer of short texts.
+into 22 segments of 23 bits, each decoded to its Golay codeword's index. The
+decoding makes an index fuzzy by itself: two words a few bits apart often have the
+same nearest codeword. Two signatures meet under a key for each pair of segments in
+which they decode alike. By the pigeonhole principle signatures that differ in 20 of
+the 506 bits at most have two segments without an error and always meet. Beyond
+that they meet with a probability: a segment's own index agrees in 12 of 100 cases
+at a Jaccard similarity of 0.8, 16 at 0.85 and 22 at 0.9, and two of 22 must. The
+nearby indices of one segment (as the 64-bit form uses) agree in 30, 37 and 49 of 100
+cases, but cost five keys each: for the same number of keys, pairs of own indices
+find about two and a half times as many, so here each segment gives its own
+index, and more pairs of segments are used instead.
 
 Under each key, the first 128 bits of the signatures that meet are compared, and
-only a minimum spanning forest of those within CLOSE bits is emitted, in blocks of
-CROWD members. Every emitted pair is verified by the exact Jaccard similarity of
-the two shingle sets, and verified pairs are joined to components.
+a minimum spanning forest of those within CLOSE bits is emitted, so that the cost
+stays linear in the members; of a key with more than CROWD of them, in blocks that
+share a member, as the rows come. Every emitted pair is verified by the exact Jaccard
+similarity of the two shingle sets, and verified pairs are joined to components.
 
 That search is fast, not whole: signatures can fail to meet, a forest can run over
 a member that is not similar, and blocks are not compared with each other. So a
@@ -168,6 +173,10 @@ def _span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if final:
             yield groups(*(r[:final] for r in rows))
         held = [r[final:] for r in rows]
+        full = (len(held[0]) - 1) // CROWD * CROWD
+        if full > 0:  # a crowded key isn't held: its blocks go as they are full, and the last member opens the next
+            yield groups(*(r[: full + 1] for r in held))
+            held = [r[full:] for r in held]
     if held is not None and len(held[0]):
         yield groups(*held)
 
@@ -318,7 +327,8 @@ def _across(similarity: float):
                 continue
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            final = int(np.searchsorted(rows[0], rows[0][-1]))
+            others = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            final = int(others[-1]) + 1 if len(others) else 0
             if final:
                 yield from groups([r[:final] for r in rows])
             held = [r[final:] for r in rows]

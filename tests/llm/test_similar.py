@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lexispark.llm import similar
 from tests.llm import brute
@@ -142,3 +143,28 @@ def test_blocks_of_a_crowded_key_meet(spark, monkeypatch):
     blocked, rows = pairs(7)
     assert blocked == whole == {(i, j) for i in ids for j in ids if i < j}
     assert max(Counter(zip(rows["key"].to_pylist(), rows["part"].to_pylist(), strict=True)).values()) < 30  # of 120
+
+
+@pytest.mark.parametrize("low, high", [(0.8, 0.82), (0.82, 0.85), (0.85, 0.9), (0.9, 1.0)])
+def test_components_of_planted_pairs_by_similarity(spark, low, high):
+    """pipeline: in each band of similarity, all components are those of all pairs."""
+    rng = random.Random(int(1000 * low))
+    texts, planted = {}, 0
+    while planted < 60:
+        words = [f"u{rng.randrange(10**6)}" for _ in range(rng.choice((40, 120, 400)))]
+        other = changed(rng, words, rng.uniform(0.0, 0.05))
+        x, y = (set(zip(*(t[k:] for k in range(5)), strict=False)) for t in (words, other.split()))
+        if low <= len(x & y) / len(x | y) < high:
+            texts[2 * planted], texts[2 * planted + 1] = " ".join(words), other
+            planted += 1
+    assert exact(spark, texts) == 60
+
+
+def test_two_interleaved_clusters_under_crowded_keys(spark, monkeypatch):
+    """pipeline: members of one cluster in different blocks of a key."""
+    rng = random.Random(16)
+    bases = [[f"{c}{i}" for i in range(120)] for c in "ab"]
+    texts = {i: changed(rng, bases["AABBAA"[i % 6] == "B"], 0.01) for i in range(60)}
+    monkeypatch.setattr(similar, "CROWD", 2)
+    monkeypatch.setattr(similar, "OFTEN", 2)
+    assert exact(spark, texts) == 58
