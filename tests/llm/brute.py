@@ -77,8 +77,8 @@ def similar(texts, words=5, least=0.8):
     return {i: find(i) for i in ids}
 
 
-def languages(rows, code, buckets=8192, sharpness=6.0):
-    """doc_id -> (held out, language, score); rows (doc_id, text, lang). code gives the codewords."""
+def languages(rows, code, buckets=8192, sharpness=6.0, ambiguous=0.5):
+    """doc_id -> (held out, language, score, ambiguous); rows (doc_id, text, lang). code gives the codewords."""
 
     def grams(text):
         data = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in f" {text.lower()} ".encode())
@@ -95,6 +95,7 @@ def languages(rows, code, buckets=8192, sharpness=6.0):
     words = code(len(names)).tolist()
     share = [[(total[n][b] + 1) / (sum(total[n].values()) + buckets) for b in range(buckets)] for n in names]
     bits = range(len(words[0]))
+    radius = (min((sum(a != b for a, b in zip(x, y, strict=True)) for n, x in enumerate(words) for y in words[:n]), default=1) - 1) // 2
     odds, scale, weight = [], [], [[0.0] * len(words[0]) for _ in names]
     for bit in bits:
         one, zero = ([k for k in range(len(names)) if words[k][bit] == side] for side in (1, -1))
@@ -107,11 +108,13 @@ def languages(rows, code, buckets=8192, sharpness=6.0):
     out = {}
     for i, text, _ in rows:
         if not lettered[i]:
-            out[i] = held[i], "und", 0.0
+            out[i] = held[i], "und", 0.0, True
             continue
         seen = grams(text)
         margin = [scale[b] * sum(n * odds[b][g] for g, n in seen.items()) / max(sum(seen.values()), 1) for b in bits]
         loss = [sum(w * math.log1p(math.exp(-2 * m * c)) for w, m, c in zip(weight[k], margin, words[k], strict=True)) / sum(weight[k]) for k in range(len(names))]
         best = min(range(len(names)), key=loss.__getitem__)
-        out[i] = held[i], names[best], 1 / sum(math.exp(-sharpness * (x - loss[best])) for x in loss)
+        score = 1 / sum(math.exp(-sharpness * (x - loss[best])) for x in loss)
+        off = sum((m > 0) - (m < 0) != c for m, c in zip(margin, words[best], strict=True))
+        out[i] = held[i], names[best], score, off > radius and score < ambiguous
     return out

@@ -70,8 +70,8 @@ def test_predictions_against_loops(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     want = brute.languages([(r.doc_id, r.text, r.lang) for r in rows], language_id.code)
     for r in language_id.op8_language_id(spark, sf_dir).collect():
-        held_out, lang, score = want[r.doc_id]
-        assert (r.held_out, r.lang_pred) == (held_out, lang)
+        held_out, lang, score, ambiguous = want[r.doc_id]
+        assert (r.held_out, r.lang_pred, r.ambiguous) == (held_out, lang, ambiguous)
         assert abs(r.score - score) < 1e-9
 
 
