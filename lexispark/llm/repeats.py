@@ -357,7 +357,7 @@ def _met(cells: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
     texts = rows.select(at.alias("block"), F.lit(1).alias("kind"), "row_id", "doc_id", "text")
     packed = [c for c in cells.columns if c != "block"]
     both = texts.unionByName(cells.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    return both.select("block", "kind", "row_id", "doc_id", "text", *packed).repartition("block").sortWithinPartitions("block", "kind")
+    return both.select("block", "kind", "row_id", "doc_id", "text", *packed).repartitionById(blocks, "block").sortWithinPartitions("block", "kind")
 
 
 def _joined(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[tuple]:
@@ -646,10 +646,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ship(spark)
     rows = numbered(docs)
     blocks = _blocks_of(spark)
-    records = rows.mapInArrow(tidily(_classes(4 * blocks, blocks)), _RECORDS).repartition("bucket").sortWithinPartitions("bucket")
+    records = rows.mapInArrow(tidily(_classes(4 * blocks, blocks)), _RECORDS)
+    records = records.repartitionById(blocks, F.expr(f"bucket % {blocks}")).sortWithinPartitions("bucket")
     sifted = stored(records.mapInArrow(tidily(_sift(blocks)), _SIFTED), "sifted")
     contexts = _met(sifted.where("grp is not null"), rows, blocks).mapInArrow(tidily(_fetch(blocks)), _CONTEXTS)
-    merged = stored(contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidily(_merge(blocks)), _MARKS), "merged")
+    merged = stored(contexts.repartitionById(blocks, "bucket").sortWithinPartitions("bucket").mapInArrow(tidily(_merge(blocks)), _MARKS), "merged")
     alone = stored(sifted.where("grp is null").select(_names(_MARKS)), "alone")
     release(sifted)
     return alone.unionByName(merged)
