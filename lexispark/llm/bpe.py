@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import ship, table, tidily
 
 #: Words, pairs and chunks that a Python worker remembers before it starts afresh.
-CACHE = 350_000
+CACHE = 250_000
 #: New chunks that go into one trie, and chunks that wait for it at most.
 TOGETHER, WAITING = 40_000, 200_000
 #: Bytes of results sent to the JVM at once.
@@ -137,7 +137,7 @@ class TrieEncoder:
         key = left << 20 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 2 * CACHE:
+            if len(self.fits) > CACHE:
                 self.fits.clear()
             known = self.fits[key] = self._apart(left, right)
         return known
@@ -253,6 +253,12 @@ class TrieEncoder:
                 held, new, size = [], set(), 0
         yield from self._flush(held, new)
 
+    def rest(self) -> None:
+        """A task ends: caches that are half full are emptied, so that workers don't keep them beside other work."""
+        if len(self.ids) > CACHE // 2:
+            for cache in (self.ids, self.words, self.fits):
+                cache.clear()
+
     def _flush(self, held: list[list[str]], new: set[str]) -> Iterator[tuple[bytes, str]]:
         if len(self.ids) + len(new) > CACHE:
             self.ids.clear()
@@ -293,6 +299,7 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
                 if held > OUT_BYTES or i == len(texts):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i - begin), pa.array(ids, pa.binary()), pa.array(shown, pa.string())], ["doc_id", "ids", "decoded"])
                     begin, ids, shown, held = i, [], [], 0
+        encoder.rest()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidily(run), SCHEMA)
 
