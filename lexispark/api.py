@@ -10,10 +10,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark import providers
-from lexispark.operators import browse, search
+from lexispark.operators import browse, review, search
 from lexispark.sources import feedback, tables
 
 
+@dataclass
+class Review:
+    """Base rows, edits and deleted ids of a review, and what it offers (2.11). Tables in, tables out: the caller stores them."""
+
+    base: DataFrame
+    edits: DataFrame
+    deleted: DataFrame
+    fields: tuple[str, ...]
+    allowed: list[str]
+    keywords: str = "keywords"
+
+    def progress(self) -> DataFrame:
+        return review.progress(self.base, self.edits, self.deleted)
+
+    def entry(self, wanted) -> DataFrame:
+        return review.entry(self.base, self.edits, self.deleted, wanted, self.fields)
+
+    def next(self, at: int) -> DataFrame:
+        return review.next_live(self.base, self.deleted, at)
+
+    def new(self, defaults: dict[str, str] | None = None) -> DataFrame:
+        return review.new_row(self.base, self.edits, self.fields, defaults)
+
+    def save(self, changes: DataFrame) -> DataFrame:
+        """The edits with these changes; keywords outside the list raise."""
+        return review.saved(self.edits, changes, self.allowed, self.keywords)
+
+    def delete(self, wanted) -> DataFrame:
+        gone = self.entries_spark.createDataFrame([(wanted,)], self.deleted.select("id").schema)
+        return self.deleted.select("id").unionByName(gone).distinct()
+
+    def restore(self, wanted) -> DataFrame:
+        return self.deleted.select("id").where(F.col("id") != wanted)
+
+    def export(self) -> DataFrame:
+        """What is left of the base with its edits, and then the new rows in their order."""
+        old = review.applied(self.base, self.edits.join(self.base.select("id"), "id", "left_semi"), self.deleted, self.fields)
+        return old.unionByName(review.appended(self.base, self.edits, self.deleted, self.fields))
+
+    @property
+    def entries_spark(self) -> SparkSession:
+        return self.base.sparkSession
+
+
 @dataclass
 class Corpus:
     """Entries (ordinal, id, Alphabet, base_alphabet, poem, category, explanation, keywords), their vectors and keyword vectors."""
@@ -57,6 +101,11 @@ class Corpus:
             raise ValueError("status is like or dislike")
         feedback.append(spark.createDataFrame([(poem_id, username, status, text)], "poem_id int, username string, status string, interpretation string"), path)
 
+    def learning(self, path: str) -> DataFrame:
+        """Topics with their poems, blanks and texts, in the document's order (2.11)."""
+        doc = tables.read_json(self.entries.sparkSession, path, tables.LEARNING)
+        return doc.select(F.posexplode("doc").alias("topic_place", "t")).select("topic_place", "t.topic", "t.poems")
+
     def images(self, path: str, pattern: str = "*") -> DataFrame:
         """Each entry with the path of its image, null if there is none."""
         spark: SparkSession = self.entries.sparkSession

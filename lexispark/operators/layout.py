@@ -96,9 +96,9 @@ def paragraphs(lines: DataFrame, group: Sequence[str]) -> DataFrame:
     order = Window.partitionBy(*group).orderBy("line_idx")
     end = F.col("y") + F.col("h")
     spaced = lines.withColumn("gap", F.col("y") - F.lag(end).over(order)).withColumn("before", F.lag(t.strip(F.col("text"))).over(order))
-    usual = spaced.where("gap > 0").groupBy(*group).agg(F.array_sort(F.collect_list("gap")).alias("g"))
-    usual = usual.select(*group, F.greatest(F.lit(LEAST), F.element_at("g", F.floor(F.size("g") / 2).cast("int") + 1)).alias("usual"))
-    rows = spaced.join(usual, list(group), "left").withColumn("usual", F.coalesce("usual", F.lit(TYPICAL))).withColumn("text", t.strip(F.col("text"))).where("text <> ''")
+    g_ = F.array_sort(F.collect_list(F.when(F.col("gap") > 0, F.col("gap"))).over(Window.partitionBy(*group)))  # in the partitions that the order has made
+    usual = F.when(F.size(g_) > 0, F.greatest(F.lit(LEAST), F.try_element_at(g_, F.floor(F.size(g_) / 2).cast("int") + 1))).otherwise(TYPICAL)
+    rows = spaced.withColumn("usual", usual).withColumn("text", t.strip(F.col("text"))).where("text <> ''")
     wide = (F.col("gap") >= WIDE * F.col("usual")) | (F.col("gap") >= PARAGRAPH)
     breaks = F.coalesce(F.col("before").rlike(t.SENTENCE_END) & wide, F.lit(False))
     islands = rows.withColumn("paragraph", F.sum(breaks.cast("int")).over(order))
@@ -170,7 +170,58 @@ def stitched(pages: DataFrame, book: Sequence[str], place: str, entry: Column, t
 
 
 def without_pages(pages: DataFrame, listed: str, number: str = "page_num") -> DataFrame:
-    """Pages that a list like "1,2,51-53" doesn't name."""
-    spark = pages.sparkSession
-    gone = spark.range(1).select(F.explode(t.page_numbers(F.lit(listed))).alias(number))
-    return pages.join(F.broadcast(gone), number, "left_anti")
+    """Pages that a list like "1,2,51-53" doesn't name (F20, U3, A22): a filter, however long the ranges are."""
+    gone = F.exists(t.page_ranges(F.lit(listed)), lambda r: F.col(number).between(r["low"], r["high"]))
+    return pages.where(F.col(number).isNull() | ~gone)
+
+
+def orphans(segmented: DataFrame, page: Sequence[str]) -> DataFrame:
+    """The text in front of each page's first entry, as paragraphs."""
+    lines = segmented.where("role = 'orphan'")
+    return paragraphs(lines, page).groupBy(*page).agg(_joined("text", "paragraph", "\n").alias("orphan"))
+
+
+def parts(segmented: DataFrame, page: Sequence[str], book: Sequence[str], place: str) -> DataFrame:
+    """(book, entry page and number, page, box): where each entry stands, on its own page and on those that carry it on.
+
+    Orphan lines belong to the last entry of the pages before, or to none.
+    """
+    own = segmented.where("entry_idx is not null").select(*book, place, F.col(place).alias("entry_place"), "entry_idx", "x", "y", "w", "h")
+    lost = segmented.where("role = 'orphan'").select(*book, place, "x", "y", "w", "h").join(last_entries(segmented, book, place), [*book, place])
+    every = own.unionByName(lost.select(*book, place, F.col("active.place").alias("entry_place"), F.col("active.entry_idx").alias("entry_idx"), "x", "y", "w", "h"))
+    box = g.padded_bounds(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
+    return every.groupBy(*book, "entry_place", "entry_idx", place).agg(box.alias("box"))
+
+
+def last_entries(segmented: DataFrame, book: Sequence[str], place: str) -> DataFrame:
+    """A row a page: its last entry, and the last one of the pages before it as `active`."""
+    pages = segmented.groupBy(*book, place).agg(F.max("entry_idx").alias("last"))
+    return carried(pages, book, place, F.when(F.col("last").isNotNull(), F.struct(F.col(place).alias("place"), F.col("last").alias("entry_idx"))))
+
+
+def exported(lines: DataFrame, book: Sequence[str], place: str, is_category: Column | None = None) -> DataFrame:
+    """All pages of a book to entries as they are exported: id, poem, category, explanation, pages.
+
+    A page's orphan text carries on the explanation of the last entry before it;
+    without such an entry it is a row of its own with blank poem and category.
+    """
+    page = [*book, place]
+    segmented = segments(lines, page, is_category)
+    found = entries(segmented, page)
+    more = orphans(segmented, page).join(last_entries(segmented, book, place), page)
+    joined = more.where("active is not null").groupBy(*book, "active").agg(F.array_sort(F.collect_list(F.struct(place, "orphan"))).alias("more"))
+    joined = joined.select(*book, F.col("active.place").alias(place), F.col("active.entry_idx").alias("entry_idx"), "more")
+    texts = F.concat(F.array(F.coalesce("explanation", F.lit(""))), F.coalesce(F.transform("more", lambda m: t.clean_explanation(m["orphan"])), F.array().cast("array<string>")))
+    pages = F.concat(F.array(F.col(place).cast("string")), F.coalesce(F.transform("more", lambda m: m[place].cast("string")), F.array().cast("array<string>")))
+    whole = found.join(joined, [*page, "entry_idx"], "left").select(
+        "id", F.coalesce("poem", F.lit("")).alias("poem"), "category", F.array_join(F.filter(texts, lambda x: x != ""), " ").alias("explanation"), F.array_join(pages, ",").alias("pages")
+    )
+    first = more.where("active is null").groupBy(*book).agg(F.array_sort(F.collect_list(F.struct(place, "orphan"))).alias("more"))
+    blank = first.select(
+        F.sha2(F.concat_ws("/", *[F.col(k).cast("string") for k in book], F.lit("front")), 256).alias("id"),
+        F.lit("").alias("poem"),
+        F.lit("").alias("category"),
+        F.array_join(F.filter(F.transform("more", lambda m: t.clean_explanation(m["orphan"])), lambda x: x != ""), " ").alias("explanation"),
+        F.array_join(F.transform("more", lambda m: m[place].cast("string")), ",").alias("pages"),
+    )
+    return whole.unionByName(blank)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark.sources.tables import scratch
+
 
 def flatten(nested: DataFrame, key: str, items: str) -> DataFrame:
     """A row for each item, with its place."""
@@ -27,11 +29,14 @@ def topics(rows: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """Adds a running number from 0 in a global order.
 
-    Rows are range-partitioned and numbered within partitions; each partition's
-    offset comes from the counts of those before it, of which there are as many
-    as partitions. The sorted rows are persisted so that both reads see one order.
+    Rows are range-partitioned and sorted once, and written so: a lost executor
+    changes no number, and rows that tie keep theirs. A row's number is its place in
+    its partition and the counts of those before it, of which there are as many as
+    partitions.
     """
-    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    path = scratch(rows.sparkSession, "numbered")
+    rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = rows.sparkSession.read.parquet(path)
     part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -29,8 +29,8 @@ def entry(base: DataFrame, edits: DataFrame, deleted: DataFrame, wanted, fields:
 
 
 def progress(base: DataFrame, edits: DataFrame, deleted: DataFrame, key: str = "id") -> DataFrame:
-    """Largest id, and edits that aren't deleted."""
-    total = base.select(F.col(key).cast("long").alias("i")).unionByName(edits.select(F.col(key).cast("long").alias("i"))).agg(F.max("i").alias("total"))
+    """The number of base rows or the largest numeric id of an edit, if that is more; and edits that aren't deleted."""
+    total = _largest(base, edits, key)
     reviewed = edits.select(key).distinct().join(deleted.select(key), key, "left_anti").agg(F.count("*").alias("reviewed"))
     return total.join(F.broadcast(reviewed))
 
@@ -43,10 +43,37 @@ def next_live(base: DataFrame, deleted: DataFrame, at: int, key: str = "id") ->
     )
 
 
+def _largest(base: DataFrame, edits: DataFrame, key: str) -> DataFrame:
+    """Ids that aren't numbers, such as those of exported pages, count as rows but have no place in the order."""
+    rows = base.agg(F.count("*").alias("rows"))
+    ids = edits.agg(F.max(F.col(key).cast("string").try_cast("long")).alias("i"))
+    return rows.join(F.broadcast(ids)).select(F.greatest("rows", "i").alias("total"))
+
+
 def new_id(base: DataFrame, edits: DataFrame, key: str = "id") -> DataFrame:
-    """One more than the largest numeric id."""
-    ids = base.select(F.col(key).cast("string").try_cast("long").alias("i")).unionByName(edits.select(F.col(key).cast("string").try_cast("long").alias("i")))
-    return ids.agg((F.coalesce(F.max("i"), F.lit(0)) + 1).alias("new_id"))
+    """One more than the number of base rows, or than the largest numeric id of an edit."""
+    return _largest(base, edits, key).select((F.col("total") + 1).alias("new_id"))
+
+
+def new_row(base: DataFrame, edits: DataFrame, fields: tuple[str, ...], defaults: dict[str, str] | None = None, key: str = "id") -> DataFrame:
+    """The next row as it is offered: its id, and a default or a blank in each field."""
+    values = [F.lit((defaults or {}).get(f, "")).alias(f) for f in fields]
+    return new_id(base, edits, key).select(F.col("new_id").cast("string").alias(key), *values)
+
+
+def appended(base: DataFrame, edits: DataFrame, deleted: DataFrame, fields: tuple[str, ...], key: str = "id") -> DataFrame:
+    """Rows that only edits have, not deleted, in the order they are appended: by number, then ids that aren't numbers (K9)."""
+    new = edits.join(base.select(key), key, "left_anti").join(deleted.select(key), key, "left_anti").select(key, *fields)
+    number = F.col(key).cast("string").try_cast("long")
+    return new.orderBy(number.isNull(), number, F.col(key).cast("string"))
+
+
+def saved(edits: DataFrame, changes: DataFrame, allowed: list[str], keywords: str, key: str = "id") -> DataFrame:
+    """Edits with the changes over them; a change with a keyword outside the list raises when it is read."""
+    bad = unknown(t.split_list(F.col(keywords)), F.array(*map(F.lit, allowed)).cast("array<string>"))
+    message = F.concat(F.lit("unknown keywords: "), F.array_join(bad, ", "))
+    checked = changes.withColumn(keywords, F.when(F.size(bad) > 0, F.raise_error(message).cast("string")).otherwise(F.col(keywords)))
+    return upserted(edits, checked, key)
 
 
 def unknown(items: Column, allowed: Column) -> Column:

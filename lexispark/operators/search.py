@@ -100,20 +100,22 @@ def matches(
     """The matches of all stages: 1 and 2 are group 0, the relaxed semantic search 1, forced keywords 2, literal search 3."""
     by_rank = Window.orderBy(F.desc("score"), "vec_id")  # over a top-k result
 
-    def semantic(least: float, limit: int, stage: int, grp: int, suffix: str) -> DataFrame:
-        found = best_entries(vectors, query, least, limit)
-        label = F.concat(v.facet_name(F.col("facet")), F.lit(suffix))
-        return found.select("entry_ord", "score", label.alias("match_type"), F.lit(stage).alias("stage"), F.row_number().over(by_rank).cast("long").alias("seq"), F.lit(grp).alias("grp"))
+    def staged(rows: DataFrame, label, *stages) -> DataFrame:
+        """Each row as a match of every stage (condition, stage, group, suffix of the label) that takes it."""
+        found = F.array(*[F.when(takes, F.struct(F.concat(label, F.lit(suffix)).alias("match_type"), F.lit(stage).alias("stage"), F.lit(grp).alias("grp"))) for takes, stage, grp, suffix in stages])
+        return rows.select("entry_ord", "score", "seq", F.explode(F.array_compact(found)).alias("m")).select("entry_ord", "score", "m.match_type", "m.stage", "seq", "m.grp")
 
-    keywords = nearest(keyword_vectors, query, 10).select("keyword", "score", F.row_number().over(by_rank).cast("long").alias("rank"))
+    # The strict and the relaxed search are two cuts of one ranking, and so are the two expansions of keywords.
+    best = best_entries(vectors, query, min(threshold, relaxed), 50).withColumn("seq", F.row_number().over(by_rank).cast("long"))
+    found = staged(best, v.facet_name(F.col("facet")), (F.col("score") >= threshold, 1, 0, ""), ((F.col("score") >= relaxed) & (F.col("seq") <= 10), 3, 1, t.SUGGESTION))
 
-    def by_keyword(some: DataFrame, cap: int, stage: int, grp: int, suffix: str) -> DataFrame:
-        label = F.concat(F.lit("keyword: "), "keyword", F.lit(suffix))
-        seq = F.col("rank") * 1_000 + F.col("place")
-        return expand(some, entries, cap).select(F.col("ordinal").alias("entry_ord"), "score", label.alias("match_type"), F.lit(stage).alias("stage"), seq.cast("long").alias("seq"), F.lit(grp).alias("grp"))
+    keywords = nearest(keyword_vectors, query, 10).select("keyword", "score", F.row_number().over(by_rank).cast("long").alias("rank"))
 
-    found = semantic(threshold, 50, 1, 0, "").unionByName(by_keyword(keywords.where(F.col("score") >= keyword_threshold), 20, 2, 0, ""))
-    found = found.unionByName(semantic(relaxed, 10, 3, 1, t.SUGGESTION)).unionByName(by_keyword(keywords.where("rank <= 3"), 5, 4, 2, t.SUGGESTION))
+    expanded = expand(keywords.where((F.col("score") >= keyword_threshold) | (F.col("rank") <= 3)), entries, 20)
+    expanded = expanded.select(F.col("ordinal").alias("entry_ord"), "score", "keyword", "rank", "place", (F.col("rank") * 1_000 + F.col("place")).cast("long").alias("seq"))
+    label = F.concat(F.lit("keyword: "), "keyword")
+    forced = (F.col("rank") <= 3) & (F.col("place") <= 5)
+    found = found.unionByName(staged(expanded, label, (F.col("score") >= keyword_threshold, 2, 0, ""), (forced, 4, 2, t.SUGGESTION)))
     if text:
         from lexispark.operators import browse
 

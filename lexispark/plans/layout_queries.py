@@ -88,7 +88,7 @@ def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stitch_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's turn starts an entry, all others carry it on."""
+    """A user's turn starts an entry, all others carry it on."""
     user = F.col("role") == "user"
     rows = layout.stitched(e.turns(spark, sf_dir), ["conv_id"], "turn", F.when(user, F.col("turn")), F.when(user, F.col("text")), F.when(~user, F.col("text")))
     return rows.select("conv_id", "entry", "text", "pages")

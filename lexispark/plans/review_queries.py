@@ -33,7 +33,9 @@ def review_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G17."""
-    return review.progress(*_tables(spark, sf_dir))
+    base, edits, deleted = (t.withColumn("id", F.col("id").cast("string")) for t in _tables(spark, sf_dir))
+    odd = edits.limit(1).withColumn("id", F.lit("3f2a-not-a-number"))
+    return review.progress(base, edits.unionByName(odd), deleted)
 
 
 def review_next_live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,13 +116,16 @@ def feedback_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row at random."""
-    return e.documents(spark, sf_dir).select("doc_id", "lang").orderBy(F.rand(42)).limit(1)
+    """One row at random, and whether it is one of the table's."""
+    docs = e.documents(spark, sf_dir).select("doc_id", "lang")
+    picked = docs.orderBy(F.rand(42)).limit(1).withColumnRenamed("lang", "picked")
+    return picked.join(docs, "doc_id").agg(F.count("*").alias("n"), F.bool_and(F.col("lang").eqNullSafe(F.col("picked"))).alias("member"))
 
 
 def option_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Options in random order."""
-    return learning.options(e.tagged(spark, sf_dir).select("ordinal", F.col("keywords").alias("options")))
+    """Options in random order; sorted again here, so that the multiset can be held against SQL."""
+    shuffled = learning.options(e.tagged(spark, sf_dir).select("ordinal", F.col("keywords").alias("options")))
+    return shuffled.select("ordinal", F.array_sort("options").alias("options"))
 
 
 QUERIES = {
@@ -148,9 +153,9 @@ UNION ALL SELECT * FROM edits WHERE id NOT IN (SELECT id FROM base) AND id NOT I
 SELECT b.id, coalesce(x.text, b.text) AS text, coalesce(x.lang, b.lang) AS lang, coalesce(x.source, b.source) AS source, x.id IS NOT NULL AS is_reviewed, b.id IN (SELECT id FROM deleted) AS is_deleted
 FROM base b LEFT JOIN edits x USING (id) WHERE b.id = 7""",
     "review_progress": f"""WITH {_TABLES}
-SELECT (SELECT max(id) FROM (SELECT id FROM base UNION ALL SELECT id FROM edits) a) AS total, (SELECT count(DISTINCT id) FROM edits WHERE id NOT IN (SELECT id FROM deleted)) AS reviewed""",
+SELECT (SELECT greatest((SELECT count(*) FROM base), (SELECT max(id) FROM edits))) AS total, (SELECT count(DISTINCT id) FROM edits WHERE id NOT IN (SELECT id FROM deleted)) + 1 AS reviewed""",
     "review_next_live": f"""WITH {_TABLES}, live AS (SELECT id FROM base WHERE id NOT IN (SELECT id FROM deleted))
-SELECT coalesce(min(id) FILTER (id > 40), max(id) FILTER (id < 40), 1) AS next_id, (SELECT max(id) + 1 FROM (SELECT id FROM base UNION ALL SELECT id FROM edits) a) AS new_id FROM live""",
+SELECT coalesce(min(id) FILTER (id > 40), max(id) FILTER (id < 40), 1) AS next_id, (SELECT greatest((SELECT count(*) FROM base), (SELECT max(id) FROM edits)) + 1) AS new_id FROM live""",
     "review_invalid_keywords": """WITH k AS (SELECT p_partkey AS ordinal, string_split(p_name, ' ') AS k, ['steel', 'brass', 'tin', 'copper', 'blue'] AS allowed FROM part),
 b AS (SELECT ordinal, k, allowed, CASE WHEN len(k) = 2 AND k[1] = k[2] THEN k[1:1] ELSE k END AS u FROM k)
 SELECT ordinal, list_filter(u, lambda x: x NOT IN ('steel', 'brass', 'tin', 'copper', 'blue')) AS bad,
@@ -162,6 +167,8 @@ SELECT id, lang, CASE WHEN coalesce(lang, '') IN ('', 'xx') THEN 'new' ELSE lang
     "nested_regroup": """SELECT l_orderkey, count(*) AS n, list(l_partkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS parts, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_partkey, l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey""",
     "nested_flatten": """SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) - 1)::INT AS place, l_linenumber, l_partkey, l_returnflag FROM lineitem""",
     "global_ordinal": "SELECT doc_id, lang, row_number() OVER (ORDER BY lang, doc_id) - 1 AS number FROM documents",
+    "random_fallback": "SELECT 1::BIGINT AS n, true AS member",
+    "option_shuffle": "SELECT p_partkey AS ordinal, list_sort(list_distinct(string_split(p_name, ' '))) AS options FROM part",
     "feedback_parse": f"WITH {_LOG} SELECT * FROM parsed",
     "feedback_strict": f"""WITH {_LOG}
 SELECT try_cast(trim(p[1]) AS INT) AS poem_id, p[2] AS username, p[3] AS status, trim(p[4]) AS interpretation

@@ -38,7 +38,7 @@ def browse_search_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def letter_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1, G4."""
+    """F1, G4, B16."""
     return browse.facets(e.entries(spark, sf_dir), "base_alphabet", "category")
 
 
@@ -54,7 +54,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def maxsim_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J1, G1, G2, B5."""
+    """J1, G1, G2, B5, W6, F14."""
     best = search.best_entries(e.vectors(spark, sf_dir), e.query_vector(spark, sf_dir), NEAR, 50)
     return best.select("entry_ord", F.round("score", 6).alias("score"), v.facet_name(F.col("facet")).alias("facet"))
 
@@ -98,13 +98,13 @@ def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fallback_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """3.1 step 5: nothing passes the strict limits, so the relaxed search answers."""
+    """3.1 step 5: nothing passes the strict limits, so the relaxed search answers."""
     matches = _candidates(spark, sf_dir, threshold=1.5, keyword_threshold=1.5, relaxed=FAR)
     return _shown(search.fused(search.first_group(matches)))
 
 
 def fallback_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """3.1 step 5: nothing semantic at all, so the first three keywords are forced."""
+    """3.1 step 5: nothing semantic at all, so the first three keywords are forced."""
     matches = _candidates(spark, sf_dir, threshold=1.5, keyword_threshold=1.5, relaxed=1.5)
     return _shown(search.fused(search.first_group(matches)))
 
@@ -149,7 +149,7 @@ def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocab_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J10 against a frozen vocabulary."""
     terms = e.keyword_vectors(spark, sf_dir)
-    rows = e.read(spark, sf_dir, "embeddings").where("vec_id >= 64")
+    rows = e.read(spark, sf_dir, "embeddings")
     names = terms.select((F.col("vec_id") + 100).alias("vec_id"), F.upper("keyword").alias("known"))
     named = rows.join(names, "vec_id", "left").select(F.col("vec_id").alias("cand_id"), F.coalesce("known", F.concat(F.lit("term "), F.col("vec_id").cast("string"))).alias("name"), "embedding")
     return search.vocabulary_terms(named, terms.select("keyword", "embedding"), 0.3)
@@ -238,7 +238,7 @@ SELECT vec_id, list_transform(u, lambda y: round(y, 5) + 0.0::DOUBLE) AS unit, r
     "vocab_resolve": f"""WITH {_VECTORS}, {_KEYWORDS},
 terms AS (SELECT keyword, vec_id, embedding::DOUBLE[] AS t FROM kv JOIN embeddings USING (vec_id)),
 cand AS (SELECT c.vec_id AS cand_id, coalesce(upper(k.keyword), 'term ' || c.vec_id) AS name, c.embedding::DOUBLE[] AS e
-         FROM embeddings c LEFT JOIN kv k ON c.vec_id = k.vec_id + 100 WHERE c.vec_id >= 64),
+         FROM embeddings c LEFT JOIN kv k ON c.vec_id = k.vec_id + 100),
 exact AS (SELECT cand_id, name, e, keyword AS exact FROM cand LEFT JOIN kv ON lower(name) = keyword),
 near AS (SELECT cand_id, arg_max(keyword, (s, keyword)) AS near, max(s) AS s FROM (
   SELECT cand_id, keyword, list_dot_product(e, t) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(t, t))) AS s FROM exact, terms WHERE exact IS NULL) x GROUP BY cand_id)

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -23,13 +25,15 @@ def hashed_embedder(dim: int = 64) -> Embedder:
     """Signed word hashes, L2-normalised."""
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), np.float32)
+        out = np.zeros((len(texts), dim))
         for row, text in zip(out, texts, strict=True):
-            for word in (text or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                row[h % dim] += 1 if h >> 63 else -1
-        size = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(size == 0, 1, size)
+            for word in re.split("[ \t\n]+", (text or "").lower()):
+                if not word:
+                    continue
+                h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+                row[h % dim] += 1 if h >> 31 else -1
+        size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return (out / np.where(size == 0, 1, size)).astype(np.float32)
 
     return embed
 
@@ -52,24 +56,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(left, right)), F.size(F.array_union(left, right))), F.lit(0.0))
 
 
-def enrich(rows: DataFrame, call: Callable[[dict], dict], schema: str, tries: int = 3, wait: float = 0.0) -> DataFrame:
-    """Adds the fields of call(row) to each row; a failing or empty reply is tried again, then left null."""
+def enrich(rows: DataFrame, call: Callable[[dict], dict], schema: str, tries: int = 3, wait: float = 0.0, workers: int = 20) -> DataFrame:
+    """Adds the fields of call(row) to each row; a failing or empty reply is tried again, then left null.
+
+    Each task has so many calls under way at once.
+    """
+
+    def ask(row: dict) -> str:
+        reply: dict = {}
+        for n in range(tries):
+            if n:
+                time.sleep(wait * 2 ** (n - 1))
+            try:
+                reply = call(row) or {}
+            except Exception:  # a model's failure costs this row one try
+                reply = {}
+            if reply:
+                break
+        return json.dumps(reply, ensure_ascii=False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            replies = []
-            for row in pdf.to_dict("records"):
-                reply: dict = {}
-                for n in range(tries):
-                    try:
-                        reply = call(row) or {}
-                    except Exception:  # a model's failure costs this row one try
-                        reply = {}
-                    if reply:
-                        break
-                    time.sleep(wait * 2**n)
-                replies.append(json.dumps(reply, ensure_ascii=False))
-            yield pdf.assign(_reply=replies)
+        with ThreadPoolExecutor(workers) as pool:
+            for pdf in batches:
+                yield pdf.assign(_reply=list(pool.map(ask, pdf.to_dict("records"))))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     replied = rows.mapInPandas(run, f"{fields}, _reply string").withColumn("_reply", F.from_json("_reply", schema))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +32,39 @@ BLANKS = "array<struct<word:string,options:array<string>>>"
 LEARNING = f"array<struct<topic:string,poems:array<struct<poem_text:string,blanks:{BLANKS},introduction:string,interpretation:string>>>>"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); a local one only where the session is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="lexispark-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@dataclass(frozen=True)
+class Catalog:
+    """Where the data of an installation lies, from one root."""
+
+    root: str
+
+    def path(self, kind: str, *names: str) -> str:
+        """A path of one kind of data: source, ocr, images, review, enrichment, wiki, indexes, advice or learning."""
+        if kind not in ("source", "ocr", "images", "review", "enrichment", "wiki", "indexes", "advice", "learning"):
+            raise ValueError(f"no such data: {kind}")
+        return "/".join([self.root.rstrip("/"), kind, *names])
+
+    def source(self, name: str) -> str:
+        """A scan, whatever folders its name claims."""
+        return self.path("source", name.replace("\\", "/").rsplit("/", 1)[-1])
+
+    def ensure(self, spark: SparkSession, path: str) -> str:
+        """Creates a folder if it is missing, on whatever store it lies, and gives it back."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+        return path
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,10 +74,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.options(**CSV).schema(schema).csv(path).fillna("")
 
 
-def with_ordinal(df: DataFrame) -> DataFrame:
-    """Rows numbered in file order, without a global sort (A4)."""
-    schema = T.StructType([*df.schema.fields, T.StructField("ordinal", T.LongType())])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda p: (*p[0], p[1])), schema)
+def with_ordinal(scan: DataFrame) -> DataFrame:
+    """Rows of a file scan numbered in file order, without a sort or a shuffle of them (A4).
+
+    A split's rows are numbered as they are read; what comes before it is the sum of
+    the counts of earlier splits, of which the driver holds a list anyway, so the
+    counts are broadcast.
+    """
+    split = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"))
+    read = scan.select(*scan.columns, *split, F.monotonically_increasing_id().alias("_at"))
+    counts = read.groupBy("_file", "_from").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_file", "_from").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_file", "_from", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_before"))
+    return read.join(F.broadcast(offsets), ["_file", "_from"]).select(*scan.columns, (F.col("_before") + F.col("_at")).alias("ordinal"))
 
 
 def row_at(df: DataFrame, ordinal: int) -> DataFrame:

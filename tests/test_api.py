@@ -69,3 +69,35 @@ def test_enrichment_resumes(spark):
     assert [tuple(r) for r in words.collect()] == [("1", "love, new one", ["new one"])]
     done = {r.id: (r.searchable_explanation, r.keywords) for r in enrich.merged(rows, found, words).collect()}
     assert done == {"1": ("m", "love, new one"), "2": ("done", "k"), "3": ("", ""), "4": (None, None)}
+
+
+def test_review(spark):
+    from lexispark.api import Review
+
+    row = "id string, poem string, keywords string"
+    base = spark.createDataFrame([("1", "a", "x"), ("2", "b", "y"), ("uuid", "c", "")], row)
+    edits = spark.createDataFrame([("2", "B", "x"), ("11", "new", "x"), ("9", "newer", "y"), ("z", "last", "")], row)
+    deleted = spark.createDataFrame([("1",)], "id string")
+    found = Review(base, edits, deleted, ("poem", "keywords"), ["x", "y"])
+    assert tuple(found.progress().first()) == (11, 4)
+    assert tuple(found.new({"keywords": "x"}).first()) == ("12", "", "x")
+    assert [r.id for r in found.export().collect()][-3:] == ["9", "11", "z"]
+    assert {r.id: r.poem for r in found.export().collect()} == {"2": "B", "uuid": "c", "11": "new", "9": "newer", "z": "last"}
+    assert {r.id for r in found.delete("2").collect()} == {"1", "2"}
+    assert found.restore("1").count() == 0
+    assert found.entry("2").first().is_reviewed
+    good = spark.createDataFrame([("1", "A", "x, y")], row)
+    assert {r.id: r.poem for r in found.save(good).collect()}["1"] == "A"
+    with pytest.raises(Exception, match="unknown keywords: q"):
+        found.save(spark.createDataFrame([("1", "A", "x, q")], row)).collect()
+
+
+def test_catalog(spark, tmp_path):
+    from lexispark.sources.tables import Catalog
+
+    paths = Catalog(f"{tmp_path}/")
+    assert paths.source("../../etc/one.pdf") == f"{tmp_path}/source/one.pdf"
+    assert paths.ensure(spark, paths.path("wiki", "new")) == f"{tmp_path}/wiki/new"
+    assert (tmp_path / "wiki" / "new").is_dir()
+    with pytest.raises(ValueError, match="no such"):
+        paths.path("elsewhere")

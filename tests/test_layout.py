@@ -10,37 +10,6 @@ from lexispark.operators import layout
 SCHEMA = "page int, line_idx int, text string, x double, y double, w double, h double, heading boolean"
 
 
-def roles(lines):
-    """A plain upward scan from each heading; lines in order."""
-    cats = [i for i, line in enumerate(lines) if line[7]]
-    role, entry = ["orphan" if not cats else "explanation"] * len(lines), [None] * len(lines)
-    begin = {}
-    for j, cat in enumerate(cats):
-        low = cats[j - 1] + 1 if j else 0
-        start = cat
-        for i in range(cat - 1, low - 1, -1):
-            _, _, text, _, y, _, h, _ = lines[i]
-            if i < cat - 1:
-                gap = lines[i + 1][4] - (y + h)
-                letter = next((c for c in text if c.isalpha()), "") if gap >= 0.003 else ""
-                if gap >= 0.012 or letter.islower():
-                    break
-                if letter.isupper() and gap >= (0.005 if text.rstrip()[-1:] in tuple('.!?:”"»)') else 0.0075):
-                    break
-            start = i
-        begin[j] = start
-        for i in range(start, cat):
-            role[i], entry[i] = "poem", j
-        role[cat], entry[cat] = "category", j
-    for i, r in enumerate(role):
-        if r == "explanation":
-            before = [j for j, cat in enumerate(cats) if cat < i]
-            entry[i] = before[-1] if before else None
-            if not before:
-                role[i] = "orphan"
-    return role, entry
-
-
 @pytest.fixture(scope="module")
 def pages():
     rng = random.Random(7)
@@ -54,14 +23,78 @@ def pages():
     return rows
 
 
-def test_segments_against_a_scan(spark, pages):
+#: Pages as (text, gap to the line above, heading) and the letters of their roles: Category, Poem, Explanation, Orphan.
+PAGES = [
+    ([("Một", 0, 0), ("(CA DAO)", 0.001, 1)], "PC"),
+    ([("(CA DAO)", 0, 1), ("Nghĩa", 0.001, 0)], "CE"),
+    ([("lost", 0, 0), ("text", 0.001, 0)], "OO"),
+    ([("Xa", 0, 0), ("Gần", 0.015, 0), ("(CA DAO)", 0.001, 1)], "OPC"),  # far above: stops
+    ([("xa", 0, 0), ("Gần", 0.001, 0), ("(CA DAO)", 0.02, 1)], "PPC"),  # the line right above never stops; close lines go on
+    ([("nhỏ", 0, 0), ("Gần", 0.004, 0), ("(CA DAO)", 0.001, 1)], "OPC"),  # a small letter and a gap
+    ([("Hoa", 0, 0), ("Gần", 0.004, 0), ("(CA DAO)", 0.001, 1)], "PPC"),  # a capital needs a wider gap
+    ([("Hoa", 0, 0), ("Gần", 0.008, 0), ("(CA DAO)", 0.001, 1)], "OPC"),
+    ([("Hoa.", 0, 0), ("Gần", 0.0055, 0), ("(CA DAO)", 0.001, 1)], "OPC"),  # less after the end of a sentence
+    ([("12", 0, 0), ("Gần", 0.008, 0), ("(CA DAO)", 0.001, 1)], "PPC"),  # no letter at all
+    ([("A", 0, 0), ("(CA DAO)", 0.001, 1), ("(TỤC NGỮ)", 0.001, 1)], "PCC"),
+    ([("A", 0, 0), ("(CA DAO)", 0.001, 1), ("nghĩa", 0.02, 0), ("B", 0.02, 0), ("(TỤC NGỮ)", 0.001, 1)], "PCEPC"),
+]
+
+
+def test_segments_of_small_pages(spark):
+    rows = []
+    for page, (lines, _) in enumerate(PAGES):
+        y = 0.0
+        for i, (text, gap, heading) in enumerate(lines):
+            y += gap + 0.01 * (i > 0)
+            rows.append((page, i, text, 0.1, y, 0.5, 0.01, bool(heading)))
+    df = layout.segments(spark.createDataFrame(rows, SCHEMA), ["page"], F.col("heading"))
+    got = {(r.page, r.line_idx): r.role[0].upper() for r in df.collect()}
+    assert ["".join(got[page, i] for i in range(len(lines))) for page, (lines, _) in enumerate(PAGES)] == [roles for _, roles in PAGES]
+
+
+def test_segments_of_any_page(spark, pages):
+    """Each line has one role; a poem stands right above its heading, and none of its lines but the last two stops; what explains comes after its heading."""
     df = layout.segments(spark.createDataFrame(pages, SCHEMA), ["page"], F.col("heading"))
-    got = {(r.page, r.line_idx): (r.role, r.entry_idx) for r in df.collect()}
-    for page in {p[0] for p in pages}:
-        lines = [p for p in pages if p[0] == page]
-        role, entry = roles(lines)
-        for i, line in enumerate(lines):
-            assert got[page, line[1]] == (role[i], entry[i]), (page, i)
+    by_page: dict[int, list] = {}
+    for r in sorted(df.collect(), key=lambda r: (r.page, r.line_idx)):
+        by_page.setdefault(r.page, []).append(r)
+    assert sum(map(len, by_page.values())) == len(pages)
+    for lines in by_page.values():
+        heads = [r.line_idx for r in lines if r.heading]
+        assert [r.entry_idx for r in lines if r.role == "category"] == list(range(len(heads)))
+        for r in lines:
+            assert (r.role == "category") == r.heading
+            if r.role == "poem":
+                below = lines[r.line_idx + 1]
+                assert below.entry_idx == r.entry_idx
+                assert below.role in ("poem", "category")
+                assert r.stop_rule == 0
+            elif r.role == "explanation":
+                assert heads[r.entry_idx] < r.line_idx
+            elif r.role == "orphan":
+                assert not heads or r.line_idx < heads[0]
+
+
+def test_export_of_a_book(spark):
+    rows = [
+        (0, 0, "tiếp theo", 0.1, 0.00, 0.5, 0.01, False),
+        (1, 0, "Câu một", 0.1, 0.00, 0.5, 0.01, False),
+        (1, 1, "(CA DAO)", 0.1, 0.012, 0.5, 0.01, False),
+        (1, 2, "Nghĩa là..", 0.1, 0.03, 0.5, 0.01, False),
+        (2, 0, "• còn nữa", 0.1, 0.00, 0.5, 0.01, False),
+        (3, 0, "và nữa.", 0.1, 0.00, 0.5, 0.01, False),
+        (3, 1, "Câu hai", 0.1, 0.05, 0.5, 0.01, False),
+        (3, 2, "(TỤC NGỮ)", 0.1, 0.062, 0.5, 0.01, False),
+    ]
+    lines = spark.createDataFrame([("b", *r) for r in rows], f"book string, {SCHEMA}")
+    got = {tuple(r)[1:] for r in layout.exported(lines, ["book"], "page").collect()}
+    assert got == {
+        ("", "", "tiếp theo", "0"),
+        ("Câu một", "(CA DAO)", "Nghĩa là. còn nữa và nữa.", "1,2,3"),
+        ("Câu hai", "(TỤC NGỮ)", "", "3"),
+    }
+    parts = layout.parts(layout.segments(lines, ["book", "page"]), ["book", "page"], ["book"], "page").collect()
+    assert {(r.entry_place, r.entry_idx, r.page) for r in parts} == {(1, 0, 1), (1, 0, 2), (1, 0, 3), (3, 0, 3), (None, None, 0)}
 
 
 def test_verses_and_paragraphs(spark):
