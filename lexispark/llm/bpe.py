@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import ship, table, tidily
 
 #: Words, pairs and chunks that a Python worker remembers before it starts afresh.
-CACHE = 250_000
+CACHE = 350_000
 #: New chunks that go into one trie, and chunks that wait for it at most.
 TOGETHER, WAITING = 40_000, 200_000
 #: Bytes of results sent to the JVM at once.
@@ -83,8 +83,9 @@ def check(spec: dict) -> None:
 class TrieEncoder:
     """Encodes sets of distinct words that share prefixes."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, limit: int | None = None):
         check(spec)
+        self.limit = CACHE if limit is None else limit
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -137,7 +138,7 @@ class TrieEncoder:
         key = left << 20 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > CACHE:
+            if len(self.fits) > 2 * self.limit:
                 self.fits.clear()
             known = self.fits[key] = self._apart(left, right)
         return known
@@ -253,14 +254,8 @@ class TrieEncoder:
                 held, new, size = [], set(), 0
         yield from self._flush(held, new)
 
-    def rest(self) -> None:
-        """A task ends: caches that are half full are emptied, so that workers don't keep them beside other work."""
-        if len(self.ids) > CACHE // 2:
-            for cache in (self.ids, self.words, self.fits):
-                cache.clear()
-
     def _flush(self, held: list[list[str]], new: set[str]) -> Iterator[tuple[bytes, str]]:
-        if len(self.ids) + len(new) > CACHE:
+        if len(self.ids) + len(new) > self.limit:
             self.ids.clear()
             self.words.clear()
             new = {c for chunks in held for c in chunks}
@@ -273,22 +268,25 @@ class TrieEncoder:
 _loaded: dict[int, TrieEncoder] = {}
 
 
-def _encoder(spec: str) -> TrieEncoder:
-    key = hash(spec)
+def _encoder(spec: str, limit: int) -> TrieEncoder:
+    key = hash((spec, limit))
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = TrieEncoder(json.loads(spec))
+        _loaded[key] = TrieEncoder(json.loads(spec), limit)
     return _loaded[key]
 
 
-def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (packed little-endian unsigned 32-bit) and decoded text of every document."""
+def bpe_encode(docs: DataFrame, path: str, cache: int = CACHE) -> DataFrame:
+    """doc_id, ids (packed little-endian unsigned 32-bit) and decoded text of every document.
+
+    cache bounds what a worker remembers: fewer entries need less memory and more time.
+    """
     ship(docs.sparkSession)
     with open(path, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec.value)
+        encoder = _encoder(spec.value, cache)
         for batch in batches:
             texts = batch.column(1)
             begin, ids, shown, held = 0, [], [], 0
@@ -299,7 +297,6 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
                 if held > OUT_BYTES or i == len(texts):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i - begin), pa.array(ids, pa.binary()), pa.array(shown, pa.string())], ["doc_id", "ids", "decoded"])
                     begin, ids, shown, held = i, [], [], 0
-        encoder.rest()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidily(run), SCHEMA)
 
