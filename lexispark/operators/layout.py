@@ -26,8 +26,8 @@ def read_order(lines: DataFrame, page: Sequence[str]) -> DataFrame:
 
 def split_headings(lines: DataFrame) -> DataFrame:
     """A line that begins with a heading becomes two, 0.4 and 0.5 of its height."""
-    found = t.inline_category(F.col("text"))
     others = [c for c in lines.columns if c not in ("text", "y", "h")]
+    lines, found = lines.withColumn("_heading", t.inline_category(F.col("text"))), F.col("_heading")
     whole = F.array(F.struct(F.col("text").alias("text"), F.col("y").alias("y"), F.col("h").alias("h")))
     two = F.array(
         F.struct(found["category"].alias("text"), F.col("y").alias("y"), (F.col("h") * 0.4).alias("h")),
