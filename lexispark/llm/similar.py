@@ -16,10 +16,12 @@ find about two and a half times as many, so here each segment gives its own
 index, and more pairs of segments are used instead.
 
 Under each key, the first 128 bits of the signatures that meet are compared, and
-a minimum spanning forest of those within CLOSE bits is emitted, so that the cost
-stays linear in the members; of a key with more than CROWD of them, in blocks that
-share a member, as the rows come. Every emitted pair is verified by the exact Jaccard
-similarity of the two shingle sets, and verified pairs are joined to components.
+a minimum spanning forest of those within CLOSE bits is emitted, so that the pairs
+stay linear in the members. A key with more than CROWD of them is only counted; then
+its members are dealt to blocks, each the work of one task. The deal differs from key
+to key, so members that one key parts meet under others. Every emitted pair is
+verified by the exact Jaccard similarity of the two shingle sets, and verified pairs
+are joined to components.
 
 That search is fast, not whole: signatures can fail to meet, a forest can run over
 a member that is not similar, and blocks are not compared with each other. So a
@@ -30,7 +32,10 @@ before and behind it in both, and so many of them that the rest can make up the
 overlap that s asks for. All pairs that these bounds allow are verified, unless
 the first search has already joined their components. The order puts hashes that many sets have last; any
 order gives the same result. A hash of more than CROWD sets is dealt to many
-tasks, each of which compares one block with another, so that all blocks meet.
+tasks, each of which compares one block with another, so that all blocks meet. Hashes
+that are frequent in a part of the corpus are known beforehand; any other whose sets
+of several components exceed what a task holds is named by that task instead of
+compared, and all rows are joined once more with those hashes dealt to blocks too.
 
 Equal signatures are one node, each of its documents linked with the first and
 verified like any pair. Null and blank texts have the empty shingle alone and are
@@ -42,6 +47,7 @@ is read, as a table of files does. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -61,6 +67,8 @@ SEGMENT, SEGMENTS = 23, 22
 #: Different bits of 128: pairs of similarity 0.8 differ in 20 on average, unrelated ones in 64.
 CLOSE = 40
 CROWD = 20_000
+#: A task of the second search holds so many times CROWD rows of a hash: two blocks, and room for uneven ones.
+ROOM = 4
 #: Hashes that are counted at once, and how often one must be among them to count as frequent; the most that are kept.
 COUNTED, OFTEN, FREQUENT = 1 << 21, 16, 200_000
 #: Members of a key that are set against all others at once.
@@ -143,8 +151,39 @@ def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes from rows sorted by key."""
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Columns of rows sorted by the first `keys` of them: whole groups together, and (True) pieces of a group of more than `most` rows."""
+    held: list[np.ndarray] | None = None
+    large: list | None = None  # the group whose pieces have gone already
+    for batch in batches:
+        rows = [c.to_numpy() for c in batch.columns]
+        if large is not None:
+            n = int(np.count_nonzero(np.all([r == k for r, k in zip(rows, large, strict=False)], axis=0)))
+            if n:
+                yield [r[:n] for r in rows], True
+            rows = [r[n:] for r in rows]
+        if not len(rows[0]):
+            continue
+        large = None
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        starts = np.flatnonzero(np.r_[True, np.any([r[1:] != r[:-1] for r in rows[:keys]], axis=0)])
+        sizes = np.diff(starts)
+        for at in np.flatnonzero(sizes > most):
+            yield [r[starts[at] : starts[at + 1]] for r in rows], True
+        small = np.repeat(sizes <= most, sizes)
+        if small.any():
+            yield [r[: len(small)][small] for r in rows], False
+        held = [r[starts[-1] :] for r in rows]
+        if len(held[0]) > most:
+            yield held, True
+            large, held = [r[0] for r in held[:keys]], None
+    if held is not None:
+        yield held, False
+
+
+def _span(most: int):
+    """Pairs of nodes from rows sorted by key; of a key with more rows, (key, null, n) for n of them."""
 
     def groups(key: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -153,32 +192,22 @@ def _span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = two[np.bitwise_count(a[two] ^ a[two + 1]).astype(np.int64) + np.bitwise_count(b[two] ^ b[two + 1]) <= CLOSE]
         u, v = [node[two]], [node[two + 1]]
         for at, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            for begin in range(at, at + size - 1, CROWD):
-                end = min(begin + CROWD + 1, at + size)
-                edges = spanning(a[begin:end], b[begin:end])
-                if edges:
-                    i, j = np.array(edges).T
-                    u.append(node[begin + i])
-                    v.append(node[begin + j])
+            edges = spanning(a[at : at + size], b[at : at + size])
+            if edges:
+                i, j = np.array(edges).T
+                u.append(node[at + i])
+                v.append(node[at + j])
         u, v = np.concatenate(u), np.concatenate(v)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.nulls(len(u), pa.int64())], ["u", "v", "n"])
 
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        rows = [batch.column(i).to_numpy() for i in range(4)]
-        rows = [r.view(np.uint64) if i > 1 else r for i, r in enumerate(rows)]
-        if held is not None:
-            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        final = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-        if final:
-            yield groups(*(r[:final] for r in rows))
-        held = [r[final:] for r in rows]
-        full = (len(held[0]) - 1) // CROWD * CROWD
-        if full > 0:  # a crowded key isn't held: its blocks go as they are full, and the last member opens the next
-            yield groups(*(r[: full + 1] for r in held))
-            held = [r[full:] for r in held]
-    if held is not None and len(held[0]):
-        yield groups(*held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, crowded in _grouped(batches, 1, most):
+            if crowded:
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0][:1].astype(np.int64)), pa.nulls(1, pa.int64()), pa.array([len(rows[0])], pa.int64())], ["u", "v", "n"])
+            else:
+                yield groups(*rows[:2], *(r.view(np.uint64) for r in rows[2:]))
+
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +270,7 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, n: np.ndarray, similarity:
     return hashes[np.lexsort((hashes, often))][:length]
 
 
-_PREFIX = "key long, part int, block int, node long, root long, size int, at int"
+_PREFIX = "key long, part long, block int, node long, root long, size int, at int"
 
 
 def _prefixes(words: int, similarity: float, frequent: np.ndarray, n: np.ndarray, crowd: int):
@@ -267,7 +296,7 @@ def _prefixes(words: int, similarity: float, frequent: np.ndarray, n: np.ndarray
 
     def batch_of(held: list[np.ndarray]) -> pa.RecordBatch:
         columns = np.concatenate(held).T
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if k in (0, 3, 4) else np.int32)) for k, c in enumerate(columns)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if k in (0, 1, 3, 4) else np.int32)) for k, c in enumerate(columns)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,8 +313,11 @@ def _prefixes(words: int, similarity: float, frequent: np.ndarray, n: np.ndarray
     return run
 
 
-def _across(similarity: float):
-    """Pairs of nodes of different roots that size and place allow, and how many hashes of their prefixes they must share, from rows sorted by key and part."""
+def _across(similarity: float, most: int):
+    """Pairs of nodes of different roots that size and place allow, and how many hashes of their prefixes they must share, from rows sorted by key and part.
+
+    A part with more rows isn't compared: (key, null, null) names its key if it has several roots.
+    """
 
     def fit(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
         root, size, at = x[4:]
@@ -320,20 +352,16 @@ def _across(similarity: float):
                     yield found(some, at + i, at + j)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            rows = [c.to_numpy() for c in batch.columns]
-            if not len(rows[0]):
+        group = root = None  # of the last piece; the root is None once the key is named
+        for rows, crowded in _grouped(batches, 2, most):
+            if not crowded:
+                yield from groups(rows)
                 continue
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            others = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-            final = int(others[-1]) + 1 if len(others) else 0
-            if final:
-                yield from groups([r[:final] for r in rows])
-            held = [r[final:] for r in rows]
-        if held is not None and len(held[0]):
-            yield from groups(held)
+            if group != (group := (rows[0][0], rows[1][0])):
+                root = rows[4][0]
+            if root is not None and (rows[4] != root).any():
+                root = None
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0][:1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], ["u", "v", "need"])
 
     return run
 
@@ -350,6 +378,39 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float)
     return linked
 
 
+def _met(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """Pairs (u, v) of nodes that meet under a key and are close there, stored."""
+    keyed = nodes.select("node", *names).mapInArrow(tidily(_emit), "key int, node long, a long, b long")
+    spanned = lambda rows, most: rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidily(_span(most)), "u long, v long, n long")
+    met = stored(spanned(keyed, CROWD).groupBy("u", "v").agg(F.sum("n").alias("n")), "met")
+    pairs = met.where("v is not null").select("u", "v")
+    crowded = met.where("v is null").select(F.col("u").cast("int").alias("key"), "n")
+    if crowded.isEmpty():
+        return pairs
+    block = F.pmod(F.xxhash64("key", "node"), F.ceil(2 * F.col("n") / CROWD))
+    dealt = keyed.join(modest(crowded), "key").select(F.xxhash64("key", block).alias("key"), "node", "a", "b")
+    return stored(pairs.unionByName(spanned(dealt, sys.maxsize).select("u", "v")).distinct(), "met")
+
+
+def _candidates(keyed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) that share as many prefix hashes as they must, stored; no task holds more than ROOM * CROWD rows of a hash, unless it was dealt to blocks by its count."""
+
+    def met(rows: DataFrame, most: int) -> DataFrame:
+        pairs = rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(tidily(_across(similarity, most)), "u long, v long, need int")
+        return stored(pairs.groupBy("u", "v").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("v is null or shared >= need").select("u", "v"), "across")
+
+    found = met(keyed, ROOM * CROWD)
+    crowded = found.where("v is null").select(F.col("u").alias("key"))
+    if crowded.isEmpty():
+        return found
+    rows = stored(keyed.join(modest(crowded), "key").select("key", "node", "root", "size", "at").distinct(), "crowded")
+    counts = stored(rows.groupBy("key").agg(F.ceil(F.count("*") / CROWD).alias("blocks")), "blocks")
+    own = rows.join(modest(counts), "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.least("block", other) * F.col("blocks") + F.greatest("block", other))
+    dealt = own.withColumn("part", F.explode(parts)).select("key", "part", F.col("block").cast("int"), "node", "root", "size", "at")
+    return met(keyed.join(modest(crowded), "key", "left_anti").unionByName(dealt), sys.maxsize)
+
+
 def missed(docs: DataFrame, linked: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
     """All similar pairs (u, v) that lie in different components, up to copies: of equal sets one stands for all that are linked with it."""
     texts = numbered(docs).select("row_id", "text")
@@ -361,9 +422,7 @@ def missed(docs: DataFrame, linked: DataFrame, roots: DataFrame, words: int, sim
     known = stored(roots.join(copies, "u", "left").select(F.col("u").alias("row_id"), "root", "copy"), "known")
     rest = texts.join(modest(known), "row_id", "left").where("copy is null").select("row_id", F.coalesce("root", "row_id").alias("root"), "text")
     keyed = rest.mapInArrow(tidily(_prefixes(words, similarity, frequent[order], n[order], CROWD)), _PREFIX)
-    met = keyed.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(tidily(_across(similarity)), "u long, v long, need int")
-    met = met.groupBy("u", "v").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("u", "v")
-    return _verified(docs, stored(met, "across"), words, similarity)
+    return _verified(docs, _candidates(keyed, similarity), words, similarity)
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -371,10 +430,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = S
     prints = stored(signatures(docs, words), "signatures")
     names = [f"f{t}" for t in range(TABLES)]
     nodes = stored(prints.groupBy(*names).agg(F.min("row_id").alias("node")), "nodes")
-    keyed = nodes.select("node", *names).mapInArrow(tidily(_emit), "key int, node long, a long, b long").repartition("key").sortWithinPartitions("key", "node")
-    met = keyed.mapInArrow(tidily(_span), "u long, v long").distinct()
     twins = prints.join(nodes, names).where("row_id <> node").select(F.col("node").alias("u"), F.col("row_id").alias("v"))
-    linked = _verified(docs, stored(met.unionByName(twins), "met"), words, similarity)
+    linked = _verified(docs, stored(_met(nodes, names).unionByName(twins), "pairs"), words, similarity)
     first = connected(linked)
     more = missed(docs, linked, first, words, similarity)
     roots = connected(first.select("u", F.col("root").alias("v")).unionByName(more.select("u", "v"))).withColumnRenamed("u", "row_id")

@@ -136,7 +136,7 @@ def test_blocks_of_a_crowded_key_meet(spark, monkeypatch):
         docs = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array([texts[i] for i in ids])], ["row_id", "root", "text"])
         # At similarity 0.01 the prefix is the whole set, so the hashes of the common line are keys too.
         rows = pa.Table.from_batches(similar._prefixes(5, 0.01, hot, n, crowd)(iter([docs]))).sort_by([("key", "ascending"), ("part", "ascending")])
-        out = pa.Table.from_batches(similar._across(0.01)(iter(rows.combine_chunks().to_batches(50))))
+        out = pa.Table.from_batches(similar._across(0.01, 10**9)(iter(rows.combine_chunks().to_batches(50))))
         return set(zip(out["u"].to_pylist(), out["v"].to_pylist(), strict=True)), rows
 
     whole, _ = pairs(10**9)
@@ -168,3 +168,62 @@ def test_two_interleaved_clusters_under_crowded_keys(spark, monkeypatch):
     monkeypatch.setattr(similar, "CROWD", 2)
     monkeypatch.setattr(similar, "OFTEN", 2)
     assert exact(spark, texts) == 58
+
+
+@pytest.mark.parametrize("most", [1, 3, 50])
+def test_groups_come_whole_or_in_pieces(most):
+    """pipeline: no group that a task holds is larger than it may be, and no row is lost."""
+    rng = np.random.default_rng(17)
+    keys = np.sort(rng.integers(0, 40, 400) ** 2 // 30)
+    rows = pa.table({"key": keys, "part": np.zeros(400, np.int32), "n": np.arange(400)})
+    sizes, seen, order = Counter(keys.tolist()), [], []
+    for size in (1, 7, 64, 400):
+        seen.clear()
+        order.clear()
+        for columns, crowded in similar._grouped(iter([*rows.to_batches(size), rows.to_batches()[0].slice(0, 0)]), 2, most):
+            here = Counter(columns[0].tolist())
+            assert all((sizes[k] > most) == crowded and (crowded or n == sizes[k]) for k, n in here.items())
+            assert not crowded or len(here) == 1
+            seen += columns[2].tolist()
+            order.append((columns[0][0], crowded))
+        assert sorted(seen) == list(range(400))
+        assert [k for k, crowded in order if crowded] == sorted(k for k, crowded in order if crowded)
+
+
+def test_hashes_found_crowded_by_a_task(spark, monkeypatch):
+    """pipeline: hashes that nobody counted as frequent are dealt to blocks, and give the same candidates."""
+    rng = random.Random(18)
+    line = [f"c{i}" for i in range(8)]
+    rows = []
+    for i in range(60):
+        own = [f"x{rng.randrange(10**6)}" for _ in range(6)]
+        rows += [(i, i, " ".join([*line, *own])), (100 + i, 100 + i, " ".join([*line, *own, "end"]))]
+    rows += [(200 + i, 200, " ".join(line)) for i in range(30)]  # of one root: crowded, but nothing to compare
+    docs = spark.createDataFrame(rows, "row_id long, root long, text string")
+    none = np.array([], np.uint64), np.array([], np.int64)
+    keyed = docs.mapInArrow(similar._prefixes(5, 0.8, *none, 10**9), similar._PREFIX)
+    want = {tuple(r) for r in similar._candidates(keyed, 0.8).collect()}
+    names, plain = [], similar.stored
+    monkeypatch.setattr(similar, "CROWD", 7)
+    monkeypatch.setattr(similar, "ROOM", 1)
+    monkeypatch.setattr(similar, "stored", lambda df, name: (names.append(name), plain(df, name))[1])
+    got = [tuple(r) for r in similar._candidates(keyed, 0.8).collect()]
+    assert "crowded" in names
+    assert len(got) == len(set(got)) and set(got) == want and {(i, 100 + i) for i in range(60)} <= want
+
+
+def test_crowded_keys_of_signatures_are_dealt(spark, monkeypatch):
+    """pipeline: the first search deals a crowded key to blocks, and many keys together still connect a group."""
+    rng = random.Random(19)
+    base = [f"w{i}" for i in range(300)]
+    texts = [changed(rng, base, 0.005) for _ in range(60)]
+    prints = np.array([similar.signature(similar.shingles(t)) for t in texts], np.uint64).view(np.int64)
+    names = [f"f{t}" for t in range(similar.TABLES)]
+    nodes = spark.createDataFrame([(i, *p) for i, p in enumerate(prints.tolist())], "node long, " + ", ".join(f"{n} long" for n in names))
+    monkeypatch.setattr(similar, "CROWD", 20)
+    pairs = {tuple(r) for r in similar._met(nodes, names).collect()}
+    assert all(u < v < 60 for u, v in pairs)
+    root = list(range(60))
+    for u, v in pairs:
+        root = [root[u] if r == root[v] else r for r in root]
+    assert len(set(root)) == 1
