@@ -8,6 +8,7 @@ is joined or broadcast.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from lexispark.functions import text as t
 from lexispark.functions import vectors as v
 
 THRESHOLD, KEYWORD_THRESHOLD, RELAXED = 0.6, 0.6, 0.25
-#: At most this many terms may be compared with every candidate.
+#: Terms that are broadcast at once, to be compared with every candidate.
 VOCABULARY = 10_000
 
 
@@ -165,32 +166,58 @@ def index_rows(entries: DataFrame, facets: tuple[str, ...], embed) -> DataFrame:
 
 
 def audit(vectors: DataFrame, items: DataFrame) -> DataFrame:
-    """One row: size, zero and duplicate vectors, mean norm, and rows without partner on either side."""
+    """One row: size, zero and duplicate vectors, mean norm, and rows without partner on either side.
+
+    Hashes tell which vectors may be alike, and only those are compared whole. Null vectors count as
+    duplicates. An index without vectors has null figures where there is nothing to average.
+    """
     figures = vectors.agg(
         F.count("*").alias("n_vectors"),
         F.max(F.size("embedding")).cast("long").alias("dim"),
         F.count_if(F.forall("embedding", lambda x: x == 0)).alias("n_zero"),
-        (F.count("*") - F.countDistinct("embedding")).alias("n_duplicate"),
         F.avg(v.norm(F.col("embedding"))).alias("mean_norm"),
         F.countDistinct("entry_ord").alias("n_entries"),
+        F.count_if(F.col("embedding").isNull()).alias("_null"),
     )
+    hashed = vectors.where("embedding is not null").select(F.xxhash64("embedding").alias("_hash"), "embedding")
+    alike = hashed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash")
+    copies = hashed.join(alike, "_hash", "left_semi").groupBy("_hash", "embedding").agg(F.count("*").alias("n"))
+    duplicate = copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicate"))
     astray = vectors.join(items, "entry_ord", "left_anti").agg(F.count("*").alias("n_astray"))
     missing = items.join(vectors, "entry_ord", "left_anti").agg(F.count("*").alias("n_missing"))
-    return figures.join(F.broadcast(astray)).join(F.broadcast(missing)).withColumn("per_entry", F.col("n_vectors") / F.col("n_entries"))
+    whole = figures.join(F.broadcast(duplicate)).join(F.broadcast(astray)).join(F.broadcast(missing))
+    whole = whole.withColumn("n_duplicate", F.col("n_duplicate") + F.col("_null")).drop("_null")
+    return whole.withColumn("per_entry", F.try_divide("n_vectors", "n_entries"))
+
+
+def _blocks(n: int) -> int:
+    """Blocks of about half of VOCABULARY terms, or one."""
+    return 1 if n <= VOCABULARY else -(-2 * n // VOCABULARY)
 
 
 def vocabulary_terms(candidates: DataFrame, terms: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Each candidate (cand_id, name, embedding) to a term (keyword, embedding): equal name first, else the nearest
     by cosine at or above the threshold, else itself as new (J10 against a frozen vocabulary).
 
-    The vocabulary is checked to be at most VOCABULARY terms before it is broadcast.
+    A vocabulary of more than VOCABULARY terms is compared in blocks of about half as many, each broadcast on its own,
+    so its size has no limit; the work is still that of every unknown candidate with every term.
     """
-    if terms.limit(VOCABULARY + 1).count() > VOCABULARY:
-        raise ValueError(f"more than {VOCABULARY} terms")
-    exact = candidates.join(F.broadcast(terms.select(F.col("keyword").alias("exact"))), t.normalized(F.col("name")) == t.normalized(F.col("exact")), "left")
+    exact = candidates.join(terms.select(F.col("keyword").alias("exact")), t.normalized(F.col("name")) == t.normalized(F.col("exact")), "left")
     exact = exact.groupBy("cand_id").agg(F.first("name").alias("name"), F.first("embedding").alias("embedding"), F.min("exact").alias("exact"))
-    unknown = exact.where("exact is null").crossJoin(F.broadcast(terms.select("keyword", F.col("embedding").alias("of"))))
-    near = unknown.withColumn("similarity", v.cosine(F.col("embedding"), F.col("of"))).groupBy("cand_id").agg(F.max_by("keyword", F.struct("similarity", "keyword")).alias("near"), F.max("similarity").alias("similarity"))
+    unknown = exact.where("exact is null")
+    best = F.struct("similarity", "keyword")
+
+    def nearest_of(some: DataFrame) -> DataFrame:
+        pairs = unknown.crossJoin(F.broadcast(some.select("keyword", F.col("embedding").alias("of")))).withColumn("similarity", v.cosine(F.col("embedding"), F.col("of")))
+        return pairs.groupBy("cand_id").agg(F.max_by("keyword", best).alias("keyword"), F.max("similarity").alias("similarity"))
+
+    blocks = _blocks(terms.count())
+    if blocks == 1:
+        near = nearest_of(terms)
+    else:
+        spread = terms.select("keyword", "embedding").distinct().withColumn("block", F.pmod(F.xxhash64("keyword", "embedding"), F.lit(blocks)))
+        near = reduce(DataFrame.unionByName, [nearest_of(spread.where(F.col("block") == n)) for n in range(blocks)])
+    near = near.groupBy("cand_id").agg(F.max_by("keyword", best).alias("near"), F.max("similarity").alias("similarity"))
     close = F.when(F.col("similarity") >= threshold, F.col("near"))
     joined = exact.join(near, "cand_id", "left")
     kind = F.when(F.col("exact").isNotNull(), "exact").when(close.isNotNull(), "near").otherwise("new")
