@@ -60,6 +60,13 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with the stored tables."""
+    path = f"{shared_dir(spark)}/lexispark-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession

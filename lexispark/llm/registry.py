@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, media, mixing, repeats, secrets, simhash, url_filter, warc
+from . import bpe, exact_dedup, language_id, media, mixing, repeats, secrets, simhash, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_media_chunks": media.op1_media_chunks,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_bpe": bpe.op9_bpe,
     "op10_repeats": repeats.op10_repeats,
+    "op12_token_counts": token_counts.op12_token_counts,
 }
 
 ORACLES = {
