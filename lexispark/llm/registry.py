@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, media, mixing, repeats, secrets, simhash, token_counts, url_filter, warc
+from . import bpe, divergence, exact_dedup, language_id, media, mixing, repeats, secrets, simhash, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_media_chunks": media.op1_media_chunks,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_bpe": bpe.op9_bpe,
     "op10_repeats": repeats.op10_repeats,
+    "op11_divergence": divergence.op11_divergence,
     "op12_token_counts": token_counts.op12_token_counts,
 }
 
@@ -24,4 +25,5 @@ ORACLES = {
     "op5_url_filter": url_filter.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_warc_revisits": warc.ORACLE,
+    "op11_divergence": divergence.ORACLE,
 }
