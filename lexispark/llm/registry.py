@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, divergence, exact_dedup, language_id, media, mixing, repeats, secrets, simhash, token_counts, url_filter, warc
+from . import bpe, divergence, exact_dedup, language_id, media, mixing, repeats, secrets, simhash, token_counts, url_filter, vector_codes, warc
 
 QUERIES = {
     "op1_media_chunks": media.op1_media_chunks,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_repeats": repeats.op10_repeats,
     "op11_divergence": divergence.op11_divergence,
     "op12_token_counts": token_counts.op12_token_counts,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op6_mixing": mixing.ORACLE,
     "op7_warc_revisits": warc.ORACLE,
     "op11_divergence": divergence.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
