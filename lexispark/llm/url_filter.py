@@ -7,8 +7,9 @@ touches one cache line. Its blocks are aggregated by Spark and number
 entries * BITS / 512, MAX_BYTES at most: a longer list makes the filter pass more,
 never lose a hit.
 
-A URL gives one key for its canonical form and one for each suffix of its host, as
-many as its labels. Keys that the filter passes go to a hash join with the entries,
+A URL gives one key for its canonical form and one for each suffix of its host that
+is as long as the host of some rule: a host of a million labels costs no more keys
+than rules' hosts have lengths. Keys that the filter passes go to a hash join with the entries,
 which removes false positives. A host that has rules brings the lengths of their
 paths; the URL's path, cut to each length that it has, is joined with the rules
 themselves. So a URL costs as many rows as rules' hosts and lengths can fit it,
@@ -67,13 +68,18 @@ def path_of(url: Column) -> Column:
 
 def canonical(host: Column, path: Column) -> Column:
     """Host without default port and final dot, path without final slashes; scheme, query and fragment don't count."""
-    return F.concat(F.regexp_replace(F.regexp_replace(host, r":(80|443)?$", ""), r"\.$", ""), F.lit("/"), F.regexp_replace(path, r"^/+|/+$", ""))
+    return F.concat(F.regexp_replace(F.regexp_replace(host, r":(80|443)?\z", ""), r"\.\z", ""), F.lit("/"), F.btrim(path, F.lit("/")))
 
 
-def _suffixes(host: Column) -> Column:
-    """The host, and what is left of it after each label."""
-    labels = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
-    return F.transform(F.sequence(F.lit(1), labels), lambda n: F.call_function("substring_index", host, F.lit("."), -n))
+def _suffixes(host: Column, lengths: list[int]) -> Column:
+    """What is left of the host after some of its labels, the host itself included, of these lengths only.
+
+    One look at the host's end for each length, so a host costs time in proportion to its length, whatever its labels.
+    """
+    longest = max(lengths, default=0)
+    end = F.right(host, F.lit(longest + 1))
+    fits = lambda n: (F.length(end) == n) | ((F.length(end) > n) & (F.substring(end, F.length(end) - n, F.lit(1)) == "."))
+    return F.transform(F.filter(F.lit(lengths).cast("array<int>"), fits), lambda n: F.right(end, n))
 
 
 def _rule_key(host: Column, path: Column) -> Column:
@@ -130,6 +136,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     rules = rules.where("host <> ''").select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     entries, ruled = stored(_entries(rules, listed), "entries"), stored(_rules(rules), "rules")
     n = entries.count()
+    lengths = sorted(r.n for r in rules.select(F.length("host").alias("n")).distinct().collect())
     held = spark.sparkContext.broadcast(bloom(entries, n))
 
     def bounded(few: DataFrame, rows: int) -> DataFrame:
@@ -147,7 +154,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     )
     host, path = F.col("host"), F.col("path")
     own = F.struct(F.concat(F.lit("listed "), canonical(host, path)).alias("key"), F.lit(None).cast("string").alias("suffix"))
-    keys = F.array_append(F.transform(_suffixes(host), lambda s: F.struct(F.concat(F.lit("host "), s).alias("key"), s.alias("suffix"))), own)
+    keys = F.array_append(F.transform(_suffixes(host, lengths), lambda s: F.struct(F.concat(F.lit("host "), s).alias("key"), s.alias("suffix"))), own)
     asked = base.where("host <> ''").select("row_id", "path", F.explode(keys).alias("k")).select("row_id", "path", "k.*")
     met = stored(asked.where(maybe(F.xxhash64("key"))).join(bounded(entries, n), "key").select("row_id", "suffix", "lengths", F.when(F.col("suffix").isNotNull(), path).alias("path")), "met")
     fitting = F.explode(F.filter("lengths", lambda n: n <= F.length("path")))

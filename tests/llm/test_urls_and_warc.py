@@ -43,6 +43,20 @@ def test_urls_against_loops(spark):
             assert (r.host, r.path, r.rule, r.verdict) == judged(URLS[r.page_id], used, on_list), URLS[r.page_id]
 
 
+def test_long_hosts_and_paths_cost_in_proportion(spark):
+    import time
+
+    long_hosts = ["a." * 500_000 + "com", "x" * 1_000_000 + ".net", "a." * 500_000, "." * 1_000_000, "é." * 300_000 + "www.example.com"]
+    urls = [f"http://{h}/es/{'/' * 200_000}x/" for h in long_hosts] + [f"http://{h}/en/" for h in long_hosts]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [*url_filter.RULES, (long_hosts[0], "/es/", "block")]
+    began = time.monotonic()
+    got = url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), spark.createDataFrame([], "url string")).collect()
+    assert time.monotonic() - began < 60
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == judged(urls[r.page_id], rules, set()), r.page_id
+
+
 def test_many_rules_of_many_shapes(spark):
     hosts = ["a.b.org", "b.org", "org", "x.b.org"]
     rules = [(h, "/" + "p" * n, "block" if n % 2 else "allow") for h in hosts for n in range(0, 120, 3)]
