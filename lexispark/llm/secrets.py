@@ -41,7 +41,10 @@ BASE = 3
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 #: Counts up to WINDOW take 5 bits each; 12 fit in a long.
 FIELD, FIELDS = 5, 12
+#: Windows of a run that are looked at together.
+PIECE = 256
 UNIT = 1 << 20
+_NONE = "array<struct<b:int,e:int>>"
 #: c log2 c for each count.
 TERMS = tuple(round(c * log2(c) * UNIT) if c else 0 for c in range(WINDOW + 2))
 
@@ -51,39 +54,55 @@ def largest_sum(threshold: float) -> int:
     return floor((log2(WINDOW) - threshold) * WINDOW * UNIT)
 
 
+def _piece(codes: Column, most: int, shift: Column) -> Column:
+    """(b, e) of the merged windows of a short piece of a run whose sum is at most this, moved by shift."""
+    terms = F.array(*map(F.lit, TERMS))
+    words = -(-len(ALPHABET) // FIELDS)
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    field = lambda counts, word, at: F.call_function("shiftright", F.element_at(counts, word + 1), at).bitwiseAND(F.lit((1 << FIELD) - 1)).cast("int")
+
+    def step(state: Column, i: Column) -> Column:
+        counts, enter, leave = state["counts"], F.element_at(codes, i), F.element_at(codes, F.greatest(i - WINDOW, F.lit(1)))
+        word, at = F.floor(enter / FIELDS).cast("int"), (enter % FIELDS) * FIELD
+        old_word, old_at = F.floor(leave / FIELDS).cast("int"), (leave % FIELDS) * FIELD
+        n, m = field(counts, word, at), field(counts, old_word, old_at)
+        added = F.element_at(terms, n + 2) - F.element_at(terms, n + 1)
+        swapped = F.when(enter == leave, F.lit(0)).otherwise(added + F.element_at(terms, m) - F.element_at(terms, m + 1))
+        total = state["total"] + F.when(i > WINDOW, swapped).otherwise(added)
+        kept = F.transform(
+            counts, lambda v, j: v + F.when(j == word, one(at)).otherwise(F.lit(0).cast("long")) - F.when((i > WINDOW) & (j == old_word), one(old_at)).otherwise(F.lit(0).cast("long"))
+        )
+        spans, last = state["spans"], F.try_element_at(state["spans"], F.lit(-1))
+        begin = i - WINDOW
+        span = lambda b: F.array(F.struct(b.alias("b"), i.alias("e")))
+        joined = F.when((F.size(spans) > 0) & (last["e"] >= begin), F.concat(F.slice(spans, 1, F.size(spans) - 1), span(last["b"]))).otherwise(F.concat(spans, span(begin)))
+        return F.struct(kept.alias("counts"), total.alias("total"), F.when((begin >= 0) & (total <= most), joined).otherwise(spans).alias("spans"))
+
+    start = F.struct(F.array(*[F.lit(0).cast("long")] * words).alias("counts"), F.lit(0).cast("long").alias("total"), F.array().cast(_NONE).alias("spans"))
+    moved = lambda s: F.transform(s["spans"], lambda x: F.struct((x["b"] + shift).alias("b"), (x["e"] + shift).alias("e")))
+    return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step, moved)
+
+
 def _windows(run: Column, most: int) -> Column:
-    """(b, e) of the merged windows of a run whose sum is at most this."""
+    """(b, e) of the merged windows of a run whose sum is at most this.
+
+    The run is cut into pieces of PIECE windows each, so what a step carries is bounded
+    and the cost is in proportion to the run. Spans of neighbouring pieces that touch are
+    one: it begins where a span has none before it and ends where one has none behind it.
+    """
     codes = F.transform(F.split(run, ""), lambda c: (F.instr(F.lit(ALPHABET), c) - 1).cast("int"))
-    at = F.sequence(F.lit(1), F.length(run))
+    first = F.sequence(F.lit(0), F.length(run) - WINDOW, F.lit(PIECE))
 
-    def event(i: Column, codes: Column) -> Column:
-        enter = F.struct(F.element_at(codes, i).alias("code"), F.lit(1).alias("by"), i.alias("end"))
-        leave = F.struct(F.element_at(codes, F.greatest(i - WINDOW, F.lit(1))).alias("code"), F.lit(-1).alias("by"), F.lit(0).alias("end"))
-        return F.when(i > WINDOW, F.array(leave, enter)).otherwise(F.array(enter))
+    def of(codes: Column) -> Column:
+        part = lambda at: F.array(F.slice(codes, at + 1, F.lit(PIECE + WINDOW - 1)))
+        return F.flatten(F.flatten(F.transform(first, lambda at: F.transform(part(at), lambda piece: _piece(piece, most, at)))))
 
-    terms = F.array(*map(F.lit, TERMS))
-    words = -(-len(ALPHABET) // FIELDS)
+    def merged(spans: Column) -> Column:
+        begins = F.filter(spans, lambda s, i: (i == 0) | (F.element_at(spans, F.greatest(i, F.lit(1)))["e"] < s["b"]))
+        ends = F.filter(spans, lambda s, i: (i == F.size(spans) - 1) | (F.element_at(spans, F.least(i + 2, F.size(spans)))["b"] > s["e"]))
+        return F.zip_with(begins, ends, lambda b, e: F.struct(b["b"].alias("b"), e["e"].alias("e")))
 
-    def step(state: Column, ev: Column) -> Column:
-        word, shift = F.floor(ev["code"] / FIELDS).cast("int"), (ev["code"] % FIELDS) * FIELD
-        n = F.call_function("shiftright", F.element_at(state["counts"], word + 1), shift).bitwiseAND(F.lit((1 << FIELD) - 1)).cast("int")
-        total = state["total"] + F.element_at(terms, n + ev["by"] + 1) - F.element_at(terms, n + 1)
-        counts = F.transform(state["counts"], lambda v, j: v + F.when(j == word, ev["by"] * F.call_function("shiftleft", F.lit(1).cast("long"), shift)).otherwise(F.lit(0).cast("long")))
-        spans, last = state["spans"], F.try_element_at(state["spans"], F.lit(-1))
-        begin = ev["end"] - WINDOW
-        joined = F.when(
-            (F.size(spans) > 0) & (last["e"] >= begin),
-            F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.struct(last["b"].alias("b"), ev["end"].alias("e")))),
-        ).otherwise(F.concat(spans, F.array(F.struct(begin.alias("b"), ev["end"].alias("e")))))
-        return F.struct(counts.alias("counts"), total.alias("total"), F.when((begin >= 0) & (total <= most), joined).otherwise(spans).alias("spans"))
-
-    start = F.struct(
-        F.array(*[F.lit(0).cast("long")] * words).alias("counts"),
-        F.lit(0).cast("long").alias("total"),
-        F.array().cast("array<struct<b:int,e:int>>").alias("spans"),
-    )
-    events = F.flatten(F.transform(F.array(codes), lambda c: F.flatten(F.transform(at, lambda i: event(i, c)))))
-    return F.aggregate(events, start, step, lambda s: s["spans"])
+    return F.flatten(F.transform(F.array(codes), lambda c: F.flatten(F.transform(F.array(of(c)), merged))))
 
 
 def _parts(text: Column, test: str, pattern: str, spans, mask=lambda text: text) -> Column:
@@ -94,8 +113,6 @@ def _parts(text: Column, test: str, pattern: str, spans, mask=lambda text: text)
     return F.when(text.rlike(test), parts).otherwise(F.array().cast("array<struct<gap:int,hit:int,spans:array<struct<b:int,e:int>>>>"))
 
 
-_NONE = "array<struct<b:int,e:int>>"
-
 
 def _whole(hit: Column, ok: Column) -> Column:
     return F.when(ok, F.array(F.struct(F.lit(0).alias("b"), F.length(hit).alias("e")))).otherwise(F.array().cast(_NONE))

@@ -92,3 +92,21 @@ def test_odd_rows(spark, odd, empty):
 def test_no_python_in_the_plan(odd):
     plan = secrets.secret_spans(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_runs_cost_in_proportion(spark):
+    import time
+
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice(secrets.ALPHABET) for _ in range(n))
+    mixed = "".join(noise(rng.randint(20, 90)) + "ab" * rng.randint(10, 60) for _ in range(120))
+    short = [(1, noise(5000)), (2, mixed), (3, "a1" * 3000), (4, noise(secrets.PIECE + secrets.WINDOW - 1)), (5, noise(secrets.PIECE + secrets.WINDOW)), (6, noise(2 * secrets.PIECE) + " " + noise(20))]
+    got = {r.doc_id: r.spans for r in shown(secrets.secret_spans(spark.createDataFrame(short, "doc_id long, text string"))).collect()}
+    for i, text in short:
+        assert got[i] == plain(text)[4], i
+    began = time.monotonic()
+    run = noise(1_000_000)
+    found = shown(secrets.secret_spans(spark.createDataFrame([(1, run)], "doc_id long, text string"))).first().spans
+    assert time.monotonic() - began < 90
+    ends = [int(s.split(":")[2]) for s in found.split(",")]
+    assert max(ends) > 999_900
