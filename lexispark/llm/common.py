@@ -89,6 +89,20 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), "text")
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """docs if it is read from files without more than filters and columns between, else a stored copy.
+
+    Only files list their rows in the same order each time and whatever the columns; what
+    comes out of a join or another shuffle doesn't. Who numbers rows twice calls this before.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    plain = node.deterministic()
+    while plain and node.children().size():
+        plain = node.nodeName() in ("Project", "Filter", "SubqueryAlias")
+        node = node.children().apply(0)
+    return docs if plain and node.nodeName() == "LogicalRelation" else stored(docs, "rows")
+
+
 #: A table of ids with at most so many rows may be broadcast: some 10 MB.
 MODEST = 1_000_000
 

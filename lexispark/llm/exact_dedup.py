@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, modest, numbered, stored
+from .common import ascii_lower, in_order, modest, numbered, stored
 
 #: A digest with a larger share of the rows counts as heavy; the broadcast has 1/SUPPORT rows at most.
 SUPPORT = 1 / 512
@@ -73,9 +73,10 @@ def drop_exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFram
 
     Texts are hashed once and not shuffled for it: digests decide, and the rows that
     lose are taken out by their number (by a broadcast of those numbers while they
-    are few, counted). The input must list its rows in the same order each time it
-    is read, as a table of files does.
+    are few, counted). An input that isn't read from files as it is gets stored first,
+    so that its rows have the same numbers when they are looked at again.
     """
+    docs = in_order(docs)
     digests = _digests(docs)
     heavy = stored(heavy_winners(digests, support), "heavy")
     beaten = digests.join(F.broadcast(heavy), "digest").where("row_id <> keep_row").select("row_id")

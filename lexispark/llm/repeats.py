@@ -56,7 +56,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_BYTES, numbered, release, ship, stored, table, tidily
+from .common import ARROW_BYTES, in_order, numbered, release, ship, stored, table, tidily
 
 LENGTH = 50
 GRAM = 24
@@ -663,6 +663,7 @@ def _blocks_of(spark) -> int:
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: row_id, doc_id, n_bytes, n_removed, n_spans, spans (removed bytes, end exclusive) and kept (the remaining bytes)."""
+    docs = in_order(docs)
     return _met(repeated_passages(docs), numbered(docs), _blocks_of(docs.sparkSession)).mapInArrow(tidily(_cut), CUT)
 
 

@@ -40,8 +40,8 @@ compared, and all rows are joined once more with those hashes dealt to blocks to
 Equal signatures are one node, each of its documents linked with the first and
 verified like any pair. Null and blank texts have the empty shingle alone and are
 alike. Rows with null doc_id belong to a component but never name it. Only doc_id
-and text are read; the input must list its rows in the same order each time it
-is read, as a table of files does. An empty table gives an empty result.
+and text are read; an input that isn't read from files as it is gets stored first, so
+that its rows keep their numbers. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import modest, numbered, release, ship, stored, tidily
+from .common import in_order, modest, numbered, release, ship, stored, tidily
 from .components import connected
 from .simhash import BLOCK, SEED, codeword_index
 
@@ -425,8 +425,8 @@ def missed(docs: DataFrame, linked: DataFrame, roots: DataFrame, words: int, sim
     return _verified(docs, _candidates(keyed, similarity), words, similarity)
 
 
-def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: row_id, doc_id, component_id (the least doc_id reachable over verified pairs)."""
+def _components(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(row_id, doc_id, root) of every row; rows of one root are connected over verified pairs."""
     prints = stored(signatures(docs, words), "signatures")
     names = [f"f{t}" for t in range(TABLES)]
     nodes = stored(prints.groupBy(*names).agg(F.min("row_id").alias("node")), "nodes")
@@ -435,14 +435,22 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = S
     first = connected(linked)
     more = missed(docs, linked, first, words, similarity)
     roots = connected(first.select("u", F.col("root").alias("v")).unionByName(more.select("u", "v"))).withColumnRenamed("u", "row_id")
-    rooted = prints.select("row_id", "doc_id").join(roots, "row_id", "left").select("row_id", "doc_id", F.coalesce("root", "row_id").alias("root"))
+    return prints.select("row_id", "doc_id").join(roots, "row_id", "left").select("row_id", "doc_id", F.coalesce("root", "row_id").alias("root"))
+
+
+def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: row_id, doc_id, component_id (the least doc_id reachable over verified pairs)."""
+    rooted = _components(in_order(docs), words, similarity)
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(ids, "root").select("row_id", "doc_id", "component_id")
 
 
 def drop_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose doc_id names their component, with all their columns; rows without a doc_id stay."""
-    named = similar_documents(docs, words, similarity).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("named"))
-    gone = stored(named.where("not named").select(F.col("doc_id").alias("_gone")), "gone")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"))
+    """The rows of docs that stay, with all their columns: of each component the one with the smallest doc_id (null last; of equal doc_ids the first)."""
+    docs = in_order(docs)
+    rooted = _components(docs, words, similarity)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id"))
+    first = rooted.groupBy("root").agg(least.alias("least")).select("root", F.col("least.row_id").alias("stays"))
+    gone = stored(rooted.join(first, "root").where("row_id <> stays").select(F.col("row_id").alias("_gone")), "gone")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_id"))
     return rows.join(modest(gone), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

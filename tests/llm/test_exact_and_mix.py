@@ -31,6 +31,27 @@ def test_exact_against_a_loop(odd, support):
     assert Counter(folded(r.text) for r in kept.collect()) == Counter(set(size))
 
 
+def joined(spark, sf_dir):
+    """Documents with a second, large column from a join, in small partitions that depend on what is read."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = docs.select("doc_id", F.repeat("text", 3).alias("more"))
+    return docs.hint("merge").join(more, "doc_id")
+
+
+@pytest.mark.parametrize("size", ["20k", "200k"])
+def test_rows_of_a_join_keep_their_numbers(spark, sf_dir, sf01, size):
+    from lexispark.llm.common import setting
+
+    with setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", size), setting(spark, "spark.sql.adaptive.coalescePartitions.minPartitionSize", size), setting(spark, "spark.sql.shuffle.partitions", "60"):
+        docs = joined(spark, sf01)
+        rows = docs.collect()
+        last = {}
+        for r in rows:
+            last[folded(r.text)] = max(last.get(folded(r.text), -1), r.doc_id)
+        kept = exact_dedup.drop_exact_duplicates(docs).collect()
+        assert sorted(r.doc_id for r in kept) == sorted(last.values())
+
+
 def test_heavy_digests_are_found(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "Same").otherwise(F.col("id").cast("string")).alias("text"))
     heavy = exact_dedup.heavy_winners(exact_dedup._digests(rows), 0.1).collect()
