@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, stored, table
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same characters of a lower-cased text, listed instead of excluded: Java tests two ranges faster than three that are negated.
+LOWER_TERM = r"[a-z\x{80}-\x{10FFFF}]+"
 LEAST_DOCS = 30
 SCALE = 1_000_000_000
 SMOOTH = 5
@@ -42,7 +44,7 @@ SALTS = 64
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term, and the documents that have it."""
     text, lang, source = (F.coalesce(F.col(c), F.lit("")) for c in ("text", "lang", "source"))
-    terms = F.regexp_extract_all(ascii_lower(text), F.lit(TERM), F.lit(0))
+    terms = F.regexp_extract_all(ascii_lower(text), F.lit(LOWER_TERM), F.lit(0))
     # The matches are a variable of transform(), so that they are looked for once.
     bags = F.flatten(F.transform(F.array(terms), lambda t: F.array(F.struct(t.alias("terms"), F.lit(0).alias("once")), F.struct(F.array_distinct(t).alias("terms"), F.lit(1).alias("once")))))
     bag = docs.select(lang.alias("lang"), source.alias("source"), F.explode(bags).alias("bag"))
