@@ -8,17 +8,16 @@ is joined or broadcast.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as t
 from lexispark.functions import vectors as v
+from lexispark.operators import nearest as nearest_
+from lexispark.sources.tables import stored
 
 THRESHOLD, KEYWORD_THRESHOLD, RELAXED = 0.6, 0.6, 0.25
-#: Terms that are broadcast at once, to be compared with every candidate.
-VOCABULARY = 10_000
 
 
 def scored(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
@@ -190,38 +189,88 @@ def audit(vectors: DataFrame, items: DataFrame) -> DataFrame:
     return whole.withColumn("per_entry", F.try_divide("n_vectors", "n_entries"))
 
 
-def _blocks(n: int) -> int:
-    """Blocks of about half of VOCABULARY terms, or one."""
-    return 1 if n <= VOCABULARY else -(-2 * n // VOCABULARY)
+def _exact(candidates: DataFrame, terms: DataFrame) -> DataFrame:
+    """The candidates with `exact`, the first term of the same normalised name."""
+    named = candidates.withColumn("_name", t.normalized(F.col("name")))
+    known = terms.groupBy(t.normalized(F.col("keyword")).alias("_name")).agg(F.min("keyword").alias("exact"))
+    return named.join(known, "_name", "left").select(*candidates.columns, "exact")
+
+
+def _known(candidates: DataFrame, terms: DataFrame, threshold: float) -> DataFrame:
+    """The candidates with exact, or near: (similarity, keyword) of the nearest term within the threshold."""
+    exact = _exact(candidates, terms)
+    asked = exact.where("exact is null").select(F.col("cand_id").cast("string").alias("id"), "embedding")
+    pairs = nearest_.within(asked, terms.select(F.col("keyword").alias("id"), "embedding"), threshold)
+    near = pairs.groupBy(F.col("left").alias("_cand")).agg(F.max(F.struct("similarity", F.col("right").alias("keyword"))).alias("near"))
+    return exact.join(near, F.col("cand_id").cast("string") == F.col("_cand"), "left").drop("_cand")
 
 
 def vocabulary_terms(candidates: DataFrame, terms: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Each candidate (cand_id, name, embedding) to a term (keyword, embedding): equal name first, else the nearest
     by cosine at or above the threshold, else itself as new (J10 against a frozen vocabulary).
 
-    A vocabulary of more than VOCABULARY terms is compared in blocks of about half as many, each broadcast on its own,
-    so its size has no limit; the work is still that of every unknown candidate with every term.
+    Near terms are found with pivots (`nearest.within`): exact, and only what their bounds can't rule out is compared.
+    """
+    kind = F.when(F.col("exact").isNotNull(), "exact").when(F.col("near").isNotNull(), "near").otherwise("new")
+    return _known(candidates, terms, threshold).select("cand_id", F.coalesce("exact", "near.keyword", t.strip(F.col("name"))).alias("keyword"), kind.alias("kind"))
+
+
+def _refused(edges: DataFrame) -> DataFrame:
+    """The nodes (v) that a greedy walk in order refuses, of stored edges (u, v) with u before v.
+
+    The walk accepts what it has accepted no neighbour of: the lexicographically first
+    maximal independent set. In a round every node whose earlier neighbours are all
+    decided decides, wherever it stands, so rounds are as many as the longest chain of
+    nodes that wait for one another, which is short in any order but a contrived one.
+    Edges of decided nodes are gone after a round; each round is stored.
+    """
+    refused, left = edges.select("v").limit(0), edges
+    while not left.isEmpty():
+        waiting = left.select(F.col("v").alias("u")).distinct()
+        accepted = left.select("u").distinct().join(waiting, "u", "left_anti")
+        now = stored(left.join(accepted, "u").select("v").distinct(), "refused")
+        refused = stored(refused.unionByName(now), "refused")
+        left = stored(left.join(now, "v", "left_anti").join(now.select(F.col("v").alias("u")), "u", "left_anti").select("u", "v"), "edges")
+    return refused
+
+
+def grow_vocabulary(candidates: DataFrame, terms: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Candidates (cand_id, place, name, embedding) one after the other, in the order of place, onto a vocabulary that takes in those it doesn't know yet.
+
+    As `vocabulary_terms`, but a candidate that is new is a term for all that come later. The
+    result is that of the loop; which candidates are taken in is settled by rounds over the
+    pairs of equal name or a cosine of at least the threshold. (cand_id, keyword, kind);
+    kind is new for those taken in. The nearest term counts, of equally near ones the
+    greater keyword; of equal places the smaller cand_id comes first. Candidates that
+    repeat a name and a vector are compared once. Pairs are stored, never collected.
     """
-    exact = candidates.join(terms.select(F.col("keyword").alias("exact")), t.normalized(F.col("name")) == t.normalized(F.col("exact")), "left")
-    exact = exact.groupBy("cand_id").agg(F.first("name").alias("name"), F.first("embedding").alias("embedding"), F.min("exact").alias("exact"))
-    unknown = exact.where("exact is null")
-    best = F.struct("similarity", "keyword")
-
-    def nearest_of(some: DataFrame) -> DataFrame:
-        pairs = unknown.crossJoin(F.broadcast(some.select("keyword", F.col("embedding").alias("of")))).withColumn("similarity", v.cosine(F.col("embedding"), F.col("of")))
-        return pairs.groupBy("cand_id").agg(F.max_by("keyword", best).alias("keyword"), F.max("similarity").alias("similarity"))
-
-    blocks = _blocks(terms.count())
-    if blocks == 1:
-        near = nearest_of(terms)
-    else:
-        spread = terms.select("keyword", "embedding").distinct().withColumn("block", F.pmod(F.xxhash64("keyword", "embedding"), F.lit(blocks)))
-        near = reduce(DataFrame.unionByName, [nearest_of(spread.where(F.col("block") == n)) for n in range(blocks)])
-    near = near.groupBy("cand_id").agg(F.max_by("keyword", best).alias("near"), F.max("similarity").alias("similarity"))
-    close = F.when(F.col("similarity") >= threshold, F.col("near"))
-    joined = exact.join(near, "cand_id", "left")
-    kind = F.when(F.col("exact").isNotNull(), "exact").when(close.isNotNull(), "near").otherwise("new")
-    return joined.select("cand_id", F.coalesce("exact", close, t.strip(F.col("name"))).alias("keyword"), kind.alias("kind"))
+    rows = candidates.select("cand_id", F.struct("place", "cand_id").alias("order"), t.strip(F.col("name")).alias("name"), "embedding")
+    known = stored(_known(rows, terms, threshold), "known")
+    same = ["_name", "embedding"]
+    asked = known.where("exact is null").withColumn("_name", t.normalized(F.col("name")))
+    nodes = asked.groupBy(*same).agg(F.min("order").alias("order"), F.min_by("name", "order").alias("name"), F.min("near").isNull().alias("open"))
+    nodes = stored(nodes.withColumn("node", F.col("order.cand_id").cast("string")), "nodes")
+    fresh = nodes.where("open")
+    vector = [F.col("node").alias("id"), "embedding"]
+    close = nearest_.within(fresh.select(*vector), nodes.select(*vector), threshold)
+    alike = fresh.select("_name", F.col("node").alias("left")).join(nodes.select("_name", F.col("node").alias("right")), "_name")
+    pairs = close.unionByName(alike.select("left", "right", F.lit(2.0).alias("similarity")))  # an equal name is nearer than any vector
+    place = nodes.select("node", "order", "open")
+    pairs = pairs.join(place.select(F.col("node").alias("left"), F.col("order").alias("first")), "left")
+    pairs = pairs.join(place.select(F.col("node").alias("right"), F.col("order").alias("then"), F.col("open").alias("waits")), "right")
+    pairs = stored(pairs.groupBy("left", "right", "first", "then", "waits").agg(F.max("similarity").alias("similarity")), "pairs")
+    refused = _refused(stored(pairs.where("waits and first < then").select(F.col("left").alias("u"), F.col("right").alias("v")), "edges"))
+    taken = pairs.join(refused.select(F.col("v").alias("left")), "left", "left_anti").join(fresh.select(F.col("node").alias("left"), F.col("name").alias("keyword")), "left")
+    onto = taken.join(nodes.select(F.col("node").alias("right"), *[F.col(c).alias(f"{c}_") for c in same]), "right").select(*[f"{c}_" for c in same], "first", "similarity", "keyword")
+    members = asked.select("cand_id", "order", *same)
+    equal = (F.col("_name") == F.col("_name_")) & F.col("embedding").eqNullSafe(F.col("embedding_")) & (F.col("first") <= F.col("order"))
+    best = members.join(onto, equal).groupBy("cand_id").agg(F.max(F.struct("similarity", "keyword")).alias("new"), F.max(F.col("first") == F.col("order")).alias("own"))
+    joined = known.join(best, "cand_id", "left")
+    most = F.greatest("near", "new")
+    kind = F.when(F.col("exact").isNotNull(), "exact").when(F.coalesce("own", F.lit(False)), "new").when(most["similarity"] == 2.0, "exact").when(most.isNotNull(), "near").otherwise("new")
+    joined = joined.withColumn("kind", kind).withColumn("most", most)
+    keyword = F.when(F.col("kind") == "new", F.col("name")).otherwise(F.coalesce("exact", "most.keyword"))
+    return joined.select("cand_id", keyword.alias("keyword"), "kind")
 
 
 def fold_new_terms(terms: list[tuple[str, list[float]]], known: list[tuple[str, list[float]]], threshold: float = 0.85) -> dict[str, str]:

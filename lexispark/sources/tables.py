@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -32,14 +33,50 @@ BLANKS = "array<struct<word:string,options:array<string>>>"
 LEARNING = f"array<struct<topic:string,poems:array<struct<poem_text:string,blanks:{BLANKS},introduction:string,interpretation:string>>>>"
 
 
+_local: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); a local one only where the session is local."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir); a local one only where the session is local. Deleted when the process ends, or by clear()."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="lexispark-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        shared = _local.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="lexispark-")
+        _local[context.applicationId] = shared
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back: lineage ends here, and a lost executor costs nothing."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what scratch() has named for this session: results that are still lazy can't be read after it."""
+    for made in [m for m in _made if m[0] is spark]:
+        _made.remove(made)
+        remove(*made)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            remove(spark, path)
+        except Exception:  # the session may have ended first
+            return
 
 
 @dataclass(frozen=True)

@@ -103,19 +103,6 @@ def test_catalog(spark, tmp_path):
         paths.path("elsewhere")
 
 
-def test_vocabulary_in_blocks(spark, monkeypatch):
-    """A vocabulary that isn't broadcast at once gives the same terms, repeated rows and ties included."""
-    terms = spark.createDataFrame([(f"k{i % 37}", [float(i % 37 % 5), float(i % 37 % 3), 1.0]) for i in range(40)] + [("tie", [1.0, 1.0, 1.0])], "keyword string, embedding array<double>")
-    asked = spark.createDataFrame([(i, f" K{i}", [float(i % 7), float(i % 4), 0.5]) for i in range(30, 60)] + [(99, None, None)], "cand_id long, name string, embedding array<double>")
-
-    def rows():
-        return {tuple(r) for r in search.vocabulary_terms(asked, terms, 0.9).collect()}
-
-    want = rows()
-    monkeypatch.setattr(search, "VOCABULARY", 10)
-    assert rows() == want and len(want) == 31
-
-
 def test_audit_of_equal_and_null_vectors(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, None)], "entry_ord long, embedding array<double>")
     items = spark.range(1, 8).withColumnRenamed("id", "entry_ord")
