@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.functions import text as t
 from lexispark.operators import batch
 from lexispark.plans import entries as e
 from lexispark.plans.layout_queries import _LINES, _PARAGRAPHS, _WS
-from lexispark.plans.text_queries import _ALL_WS, _DOTS
+from lexispark.plans.text_queries import _ALL_WS, _poem, _told
 
 #: entry, role, top and height of the boxes of a page; all begin at the left edge.
 BOXES = (
@@ -41,18 +40,6 @@ def batch_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"batch_export": batch_export}
 
 
-def _told(x: str) -> str:
-    lines = f"list_transform(regexp_split_to_array(replace({x}, '•', ''), '{t.LINE_END}'), lambda l: {_DOTS.format(x=f'''regexp_replace(trim(l, {_ALL_WS}), '^[{t.BULLETS}]+', '')''')})"
-    return f"trim(array_to_string(list_filter({lines}, lambda l: l <> ''), chr(10)), {_ALL_WS})"
-
-
-def _poem(x: str) -> str:
-    body = f"regexp_replace(regexp_replace(trim({x}, {_ALL_WS}), '^[•{t.BULLETS}]+', ''), '^-+[•{t.BULLETS}]*', '-')"
-    line = f"(CASE WHEN i > 1 THEN regexp_replace(trim(l, {_ALL_WS}), '^[•{t.BULLETS}]+', '') ELSE trim(l, {_ALL_WS}) END)"
-    kept = f"list_transform(regexp_split_to_array({body}, '{t.LINE_END}'), lambda l, i: regexp_extract({_DOTS.format(x=line)}, '(?s)^[^\\p{{Lu}}\\p{{Ll}}\\-(]*([\\p{{Lu}}\\-(].*)$', 1))"
-    return f"trim(array_to_string(list_filter({kept}, lambda l: l <> ''), chr(10)), {_ALL_WS})"
-
-
 def _paragraphs(keys: str, source: str) -> str:
     return f"WITH {_PARAGRAPHS.format(k=keys, ws=_WS, src=source)} SELECT {keys}, string_agg(text, chr(10) ORDER BY paragraph) AS text FROM paras GROUP BY {keys}"
 

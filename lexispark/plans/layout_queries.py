@@ -9,6 +9,7 @@ from lexispark.functions import geometry as g
 from lexispark.functions import text as t
 from lexispark.operators import layout
 from lexispark.plans import entries as e
+from lexispark.plans.text_queries import _ALL_WS, _poem, _told
 
 PAGE = ["page"]
 
@@ -47,9 +48,8 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layout_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments to exported entries (F5, F6, F26, G18): categories with the lengths of what belongs to them."""
-    found = layout.entries(_segments(spark, sf_dir), PAGE)
-    return found.select("id", "page", "entry_idx", "category", F.length("explanation").cast("long").alias("n_explanation"))
+    """Segments to exported entries (F5, F6, F26, G18), with their texts."""
+    return layout.entries(_segments(spark, sf_dir), PAGE).select("id", "page", "entry_idx", "category", "poem", "explanation")
 
 
 def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +127,16 @@ u AS (SELECT {k}, greatest(0.004::DOUBLE, list_sort(list(gap) FILTER (gap > 0))[
 b AS (SELECT g.*, coalesce(regexp_matches(before, '[.!?:”"»]\\s*$') AND (gap >= 1.4::DOUBLE * coalesce(usual, 0.008::DOUBLE) OR gap >= 0.015::DOUBLE), false) AS breaks FROM g JOIN u USING ({k})),
 i AS (SELECT *, sum(breaks::INT) OVER (PARTITION BY {k} ORDER BY line_idx) AS paragraph FROM b WHERE trim(text, {ws}) <> ''),
 paras AS (SELECT {k}, paragraph::BIGINT AS paragraph, string_agg(trim(text, {ws}), ' ' ORDER BY line_idx) AS text FROM i GROUP BY ALL)"""
+_ENTRIES = f"""{_PARAGRAPHS.format(k='page, entry_idx', ws=_WS, src="(SELECT page, entry_idx, line_idx, text, x, y, w, h FROM seg WHERE role = 'explanation') e")},
+told AS (SELECT page, entry_idx, string_agg(text, chr(10) ORDER BY paragraph) AS text FROM paras GROUP BY ALL),
+vt AS (SELECT page, entry_idx, line_idx, x - min(x) OVER (PARTITION BY page, entry_idx) AS indent, trim(text, {_WS}) AS text, regexp_extract(text, '\\p{{L}}') AS letter FROM seg WHERE role = 'poem'),
+vn AS (SELECT *, (row_number() OVER (PARTITION BY page, entry_idx ORDER BY line_idx) = 1 OR NOT (letter <> '' AND (regexp_matches(letter, '\\p{{Ll}}') OR indent >= 0.045::DOUBLE)))::INT AS fresh FROM vt WHERE text <> ''),
+vi AS (SELECT *, sum(fresh) OVER (PARTITION BY page, entry_idx ORDER BY line_idx) AS verse FROM vn),
+vs AS (SELECT page, entry_idx, verse, string_agg(text, ' ' ORDER BY line_idx) AS text FROM vi GROUP BY ALL),
+poems AS (SELECT page, entry_idx, string_agg(text, chr(10) ORDER BY verse) AS text FROM vs GROUP BY ALL),
+entries AS (
+  SELECT h.page, h.entry_idx::INT AS entry_idx, trim(h.text, {_ALL_WS}) AS category, {_poem("coalesce(p.text, '')")} AS poem, {_told("coalesce(e.text, '')")} AS explanation
+  FROM seg h LEFT JOIN poems p ON p.page = h.page AND p.entry_idx = h.entry_idx LEFT JOIN told e ON e.page = h.page AND e.entry_idx = h.entry_idx WHERE role = 'category')"""
 
 ORACLES = {
     "line_gaps": f"""WITH {_LINES}, o AS (SELECT *, (row_number() OVER (PARTITION BY page ORDER BY y, x) - 1)::INT AS i FROM lines)
@@ -138,13 +148,8 @@ n AS (SELECT *, (row_number() OVER (PARTITION BY page ORDER BY line_idx) = 1 OR
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY line_idx) AS verse FROM n)
 SELECT page, verse::BIGINT AS verse, string_agg(text, ' ' ORDER BY line_idx) AS text FROM i GROUP BY ALL""",
     "paragraphs": f"WITH {_LINES}, {_PARAGRAPHS.format(k='page', ws=_WS, src='lines')} SELECT * FROM paras",
-    "layout_entries": f"""WITH {_SEGMENTS}, {_PARAGRAPHS.format(k='page, entry_idx', ws=_WS, src="(SELECT * FROM seg WHERE role = 'explanation') e")},
-j AS (SELECT page, entry_idx, string_agg(text, chr(10) ORDER BY paragraph) AS text FROM paras GROUP BY ALL),
-x AS (SELECT page, entry_idx, unnest(string_split(text, chr(10))) AS line FROM j),
-c AS (SELECT page, entry_idx, regexp_replace(trim(replace(line, '•', ''), {_WS}), '^[◦▪▫●■*+~.\\s]+', '') AS line FROM x),
-d AS (SELECT page, entry_idx, sum(length(array_to_string(list_transform(regexp_extract_all(line, '\\.+|[^.]+'), lambda p: CASE WHEN p = '..' THEN '.' ELSE p END), '')) + 1) - 1 AS n FROM c WHERE line <> '' GROUP BY ALL)
-SELECT sha256(seg.page || '/' || seg.entry_idx) AS id, seg.page, seg.entry_idx::INT AS entry_idx, trim(text, {_WS}) AS category, coalesce(n, 0)::BIGINT AS n_explanation
-FROM seg LEFT JOIN d ON seg.page = d.page AND seg.entry_idx = d.entry_idx WHERE role = 'category'""",
+    "layout_entries": f"""WITH {_SEGMENTS}, {_ENTRIES}
+SELECT sha256(page || '/' || entry_idx) AS id, page, entry_idx, category, poem, explanation FROM entries""",
     "bbox_union": f"""WITH {_SEGMENTS}, {_BOXES}
 SELECT page, count(*) AS n, round(min(x), 6) AS x, round(min(y), 6) AS y, round(max(x + w) - min(x), 6) AS w, round(max(y + h) - min(y), 6) AS h FROM boxes GROUP BY page""",
     "box_assign": f"WITH {_LINES}, {_SPOTS} SELECT page, line_idx, hit[1] AS entry_idx, hit[3] AS role FROM lines LEFT JOIN hits USING (page, line_idx)",

@@ -10,9 +10,9 @@ from lexispark.functions import text as t
 from lexispark.functions import vectors as v
 from lexispark.operators import enrich, layout, learning, review, search
 from lexispark.plans import entries as e
-from lexispark.plans.layout_queries import _SEGMENTS
+from lexispark.plans.layout_queries import _ENTRIES, _PARAGRAPHS, _SEGMENTS, _WS
 from lexispark.plans.search_queries import _VECTORS
-from lexispark.plans.text_queries import _ALL_WS, _category
+from lexispark.plans.text_queries import _ALL_WS, _category, _told
 from lexispark.sources import index, tables
 
 UI = {"search": {"vi": "Tìm kiếm", "en": "Search"}, "letter": {"vi": "Chữ cái"}}
@@ -187,9 +187,9 @@ def appended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exported_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages of a book to the rows of the export; poems are tested on small pages."""
+    """All pages of a book to the rows of the export, with their texts."""
     lines = e.lines(spark, sf_dir).withColumn("book", F.col("page") % 3)
-    return layout.exported(lines, ["book"], "page", F.col("heading")).select("id", "category", "pages", (F.col("explanation") != "").alias("has_explanation"))
+    return layout.exported(lines, ["book"], "page", F.col("heading")).select("id", "poem", "category", "explanation", "pages")
 
 
 def entry_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,15 +262,15 @@ SELECT entry_ord, text AS answer FROM best JOIN documents ON doc_id = entry_ord
     "appended_rows": """WITH ed AS (SELECT CASE doc_id % 9 WHEN 0 THEN 'x' || doc_id WHEN 1 THEN (doc_id * 2 + 10000000)::VARCHAR ELSE doc_id::VARCHAR END AS id, doc_id, lang, source FROM documents)
 SELECT id, lang, source FROM ed WHERE doc_id % 9 IN (0, 1) AND doc_id % 81 <> 0
 UNION ALL SELECT (greatest((SELECT count(*) FROM documents), (SELECT max(try_cast(id AS BIGINT)) FROM ed)) + 1)::VARCHAR, 'vi', ''""",
-    "exported_entries": f"""{_BOOKS},
-more AS (SELECT book, active.place AS place, active.entry_idx AS entry_idx, list(page ORDER BY page) AS pages FROM act WHERE orphaned AND active IS NOT NULL GROUP BY ALL),
-words AS (SELECT page, entry_idx, bool_or(role = 'explanation' AND regexp_matches(text, '[^◦▪▫●■*+~.•{t.BLANK}]')) AS has_explanation FROM seg GROUP BY ALL),
-lost AS (SELECT page, bool_or(regexp_matches(text, '[^◦▪▫●■*+~.•{t.BLANK}]')) AS told FROM seg WHERE role = 'orphan' GROUP BY page),
-heads AS (SELECT page, entry_idx, trim(text, {_ALL_WS}) AS category FROM seg WHERE role = 'category')
-SELECT sha256(h.page % 3 || '/' || h.page || '/' || h.entry_idx) AS id, category, h.page || coalesce(',' || array_to_string(m.pages, ','), '') AS pages,
-       w.has_explanation OR coalesce((SELECT bool_or(told) FROM lost WHERE list_contains(m.pages, lost.page)), false) AS has_explanation
-FROM heads h JOIN words w ON h.page = w.page AND h.entry_idx = w.entry_idx LEFT JOIN more m ON m.book = h.page % 3 AND m.place = h.page AND m.entry_idx = h.entry_idx
-UNION ALL SELECT sha256(book || '/front'), '', string_agg(act.page::VARCHAR, ',' ORDER BY act.page), bool_or(told) FROM act JOIN lost ON act.page = lost.page WHERE orphaned AND active IS NULL GROUP BY book""",
+    "exported_entries": f"""{_BOOKS}, {_ENTRIES},
+lost AS (WITH {_PARAGRAPHS.format(k="page", ws=_WS, src="(SELECT page, line_idx, text, y, h FROM seg WHERE role = 'orphan') o")}, l AS (SELECT page, string_agg(text, chr(10) ORDER BY paragraph) AS text FROM paras GROUP BY page) SELECT page, {_told("text")} AS text FROM l),
+more AS (
+  SELECT book, active.place AS page, active.entry_idx AS entry_idx, list(page ORDER BY page) AS pages, list(text ORDER BY page) AS texts FROM act JOIN lost USING (page) WHERE active IS NOT NULL GROUP BY ALL)
+SELECT sha256(en.page % 3 || '/' || en.page || '/' || en.entry_idx) AS id, poem, category, array_to_string(list_filter([explanation] || coalesce(texts, []), lambda z: z <> ''), ' ') AS explanation,
+       array_to_string(list_transform([en.page] || coalesce(pages, []), lambda z: z::VARCHAR), ',') AS pages
+FROM entries en LEFT JOIN more m ON m.page = en.page AND m.entry_idx = en.entry_idx
+UNION ALL SELECT sha256(book || '/front'), '', '', array_to_string(list_filter(list(text ORDER BY page), lambda z: z <> ''), ' '), string_agg(page::VARCHAR, ',' ORDER BY page)
+FROM act JOIN lost USING (page) WHERE active IS NULL GROUP BY book""",
     "entry_parts": f"""{_BOOKS},
 every AS (SELECT page % 3 AS book, page AS entry_place, entry_idx, page, x, y, w, h FROM seg WHERE entry_idx IS NOT NULL
   UNION ALL SELECT act.book, active.place, active.entry_idx, seg.page, x, y, w, h FROM seg JOIN act ON seg.page = act.page WHERE role = 'orphan')
