@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark import providers
@@ -28,6 +28,35 @@ def replies(rows: DataFrame, call: Callable[[dict], dict], tries: int = 3, tasks
     return providers.enrich(asked if tasks is None else asked.repartition(tasks, "id"), call, REPLY, tries).select("id", "meaning", "keywords")
 
 
+LOGGED = "id string, meaning string, keywords array<string>"
+
+
+def logged(spark: SparkSession, log: str) -> DataFrame:
+    """(id, meaning, keywords) of all replies in a log, none if there is no log yet; an id that was logged twice counts once."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(log)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], LOGGED)
+    return spark.read.schema(LOGGED).parquet(log).dropDuplicates(["id"])
+
+
+def run(rows: DataFrame, call: Callable[[dict], dict], log: str, chunk: int = 10_000, most: int | None = None, tries: int = 3, tasks: int | None = None) -> DataFrame:
+    """Replies of all pending rows, through a log that only grows; gives what the log holds.
+
+    Rows are dealt by a hash of their id to chunks of about so many, and each chunk's
+    replies are committed to the log when it is done. A run that dies loses the chunk
+    it was at; the next one asks only for rows that the log doesn't have. Rows without
+    a reply aren't logged and are asked again. most bounds the chunks of one run.
+    """
+    spark = rows.sparkSession
+    asked = pending(rows).withColumn("id", F.col("id").cast("string"))
+    left = asked.join(logged(spark, log).select("id"), "id", "left_anti")
+    chunks = max(1, -(-left.count() // chunk))
+    for n in range(chunks if most is None else min(most, chunks)):
+        some = asked.join(logged(spark, log).select("id"), "id", "left_anti").where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == n)
+        replies(some, call, tries, tasks).where("meaning is not null or keywords is not null").write.mode("append").parquet(log)
+    return logged(spark, log)
+
+
 def resolved(found: DataFrame, terms: DataFrame, embed: Callable[[Column], Column] = providers.embedding, threshold: float = 0.85) -> DataFrame:
     """(id, keywords, new_terms) with each keyword on the vocabulary; terms: keyword, embedding."""
     rows = found.select("id", F.posexplode("keywords").alias("place", "name"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.operators import nearest, search
+from lexispark import providers
+from lexispark.operators import browse, enrich, nearest, postings, search
 from lexispark.plans import entries as e
-from lexispark.plans.search_queries import _KEYWORDS, _VECTORS
-from lexispark.sources import records, tables
+from lexispark.plans.search_queries import _ENTRIES, _KEYWORDS, _VECTORS, ORACLES as _SEARCH
+from lexispark.sources import feedback, records, tables
+from lexispark.streaming import feedback as stream
 
 SHELVES = 4
 RECORD = tables.strings("id", "text")
@@ -52,7 +54,58 @@ def vocab_grow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.grow_vocabulary(rows, terms.select("keyword", "embedding"), 0.4)
 
 
-QUERIES = {f.__name__: f for f in (csv_records, csv_record, vector_pairs, vocab_grow)}
+WANTED, FIELDS = " All rights Reserved ", ("poem", "category", "source", "Alphabet")
+
+
+def literal_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal search through an index of trigrams, made of all documents."""
+    entries, path = e.entries(spark, sf_dir), tables.scratch(spark, "postings")
+    postings.write(entries, FIELDS, path)
+    return postings.literal(entries, spark.read.parquet(path), WANTED, FIELDS).select("id", "category", "source")
+
+
+def browse_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: a page far back, and the rows behind its last one by that row's own values."""
+    path = tables.scratch(spark, "pages")
+    browse.write_pages(e.entries(spark, sf_dir), path, 32)
+    pages = browse.read_pages(spark, path)
+    shown = pages.page(90, 2)
+    last = shown.orderBy(*[F.desc(c) for c in browse.ORDER]).first()
+    more = shown if last is None else shown.unionByName(pages.after(last.asDict(), 3))
+    return more.select("id", "Alphabet", "category", "poem")
+
+
+def feedback_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.9, A12, A13, F19: events as a log in three drops of files, read by a stream that is stopped and started again between them; each report once."""
+    log, out, state = (tables.scratch(spark, name) for name in ("log", "reports", "state"))
+    status = F.when(F.col("event_id") % 5 == 0, "seen").when(F.col("event_id") % 2 == 0, "like").otherwise("dislike")
+    text = F.when(F.col("event_id") % 11 == 0, F.lit("")).otherwise(F.concat("props", F.lit(" | a\nb ")))
+    rows = e.read(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("int").alias("poem_id"), "event_type", status.alias("status"), text.alias("interpretation"))
+    reports = rows.select("event_id", "poem_id", F.when(F.col("event_id") % 7 > 0, F.col("event_type")).alias("username"), "status", "interpretation")
+    for drop in range(3):
+        feedback.append(reports.where(F.col("event_id") % 3 == drop), log)
+        query = stream.append_to(stream.reports(spark, log, files=2), out, state)
+        query.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def enrich_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending rows through a model in two runs over one log, keywords onto a vocabulary, merged into all rows."""
+
+    def model(row: dict) -> dict:
+        return {} if row["id"].endswith("7") else {"meaning": row["poem"] + "!", "keywords": [row["poem"].upper(), row["explanation"], "no " + row["explanation"]]}
+
+    done = F.when(F.col("doc_id") % 4 == 0, F.lit("kept"))
+    rows = e.documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("poem"), F.col("source").alias("explanation"), done.alias("searchable_explanation"), done.alias("keywords"))
+    log = tables.scratch(spark, "replies")
+    enrich.run(rows, model, log, chunk=100, most=2)
+    found = enrich.run(rows, model, log, chunk=300)
+    names = e.documents(spark, sf_dir).select(F.col("lang").alias("keyword")).distinct()
+    terms = names.withColumn("embedding", providers.embedding(F.col("keyword")))
+    return enrich.merged(rows, found, enrich.resolved(found, terms)).select("id", "searchable_explanation", "keywords")
+
+
+QUERIES = {f.__name__: f for f in (csv_records, csv_record, vector_pairs, vocab_grow, literal_postings, browse_deep, feedback_stream, enrich_resumed)}
 
 _RECORDS = f"""records AS (
   SELECT doc_id::VARCHAR AS id, text || chr(10) || '"q", ' AS text, doc_id % {SHELVES} AS shelf, doc_id FROM documents),
@@ -90,4 +143,15 @@ found AS (
   SELECT c.cand_id, c.name, n.u IS NOT NULL AS own, CASE WHEN o.near IS NULL THEN b.near WHEN b.near IS NULL OR o.near > b.near THEN o.near ELSE b.near END AS near
   FROM cand c LEFT JOIN old o ON o.cand_id = c.cand_id LEFT JOIN best b ON b.v = c.cand_id LEFT JOIN new n ON n.u = c.cand_id)
 SELECT cand_id, CASE WHEN own THEN name ELSE near.keyword END AS keyword, CASE WHEN own THEN 'new' WHEN near.s = 2.0 THEN 'exact' ELSE 'near' END AS kind FROM found""",
+    "literal_postings": _SEARCH["literal_search"],
+    "browse_deep": f"""WITH {_ENTRIES}
+SELECT id, "Alphabet", category, poem FROM entries ORDER BY "Alphabet" NULLS FIRST, poem NULLS FIRST, id NULLS FIRST LIMIT 5 OFFSET 178""",
+    "feedback_stream": """SELECT user_id::INT AS poem_id, CASE WHEN event_id % 7 > 0 THEN event_type ELSE 'Ẩn danh' END AS username, CASE WHEN event_id % 2 = 0 THEN 'like' ELSE 'dislike' END AS status,
+  CASE WHEN event_id % 11 = 0 THEN '' ELSE trim(replace(replace(props || ' | a' || chr(10) || 'b ', '|', ' '), chr(10), ' ')) END AS interpretation FROM events WHERE event_id % 5 <> 0 AND user_id IS NOT NULL""",
+    "enrich_resumed": """WITH h AS (SELECT w, ('0x' || md5(w)[1:8])::BIGINT % 64 AS dim, ('0x' || md5(w)[1:8])::BIGINT >= 2147483648 AS up FROM (SELECT DISTINCT lang AS w FROM documents UNION SELECT source FROM documents) x),
+near AS (
+  SELECT a.w AS name, max(b.w) AS term FROM h a JOIN h b USING (dim, up) WHERE b.w IN (SELECT lang FROM documents) AND a.w NOT IN (SELECT lang FROM documents) GROUP BY a.w)
+SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 4 = 0 THEN 'kept' WHEN doc_id % 10 <> 7 THEN lang || '!' END AS searchable_explanation,
+       CASE WHEN doc_id % 4 = 0 THEN 'kept' WHEN doc_id % 10 <> 7 THEN lang || CASE WHEN coalesce(term, source) = lang THEN '' ELSE ', ' || coalesce(term, source) END || ', no ' || source END AS keywords
+FROM documents LEFT JOIN near ON name = source""",
 }

@@ -13,10 +13,9 @@ from lexispark.plans import entries as e
 from lexispark.plans.layout_queries import _ENTRIES, _PARAGRAPHS, _SEGMENTS, _WS
 from lexispark.plans.search_queries import _VECTORS
 from lexispark.plans.text_queries import _ALL_WS, _category, _told
-from lexispark.sources import index, tables
+from lexispark.sources import index, tables, versions
 
 UI = {"search": {"vi": "Tìm kiếm", "en": "Search"}, "letter": {"vi": "Chữ cái"}}
-TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
 STOP = ["the", "of", "und", "la"]
 
 
@@ -52,11 +51,11 @@ def view_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first import counts, a second is ignored."""
-    name = f"lexispark_{tables.scratch(spark, 'wiki').rsplit('-', 1)[-1]}"
+    root = tables.scratch(spark, "wiki")
     rows = e.documents(spark, sf_dir).select("doc_id", "lang")
-    tables.bootstrap(rows, name)
-    tables.bootstrap(rows.limit(1), name)
-    return spark.table(name)
+    versions.bootstrap(rows, root)
+    versions.bootstrap(rows.limit(1), root)
+    return versions.read(spark, root)
 
 
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,15 +75,19 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = e.vectors(spark, sf_dir)
     index.write(vectors.where("facet = 0"), path)
     index.write(vectors, path)
-    return index.read(spark, path).select("vec_id", "entry_ord", "facet", F.size("embedding").cast("long").alias("dim"), F.element_at("embedding", 1).alias("first"))
+    return index.read(spark, path)
 
 
 def files_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files by name, one pinned first, and whether each entry has one."""
-    found = tables.files(spark, sf_dir, "*.parquet").select("path", F.regexp_replace(F.element_at(F.split(F.regexp_replace("path", "/+$", ""), "/"), -1), "\\.parquet$", "").alias("name"))
-    listing = tables.pinned_first(found.select("name").distinct(), "pages").select("name", (F.col("name") == "pages").alias("pinned"))
-    wanted = spark.createDataFrame([(x,) for x in (*TABLES, "none")], "id string")
-    return wanted.join(listing, F.col("id") == F.col("name"), "left").select("id", F.col("name").isNotNull().alias("has_file"), F.coalesce("pinned", F.lit(False)).alias("pinned"))
+    """An image for each third document, found by name; each document with its file or none, one pinned first."""
+    folder = tables.scratch(spark, "images")
+    docs = e.documents(spark, sf_dir)
+    images = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("image "), "lang").alias("value"), F.concat(F.lit("i"), "doc_id").alias("name"))
+    images.repartition(8, "name").write.partitionBy("name").text(folder)
+    found = tables.files(spark, folder, "*.txt").select(F.regexp_extract("path", "name=i([0-9]+)/", 1).cast("long").alias("doc_id"), F.col("content").cast("string").alias("content"))
+    listing = tables.pinned_first(found.select(F.col("doc_id").cast("string").alias("name"), "doc_id", "content"), "3")
+    pinned = listing.select("doc_id", "content", (F.col("name") == "3").alias("pinned"))
+    return docs.select("doc_id").join(pinned, "doc_id", "left").select("doc_id", F.trim(F.translate("content", "\n", "")).alias("content"), F.coalesce("pinned", F.lit(False)).alias("pinned"))
 
 
 def recognised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,8 +234,8 @@ ORACLES = {
     "bootstrap_once": "SELECT doc_id, lang FROM documents",
     "json_round_trip": """SELECT lang AS topic, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::INT AS place, text AS poem_text, source AS introduction, NULL::VARCHAR AS interpretation,
   lang || '|' || source AS options FROM documents""",
-    "index_round_trip": "SELECT vec_id, vec_id // 3 AS entry_ord, (vec_id % 3)::INT AS facet, len(embedding) AS dim, embedding[1]::FLOAT AS first FROM embeddings",
-    "files_listing": f"SELECT id, id <> 'none' AS has_file, id = 'pages' AS pinned FROM (SELECT unnest([{', '.join(repr(x) for x in (*TABLES, 'none'))}]) AS id) t",
+    "index_round_trip": "SELECT vec_id, vec_id // 3 AS entry_ord, (vec_id % 3)::INT AS facet, embedding FROM embeddings",
+    "files_listing": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'image ' || lang END AS content, doc_id = 3 AS pinned FROM documents",
     "recognised_lines": "SELECT doc_id AS page_idx, text FROM documents",
     "complete_rows": f"SELECT doc_id FROM documents WHERE doc_id % 3 = 1 AND trim(coalesce(lang, ''), {_ALL_WS}) <> '' AND trim(coalesce(text, ''), {_ALL_WS}) <> ''",
     "advice_retrieval": f"""WITH {_VECTORS.replace('WHERE vec_id = 0', 'WHERE vec_id = 1')}, top AS (SELECT * FROM vectors ORDER BY score DESC, vec_id LIMIT 20)

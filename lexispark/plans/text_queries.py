@@ -97,7 +97,7 @@ def blanks_and_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.when(F.col("doc_id") % 2 == 0, F.col("words")).otherwise(F.reverse("words"))
     return rows.select(
         "doc_id",
-        F.length(t.blanked(F.col("text"), F.col("words"))).cast("long").alias("n_left"),
+        t.blanked(F.col("text"), F.col("words")).alias("gapped"),
         t.all_correct(given, F.col("words")).alias("correct"),
         t.last_number(F.concat(F.lit("p. 12, "), F.col("doc_id").cast("string"), F.lit(" x"))).alias("page_num"),
         t.percent(F.round(F.col("doc_id") / 1024, 3)).alias("percent"),
@@ -176,6 +176,6 @@ SELECT p_partkey, array_to_string(u, ', ') AS joined, len(list_filter(u, lambda
 d AS (SELECT doc_id, text, CASE WHEN len(all_words) >= 2 THEN [all_words[2], all_words[-2]] ELSE [] END AS words FROM w),
 one AS (SELECT *, CASE WHEN len(words) >= 1 AND words[1] <> '' AND contains(text, words[1]) THEN substr(text, 1, instr(text, words[1]) - 1) || '____' || substr(text, instr(text, words[1]) + length(words[1])) ELSE text END AS a FROM d),
 two AS (SELECT *, CASE WHEN len(words) >= 2 AND words[2] <> '' AND contains(a, words[2]) THEN substr(a, 1, instr(a, words[2]) - 1) || '____' || substr(a, instr(a, words[2]) + length(words[2])) ELSE a END AS b FROM one)
-SELECT doc_id, length(b) AS n_left, CASE WHEN doc_id % 2 = 0 THEN true ELSE list_reverse(words) = words END AS correct, doc_id::INT AS page_num,
+SELECT doc_id, b AS gapped, CASE WHEN doc_id % 2 = 0 THEN true ELSE list_reverse(words) = words END AS correct, doc_id::INT AS page_num,
        printf('%.1f', round(doc_id / 1024, 3) * 100) AS percent FROM two""",
 }

@@ -25,13 +25,12 @@ def hashed_embedder(dim: int = 64) -> Embedder:
     """Signed word hashes, L2-normalised."""
 
     def embed(texts: list[str]) -> np.ndarray:
+        words = [[w for w in re.split("[ \t\n]+", (text or "").lower()) if w] for text in texts]
+        hashes = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in {w for line in words for w in line}}  # each word of a batch once
+        found = np.array([hashes[w] for line in words for w in line], np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(line) for line in words])
         out = np.zeros((len(texts), dim))
-        for row, text in zip(out, texts, strict=True):
-            for word in re.split("[ \t\n]+", (text or "").lower()):
-                if not word:
-                    continue
-                h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
-                row[h % dim] += 1 if h >> 31 else -1
+        np.add.at(out, (row, found % dim), np.where(found >> 31 == 1, 1, -1))
         size = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return (out / np.where(size == 0, 1, size)).astype(np.float32)
 

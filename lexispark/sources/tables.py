@@ -149,17 +149,12 @@ def write_csv(entries: DataFrame, path: str) -> None:
     entries.where(filled).write.mode("overwrite").options(**CSV_OUT).csv(path)
 
 
-def bootstrap(entries: DataFrame, name: str) -> None:
-    """Creates a table unless it exists; all rows or none."""
-    entries.write.mode("ignore").saveAsTable(name)
-
-
 def duplicate_ids(entries: DataFrame) -> DataFrame:
     return entries.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def swap_in(df: DataFrame, path: str) -> None:
-    """Writes a new version beside the old and renames it into place."""
+    """Writes a folder beside the old and renames it into place, for readers that come later; `versions` has tables that are read meanwhile."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"

@@ -8,8 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 from lexispark.sources import feedback
 
 
-def reports(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    return feedback.parse(spark.readStream.text(path), strict)
+def reports(spark: SparkSession, path: str, strict: bool = False, files: int | None = None) -> DataFrame:
+    """files bounds how many files a micro-batch takes."""
+    reader = spark.readStream if files is None else spark.readStream.option("maxFilesPerTrigger", files)
+    return feedback.parse(reader.text(path), strict)
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
