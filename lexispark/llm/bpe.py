@@ -42,7 +42,7 @@ from .common import ship, table, tidily
 #: Words, pairs and chunks that a Python worker remembers before it starts afresh.
 CACHE = 350_000
 #: New chunks that go into one trie, and chunks that wait for it at most.
-TOGETHER, WAITING = 40_000, 200_000
+TOGETHER, WAITING = 8_000, 40_000
 #: Bytes of results sent to the JVM at once.
 OUT_BYTES = 4 << 20
 SCHEMA = "doc_id long, ids binary, decoded string"
