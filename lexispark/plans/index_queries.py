@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark import providers
-from lexispark.operators import browse, enrich, nearest, postings, search
+from lexispark.operators import browse, enrich, nearest, postings, raster, search
 from lexispark.plans import entries as e
 from lexispark.plans.search_queries import _ENTRIES, _KEYWORDS, _VECTORS, ORACLES as _SEARCH
 from lexispark.sources import feedback, records, tables
@@ -105,7 +105,16 @@ def enrich_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.merged(rows, found, enrich.resolved(found, terms)).select("id", "searchable_explanation", "keywords")
 
 
-QUERIES = {f.__name__: f for f in (csv_records, csv_record, vector_pairs, vocab_grow, literal_postings, browse_deep, feedback_stream, enrich_resumed)}
+DPI = 256
+
+
+def column_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of whole texts as rasters; capitals, blanks and marks are ink. The column with the least of it."""
+    docs = e.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.encode("text", "utf-8").alias("samples"), F.lit(DPI).alias("width"))
+    return raster.separator(docs, ink=97).select(F.col("id").cast("long").alias("doc_id"), "x")
+
+
+QUERIES = {f.__name__: f for f in (csv_records, csv_record, vector_pairs, vocab_grow, literal_postings, browse_deep, feedback_stream, enrich_resumed, column_separator)}
 
 _RECORDS = f"""records AS (
   SELECT doc_id::VARCHAR AS id, text || chr(10) || '"q", ' AS text, doc_id % {SHELVES} AS shelf, doc_id FROM documents),
@@ -154,4 +163,13 @@ near AS (
 SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 4 = 0 THEN 'kept' WHEN doc_id % 10 <> 7 THEN lang || '!' END AS searchable_explanation,
        CASE WHEN doc_id % 4 = 0 THEN 'kept' WHEN doc_id % 10 <> 7 THEN lang || CASE WHEN coalesce(term, source) = lang THEN '' ELSE ', ' || coalesce(term, source) END || ', no ' || source END AS keywords
 FROM documents LEFT JOIN near ON name = source""",
+    "column_separator": f"""WITH b AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) // {DPI} * {DPI} AS n FROM documents),
+p AS (SELECT doc_id, unnest(range(n)) AS i, h FROM b),
+ink AS (SELECT doc_id, i % {DPI} AS x, sum((('0x' || substr(h, 2 * i + 1, 2))::INT < 97)::INT) AS ink FROM p GROUP BY ALL),
+every AS (SELECT doc_id, x FROM documents, range({int(DPI * 0.35)}, {int(DPI * 0.65)}) r(x)),
+prof AS (SELECT doc_id, list(coalesce(ink, 0) ORDER BY x) AS v FROM every LEFT JOIN ink USING (doc_id, x) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, list_transform(range(len(v)), lambda i: list_sum(list_transform([-2, -1, 0, 1, 2], lambda d:
+    [1, 4, 6, 4, 1][d + 3] * v[CASE WHEN i + d < 0 THEN -i - d WHEN i + d > len(v) - 1 THEN 2 * (len(v) - 1) - i - d ELSE i + d END + 1]))) AS s FROM prof)
+SELECT doc_id, ({int(DPI * 0.35)} + list_position(s, list_min(s)) - 1)::INT AS x FROM m""",
 }
