@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexispark import providers
 from lexispark.operators import browse, review, search
-from lexispark.sources import feedback, tables
+from lexispark.sources import feedback, tables, versions
 
 
 @dataclass
@@ -53,6 +53,14 @@ class Review:
         old = review.applied(self.base, self.edits.join(self.base.select("id"), "id", "left_semi"), self.deleted, self.fields)
         return old.unionByName(review.appended(self.base, self.edits, self.deleted, self.fields))
 
+    def save_export(self, root: str) -> int:
+        """The export as a new version of a table, which readers see in whole; the version's number."""
+        return versions.publish(self.export(), root)
+
+    def start(self, root: str) -> bool:
+        """Writes the first export unless there is one; whether it has."""
+        return versions.bootstrap(self.export(), root)
+
     @property
     def entries_spark(self) -> SparkSession:
         return self.base.sparkSession

@@ -92,6 +92,20 @@ def test_review(spark):
         found.save(spark.createDataFrame([("1", "A", "x, q")], row)).collect()
 
 
+def test_review_writes_its_export_once_and_then_versions(spark, tmp_path):
+    from lexispark.sources import versions
+
+    row = "id string, poem string, keywords string"
+    base, none = spark.createDataFrame([("1", "a", "x"), ("2", "b", "y")], row), spark.createDataFrame([], row)
+    first = Review(base, none, none.select("id"), ("poem", "keywords"), ["x", "y"])
+    later = Review(base, spark.createDataFrame([("2", "B", "x")], row), none.select("id"), ("poem", "keywords"), ["x", "y"])
+    assert first.start(f"{tmp_path}/reviewed")
+    assert not later.start(f"{tmp_path}/reviewed")
+    assert {r.poem for r in versions.read(spark, f"{tmp_path}/reviewed").collect()} == {"a", "b"}
+    assert later.save_export(f"{tmp_path}/reviewed") == 2
+    assert {r.poem for r in versions.read(spark, f"{tmp_path}/reviewed").collect()} == {"a", "B"}
+
+
 def test_catalog(spark, tmp_path):
     from lexispark.sources.tables import Catalog
 
