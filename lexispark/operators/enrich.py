@@ -57,11 +57,16 @@ def run(rows: DataFrame, call: Callable[[dict], dict], log: str, chunk: int = 10
     return logged(spark, log)
 
 
-def resolved(found: DataFrame, terms: DataFrame, embed: Callable[[Column], Column] = providers.embedding, threshold: float = 0.85) -> DataFrame:
-    """(id, keywords, new_terms) with each keyword on the vocabulary; terms: keyword, embedding."""
+def resolved(found: DataFrame, terms: DataFrame, embed: Callable[[Column], Column] = providers.embedding, threshold: float = 0.85, grow: bool = False) -> DataFrame:
+    """(id, keywords, new_terms) with each keyword on the vocabulary; terms: keyword, embedding.
+
+    With grow, a keyword that is new is a term for all that come later, in the order of
+    ids and of the keywords of each; without, each is held against the given terms only.
+    """
     rows = found.select("id", F.posexplode("keywords").alias("place", "name"))
-    names = rows.select("name").distinct().withColumn("cand_id", F.xxhash64("name")).withColumn("embedding", embed(F.col("name")))
-    known = search.vocabulary_terms(names.select("cand_id", "name", "embedding"), terms, threshold)
+    names = rows.groupBy("name").agg(F.min(F.struct("id", "place")).alias("place")).withColumn("cand_id", F.xxhash64("name")).withColumn("embedding", embed(F.col("name")))
+    resolve = search.grow_vocabulary if grow else search.vocabulary_terms
+    known = resolve(names.select("cand_id", "place", "name", "embedding"), terms, threshold)
     joined = rows.withColumn("cand_id", F.xxhash64("name")).join(known, "cand_id")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "keyword"))), lambda s: s["keyword"])
     fresh = F.array_sort(F.collect_set(F.when(F.col("kind") == "new", F.col("keyword"))))

@@ -113,6 +113,16 @@ def test_a_run_that_dies_asks_again_only_for_what_it_lost(spark, tmp_path):
     assert {r.id for r in enrich.pending(merged).collect()} == {"13"}
 
 
+def test_keywords_of_a_run_grow_the_vocabulary(spark):
+    found = spark.createDataFrame([("1", "m", ["Love", " hope"]), ("2", "m", ["affection", "love", "HOPE"]), ("3", "m", None), ("4", "m", ["fear", "hope"])], enrich.LOGGED)
+    terms = spark.createDataFrame([("fear", [0.0, 0.0, 1.0])], "keyword string, embedding array<double>")
+    near = lambda name: F.when(F.lower(F.trim(name)).isin("love", "affection"), F.array(F.lit(1.0), F.lit(0.1), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)))
+    got = {r.id: (r.keywords, r.new_terms) for r in enrich.resolved(found, terms, near, grow=True).collect()}
+    assert got == {"1": ("Love, hope", ["Love", "hope"]), "2": ("Love, hope", []), "4": ("fear, hope", [])}
+    frozen = {r.id: r.keywords for r in enrich.resolved(found, terms, near).collect()}
+    assert frozen["2"] == "affection, love, HOPE"
+
+
 def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     row = lambda i: spark.createDataFrame([(i, "u", "like", f"t{i}")], "poem_id int, username string, status string, interpretation string")
     log, out, state = (f"{tmp_path}/{n}" for n in ("log", "out", "state"))
