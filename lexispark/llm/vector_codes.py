@@ -4,7 +4,7 @@ Components become integers floor(256 x), so all distances are exact. A vector is
 cut into PARTS equal consecutive parts, each part position has a codebook of
 integer entries, and a vector's code is the list of its parts' nearest entries.
 
-* Kept vectors are packed into blocks of BLOCK rows, one row of a stored table
+* Kept vectors are packed into blocks of BLOCK components, one row of a stored table
   each, which a task reads and writes by itself.
 * The first assignment compares every part with every entry. Each part then goes
   into the heap of its entry, in its block, keyed by its slack: the distance to the
@@ -44,7 +44,8 @@ from .common import modest, release, ship, stored, table, tidily
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
 SCALE = 256
-BLOCK = 4096
+#: Components in a block: 4,096 vectors of 64, fewer of longer ones.
+BLOCK = 1 << 18
 LARGEST = 1 << 27
 #: Keys are smaller than the slack by this share of the distances that they were made from.
 MARGIN = 1e-12
@@ -178,6 +179,7 @@ class Block:
 def _begin(rows: DataFrame, codebooks: np.ndarray) -> DataFrame:
     """Blocks with every part assigned for the first time."""
     entries, width = codebooks.shape[1:]
+    most = max(1, BLOCK // (PARTS * width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -190,10 +192,10 @@ def _begin(rows: DataFrame, codebooks: np.ndarray) -> DataFrame:
 
         for batch in batches:
             while len(batch):
-                held.append(batch.slice(0, BLOCK - size))
+                held.append(batch.slice(0, most - size))
                 size += len(held[-1])
                 batch = batch.slice(len(held[-1]))
-                if size == BLOCK:
+                if size == most:
                     yield block(pa.Table.from_batches(held))
                     held, size = [], 0
         if size:

@@ -55,7 +55,7 @@ def test_query_against_lloyd(spark, sf01):
 
 
 def test_many_rounds_small_blocks_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(vc, "BLOCK", 37)
+    monkeypatch.setattr(vc, "BLOCK", 37 * 32)
     rng = np.random.default_rng(13)
     rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 32) / 256], int(i % 3)) for i in range(400)]
     rows += [(1000 + i, rows[5][1], None) for i in range(150)]
