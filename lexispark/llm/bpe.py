@@ -44,7 +44,7 @@ CACHE = 350_000
 #: New chunks that go into one trie, and chunks that wait for it at most.
 TOGETHER, WAITING = 8_000, 40_000
 #: Bytes of results sent to the JVM at once.
-OUT_BYTES = 4 << 20
+OUT_BYTES = 1 << 20
 SCHEMA = "doc_id long, ids binary, decoded string"
 END = "</w>"
 
@@ -276,10 +276,11 @@ def _encoder(spec: str, limit: int) -> TrieEncoder:
     return _loaded[key]
 
 
-def bpe_encode(docs: DataFrame, path: str, cache: int = CACHE) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, cache: int = CACHE, keep: bool = True) -> DataFrame:
     """doc_id, ids (packed little-endian unsigned 32-bit) and decoded text of every document.
 
     cache bounds what a worker remembers: fewer entries need less memory and more time.
+    Without keep a worker forgets its encoder at the end of each task, for steps that follow.
     """
     ship(docs.sparkSession)
     with open(path, encoding="utf-8") as file:
@@ -297,6 +298,9 @@ def bpe_encode(docs: DataFrame, path: str, cache: int = CACHE) -> DataFrame:
                 if held > OUT_BYTES or i == len(texts):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i - begin), pa.array(ids, pa.binary()), pa.array(shown, pa.string())], ["doc_id", "ids", "decoded"])
                     begin, ids, shown, held = i, [], [], 0
+        if not keep:
+            del encoder
+            _loaded.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidily(run), SCHEMA)
 
