@@ -19,7 +19,7 @@ from lexispark.llm.common import release, settled, table
 
 
 #: Words and chunks that an encoder remembers here, beside what the other stages' workers hold.
-WORDS_KEPT = 120_000
+WORDS_KEPT = 60_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed little-endian unsigned 32-bit) of each row, with digests of them and of the decoded text."""
-    return bpe.bpe_encode(docs, bpe.vocabulary(), WORDS_KEPT).select(
+    return bpe.bpe_encode(docs, bpe.vocabulary(), WORDS_KEPT, keep=False).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
