@@ -55,7 +55,7 @@ def table(rng, n):
     return out.getvalue().encode()
 
 
-@pytest.mark.parametrize("size", [33, 1000, 1 << 20])
+@pytest.mark.parametrize("size", [150, 1000, 1 << 20])
 def test_against_a_serial_scan(spark, tmp_path, size):
     rng = random.Random(size)
     files = {f"{name}.csv": table(rng, n) for name, n in (("a", 60), ("b", 0), ("c", 25))}
