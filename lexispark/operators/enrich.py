@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from lexispark import providers
 from lexispark.functions import text as t
 from lexispark.operators import review, search
+from lexispark.sources.tables import stored_by
 
+#: Chunks of one run at most: each is a job and a commit to the log of its own.
+CHUNKS = 32
 REPLY = "meaning string, keywords array<string>"
 
 
@@ -42,17 +45,20 @@ def logged(spark: SparkSession, log: str) -> DataFrame:
 def run(rows: DataFrame, call: Callable[[dict], dict], log: str, chunk: int = 10_000, most: int | None = None, tries: int = 3, tasks: int | None = None) -> DataFrame:
     """Replies of all pending rows, through a log that only grows; gives what the log holds.
 
-    Rows are dealt by a hash of their id to chunks of about so many, and each chunk's
-    replies are committed to the log when it is done. A run that dies loses the chunk
-    it was at; the next one asks only for rows that the log doesn't have. Rows without
-    a reply aren't logged and are asked again. most bounds the chunks of one run.
+    Rows are dealt by a hash of their id to chunks of about so many, or of more if that made
+    more than CHUNKS, and each chunk's replies are committed to the log when it is done. A
+    run that dies loses the chunk it was at; the next one asks only for rows that the log
+    doesn't have. Rows without a reply aren't logged and are asked again. most bounds the
+    chunks of one run. What is left is found once and stored by chunk, so a chunk reads its
+    own rows and no others.
     """
     spark = rows.sparkSession
     asked = pending(rows).withColumn("id", F.col("id").cast("string"))
-    left = asked.join(logged(spark, log).select("id"), "id", "left_anti")
-    chunks = max(1, -(-left.count() // chunk))
+    left = asked.select("id", "poem", "explanation").join(logged(spark, log).select("id"), "id", "left_anti")
+    chunks = max(1, min(CHUNKS, -(-left.count() // chunk)))
+    dealt = stored_by(left.withColumn("_chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")), "_chunk", "left")
     for n in range(chunks if most is None else min(most, chunks)):
-        some = asked.join(logged(spark, log).select("id"), "id", "left_anti").where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == n)
+        some = dealt.where(F.col("_chunk") == n).drop("_chunk")
         replies(some, call, tries, tasks).where("meaning is not null or keywords is not null").write.mode("append").parquet(log)
     return logged(spark, log)
 

@@ -113,6 +113,16 @@ def test_a_run_that_dies_asks_again_only_for_what_it_lost(spark, tmp_path):
     assert {r.id for r in enrich.pending(merged).collect()} == {"13"}
 
 
+def test_a_run_has_few_chunks_however_many_rows(spark, tmp_path, monkeypatch):
+    rows = spark.range(300).select(F.col("id").cast("string").alias("id"), F.lit("p").alias("poem"), F.lit("e").alias("explanation"), *[F.lit(None).cast("string").alias(c) for c in ("searchable_explanation", "keywords")])
+    asked = []
+    monkeypatch.setattr(enrich, "replies", lambda some, *how: asked.append(some) or some.select("id", F.lit("m").alias("meaning"), F.array("poem").alias("keywords")))
+    found = enrich.run(rows, None, f"{tmp_path}/log", chunk=2)
+    assert sorted(int(r.id) for r in found.collect()) == list(range(300))
+    assert len(asked) <= 32
+    assert sum(some.count() for some in asked) == 300
+
+
 def test_keywords_of_a_run_grow_the_vocabulary(spark):
     found = spark.createDataFrame([("1", "m", ["Love", " hope"]), ("2", "m", ["affection", "love", "HOPE"]), ("3", "m", None), ("4", "m", ["fear", "hope"])], enrich.LOGGED)
     terms = spark.createDataFrame([("fear", [0.0, 0.0, 1.0])], "keyword string, embedding array<double>")
