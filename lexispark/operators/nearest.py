@@ -15,8 +15,14 @@ hold a vector within reach e of it:
 Both bounds are taken with a slack beyond any rounding, so none of the pairs is lost.
 Blocks of more than BLOCK vectors, of equal ones for example, are dealt to parts, each
 compared by one task. Where bounds don't prune (vectors in all directions, a low
-threshold), every vector visits every block: the work is that of all pairs then, in
-blocks, and no more than that; `comparisons` tells beforehand.
+threshold), the work is that of all pairs, and visits to small blocks would send each
+vector as often as there are blocks. So if the pivots, as a sample, would visit more than
+VISITS parts on average, both sides are dealt by hash to a grid of tasks instead: a part
+holds HELD vectors at most, and a vector is sent to a row or a column of the grid.
+`comparisons` tells the work beforehand.
+
+Candidates are found with single-precision products, whose error has a bound, and each
+is decided by its cosine in doubles, summed in the order of the components.
 
 Null and zero vectors are near none, nor are vectors of another length than the pivots.
 """
@@ -30,27 +36,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.functions import vectors as v
 from lexispark.sources.tables import stored
 
 PIVOTS, RINGS, BLOCK = 64, 16, 2000
+#: Parts that a vector visits on average before a grid takes the place of blocks, its least columns, its rows, and the vectors of a part.
+VISITS, COLUMNS, GROUPS, HELD = 24, 8, 8, 16384
+#: Products that a task has in memory at once.
+CELLS = 1 << 22
 #: Of distances and cosines: far beyond the rounding of doubles.
 SLACK = 1e-7
 
 _HOME = "cell int, dist double, id string, embedding array<double>"
 _MOVED = "block int, part int, side int, id string, embedding array<double>"
-_PAIR = "left string, right string, left_vector array<double>, right_vector array<double>"
+_PAIR = "left string, right string, similarity double"
 
 
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that have a direction, and these as unit vectors."""
+def _sound(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have a direction, and their vectors."""
     held = [(n, value) for n, value in enumerate(column.to_pylist()) if value and len(value) == dim and None not in value]
     if not held:
         return np.zeros(0, np.int64), np.zeros((0, dim))
     rows, values = np.array([n for n, _ in held]), np.array([value for _, value in held], float)
     size = np.sqrt((values * values).sum(axis=1))
     good = (size > 0) & np.isfinite(size)
-    return rows[good], values[good] / size[good, None]
+    return rows[good], values[good]
+
+
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have a direction, and these as unit vectors."""
+    rows, values = _sound(column, dim)
+    return rows, values / np.sqrt((values * values).sum(axis=1, keepdims=True))
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows in the order of their components, as `functions.vectors` sums them."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += a[:, k] * b[:, k]
+    return total
 
 
 def _apart(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -69,7 +92,7 @@ class Blocks:
         units = [_matrix(pa.array([r.embedding]), self.dim)[1] for r in chosen]
         self.pivots = np.concatenate([u for u in units if len(u)]) if any(len(u) for u in units) else np.zeros((0, self.dim))
         if not len(self.pivots):
-            self.home, self.bounds = None, np.zeros((0, 5))
+            self.home, self.bounds, self.grid = None, np.zeros((0, 5)), 0
             return
         dim, points = self.dim, self.pivots
 
@@ -97,6 +120,12 @@ class Blocks:
         numbers = F.create_map(*[F.lit(x) for n, b in enumerate(self.bounds.tolist()) for x in (int(b[0]) * rings + int(b[5]), F.struct(F.lit(n).alias("block"), F.lit(int(b[3])).alias("parts")))])
         at = self.home.withColumn("_at", F.element_at(numbers, F.col("cell") * rings + F.col("ring")))
         self.home = at.select(F.col("_at.block").alias("block"), F.pmod(F.xxhash64("id"), F.col("_at.parts")).cast("int").alias("part"), F.lit(0).alias("side"), "id", "embedding")
+        #: Columns of the grid, should bounds not prune.
+        self.grid = max(COLUMNS, -(-n // HELD))
+
+    def visits(self, reach: float) -> float:
+        """How many parts a vector visits on average; the pivots are the sample."""
+        return float((self.reached(self.pivots, reach) @ self.bounds[:, 3]).mean())
 
     def reached(self, units: np.ndarray, reach: float) -> np.ndarray:
         """(vectors, blocks): which blocks can hold a vector within reach."""
@@ -131,12 +160,26 @@ def _visits(left: DataFrame, blocks: Blocks, reach: float) -> DataFrame:
     return left.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, _MOVED)
 
 
+def _dealt(left: DataFrame, home: DataFrame, columns: int) -> DataFrame:
+    """Both sides on a grid: those on the right are in a column, in each group of it; those on the left are in a group of each column."""
+    at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.array(*[F.lit(k) for k in range(n)]))
+    asked = left.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    held = home.select(at(columns).alias("block"), each(GROUPS).alias("part"), F.lit(0).alias("side"), "id", "embedding")
+    return held.unionByName(asked.select(each(columns).alias("block"), at(GROUPS).alias("part"), F.lit(1).alias("side"), "id", "embedding"))
+
+
 def _met(least: float, dim: int):
     """Sorted rows to pairs: the vectors of a part come first and are held, those that visit it stream by."""
+    narrow = (dim + 8) * 1.2e-7  # beyond the error of products in single precision
+
+    def sides(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        rows, values = _sound(column, dim)
+        size = np.sqrt(_dot(values, values))
+        return pa.array(rows, pa.int64()), values, size, (values / size[:, None]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, lists, units = None, [], [], np.zeros((0, dim))
-        pending: list[pa.RecordBatch] = []
+        at, there, pending = None, None, []
         for batch in batches:
             key = batch.column("block").to_numpy().astype(np.int64) << 33 | batch.column("part").to_numpy().astype(np.int64) << 1 | batch.column("side").to_numpy()
             ends = [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(batch)]
@@ -144,21 +187,27 @@ def _met(least: float, dim: int):
                 some = batch.slice(begin, end - begin)
                 block, visiting = int(key[begin]) >> 1, bool(key[begin] & 1)
                 if block != at:
-                    at, pending, units = block, [], None
+                    at, pending, there = block, [], None
                 if not visiting:
-                    pending.append(some)
+                    rows, *held = sides(some.column("embedding"))
+                    pending.append((some.column("id").take(rows), *held))
                     continue
-                if units is None:
-                    held = pa.Table.from_batches(pending).combine_chunks() if pending else None
-                    units = _matrix(held.column("embedding").combine_chunks(), dim)[1] if held is not None else np.zeros((0, dim))
-                    ids, lists = (held.column(c).combine_chunks() for c in ("id", "embedding")) if held is not None else ([], [])
-                if not len(units):
+                if there is None and pending:
+                    ids, *held = zip(*pending, strict=True)
+                    there, pending = (pa.concat_arrays(ids), *[np.concatenate(h) for h in held]), []
+                if there is None or not len(there[1]):
                     continue
-                mine = _matrix(some.column("embedding"), dim)[1]
-                who, whom = np.nonzero(mine @ units.T >= least - SLACK)
-                for k in range(0, len(who), 4096):
-                    a, b = pa.array(who[k : k + 4096]), pa.array(whom[k : k + 4096])
-                    yield pa.RecordBatch.from_arrays([some.column("id").take(a), ids.take(b), some.column("embedding").take(a), lists.take(b)], ["left", "right", "left_vector", "right_vector"])
+                ids, values, size, units = there
+                rows, mine, length, wide = sides(some.column("embedding"))
+                names = some.column("id").take(rows)
+                step = max(1, CELLS // len(units))
+                for low in range(0, len(mine), step):
+                    who, whom = np.divmod(np.flatnonzero((wide[low : low + step] @ units.T).ravel() >= least - narrow), len(units))
+                    for k in range(0, len(who), 65536):
+                        a, b = who[k : k + 65536] + low, whom[k : k + 65536]
+                        near = _dot(mine[a], values[b]) / (length[a] * size[b])
+                        good = near >= least
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(a[good])), ids.take(pa.array(b[good])), pa.array(near[good])], ["left", "right", "similarity"])
 
     return run
 
@@ -169,9 +218,8 @@ def within(left: DataFrame, right: DataFrame, threshold: float, pivots: int = PI
     if blocks.home is None:
         return left.sparkSession.createDataFrame([], "left string, right string, similarity double")
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    both = blocks.home.unionByName(_visits(left, blocks, reach))
-    met = both.repartition("block", "part").sortWithinPartitions("block", "part", "side").mapInArrow(_met(threshold, blocks.dim), _PAIR)
-    return met.withColumn("similarity", v.cosine(F.col("left_vector"), F.col("right_vector"))).where(F.col("similarity") >= threshold).select("left", "right", "similarity")
+    both = _dealt(left, blocks.home, blocks.grid) if blocks.visits(reach) > VISITS else blocks.home.unionByName(_visits(left, blocks, reach))
+    return both.repartition("block", "part").sortWithinPartitions("block", "part", "side").mapInArrow(_met(threshold, blocks.dim), _PAIR)
 
 
 def comparisons(left: DataFrame, right: DataFrame, threshold: float, pivots: int = PIVOTS, rings: int = RINGS, block: int = BLOCK) -> int:

@@ -39,6 +39,22 @@ def test_pairs_against_all(spark, spread, threshold, most):
     assert nearest.within(left, right.limit(0), threshold).count() == nearest.within(left.limit(0), right, threshold).count() == 0
 
 
+def test_vectors_that_bounds_cannot_part_are_sent_seldom(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in e]) for i, e in enumerate(rng.normal(size=(900, 16)))] + [(2000 + i, [1.0] * 16) for i in range(40)]
+    df = spark.createDataFrame(rows, VECTORS)
+    blocks = nearest.Blocks(df, 64, 16, 10)
+    assert blocks.visits(1.0) > nearest.VISITS
+    assert nearest._dealt(df, blocks.home, blocks.grid).count() == len(rows) * (nearest.GROUPS + nearest.COLUMNS)
+    got = {(int(r.left), int(r.right)): r.similarity for r in nearest.within(df, df, 0.5, block=10).collect()}
+    assert nearest.within(df, df, 0.5, block=10).count() == len(got)
+    values = np.array([e for _, e in rows])
+    units = values / np.linalg.norm(values, axis=1)[:, None]
+    who, whom = np.nonzero(units @ units.T >= 0.5 - 1e-12)
+    assert set(got) == {(rows[a][0], rows[b][0]) for a, b in zip(who, whom, strict=True)}
+    assert all(abs(got[rows[a][0], rows[b][0]] - units[a] @ units[b]) < 1e-12 for a, b in zip(who[:500], whom[:500], strict=True))
+
+
 def loop(candidates, terms, threshold):
     """Every candidate after those before it, as one thread would do it."""
     words, out = [(k, e) for k, e in terms], {}
