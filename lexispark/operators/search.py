@@ -157,9 +157,9 @@ def complete(entries: DataFrame, *fields: str) -> DataFrame:
 
 
 def index_rows(entries: DataFrame, facets: tuple[str, ...], embed) -> DataFrame:
-    """Vectors of an index: one row per entry and filled facet, numbered by entry and facet (family D, Q18, Q19)."""
+    """Vectors of an index: one row per entry and facet with a word, numbered by entry and facet (family D, Q18, Q19)."""
     texts = F.array(*[F.struct(F.lit(i).alias("facet"), F.col(f).alias("text")) for i, f in enumerate(facets)])
-    rows = entries.select(F.col("ordinal").alias("entry_ord"), F.explode(texts).alias("f")).where("trim(f.text) <> ''")
+    rows = entries.select(F.col("ordinal").alias("entry_ord"), F.explode(texts).alias("f")).where(F.col("f.text").rlike("[^ \t\n]"))
     embedded = rows.select("entry_ord", "f.facet", embed(F.col("f.text")).alias("e"))
     return embedded.select((F.col("entry_ord") * len(facets) + F.col("facet")).alias("vec_id"), "entry_ord", "facet", v.unit(F.col("e")).alias("embedding"))
 

@@ -22,10 +22,10 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 
 def hashed_embedder(dim: int = 64) -> Embedder:
-    """Signed word hashes, L2-normalised."""
+    """Signed word hashes, L2-normalised; letters are lower-cased one by one, wherever they stand in a word."""
 
     def embed(texts: list[str]) -> np.ndarray:
-        words = [[w for w in re.split("[ \t\n]+", (text or "").lower()) if w] for text in texts]
+        words = [[w for w in re.split("[ \t\n]+", (text or "").replace("İ", "i").replace("Σ", "σ").lower()) if w] for text in texts]
         hashes = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in {w for line in words for w in line}}  # each word of a batch once
         found = np.array([hashes[w] for line in words for w in line], np.int64)
         row = np.repeat(np.arange(len(texts)), [len(line) for line in words])

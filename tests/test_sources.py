@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import json
+import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lexispark import providers
 from lexispark.operators import browse, learning, review, search
+from lexispark.plans import source_queries
 from lexispark.sources import feedback, tables
 from lexispark.streaming import feedback as stream
 
@@ -111,3 +114,19 @@ def test_index_rows(spark):
     entries = spark.createDataFrame([(0, "a", "", "c"), (1, "d", "e", "f")], "ordinal long, poem string, meaning string, keywords string")
     rows = search.index_rows(entries, ("poem", "meaning", "keywords"), providers.embedding)
     assert sorted((r.vec_id, r.entry_ord, r.facet) for r in rows.collect()) == [(0, 0, 0), (2, 0, 2), (3, 1, 0), (4, 1, 1), (5, 1, 2)]
+
+
+def odd_documents(spark, folder, texts):
+    rows = [(i, x, "en" if i % 3 else None, "s" if i % 4 else None) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return con
+
+
+def test_odd_texts_are_embedded_as_in_sql(spark, tmp_path):
+    con = odd_documents(spark, tmp_path, ["\n", "\t\n ", "İstanbul x", "ΟΔΟΣ b", "w5 w16", "a\rb\x0bc d", "Straße ẞ", None, "", "\r"])
+    got = source_queries.embedded_texts(spark, str(tmp_path)).collect()
+    assert sum(math.isnan(r.embedding[0]) for r in got) == 1  # w5 and w16 cancel out
+    want = con.execute(source_queries.ORACLES["embedded_texts"]).fetchall()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(repr(r) for r in want)
