@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Samples below are ink.
@@ -89,39 +89,52 @@ def runs(rasters: DataFrame, ink: int = INK) -> DataFrame:
     return _mapped(rasters, ink, _RUNS, _spans)
 
 
+def _profiles(rasters: DataFrame, ink: int) -> DataFrame:
+    """(id, width, profile): a raster's ink by column, counted where the raster is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = batch.column("width").to_pylist()
+            found = [_image(samples.as_py() or b"", w, ink).sum(axis=0) if w and w > 0 else [] for samples, w in zip(batch.column("samples"), width, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("width"), pa.array(found, pa.list_(pa.int64()))], ["id", "width", "profile"])
+
+    given = rasters.select(F.col("id").cast("string").alias("id"), "samples", F.col("width").cast("int").alias("width"))
+    return given.mapInArrow(run, "id string, width int, profile array<long>")
+
+
 def profile(rasters: DataFrame, ink: int = INK) -> DataFrame:
-    """(id, x, ink): how many samples of each column are ink (G19). Runs count where they begin and end; running sums do the rest."""
-    ends = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("by")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("by")))).alias("e")
-    turns = runs(rasters, ink).select("id", ends).groupBy("id", "e.x").agg(F.sum("e.by").alias("by"))
-    columns = rasters.where("width > 0").select(F.col("id").cast("string").alias("id"), F.explode(F.sequence(F.lit(0), F.col("width").cast("int") - 1)).alias("x"))
-    upto = Window.partitionBy("id").orderBy("x")
-    return columns.join(turns, ["id", "x"], "left").select("id", "x", F.sum(F.coalesce("by", F.lit(0))).over(upto).alias("ink"))
+    """(id, x, ink): how many samples of each column are ink."""
+    return _profiles(rasters, ink).select("id", F.posexplode("profile").alias("x", "ink"))
 
 
-def _smoothed(values: Column, size: Column) -> Column:
-    """Weighted means over `size` values, an odd number; the ends are mirrored."""
-    n, half = F.size(values), ((size - 1) / 2).cast("int")
+def _weights(size: Column) -> Column:
+    """Those of a kernel over `size` values, an odd number."""
+    half = ((size - 1) / 2).cast("int")
     sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
     bell = F.transform(F.sequence(-half, half), lambda d: F.exp(-(d * d) / (2 * sigma * sigma)))
     total = lambda w: F.aggregate(w, F.lit(0.0), lambda s, x: s + x)
     small = F.create_map(*[F.lit(x) for k, w in KERNELS.items() for x in (k, w)])
-    weights = F.coalesce(F.try_element_at(small, size), F.transform(bell, lambda w: w / total(bell)))
+    return F.coalesce(F.try_element_at(small, size), F.transform(bell, lambda w: w / total(bell)))
+
+
+def _smoothed(values: Column, weights: Column) -> Column:
+    """Weighted means; the ends are mirrored. Both are columns that stand ready, as each value reads them again."""
+    n, half = F.size(values), F.floor(F.size(weights) / 2).cast("int")
     at = lambda i: F.element_at(values, F.when(i < 0, -i).when(i > n - 1, 2 * (n - 1) - i).otherwise(i) + 1)
-    mean = lambda i: F.aggregate(F.zip_with(F.sequence(-half, half), weights, lambda d, w: at(i + d) * w), F.lit(0.0), lambda s, x: s + x)
+    mean = lambda i: F.aggregate(F.transform(weights, lambda w, k: at(i + k - half) * w), F.lit(0.0), lambda s, x: s + x)
     return F.transform(F.sequence(F.lit(0), n - 1), mean)
 
 
 def separator(rasters: DataFrame, ink: int = INK) -> DataFrame:
     """(id, x): the column between 35 and 65 % of the width with the least ink, smoothed over 2 % of it; of equal ones the first. Null where there is no such column."""
-    lines = profile(rasters, ink).join(rasters.select(F.col("id").cast("string").alias("id"), F.col("width").cast("int").alias("width")), "id")
-    inner = lines.where((F.col("x") >= F.floor(F.col("width") * FROM)) & (F.col("x") < F.floor(F.col("width") * TO)))
-    rows = inner.groupBy("id", "width").agg(F.array_sort(F.collect_list(F.struct("x", F.col("ink").cast("double").alias("ink")))).alias("p"))
+    begin, end = (F.floor(F.col("width") * x).cast("int") for x in (FROM, TO))
+    rows = _profiles(rasters, ink).select("id", "width", begin.alias("begin"), F.when(end > begin, F.slice("profile", begin + 1, end - begin).cast("array<double>")).alias("p"))
     size = F.floor(F.col("width") * SMOOTH)
     odd = F.least(F.when(size % 2 == 0, size + 1).otherwise(size), 2 * F.size("p") - 1).cast("int")
-    means = _smoothed(F.transform("p", lambda v: v["ink"]), odd)
+    rows = rows.withColumn("weights", _weights(odd))
+    means = _smoothed(F.col("p"), F.col("weights"))
     best = F.array_min(F.transform(means, lambda v, i: F.struct(F.round(v, 9).alias("v"), i.alias("i"))))
-    found = rows.select("id", (F.element_at("p", 1)["x"] + best["i"]).alias("x"))
-    return rasters.select(F.col("id").cast("string").alias("id")).join(found, "id", "left")
+    return rows.select("id", F.when(F.size("p") > 0, F.col("begin") + best["i"]).alias("x"))
 
 
 def boxes(rasters: DataFrame, ink: int = INK) -> DataFrame:
