@@ -138,12 +138,13 @@ def row_at(df: DataFrame, ordinal: int) -> DataFrame:
     return df.where(F.col("ordinal") == ordinal)
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A whole JSON document as one typed column `doc`."""
-    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("doc"))
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A whole JSON document as one typed column `doc` (A8); with lines, each line is a document, as `write_json` writes them."""
+    return spark.read.text(path, wholetext=not lines, **({"lineSep": "\n"} if lines else {})).select(F.from_json("value", schema).alias("doc"))
 
 
 def write_json(df: DataFrame, path: str, column: str = "doc") -> None:
+    """A line for each row's document; a file may hold several."""
     df.select(F.to_json(column).alias("value")).write.mode("overwrite").text(path)
 
 

@@ -130,3 +130,16 @@ def test_odd_texts_are_embedded_as_in_sql(spark, tmp_path):
     assert sum(math.isnan(r.embedding[0]) for r in got) == 1  # w5 and w16 cancel out
     want = con.execute(source_queries.ORACLES["embedded_texts"]).fetchall()
     assert sorted(repr(tuple(r)) for r in got) == sorted(repr(r) for r in want)
+
+
+def test_json_documents_keep_all_topics_and_nulls(spark, tmp_path):
+    con = odd_documents(spark, tmp_path, [f"poem {i}" for i in range(700)] + [None, "", 'a "b"\\\n\u2028'])
+    got = sorted(repr(tuple(r)) for r in source_queries.json_round_trip(spark, str(tmp_path)).collect())
+    want = con.execute(source_queries.ORACLES["json_round_trip"]).fetchall()
+    assert got == sorted(repr(r) for r in want)
+
+
+def test_a_file_of_several_json_documents(spark, tmp_path):
+    df = spark.createDataFrame([([i],) for i in range(5)], "doc array<int>")
+    tables.write_json(df.coalesce(1), f"{tmp_path}/json")
+    assert sorted(r.doc for r in tables.read_json(spark, f"{tmp_path}/json", "array<int>", lines=True).collect()) == [[i] for i in range(5)]
