@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexispark.functions import text as t
 from lexispark.functions import vectors as v
 from lexispark.operators import nearest as nearest_
-from lexispark.sources.tables import stored
+from lexispark.sources.tables import stored, with_ordinal
 
 THRESHOLD, KEYWORD_THRESHOLD, RELAXED = 0.6, 0.6, 0.25
 
@@ -215,7 +215,7 @@ def vocabulary_terms(candidates: DataFrame, terms: DataFrame, threshold: float =
     return _known(candidates, terms, threshold).select("cand_id", F.coalesce("exact", "near.keyword", t.strip(F.col("name"))).alias("keyword"), kind.alias("kind"))
 
 
-def _refused(edges: DataFrame) -> DataFrame:
+def _refused(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """The nodes (v) that a greedy walk in order refuses, of stored edges (u, v) with u before v.
 
     The walk accepts what it has accepted no neighbour of: the lexicographically first
@@ -223,26 +223,70 @@ def _refused(edges: DataFrame) -> DataFrame:
     decided decides, wherever it stands, so rounds are as many as the longest chain of
     nodes that wait for one another, which is short in any order but a contrived one.
     Edges of decided nodes are gone after a round; each round is stored.
+
+    names (node, name, order): nodes of one name are neighbours, too. They are as many as
+    they are, not as their pairs: only the first of a name that is undecided can be accepted,
+    and it shuts all others of its name.
     """
-    refused, left = edges.select("v").limit(0), edges
-    while not left.isEmpty():
-        waiting = left.select(F.col("v").alias("u")).distinct()
-        accepted = left.select("u").distinct().join(waiting, "u", "left_anti")
-        now = stored(left.join(accepted, "u").select("v").distinct(), "refused")
-        refused = stored(refused.unionByName(now), "refused")
-        left = stored(left.join(now, "v", "left_anti").join(now.select(F.col("v").alias("u")), "u", "left_anti").select("u", "v"), "edges")
+    if names is None:
+        pairs = edges
+        nodes = stored(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().select("node", F.col("node").alias("name"), F.lit(0).alias("order")), "waiting")
+    else:
+        pairs, nodes = edges, stored(names, "waiting")
+    refused = nodes.select(F.col("node").alias("v")).limit(0)
+    while not nodes.isEmpty():
+        first = nodes.groupBy("name").agg(F.min_by("node", "order").alias("node"))
+        accepted = stored(first.join(pairs.select(F.col("v").alias("node")).distinct(), "node", "left_anti"), "accepted")
+        near = pairs.join(accepted.select(F.col("node").alias("u")), "u", "left_semi").select(F.col("v").alias("node"))
+        namesakes = nodes.join(accepted.select("name"), "name", "left_semi").select("node").join(accepted.select("node"), "node", "left_anti")
+        now = stored(near.union(namesakes).distinct(), "refused")
+        refused = stored(refused.unionByName(now.select(F.col("node").alias("v"))), "refused")
+        gone = now.select("node").union(accepted.select("node"))
+        nodes = stored(nodes.join(gone, "node", "left_anti"), "waiting")
+        # An accepted node's neighbours are all refused, so pairs of refused nodes are the only ones to drop.
+        pairs = stored(pairs.join(now.select(F.col("node").alias("u")), "u", "left_anti").join(now.select(F.col("node").alias("v")), "v", "left_anti").select("u", "v"), "edges")
     return refused
 
 
+#: Candidates of the first batch of a growing vocabulary, and how many times as many each later one has.
+FIRST, TIMES = 2000, 4
+
+
+def _taken(fresh: DataFrame, threshold: float) -> DataFrame:
+    """Those of the nodes (node, _name, order, name, embedding) that are taken in, one after the other.
+
+    They come in batches that grow. A batch is held against what is taken so far, and only
+    those left are compared with one another, so candidates of one direction don't meet in
+    pairs: once one of them is taken, each later one meets that one.
+    """
+    placed = stored(with_ordinal(stored(fresh.orderBy("order"), "ordered")), "placed")
+    n, begin, size = fresh.count(), 0, FIRST
+    taken = placed.drop("ordinal").limit(0)
+    while begin < n:
+        some = placed.where(F.col("ordinal").between(begin, begin + size - 1)).drop("ordinal")
+        vector = [F.col("node").alias("id"), "embedding"]
+        if begin:
+            known = nearest_.within(some.select(*vector), taken.select(*vector), threshold).select(F.col("left").alias("node")).distinct()
+            some = stored(some.join(taken.select("_name"), "_name", "left_anti").join(known, "node", "left_anti"), "batch")
+        near = nearest_.within(some.select(*vector), some.select(*vector), threshold)
+        order = some.select("node", "order")
+        pairs = near.join(order.select(F.col("node").alias("left"), F.col("order").alias("_first")), "left").join(order.select(F.col("node").alias("right"), F.col("order").alias("_then")), "right")
+        edges = stored(pairs.where("_first < _then").select(F.col("left").alias("u"), F.col("right").alias("v")), "edges")
+        refused = _refused(edges, some.select("node", F.coalesce("_name", F.concat(F.lit("\x00"), "node")).alias("name"), "order"))
+        taken = stored(taken.unionByName(some.join(refused.select(F.col("v").alias("node")), "node", "left_anti")), "taken")
+        begin, size = begin + size, size * TIMES
+    return taken
+
+
 def grow_vocabulary(candidates: DataFrame, terms: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Candidates (cand_id, place, name, embedding) one after the other, in the order of place, onto a vocabulary that takes in those it doesn't know yet.
 
     As `vocabulary_terms`, but a candidate that is new is a term for all that come later. The
-    result is that of the loop; which candidates are taken in is settled by rounds over the
-    pairs of equal name or a cosine of at least the threshold. (cand_id, keyword, kind);
+    result is that of the loop; which candidates are taken in is settled in batches, by rounds
+    over the similar pairs of those that nothing taken before is near to. (cand_id, keyword, kind);
     kind is new for those taken in. The nearest term counts, of equally near ones the
     greater keyword; of equal places the smaller cand_id comes first. Candidates that
-    repeat a name and a vector are compared once. Pairs are stored, never collected.
+    repeat a name and a vector are compared once. Pairs are only with what is taken in, stored, never collected.
     """
     rows = candidates.select("cand_id", F.struct("place", "cand_id").alias("order"), t.strip(F.col("name")).alias("name"), "embedding")
     known = stored(_known(rows, terms, threshold), "known")
@@ -250,18 +294,12 @@ def grow_vocabulary(candidates: DataFrame, terms: DataFrame, threshold: float =
     asked = known.where("exact is null").withColumn("_name", t.normalized(F.col("name")))
     nodes = asked.groupBy(*same).agg(F.min("order").alias("order"), F.min_by("name", "order").alias("name"), F.min("near").isNull().alias("open"))
     nodes = stored(nodes.withColumn("node", F.col("order.cand_id").cast("string")), "nodes")
-    fresh = nodes.where("open")
+    taken = _taken(nodes.where("open").drop("open"), threshold)
     vector = [F.col("node").alias("id"), "embedding"]
-    close = nearest_.within(fresh.select(*vector), nodes.select(*vector), threshold)
-    alike = fresh.select("_name", F.col("node").alias("left")).join(nodes.select("_name", F.col("node").alias("right")), "_name")
-    pairs = close.unionByName(alike.select("left", "right", F.lit(2.0).alias("similarity")))  # an equal name is nearer than any vector
-    place = nodes.select("node", "order", "open")
-    pairs = pairs.join(place.select(F.col("node").alias("left"), F.col("order").alias("first")), "left")
-    pairs = pairs.join(place.select(F.col("node").alias("right"), F.col("order").alias("then"), F.col("open").alias("waits")), "right")
-    pairs = stored(pairs.groupBy("left", "right", "first", "then", "waits").agg(F.max("similarity").alias("similarity")), "pairs")
-    refused = _refused(stored(pairs.where("waits and first < then").select(F.col("left").alias("u"), F.col("right").alias("v")), "edges"))
-    taken = pairs.join(refused.select(F.col("v").alias("left")), "left", "left_anti").join(fresh.select(F.col("node").alias("left"), F.col("name").alias("keyword")), "left")
-    onto = taken.join(nodes.select(F.col("node").alias("right"), *[F.col(c).alias(f"{c}_") for c in same]), "right").select(*[f"{c}_" for c in same], "first", "similarity", "keyword")
+    close = nearest_.within(nodes.select(*vector), taken.select(*vector), threshold).select(F.col("left").alias("node"), F.col("right").alias("_by"), "similarity")
+    alike = nodes.select("node", "_name").join(taken.select("_name", F.col("node").alias("_by")), "_name").select("node", "_by", F.lit(2.0).alias("similarity"))  # an equal name is nearer than any vector
+    pairs = close.unionByName(alike).join(taken.select(F.col("node").alias("_by"), F.col("order").alias("first"), F.col("name").alias("keyword")), "_by")
+    onto = pairs.join(nodes.select("node", *[F.col(c).alias(f"{c}_") for c in same]), "node").select(*[f"{c}_" for c in same], "first", "similarity", "keyword")
     members = asked.select("cand_id", "order", *same)
     equal = (F.col("_name") == F.col("_name_")) & F.col("embedding").eqNullSafe(F.col("embedding_")) & (F.col("first") <= F.col("order"))
     best = members.join(onto, equal).groupBy("cand_id").agg(F.max(F.struct("similarity", "keyword")).alias("new"), F.max(F.col("first") == F.col("order")).alias("own"))

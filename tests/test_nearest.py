@@ -88,6 +88,20 @@ def test_growing_against_the_loop(spark, seed):
     assert {k for _, k in want.values()} == {"exact", "near", "new"}
 
 
+def test_growing_in_batches_stores_no_pairs_of_one_direction(spark, monkeypatch):
+    monkeypatch.setattr(search, "FIRST", 40, raising=False)
+    sizes, keep = [], search.stored
+    monkeypatch.setattr(search, "stored", lambda df, name: sizes.append((found := keep(df, name)).count()) or found)
+    rng = np.random.default_rng(5)
+    vectors = [[1.0, 0.0, round(float(rng.random()) / 8, 3)] if i % 3 else [0.0, 1.0, round(float(rng.random()) * 2, 3)] for i in range(500)]
+    candidates = [(i, int(rng.integers(9)), f"name {int(rng.integers(30))}", e) for i, e in enumerate(vectors)]
+    df = spark.createDataFrame(candidates, "cand_id long, place int, name string, embedding array<double>")
+    known = spark.createDataFrame([], "keyword string, embedding array<double>")
+    got = {r.cand_id: (r.keyword, r.kind) for r in search.grow_vocabulary(df, known, 0.97).collect()}
+    assert got == loop(candidates, [], 0.97)
+    assert max(sizes) <= 2 * len(candidates)
+
+
 def test_a_chain_of_waiting_nodes_and_none(spark):
     chain = spark.createDataFrame([(f"{i:02}", f"{i + 1:02}") for i in range(9)], "u string, v string")
     assert sorted(r.v for r in search._refused(chain).collect()) == ["01", "03", "05", "07", "09"]
