@@ -17,24 +17,26 @@ RECORD = tables.strings("id", "text")
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
-    """Documents as quoted CSV with line breaks in cells, a file for each shelf, in the order of their ids."""
+    """Documents as quoted CSV with line breaks in cells, a folder for each shelf, in the order of their ids; its files are parts of one with one header."""
     path = tables.scratch(spark, "records")
     shelf = F.pmod("doc_id", F.lit(SHELVES)).alias("shelf")
-    rows = e.documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.concat(F.col("text"), F.lit('\n"q", ')).alias("text"), shelf, "doc_id")
-    ordered = rows.repartition(SHELVES, "shelf").sortWithinPartitions("shelf", "doc_id").drop("doc_id")
-    ordered.write.options(header="true", quoteAll="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").partitionBy("shelf").csv(path)
+    rows = e.documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.concat(F.col("text"), F.lit('\n"q", ')).alias("text"), shelf, F.lit(1).alias("row"), "doc_id")
+    heads = spark.range(SHELVES).select(F.lit("id").alias("id"), F.lit("text").alias("text"), F.col("id").alias("shelf"), F.lit(0).alias("row"), F.lit(None).cast("long").alias("doc_id"))
+    order = ("shelf", "row", "doc_id")
+    ordered = heads.unionByName(rows).repartitionByRange(*order).sortWithinPartitions(*order).drop("row", "doc_id")
+    ordered.write.options(header="false", quoteAll="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").partitionBy("shelf").csv(path)
     return path
 
 
 def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: the records of quoted CSV with line breaks, read in ranges of bytes, each with its number and offset."""
-    return records.read(spark, _written(spark, sf_dir), RECORD)
+    return records.read(spark, _written(spark, sf_dir), RECORD, parts=True)
 
 
 def csv_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: records by number, each read where the stored index says that it lies."""
     path, at = _written(spark, sf_dir), tables.scratch(spark, "offsets")
-    records.record_index(spark, path).repartitionByRange("ordinal").sortWithinPartitions("ordinal").write.parquet(at)
+    records.record_index(spark, path, parts=True).repartitionByRange("ordinal").sortWithinPartitions("ordinal").write.parquet(at)
     index = spark.read.parquet(at)
     return records.record_at(index, 0, RECORD).unionByName(records.record_at(index, 137, RECORD))
 

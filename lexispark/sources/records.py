@@ -17,6 +17,10 @@ line feed; a carriage return before it belongs to the record. An empty line is a
 Ranges are as large as spark.sql.files.maxPartitionBytes says and may be smaller than a
 line. Files are in the order of their paths; with `header` the first record of each is
 none. A byte order mark belongs to no record. Compressed files have no offsets.
+
+With `parts` the files of a folder are the parts of one, cut between records, as tasks write
+them side by side: the header is that of the first part, and offsets of `read` count through
+all of them. `record_index` gives the part in which a record lies and its offset there.
 """
 
 from __future__ import annotations
@@ -76,29 +80,32 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _before(lines: DataFrame, header: bool) -> DataFrame:
-    """(file, block, at, seen, first, origin): the byte, the quotes and the record with which each range begins, and the file's first record; one row a range."""
+def _before(lines: DataFrame, header: bool, parts: bool) -> DataFrame:
+    """(file, block, at, seen, first, origin, base): the byte, the quotes and the record with which each range begins, the file's first record and the bytes of the parts before it; one row a range."""
     tally = lines.select("file", "block", "bytes", "quotes").mapInArrow(_tally, _TALLY)
     sizes = lines.groupBy("file").agg(F.first("size").alias("size"))
+    folder = F.regexp_replace("file", "/[^/]*$", "") if parts else F.col("file")
+    ahead = Window.partitionBy(folder).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("base", F.coalesce(F.sum("size").over(ahead), F.lit(0).cast("long")))
     of_file = Window.partitionBy("file")
     earlier = of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("long")
     # A mark is not among the lines' bytes; a file's last line may lack its end.
     mark = F.when((F.sum("bytes").over(of_file) - F.col("size")).isin(-3, -2), 3).otherwise(0)
     summed = tally.join(sizes, "file").select(
-        "file", "block", "even", "odd", (F.coalesce(F.sum("bytes").over(earlier), none) + mark).alias("at"), F.coalesce(F.sum("quotes").over(earlier), none).alias("seen")
+        "file", "block", "even", "odd", "base", (F.coalesce(F.sum("bytes").over(earlier), none) + mark).alias("at"), F.coalesce(F.sum("quotes").over(earlier), none).alias("seen")
     )
-    heading = F.when(F.col("block") == 0, F.lit(int(header))).otherwise(0)
+    heading = F.when((F.col("block") == 0) & (F.col("base") == 0), F.lit(int(header))).otherwise(0)
     begun = F.when(F.col("seen") % 2 == 0, F.col("even")).otherwise(F.col("odd")) - heading
     every = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = summed.select("file", "block", "at", "seen", F.coalesce(F.sum(begun).over(every), none).alias("first"))
-    return placed.select("file", "block", "at", "seen", (F.col("first") - heading).alias("first"), F.min("first").over(of_file).alias("origin"))
+    placed = summed.select("file", "block", "at", "seen", "base", F.coalesce(F.sum(begun).over(every), none).alias("first"))
+    return placed.select("file", "block", "at", "seen", (F.col("first") - heading).alias("first"), F.min("first").over(of_file).alias("origin"), "base")
 
 
-def _counted(spark: SparkSession, path: str, header: bool) -> DataFrame:
+def _counted(spark: SparkSession, path: str, header: bool, parts: bool) -> DataFrame:
     """Lines with what their range begins with. The list of ranges is broadcast: the driver has it for each scan."""
     lines = _lines(spark, path)
-    return lines.join(F.broadcast(_before(lines, header)), ["file", "block"])
+    return lines.join(F.broadcast(_before(lines, header, parts)), ["file", "block"])
 
 
 class _Place:
@@ -131,9 +138,9 @@ def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([file] * int(begins.sum()), pa.string()), pa.array(ordinal[begins]), pa.array(offset[begins])], ["file", "ordinal", "offset"])
 
 
-def record_index(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+def record_index(spark: SparkSession, path: str, header: bool = True, parts: bool = False) -> DataFrame:
     """(file, ordinal, offset): the byte at which each record begins, numbered from 0 through all files (A4)."""
-    return _counted(spark, path, header).select("file", "block", "bytes", "quotes", "at", "seen", "first", "origin").mapInArrow(_offsets, _INDEX)
+    return _counted(spark, path, header, parts).select("file", "block", "bytes", "quotes", "at", "seen", "first", "origin").mapInArrow(_offsets, _INDEX)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +179,13 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([closed(False)], _PIECE)
 
 
-def records(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+def records(spark: SparkSession, path: str, header: bool = True, parts: bool = False) -> DataFrame:
     """(file, ordinal, offset, value): the text of each record, in parallel within a file, too."""
-    pieces = _counted(spark, path, header).mapInArrow(_pieces, _PIECES)
+    pieces = _counted(spark, path, header, parts).withColumn("at", F.col("at") + F.col("base")).mapInArrow(_pieces, _PIECES)
     ready = pieces.where("whole").select("file", "ordinal", "offset", "value")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda p: p["value"])
-    parts = pieces.where("not whole").groupBy("file", "ordinal").agg(F.min("offset").alias("offset"), F.array_join(ordered, "\n").alias("value"))
-    return ready.unionByName(parts)
+    cut = pieces.where("not whole").groupBy("file", "ordinal").agg(F.min("offset").alias("offset"), F.array_join(ordered, "\n").alias("value"))
+    return ready.unionByName(cut)
 
 
 def _cells(value: DataFrame, schema: T.StructType) -> DataFrame:
@@ -188,9 +195,9 @@ def _cells(value: DataFrame, schema: T.StructType) -> DataFrame:
     return value.select(*others, F.from_csv("value", fields, FROM_CSV).alias("_cells")).select(*others, "_cells.*").fillna("", [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)])
 
 
-def read(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, parts: bool = False) -> DataFrame:
     """ordinal, offset and the cells of each record."""
-    return _cells(records(spark, path, header).select("ordinal", "offset", F.regexp_replace("value", "\\r\\z", "").alias("value")), schema)
+    return _cells(records(spark, path, header, parts).select("ordinal", "offset", F.regexp_replace("value", "\\r\\z", "").alias("value")), schema)
 
 
 def record_at(index: DataFrame, ordinal: int, schema: T.StructType) -> DataFrame:

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pytest
 
+from lexispark.plans import index_queries
 from lexispark.sources import records, tables
 
 CELLS = tables.strings("a", "b", "c")
@@ -99,3 +100,25 @@ def test_a_record_is_read_without_the_rest(spark, tmp_path):
         file.write_bytes(b'"' * offsets[n] + data[offsets[n] : end] + b'"' * (len(data) - end))  # all else is spoilt
         assert [[r.a, r.b, r.c] for r in records.record_at(index, n, CELLS).collect()] == rows_of(data, offsets)[n : n + 1]
     assert records.record_at(index, 200, CELLS).count() == 0
+
+
+def test_parts_of_a_folder_are_one_file(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f'a "{i}"\n' * (1 + i % 5), "en", "s") for i in range(400)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        path = index_queries._written(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    shelves = [sorted(Path(path.removeprefix("file://")).glob(f"shelf={k}/*.csv")) for k in range(4)]
+    assert all(len(parts) > 1 for parts in shelves)  # no task has a whole shelf
+    whole = [b"".join(p.read_bytes() for p in parts) for parts in shelves]
+    assert all(w.startswith(b'"id","text"\n') for w in whole)
+    rows = sorted(records.read(spark, path, index_queries.RECORD, parts=True).collect())
+    want = [i for k in range(4) for i in range(k, 400, 4)]
+    assert [int(r.id) for r in rows] == want and [r.ordinal for r in rows] == list(range(400))
+    assert all(whole[int(r.id) % 4][r.offset :].startswith(f'"{r.id}","a '.encode()) for r in rows)
+    at = tables.stored(records.record_index(spark, path, parts=True), "at")
+    assert [records.record_at(at, n, index_queries.RECORD).first().id for n in (0, 137, 399)] == [str(want[n]) for n in (0, 137, 399)]
