@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import geometry as g
 from lexispark.functions import text as t
+from lexispark.sources.tables import stored
 
 # Gaps and indents in page heights and widths.
 FAR, LETTER_GAP, AFTER_END, IN_VERSE = 0.012, 0.003, 0.005, 0.0075
@@ -206,7 +207,7 @@ def exported(lines: DataFrame, book: Sequence[str], place: str, is_category: Col
     without such an entry it is a row of its own with blank poem and category.
     """
     page = [*book, place]
-    segmented = segments(lines, page, is_category)
+    segmented = stored(segments(lines, page, is_category), "segments")
     found = entries(segmented, page)
     more = orphans(segmented, page).join(last_entries(segmented, book, place), page)
     joined = more.where("active is not null").groupBy(*book, "active").agg(F.array_sort(F.collect_list(F.struct(place, "orphan"))).alias("more"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.operators import layout
+from lexispark.plans import entries as entries_
 
 SCHEMA = "page int, line_idx int, text string, x double, y double, w double, h double, heading boolean"
 
@@ -133,3 +134,9 @@ def test_boxes(spark):
     got = {r.line_idx: (r.entry_idx, r.role) for r in layout.assigned(df, spots, ["page"]).collect()}
     assert got == {0: (0, "poem"), 1: (None, None)}
     assert layout.residue(layout.assigned(df, spots, ["page"]), spots, ["page"]).count() == 0
+
+
+def test_an_export_segments_its_pages_once(spark, sf_dir):
+    lines = entries_.lines(spark, sf_dir).withColumn("book", F.col("page") % 3)
+    plan = layout.exported(lines, ["book"], "page", F.col("heading"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "stop_rule" in plan and "documents.parquet" not in plan and plan.count("lead(") == 0
