@@ -30,7 +30,12 @@ second search, exact for every length and similarity, adds what is missing
 similarity s share one of their first n - ceil(s n) + 1 hashes, with enough hashes
 before and behind it in both, and so many of them that the rest can make up the
 overlap that s asks for. All pairs that these bounds allow are verified, unless
-the first search has already joined their components. The order puts hashes that many sets have last; any
+the first search has already joined their components. Where a hash brings more than
+SHARE pairs a row, its rows are named instead of its pairs, so that what is listed grows
+with the rows. Those rows meet once more with a sketch of their sets: BUCKETS counts of
+hashes, whose differences sum up to no more than the sets differ in. A pair whose
+sketches differ by more than similarity s allows is not similar, whatever its texts,
+and is not listed. The order puts hashes that many sets have last; any
 order gives the same result. A hash of more than CROWD sets is dealt to many
 tasks, each of which compares one block with another, so that all blocks meet. Hashes
 that are frequent in a part of the corpus are known beforehand; any other whose sets
@@ -69,6 +74,10 @@ CLOSE = 40
 CROWD = 20_000
 #: A task of the second search holds so many times CROWD rows of a hash: two blocks, and room for uneven ones.
 ROOM = 4
+#: Pairs that a hash lists for each of its rows at most, before its rows are compared by sketches.
+SHARE = 2
+#: Counts of a sketch, and pairs of sketches that are compared at once.
+BUCKETS, SKETCHES = 128, 1 << 14
 #: Hashes that are counted at once, and how often one must be among them to count as frequent; the most that are kept.
 COUNTED, OFTEN, FREQUENT = 1 << 21, 16, 200_000
 #: Members of a key that are set against all others at once.
@@ -101,16 +110,27 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes of a set fall into each bucket, 255 at most: two sets differ in as many hashes as their counts do, or more."""
+    return np.minimum(np.bincount(hashes & np.uint64(BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8)
+
+
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """row_id, doc_id and the fingerprints f0, f1, ..."""
+    """row_id, doc_id, the fingerprints f0, f1, ..., and the sketch"""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([signature(shingles(t.as_py(), words)) for t in batch.column(2)], np.uint64).reshape(-1, TABLES).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, t]) for t in range(TABLES)]], ["row_id", "doc_id", *[f"f{t}" for t in range(TABLES)]])
+            prints, sketches = [], []
+            for t in batch.column(2):
+                hashes = shingles(t.as_py(), words)
+                prints.append(signature(hashes))
+                sketches.append(sketch(hashes).tobytes())
+            found = np.array(prints, np.uint64).reshape(-1, TABLES).view(np.int64)
+            columns = [batch.column(0), batch.column(1), *[pa.array(found[:, t]) for t in range(TABLES)], pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row_id", "doc_id", *[f"f{t}" for t in range(TABLES)], "sketch"])
 
-    return numbered(docs).mapInArrow(tidily(run), "row_id long, doc_id long, " + ", ".join(f"f{t} long" for t in range(TABLES)))
+    return numbered(docs).mapInArrow(tidily(run), "row_id long, doc_id long, " + ", ".join(f"f{t} long" for t in range(TABLES)) + ", sketch binary")
 
 
 def segment_keys(prints: np.ndarray) -> np.ndarray:
@@ -156,7 +176,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterato
     held: list[np.ndarray] | None = None
     large: list | None = None  # the group whose pieces have gone already
     for batch in batches:
-        rows = [c.to_numpy() for c in batch.columns]
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if large is not None:
             n = int(np.count_nonzero(np.all([r == k for r, k in zip(rows, large, strict=False)], axis=0)))
             if n:
@@ -313,23 +333,80 @@ def _prefixes(words: int, similarity: float, frequent: np.ndarray, n: np.ndarray
     return run
 
 
-def _across(similarity: float, most: int):
-    """Pairs of nodes of different roots that size and place allow, and how many hashes of their prefixes they must share, from rows sorted by key and part.
+_MET = "u long, v long, need int, part long, block int, root long, size int, at int"
+
 
-    A part with more rows isn't compared: (key, null, null) names its key if it has several roots.
+def _across(similarity: float, most: int, share: float = math.inf):
+    """Pairs of nodes of different roots that size, place and (if the rows have them) sketches allow, and how many hashes of their prefixes they must share, from rows sorted by key and part.
+
+    Where a part brings more than `share` pairs a row, those of its rows that pair at all
+    come instead: (key, node, null) and the rest of the row. A part with more than `most`
+    rows isn't compared: (key, null, null) names its key if it has several roots.
     """
 
+    names = [c.split()[0] for c in _MET.split(", ")]
+    types = [pa.int32() if c.endswith("int") else pa.int64() for c in _MET.split(", ")]
+
+    def batch_of(*columns: np.ndarray) -> pa.RecordBatch:
+        given = [pa.nulls(len(columns[0]), t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=False)]
+        return pa.RecordBatch.from_arrays(given + [pa.nulls(len(columns[0]), t) for t in types[len(given) :]], names)
+
+    def overlap(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.ceil(similarity / (1 + similarity) * (m.astype(np.int64) + n) - 1e-6).astype(np.int64)
+
     def fit(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-        root, size, at = x[4:]
-        root2, size2, at2 = y[4:]
+        root, size, at = x[4:7]
+        root2, size2, at2 = y[4:7]
         most = np.minimum(at, at2) + np.minimum(size - at, size2 - at2)  # shared hashes before this one, and from it on
         return (root != root2) & (most >= similarity / (1 + similarity) * (size + size2) - 1e-6)
 
+    def near(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs whose sketches differ by no more than their sets may."""
+        if len(rows) < 8 or not len(i):
+            return i, j
+        counts = np.frombuffer(b"".join(rows[7]), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+        kept = np.empty(len(i), bool)
+        for at in range(0, len(i), SKETCHES):
+            x, y = i[at : at + SKETCHES], j[at : at + SKETCHES]
+            m, n = rows[5][x], rows[5][y]
+            kept[at : at + SKETCHES] = np.abs(counts[x] - counts[y]).sum(axis=1, dtype=np.int64) <= m.astype(np.int64) + n - 2 * overlap(m, n)
+        return i[kept], j[kept]
+
     def found(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
         u, v, m, n = rows[3][i], rows[3][j], rows[5][i], rows[5][j]
-        overlap = np.ceil(similarity / (1 + similarity) * (m.astype(np.int64) + n) - 1e-6)
-        rest = np.ceil(similarity * np.maximum(m, n) - 1e-9) - 1  # hashes behind the longer prefix
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array((overlap - rest).astype(np.int32))], ["u", "v", "need"])
+        rest = np.ceil(similarity * np.maximum(m, n) - 1e-9).astype(np.int64) - 1  # hashes behind the longer prefix
+        return batch_of(np.minimum(u, v), np.maximum(u, v), overlap(m, n) - rest)
+
+    def pairs(some: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        size, apart = len(some[0]), some[2].min() != some[2].max()
+        for at in range(0, size - 1, ROWS):
+            x, y = [r[at : at + ROWS, None] for r in some[:7]], [r[None, at:] for r in some[:7]]
+            fits = fit(x, y)
+            if apart:
+                fits &= x[2] != y[2]
+            i, j = near(some, *(at + k for k in np.nonzero(np.triu(fits, 1))))
+            if len(i):
+                yield i, j
+
+    def listed(some: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The pairs of a group, or its rows if they are fewer by far."""
+        held, many, paired = [], 0, None
+        for i, j in pairs(some):
+            many += len(i)
+            if share == math.inf:
+                yield found(some, i, j)
+                continue
+            held.append((i, j))
+            if many > share * len(some[0]):
+                paired = np.zeros(len(some[0]), bool) if paired is None else paired
+                for k in held:
+                    paired[k[0]] = paired[k[1]] = True
+                held = []
+        if paired is not None:
+            key, part, block, node, root, size, at = (r[paired] for r in some[:7])
+            yield batch_of(key, node, None, part, block, root, size, at)
+        elif held:
+            yield found(some, *(np.concatenate(k) for k in zip(*held, strict=True)))
 
     def groups(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, part = rows[:2]
@@ -338,18 +415,9 @@ def _across(similarity: float, most: int):
         mixed = np.minimum.reduceat(rows[4], starts) != np.maximum.reduceat(rows[4], starts)
         two = starts[mixed & (sizes == 2)]
         two = two[fit([r[two] for r in rows], [r[two + 1] for r in rows])]
-        yield found(rows, two, two + 1)
+        yield found(rows, *near(rows, two, two + 1))
         for begin, size in zip(starts[mixed & (sizes > 2)], sizes[mixed & (sizes > 2)], strict=True):
-            some = [r[begin : begin + size] for r in rows]
-            apart = some[2].min() != some[2].max()
-            for at in range(0, size - 1, ROWS):
-                x, y = [r[at : at + ROWS, None] for r in some], [r[None, at:] for r in some]
-                fits = fit(x, y)
-                if apart:
-                    fits &= x[2] != y[2]
-                i, j = np.nonzero(np.triu(fits, 1))
-                if len(i):
-                    yield found(some, at + i, at + j)
+            yield from listed([r[begin : begin + size] for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = root = None  # of the last piece; the root is None once the key is named
@@ -361,7 +429,7 @@ def _across(similarity: float, most: int):
                 root = rows[4][0]
             if root is not None and (rows[4] != root).any():
                 root = None
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0][:1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], ["u", "v", "need"])
+                yield batch_of(rows[0][:1])
 
     return run
 
@@ -392,11 +460,19 @@ def _met(nodes: DataFrame, names: list[str]) -> DataFrame:
     return stored(pairs.unionByName(spanned(dealt, sys.maxsize).select("u", "v")).distinct(), "met")
 
 
-def _candidates(keyed: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) that share as many prefix hashes as they must, stored; no task holds more than ROOM * CROWD rows of a hash, unless it was dealt to blocks by its count."""
+def _candidates(keyed: DataFrame, similarity: float, sketches: DataFrame | None = None) -> DataFrame:
+    """Pairs (u, v) that share as many prefix hashes as they must and whose sketches (row_id, sketch), if given, allow them, stored; no task holds more than ROOM * CROWD rows of a hash, unless it was dealt to blocks by its count."""
+
+    def across(rows: DataFrame, most: int, share: float = math.inf) -> DataFrame:
+        return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(tidily(_across(similarity, most, share)), _MET)
 
     def met(rows: DataFrame, most: int) -> DataFrame:
-        pairs = rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(tidily(_across(similarity, most)), "u long, v long, need int")
+        pairs = across(rows, most, math.inf if sketches is None else SHARE)
+        if sketches is not None:
+            first = stored(pairs, "listed")
+            named = first.where("part is not null").select(F.col("u").alias("key"), "part", "block", F.col("v").alias("node"), "root", "size", "at")
+            sketched = named.join(sketches.withColumnRenamed("row_id", "node"), "node").select("key", "part", "block", "node", "root", "size", "at", "sketch")
+            pairs = first.where("part is null").unionByName(across(sketched, sys.maxsize))
         return stored(pairs.groupBy("u", "v").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("v is null or shared >= need").select("u", "v"), "across")
 
     found = met(keyed, ROOM * CROWD)
@@ -411,7 +487,7 @@ def _candidates(keyed: DataFrame, similarity: float) -> DataFrame:
     return met(keyed.join(modest(crowded), "key", "left_anti").unionByName(dealt), sys.maxsize)
 
 
-def missed(docs: DataFrame, linked: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
+def missed(docs: DataFrame, linked: DataFrame, roots: DataFrame, words: int, similarity: float, sketches: DataFrame | None = None) -> DataFrame:
     """All similar pairs (u, v) that lie in different components, up to copies: of equal sets one stands for all that are linked with it."""
     texts = numbered(docs).select("row_id", "text")
     counts = texts.select("text").mapInArrow(tidily(_frequent(words, OFTEN)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -422,7 +498,7 @@ def missed(docs: DataFrame, linked: DataFrame, roots: DataFrame, words: int, sim
     known = stored(roots.join(copies, "u", "left").select(F.col("u").alias("row_id"), "root", "copy"), "known")
     rest = texts.join(modest(known), "row_id", "left").where("copy is null").select("row_id", F.coalesce("root", "row_id").alias("root"), "text")
     keyed = rest.mapInArrow(tidily(_prefixes(words, similarity, frequent[order], n[order], CROWD)), _PREFIX)
-    return _verified(docs, _candidates(keyed, similarity), words, similarity)
+    return _verified(docs, _candidates(keyed, similarity, sketches), words, similarity)
 
 
 def _components(docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -433,7 +509,7 @@ def _components(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     twins = prints.join(nodes, names).where("row_id <> node").select(F.col("node").alias("u"), F.col("row_id").alias("v"))
     linked = _verified(docs, stored(_met(nodes, names).unionByName(twins), "pairs"), words, similarity)
     first = connected(linked)
-    more = missed(docs, linked, first, words, similarity)
+    more = missed(docs, linked, first, words, similarity, prints.select("row_id", "sketch"))
     roots = connected(first.select("u", F.col("root").alias("v")).unionByName(more.select("u", "v"))).withColumnRenamed("u", "row_id")
     return prints.select("row_id", "doc_id").join(roots, "row_id", "left").select("row_id", "doc_id", F.coalesce("root", "row_id").alias("root"))
 

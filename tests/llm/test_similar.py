@@ -241,3 +241,42 @@ def test_crowded_keys_of_signatures_are_dealt(spark, monkeypatch):
     for u, v in pairs:
         root = [root[u] if r == root[v] else r for r in root]
     assert len(set(root)) == 1
+
+
+def test_a_common_line_lists_rows_not_pairs(spark):
+    """pipeline: what a hash of many unrelated sets lists grows with its rows, and sketches leave the similar pairs."""
+    rng = random.Random(20)
+    line = [f"c{i}" for i in range(60)]
+    sizes = {}
+    for n in (50, 200):
+        texts = []
+        for _ in range(n):
+            own = [f"x{rng.randrange(10**6)}" for _ in range(140)]
+            texts += [" ".join([*line, *own]), " ".join([*line, *own, "end"])]
+        ids = range(len(texts))
+        sets = [similar.shingles(t) for t in texts]
+        docs = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(texts)], ["row_id", "root", "text"])
+        none = np.array([], np.uint64), np.array([], np.int64)
+        rows = pa.Table.from_batches(similar._prefixes(5, 0.8, *none, 10**9)(iter([docs]))).sort_by([("key", "ascending"), ("part", "ascending")]).combine_chunks()
+        out = pa.Table.from_batches(similar._across(0.8, 10**9, similar.SHARE)(iter(rows.to_batches(50))))
+        sizes[n] = len(out)
+        keyed = spark.createDataFrame(rows.to_pandas())
+        keyed = keyed.select(*[keyed[c.split()[0]].cast(c.split()[1]) for c in similar._PREFIX.split(", ")])
+        sketches = spark.createDataFrame([(i, bytearray(similar.sketch(s).tobytes())) for i, s in enumerate(sets)], "row_id long, sketch binary")
+        got = {(r.u, r.v) for r in similar._candidates(keyed, 0.8, sketches).collect()}
+        assert got == {(i, i + 1) for i in ids if i % 2 == 0}
+    assert sizes[200] < 6 * sizes[50]
+
+
+def test_sketches_lose_no_similar_pair():
+    """pipeline: sets differ in as many hashes as their sketches, or more, also where counts are cut off."""
+    rng = np.random.default_rng(21)
+    for n in (1, 3, 40, 700, 60_000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for share in (0.0, 0.1, 0.5, 1.0):
+            other = base.copy()
+            changed = rng.random(n) < share
+            other[changed] = rng.integers(0, 2**63, changed.sum()).astype(np.uint64)
+            x, y = np.unique(base), np.unique(other)
+            apart = np.abs(similar.sketch(x).astype(int) - similar.sketch(y)).sum()
+            assert apart <= len(np.setxor1d(x, y))
