@@ -176,12 +176,68 @@ def swap_in(df: DataFrame, path: str) -> None:
     fs.delete(at[2], True)
 
 
+#: Tasks that list folders at most; Spark's own bound (10,000) gives each small folder a task.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "64"
+
+
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Binary assets by name (A20, A21); contents are read only if selected."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    key, tasks = LISTING
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), int(tasks))))
+    try:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    finally:
+        spark.conf.set(key, before)
     return found.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
+#: Folders that written files are dealt to.
+FOLDERS = 64
+
+
+def write_files(df: DataFrame, path: str) -> None:
+    """A text file for each row (name, value), found as `<name>.txt`; rows without a value get none.
+
+    Names are unique and contain no slash. On a local (or mounted) file system Hadoop
+    starts a process to set the mode of each file and folder that it creates, so there
+    tasks write the files themselves, each renamed into place when it is whole: a task
+    that runs twice writes the same files. On any other store Spark's writer does it,
+    with a folder for each name.
+    """
+    spark = df.sparkSession
+    rows = df.where("value is not null").select("name", "value", F.pmod(F.xxhash64("name"), F.lit(FOLDERS)).cast("int").alias("folder"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() != "file":
+        rows.select("value", F.concat("name", F.lit(".txt")).alias("name")).repartition("name").write.partitionBy("name").text(path)
+        return
+    fs.mkdirs(at)
+    root = fs.makeQualified(at).toUri().getPath()
+
+    def write(batches):
+        import os
+
+        for batch in batches:
+            for name, value, folder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                into = f"{root}/folder={folder}"
+                os.makedirs(into, exist_ok=True)
+                new = f"{into}/.{uuid.uuid4().hex}"
+                with open(new, "wb") as out:
+                    out.write(value.encode() + b"\n")
+                os.replace(new, f"{into}/{name}.txt")
+            yield from ()
+
+    rows.mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
+def written_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, content) of the files that write_files has put there."""
+    found = files(spark, path, "*.txt")
+    text = F.col("content").cast("string")
+    return found.select(F.regexp_extract("path", r"([^/=]*)\.txt(?:/[^/]*)?$", 1).alias("name"), F.left(text, F.length(text) - 1).alias("content"))
+
+
 def pinned_first(listing: DataFrame, name: str) -> DataFrame:
     return listing.orderBy((F.col("name") != name), "name")
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 
 import duckdb
 import pytest
@@ -143,3 +144,19 @@ def test_a_file_of_several_json_documents(spark, tmp_path):
     df = spark.createDataFrame([([i],) for i in range(5)], "doc array<int>")
     tables.write_json(df.coalesce(1), f"{tmp_path}/json")
     assert sorted(r.doc for r in tables.read_json(spark, f"{tmp_path}/json", "array<int>", lines=True).collect()) == [[i] for i in range(5)]
+
+
+def test_each_written_file_is_listed_and_odd_values_stay(spark, tmp_path):
+    """files_listing: no folder for each file, one task writes many; nulls have no file, blanks and line breaks stay."""
+    rows = [(0, "t", " en ", "s"), (3, "t", None, "s"), (6, "t", "e\nn", "s"), (9, "t", "", "s"), (-3, "t", "d\u00e9", "s"), (None, "t", "en", "s"), (7, "t", "en", "s")]
+    rows += [(i, "t", "en", "s") for i in range(300, 900, 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = source_queries.files_listing(spark, str(tmp_path))
+    made = tables._made[-1][1].removeprefix("file://")
+    want = con.execute(source_queries.ORACLES["files_listing"]).fetchall()
+    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(r) for r in want)
+    names = [(folder, f) for folder, _, names in os.walk(made) for f in names]
+    assert len(names) == 204 and len({folder for folder, _ in names}) <= tables.FOLDERS
+    assert {f for _, f in names} == {f"i{i}.txt" for i, _, lang, _ in rows if i is not None and i % 3 == 0 and lang is not None}
